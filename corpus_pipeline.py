@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import packing, simhash
-from tallyforge.llm.common import materialise
+from tallyforge.llm import decontamination, langid, packing, simhash
+from tallyforge.llm.common import materialise, table, third
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay: `und` ones go, and those whose likeliest language has less than half the
+    probability. The declared language is what is learned from; it decides on no document."""
+    model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
+    found = langid.predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__gone"]), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +22,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, k=5, limit=3)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents in sequences of 2048 tokens at most."""
     return packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", packed)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", packed)]
 
 #: Fingerprints and token ids are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash
-from .common import table
+from . import decontamination, langid, packing, quality, sharding, simhash, toxicity
+from .common import table, third
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +16,31 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.filter(third() != 1), table(spark, sf_dir, "labels").filter(third() != 1))
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", (third() == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
+    return langid.predict(docs, model).select("doc_id", (third() == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, limit=3)
 
 
+def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
