@@ -77,3 +77,14 @@ def third(id_col: str = "doc_id"):
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only where a count proves the bound; else a shuffle join. df should be cheap to count."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def per_worker(key: tuple, make):
+    """What make() gives, kept for later tasks of the same Python worker: for read-only things that take long to load."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tallyforge_worker", types.ModuleType("_tallyforge_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

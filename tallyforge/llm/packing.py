@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rank_within
+from .common import materialise, per_worker, rank_within
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -21,16 +21,59 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words that the tokenizer's own rules leave as one run of letters and one of signs: letters of the Latin blocks (composed
+#: forms all; not the dotted capital I, whose small form has a loose dot), then ASCII signs. They skip its normaliser and pre-tokenizer, which take most of its time.
+PLAIN = r"([A-Za-zÀ-ÖØ-öø-įı-ſ]*)([!-/:-@\[-`{-~]*)"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level spelling of each letter in PLAIN that is not ASCII."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    rule = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: rule.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int, remembered: int) -> Iterator[pa.RecordBatch]:
     """Each document's ids, cut into pieces of `limit` tokens. The tokenizer drops white space and no token crosses it, so ids are kept by word."""
+    import operator
     import os
+    import re
     import struct
     import zlib
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, end, known = Tokenizer.from_file(path), struct.pack("<I", end_id), {}
+    tokenizer, end, known = per_worker(("tokenizer", path), lambda: Tokenizer.from_file(path)), struct.pack("<I", end_id), {}
+    plain, latin, model = re.compile(PLAIN), byte_letters(), tokenizer.model
+
+    number, runs = operator.attrgetter("id"), {"": b""}
+
+    def run_ids(run: str) -> bytes:
+        ids = [*map(number, model.tokenize(run if run.isascii() else run.translate(latin)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(new: list[str]) -> None:
+        if len(runs) > remembered:
+            runs.clear()
+            runs[""] = b""
+        other = []
+        for w in new:
+            if m := plain.fullmatch(w):
+                letters, signs = m.groups()
+                letters = letters.lower()
+                if letters not in runs:
+                    runs[letters] = run_ids(letters)
+                if signs not in runs:
+                    runs[signs] = run_ids(signs)
+                known[w] = runs[letters] + runs[signs]
+            else:
+                other.append(w)
+        for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            ids = e.ids
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         texts = batch.column(1)
@@ -41,9 +84,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: in
                 if len(known) + len(new) > remembered:
                     known.clear()
                     new = list(set(words))
-                for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    ids = e.ids
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                learn(new)
                 words[:] = [b"".join(map(known.__getitem__, words)) + end]
             for doc, (blob,) in zip(batch.column(0).slice(at, 32).to_pylist(), split):
                 for k, begin in enumerate(range(0, len(blob), 4 * limit)):
