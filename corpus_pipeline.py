@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, langid, packing, simhash
+from tallyforge.llm import decontamination, langid, lines, packing, simhash
 from tallyforge.llm.common import materialise, table, third
 
 
@@ -17,6 +17,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__gone"]), "left_anti")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier one are taken out of the texts; every document stays."""
+    return lines.dedup(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
     return simhash.keep_one(docs, k=5, limit=3)
@@ -32,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", packed)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", packed)]
 
 #: Fingerprints and token ids are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None

@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, packing, quality, sharding, simhash, toxicity
-from .common import table, third
+from . import decontamination, langid, lines, packing, quality, sharding, simhash, tokens, toxicity, warc
+from .common import materialise, new_path, table, third
+
+
+def op1_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load with estimates for a tenth of the documents, their recount (delivered twice), and the removal
+    and return of another tenth: the totals of a plain count of all documents."""
+    counts = materialise(tokens.token_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_files()), "counts")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    estimated = counts.withColumn("tokens", F.when(part == 0, F.ceil(F.col("bytes") / 4)).otherwise(F.col("tokens")).cast("long"))
+    rollup = tokens.Rollup(spark, new_path(spark, "rollup"))
+    rollup.commit("load", tokens.inserts(estimated))
+    for _ in range(2):
+        rollup.commit("recount", tokens.revisions(estimated.filter(part == 0), counts.filter(part == 0)))
+    rollup.commit("removal", tokens.deletes(counts.filter(part == 1)))
+    rollup.commit("return", tokens.inserts(counts.filter(part == 1)))
+    return rollup.totals()
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +43,10 @@ def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (third() == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -37,6 +56,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, limit=3)
 
 
+def op8_set_join_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removals(table(spark, sf_dir, "documents"))
+
+
 def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
 
