@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 #: Scale of a character's probability in the forward sums: they stay near 1, whatever a word's length.
 PER_CHAR = 16.0
 #: Probability of a character that no piece spells, the same in each language.
 UNKNOWN = 1e-7
+#: Stands for the space before a word in the vocabulary.
+SPACE = "▁"
 #: Training cuts longer words here; scoring doesn't.
 LONGEST_TRAINED = 48
 
@@ -26,36 +30,91 @@ def vocabulary_path() -> str:
 
 
 class Lattice:
-    """All ways to spell words in the pieces of a sentencepiece model (its control and byte pieces left out)."""
+    """All ways to spell words in the pieces of a sentencepiece model (its control and byte pieces left out).
+
+    The pieces stand in a trie that is walked from all characters at once. Its 255 most used characters have a dense table
+    of steps, the others a sorted list.
+    """
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
-        self.finder, self.length = ahocorasick.Automaton(), np.ones(self.size + 1, np.int64)
+        self.length = np.ones(self.size + 1, np.int64)
+        pieces = {}
         for i in range(self.size):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
-                piece = model.id_to_piece(i)
-                self.length[i] = len(piece)
-                self.finder.add_word(piece, i)
-        self.finder.make_automaton()
+                pieces[model.id_to_piece(i)] = i
+                self.length[i] = len(model.id_to_piece(i))
         self.longest = int(self.length.max())
+        steps, ends = {}, [-1]
+        for piece, i in pieces.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault((node, c), len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self.ends = np.array(ends)
+        used = Counter(c for _, c in steps)
+        self.code = np.zeros(0x110000, np.uint8)  # 0: in no piece
+        for k, (c, _) in enumerate(used.most_common()):
+            self.code[ord(c)] = min(k + 1, 255)
+        self.dense = np.zeros((len(ends), 256), np.int32)
+        rare = []
+        for (node, c), to in steps.items():
+            if self.code[ord(c)] < 255:
+                self.dense[node, self.code[ord(c)]] = to
+            else:
+                rare.append((node << 21 | ord(c), to))
+        rare.sort()
+        self.rare, self.rare_to = (np.array([x[k] for x in rare], np.int64) for k in (0, 1))
+
+    def walk(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of its last character, piece) of each piece that occurs in the characters, by place."""
+        codes = self.code[points]
+        place = np.flatnonzero(codes)
+        node, ends, pieces = np.zeros(len(place), np.int64), [], []
+        for k in range(self.longest):
+            inside = place + k < len(points)
+            place, node = place[inside], node[inside]
+            c = codes[place + k]
+            to = self.dense[node, c].astype(np.int64)
+            odd = np.flatnonzero(c == 255)
+            if len(odd) and len(self.rare):
+                key = node[odd] << 21 | points[place[odd] + k]
+                at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+                to[odd] = np.where(self.rare[at] == key, self.rare_to[at], 0)
+            alive = np.flatnonzero(to)
+            place, node = place[alive], to[alive]
+            if not len(place):
+                break
+            piece = self.ends[node]
+            hit = np.flatnonzero(piece >= 0)
+            ends.append(place[hit] + k)
+            pieces.append(piece[hit])
+        if not ends:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end, piece = np.concatenate(ends), np.concatenate(pieces)
+        order = np.argsort(end, kind="stable")
+        return end[order], piece[order]
 
     def edges(self, words: list[str]):
-        """For words marked by their leading space sign: (sizes, word, start, end, piece), by position. Piece `size` is a lone unknown character."""
-        text = "\n".join(words) + "\n"
+        """For words with their leading space sign: (sizes, word, start, end, piece), by position. Piece `size` is a lone unknown character."""
+        points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         firsts = np.r_[0, np.cumsum(sizes[:-1] + 1)]
-        found = np.array(list(self.finder.iter(text)), np.int64).reshape(-1, 2)
-        end, piece = found[:, 0], found[:, 1]
-        spelled = np.zeros(len(text), bool)
+        end, piece = self.walk(points)
+        spelled = np.zeros(len(points), bool)
         spelled[end[self.length[piece] == 1]] = True
         spelled[firsts + sizes] = True
         alone = np.flatnonzero(~spelled)
-        end, piece = np.r_[end, alone], np.r_[piece, np.full(len(alone), self.size)]
-        word = np.searchsorted(firsts, end, side="right") - 1
+        if len(alone):
+            end, piece = np.r_[end, alone], np.r_[piece, np.full(len(alone), self.size)]
+            order = np.argsort(end, kind="stable")
+            end, piece = end[order], piece[order]
+        word = np.repeat(np.arange(len(words)), sizes + 1)[end]
         last = end - firsts[word] + 1
         return sizes, word, last - self.length[piece], last, piece
 
@@ -64,7 +123,7 @@ class Lattice:
         base = np.r_[0, np.cumsum(sizes[:-1] + 1)]
         alpha, logs = np.zeros((int((sizes + 1).sum()), chance.shape[1])), np.zeros((len(sizes), chance.shape[1]))
         alpha[base] = 1.0
-        order = np.lexsort((word, end))
+        order = np.argsort(end.astype(np.uint16) if len(end) and sizes.max() < 65536 else end, kind="stable")  # the edges come by word
         word, start, end, chance = word[order], start[order], end[order], chance[order]
         steps = np.searchsorted(end, np.arange(1, int(sizes.max()) + 2))
         for e in range(1, int(sizes.max()) + 1):
@@ -94,7 +153,7 @@ class Lattice:
         alpha, base, _ = self.forward(sizes, word, start, end, own[:, None], rescale=False)
         alpha, beta = alpha[:, 0], np.zeros(len(alpha))
         beta[base + sizes] = 1.0
-        order = np.lexsort((word, -start))
+        order = np.argsort((LONGEST_TRAINED - start).astype(np.uint16), kind="stable")
         w, s, e, p = word[order], start[order], end[order], own[order]
         most = int(sizes.max())
         steps = np.searchsorted(-s, np.arange(-most, 2))
@@ -136,12 +195,16 @@ def public_prior(path: str) -> np.ndarray:
     return np.r_[guess / guess.sum(), UNKNOWN]
 
 
+#: ASCII letters in lower case; other ASCII signs part words. Other characters stay as they are.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
 def words_of(text: str | None) -> list[str]:
-    return ["▁" + w for w in (text or "").split()]
+    return (text or "").encode().translate(FOLD).decode().split()
 
 
 def _expect(batches: Iterator[pa.RecordBatch], path: str, languages: list[str], chance: np.ndarray, held: int) -> Iterator[pa.RecordBatch]:
-    lattice, number = Lattice(path), {x: i for i, x in enumerate(languages)}
+    lattice, number = per_worker(("lattice", path), lambda: Lattice(path)), {x: i for i, x in enumerate(languages)}
     weights = scaled(lattice, chance)
     sums, counts = np.zeros((len(languages), lattice.size + 1)), [Counter() for _ in languages]
 
@@ -152,7 +215,7 @@ def _expect(batches: Iterator[pa.RecordBatch], path: str, languages: list[str],
                 part = words[at : at + 4096]
                 pieces, times = [], []
                 for w in part:
-                    n = own[w]
+                    n, w = own[w], SPACE + w
                     for cut in range(0, len(w), LONGEST_TRAINED):
                         pieces.append(w[cut : cut + LONGEST_TRAINED])
                         times.append(n)
@@ -199,7 +262,7 @@ def train(rows: DataFrame, path: str, rounds: int = 1, shared: float = 0.05, gue
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered: int) -> Iterator[pa.RecordBatch]:
     import regex
 
-    lattice, letter = Lattice(model.path), regex.compile(r"\p{L}")
+    lattice, letter = per_worker(("lattice", model.path), lambda: Lattice(model.path)), regex.compile(r"\p{L}")
     weights, known = scaled(lattice, model.chance), {}
     prior = np.log(model.prior)
     table = np.zeros((0, len(model.languages)))
@@ -217,7 +280,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered
                 new.sort(key=len)
                 parts, part, size = [], [], 0
                 for w in new:
-                    part.append(w)
+                    part.append(SPACE + w)
                     size += len(w)
                     if size > 40_000:
                         parts.append(lattice.log_likelihood(part, weights))
@@ -239,7 +302,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: LanguageModel, remembered_words: int = 150_000) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, remembered_words: int = 300_000) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language of the whole text and its posterior probability.
 
     `und` with score 0 where text is null or has no letter, or no language was learned. Ties go to the language that
