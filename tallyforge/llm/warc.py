@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialise, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -74,13 +74,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([final] if n else [], pa.string()), pa.array([n] if n else [], pa.int64()), pa.array([size] if n else [], pa.int64())], ["file", "records", "bytes"])
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, salts: int = 16) -> tuple[str, list[tuple[str, int, int]]]:
+def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, salts: int = 16, broadcast_rows: int = 500_000) -> tuple[str, list[tuple[str, int, int]]]:
     """Write a record for each row of pages (page_id, url, html) below folder (a shared one of our own if None).
 
     Of equal payloads of `least` bytes or more, the record with the smallest page_id is the response and others revisit
     it; rows that repeat in full are responses all. A null page_id comes after all others (of several, by a hash of the
-    url); a null html is an empty payload, a null url leaves out the target. Only digests that occur more than once are joined back,
-    each to `salts` copies so that no group of copies meets in one task. Gives (folder, [(file, records, bytes)]); the list
+    url); a null html is an empty payload, a null url leaves out the target. Only digests that occur more than once are joined back:
+    by broadcast if a count shows no more than `broadcast_rows` of them, so that payloads stay where they are read; else
+    by a shuffle, each in `salts` copies so that no group of copies meets in one task. Gives (folder, [(file, records, bytes)]); the list
     has a row for each task. Folder must be on a file system that pyarrow opens, the same for driver and executors.
     """
     spark = pages.sparkSession
@@ -91,9 +92,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     rank = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.xxhash64("url").alias("tie"))
     numbered = rows.filter(F.length("payload") >= least).withColumn("order", rank)
     copies = numbered.groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = copies.select(F.col("digest").alias("twin"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("own_rank", rank).withColumn("own_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = salted.join(copies, (F.col("digest") == F.col("twin")) & (F.col("own_salt") == F.col("salt")) & (F.length("payload") >= least), "left")
+    copies = materialise(copies.select(F.col("digest").alias("twin"), "first"), "copies")
+    same = (F.col("digest") == F.col("twin")) & (F.length("payload") >= least)
+    rows = rows.withColumn("own_rank", rank)
+    if copies.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(copies), same, "left")
+    else:
+        salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn("own_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
     first = F.struct(F.col("first").isNotNull().alias("known"), F.coalesce(F.col("own_rank") == F.col("first"), F.lit(True)).alias("own"), F.col("first.page_id").alias("page_id"))
     made = joined.select("page_id", "url", "payload", "digest", first.alias("first")).mapInArrow(lambda it: _write(it, folder), "file string, records long, bytes long").collect()
     return folder, [(r["file"], r["records"], r["bytes"]) for r in made]
