@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -37,11 +38,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files go when the query that made them has ended, and not only when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out

@@ -24,20 +24,33 @@ THRESHOLD = Fraction(4, 5)
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, words): the lines that have a word, with their words as they come."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    words = F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), "")
-    return rows.select("doc_id", "line_no", words.alias("words")).filter(F.size("words") > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(spaced(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
-def rarity(lines: DataFrame, bits: int | None = None) -> tuple[bytes, int]:
+def spaced(text: Column) -> Column:
+    """The other separators of words as spaces, in the few texts that have any: translate looks at each character."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | text.contains(c)
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
+def words_of(line: Column) -> Column:
+    """Words between spaces; the empty ones between two spaces are taken out where there are such."""
+    cut = F.split(line, " ")
+    return F.when(line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == ""), F.array_remove(cut, "")).otherwise(cut)
+
+
+def rarity(docs: DataFrame, bits: int | None = None) -> tuple[bytes, int]:
     """(table, bits): for each value of the low bits of a word's hash, the binary logarithm of its words' occurrences.
 
     A rare word that shares its slot with a frequent one counts as frequent, which costs speed but no result. The table's
-    size grows with the number of words up to 4 MB, and goes with each task.
+    size grows with the number of documents up to 4 MB, and goes with each task.
     """
     if bits is None:
-        total = lines.agg(F.sum(F.size("words"))).first()[0] or 1
-        bits = min(22, max(12, math.ceil(math.log2(total / 512))))
+        bits = min(22, max(12, math.ceil(math.log2(docs.count() + 1)) + 2))
+    lines = lines_of(docs)
     block = 1 << (bits // 2)
     counts = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
     levels = counts.select("slot", F.least(F.floor(F.log2("n")), F.lit(31)).cast("int").alias("level")).filter("level > 0")
@@ -111,10 +124,14 @@ def verified(pairs: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows:
     a, b = least.numerator, least.denominator
     wanted = materialise(pairs.select("doc_id", "line_no").union(pairs.select("of_doc", "of_line")).distinct(), "wanted")
     side = wanted.select(F.col("doc_id").alias("w_doc"), F.col("line_no").alias("w_line"))
-    side = F.broadcast(side) if wanted.count() <= broadcast_rows else side
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    few = wanted.count() <= broadcast_rows
+    side = F.broadcast(side) if few else side
+    own = wanted.select(F.col("doc_id").alias("d_doc")).distinct()
+    own = F.broadcast(own) if few else own
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")), "left_semi")
+    rows = rows.select("doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
     rows = rows.join(side, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("line_no") == F.col("w_line")), "left_semi").dropDuplicates(["doc_id", "line_no"])
-    words = F.array_distinct(F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), ""))
+    words = F.array_distinct(words_of(F.col("line")))
     sets = materialise(rows.select("doc_id", "line_no", words.alias("words")), "sets")
     left = sets.select(F.col("doc_id").alias("l_doc"), F.col("line_no").alias("l_line"), F.col("words").alias("l_words"))
     right = sets.select(F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line"), F.col("words").alias("r_words"))
@@ -136,9 +153,11 @@ def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD,
     first = materialise(near.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
     settled = materialise(_one(verified(first, docs, least, broadcast_rows)), "settled")
     done = settled.select(F.col("doc_id").alias("s_doc"), F.col("line_no").alias("s_line"))
-    open_sets = sets.join(done, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line")), "left_anti")
-    rest = postings(open_sets, least).alias("y").join(postings(sets, least).alias("x"), F.col("y.key") == F.col("x.key"))
-    second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct().join(first, ["doc_id", "line_no", "of_doc", "of_line"], "left_anti"), "candidates")
+    done = F.broadcast(done) if settled.count() <= broadcast_rows else done
+    own = postings(sets, least).repartition("key")
+    rest = own.join(done, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line")), "left_anti").alias("y").join(own.alias("x"), F.col("y.key") == F.col("x.key"))
+    second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
+    second = second.join(first, ["doc_id", "line_no", "of_doc", "of_line"], "left_anti")
     return settled.unionByName(_one(verified(second, docs, least, broadcast_rows)))
 
 
@@ -157,7 +176,7 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     if not Fraction(1, 2) < least <= 1:
         raise ValueError("the threshold must be over 1/2")
     lines = lines_of(docs)
-    table, bits = rarity(lines)
+    table, bits = rarity(docs)
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
     head = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")
     sets = materialise(keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*"), "sets")
