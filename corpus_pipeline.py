@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontamination, langid, lines, packing, simhash
-from tallyforge.llm.common import materialise, table, third
+from tallyforge.llm.common import materialise, table, third, without_ids
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay: `und` ones go, and those whose likeliest language has less than half the
     probability. The declared language is what is learned from; it decides on no document."""
     model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
-    found = langid.predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__gone"]), "left_anti")
+    rejected = langid.predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5))
+    return without_ids(docs, rejected.select("doc_id"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

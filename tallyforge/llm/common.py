@@ -93,6 +93,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def without_ids(df: DataFrame, gone: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """df without the rows whose id is in gone (one column); a null id there takes out null ids.
+
+    The ids are written first and go by broadcast if they are no more than `broadcast_rows`, so that the texts stay where
+    they are; else both sides are shuffled.
+    """
+    gone = materialise(gone.toDF("__gone").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return df.join(side, df[id_col].eqNullSafe(side["__gone"]), "left_anti")
+
+
 def per_worker(key: tuple, make):
     """What make() gives, kept for later tasks of the same Python worker: for read-only things that take long to load."""
     import sys

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_ids
+
 HITS = "doc_id long, item_id long, coverage double, item_tokens int, matched int, tiles int, longest int"
 BASE, PRIME = 1_000_003, (1 << 61) - 1
 #: ASCII letters in lower case, all other ASCII signs but digits as spaces; bytes of other characters stay.
@@ -142,6 +144,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5) -> DataFrame:
-    """The documents that no item contaminates; rows without a doc_id stay."""
-    gone = contaminated(docs, benchmark, least, coverage).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents that no item contaminates; of rows without a doc_id all go if one of them is contaminated."""
+    return without_ids(docs, contaminated(docs, benchmark, least, coverage).select("doc_id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without_ids
 from .components import connected_components
 
 #: Links join fingerprints that differ in so many of 64 bits at most. Two halves of 32 bits then have one that differs in
@@ -172,5 +172,4 @@ def keep_one(docs: DataFrame, k: int = 5, limit: int = THRESHOLD) -> DataFrame:
     Needs doc_ids that are unique: of rows with an equal doc_id all stay or go. Rows without a doc_id stay.
     """
     found = near_duplicates(docs, k, limit)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without_ids(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
