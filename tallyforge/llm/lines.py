@@ -204,13 +204,14 @@ def removals(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int =
 
 def dedup(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
     """docs with the repeated lines taken out of text; every document stays, maybe with an empty text. n_chars, if there, follows the text."""
-    gone = repeated_lines(docs, least, broadcast_rows).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line_no").alias("__gone"))
+    doc, removed = (f"__{x}_{len(docs.columns)}{max(docs.columns, key=len)}" for x in ("doc", "removed"))  # longer than any name of docs
+    gone = repeated_lines(docs, least, broadcast_rows).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line_no").alias(removed))
     gone = materialise(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    joined = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split(F.col("text"), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains("__gone", x["i"])), lambda x: x["line"]), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    joined = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    numbered = F.transform(F.split(F.col("text"), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(removed, x["i"])), lambda x: x["line"]), "\n")
+    out = joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -81,12 +81,13 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int
 
     Faults seldom come together, so votes alone would be explained best by one fault as the bad class and the others as
     quirks of good texts. Hence the posteriors are regularised: each rule's votes for bad must be right in `accuracy` of
-    the cases, in expectation. A rule that falls short gets a weight that is added to the odds of the texts it speaks on.
+    the cases, in expectation, and so must silence: a text that no rule votes against is good as often. A rule that falls
+    short gets a weight that is added to the odds of the texts it speaks on.
     """
     votes = patterns[:, None] // 3 ** np.arange(rules) % 3
     one_hot = (votes[:, :, None] == np.arange(3)).astype(float)
     against = one_hot[:, :, BAD]
-    mass = against.T @ counts
+    mass, clear = against.T @ counts, ~against.any(1)
     good = np.clip(0.95 - 0.9 * (votes == BAD).any(1), 0.05, 0.95)
     extra = np.zeros(rules)
     logit = np.log(accuracy / (1 - accuracy))
@@ -97,6 +98,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int
         before = good
         for _ in range(20):
             good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + against @ extra, -500, 500)))
+            good = np.where(clear, np.maximum(good, accuracy), good)
             right = np.clip((against.T @ ((1 - good) * counts)) / np.maximum(mass, 1e-9), 1e-6, 1 - 1e-6)
             step = np.where(mass > 0, logit - np.log(right / (1 - right)), 0.0)
             extra, last = np.maximum(0.0, extra + 0.5 * step), extra
