@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 #: Bits of a word's hash that stay below its rarity class in a word's key.
 HASH_BITS = 57
@@ -147,8 +147,8 @@ def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD,
     its key only; sets that this settles look no further, and only the others meet all earlier sets that share a key.
     """
     own = postings(sets, least).repartition("key")
-    heads = own.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "parity")).alias("x"), F.count("*").alias("times")).filter("times > 1")
-    near = own.alias("y").join(heads.alias("h").select("key", "x.*").alias("x"), F.col("y.key") == F.col("x.key"))
+    head = F.min(F.struct("doc_id", "line_no", "n", "pos", "parity")).over(Window.partitionBy("key"))
+    near = own.withColumn("x", head).select(F.struct("doc_id", "line_no", "n", "pos", "parity").alias("y"), "x")
     columns = [F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("x.doc_id").alias("of_doc"), F.col("x.line_no").alias("of_line")]
     first = materialise(near.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
     settled = materialise(_one(verified(first, docs, least, broadcast_rows)), "settled")
@@ -180,12 +180,14 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
     head = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")
     sets = materialise(keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*"), "sets")
+    places = materialise(keyed.select("doc_id", "line_no", "h1", "h2"), "places")
+    forget(keyed)
     similar = materialise(similar_sets(sets, docs, least, broadcast_rows), "similar")
     heads = sets.select("h1", "h2", "times", F.col("doc_id").alias("s_doc"), F.col("line_no").alias("s_line"))
     matched = similar.select(F.col("doc_id").alias("m_doc"), F.col("line_no").alias("m_line"), "of_doc", "of_line")
     marked = heads.join(matched, F.col("s_doc").eqNullSafe(F.col("m_doc")) & (F.col("s_line") == F.col("m_line")), "left").filter("times > 1 or of_line is not null")
     marked = marked.select("h1", "h2", "s_doc", "s_line", "of_doc", "of_line")
-    found = keyed.select("doc_id", "line_no", "h1", "h2").join(marked, ["h1", "h2"])
+    found = places.join(marked, ["h1", "h2"])
     is_head = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line"))
     gone = found.filter(~is_head | F.col("of_line").isNotNull())
     of = F.when(F.col("of_line").isNotNull(), F.struct(F.col("of_doc"), F.col("of_line"))).otherwise(F.struct(F.col("s_doc").alias("of_doc"), F.col("s_line").alias("of_line")))
