@@ -87,7 +87,7 @@ def decode_entities(text: Column) -> Column:
         """Replace each numeric entity: the parts between matches, and the matches' characters."""
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         between = F.split(text, pattern)
-        signs = F.transform(found, lambda d: F.decode(F.unhex(F.lpad(F.conv(d, base, 16), 8, "0")), "UTF-32BE"))
+        signs = F.transform(found, lambda d: F.decode(F.unhex(F.lpad(F.conv(d, base, 16), 8, "0")), "UTF-32"))
         return F.when(F.size(found) > 0, F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), F.concat(signs, F.array(F.lit(""))).alias("s")), lambda x: F.array(x["b"], x["s"]))), "")).otherwise(text)
 
     text = numbered(text, "(?i)&#x([0-9a-f]{1,5});", 16)

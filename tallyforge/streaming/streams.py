@@ -30,8 +30,8 @@ def once(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFram
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int, seconds: int) -> DataFrame:
-    """Decisions of the anchored rate limit; state is a window's start and count per key, and goes when the window has passed."""
+def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Decisions of the anchored rate limit; state is a window's start and count per key, and goes when the watermark has passed the window."""
 
     def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,10 +45,10 @@ def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int, sec
             start, n = (micros, 1) if start is None or start + seconds * 1_000_000 < micros else (start, n + 1)
             out.append((i, group[0], n, n <= limit))
         state.update((start, n))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[tie, key, "count_in_window", "allowed"])
 
-    return stream.groupBy(key).applyInPandasWithState(decide, f"{tie} long, {key} long, count_in_window int, allowed boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(decide, f"{tie} long, {key} long, count_in_window int, allowed boolean", "start long, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_batches(stream: DataFrame, folder: str, checkpoint: str, once_only: bool = True):
