@@ -131,3 +131,19 @@ def keyword_presence(spark, sf):
 def extractive_summary(spark, sf):
     run = P.summarised(["apache", "gnu", "license", "version"])
     return table(spark, sf, "documents").select("doc_id", run("text", F.array(F.lit("license"), F.lit("software"))).alias("s")).select("doc_id", "s.summary", "s.keywords")
+
+
+@query()
+def polished_bullets(spark, sf):
+    from ..functions.rewriting import generic, polished
+
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.select("doc_id", "pos", polished("line").alias("bullet"), generic("line").alias("generic"))
+
+
+@query()
+def parsed_resumes(spark, sf):
+    from ..functions.rewriting import parsed_resume
+
+    sections = F.concat(F.lit("Jane Doe\nEngineer\nExperience\nDev at "), F.col("source"), F.lit(" 2019 - 2021\n- "), F.translate("text", "\n", " "), F.lit("\nEducation\nUniversity of "), F.col("lang"), F.lit("\nB.S. in Physics 2014 - 2018"))
+    return table(spark, sf, "documents").select("doc_id", parsed_resume(sections).alias("r")).select("doc_id", "r.name", "r.title", F.to_json("r.experience").alias("experience"), F.to_json("r.education").alias("education"))
