@@ -36,3 +36,21 @@ def test_resumes():
     assert r["experience"] == [{"role": "Dev", "company": "Acme", "location": "Remote", "start": "2019", "end": "Present", "client": "Foo", "bullets": ["Built a thing that runs well."]}]
     assert r["skills"] == [{"category": "Languages", "items": ["Go", "SQL"]}] and r["projects"] == [{"name": "Toy", "bullets": ["fun"]}] and r["certifications"] == ["AWS"]
     assert W.parse_resume("")["experience"] == []
+
+
+def test_records(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import resume as R
+
+    text = "Ann Lee\nEngineer\nExperience\nDev at Acme | 2019 - 2021\n- Worked on building rest apis\n- worked on building REST APIs.\n- Led it\nSkills\nLang: Go,  \nEducation\nUniversity of X\nB.S. in Physics 2014 - 2018"
+    df = R.structured(spark.createDataFrame([(1, text), (2, "")], "id int, text string"), "text")
+    assert [r["e"] for r in df.orderBy("id").select(R.enough(F.col("record")).alias("e")).collect()] == [True, False]
+    assert sorted((r["pos"], r["bullet"], r["changed"]) for r in R.polish(df, "record", "id").collect()) == [(0, "Build REST APIs", True), (2, "Led it", False)]
+    got = R.blocks(df, "record", "id").orderBy("section_ord", "item_ord", "sub_ord").collect()
+    assert [r["text"] for r in got] == ["Experience", "Dev | Acme | 2019 – 2021", "Worked on building rest apis", "worked on building REST APIs.", "Led it", "Skills", "Lang: Go", "Education", "University of X, B.S., Physics, 2014 – 2018"]
+    calls = R.structured(spark.createDataFrame([(1, "x")], "id int, text string"), "text", call=lambda t: {**W.parse_resume(""), "name": t.upper()})
+    assert calls.first()["record"]["name"] == "X"
+    assert R.break_line([3, 3, 3, 3], 1.0, 7.5) == [(0, 2, 1.5), (2, 4, 1.0)] and R.break_line([], 1, 5) == []
+    lines = spark.createDataFrame([([3.0, 3.0, 3.0],)], "w array<double>").select(R.broken(1.0, 7.5)("w").alias("l")).first()["l"]
+    assert [(x["first"], x["end"]) for x in lines] == [(0, 2), (2, 3)]
