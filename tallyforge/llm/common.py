@@ -113,3 +113,18 @@ def per_worker(key: tuple, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the system at a task's end: workers stay for later tasks, side by side with the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

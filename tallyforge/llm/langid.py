@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import per_worker, release_memory
 
 #: Scale of a character's probability in the forward sums: they stay near 1, whatever a word's length.
 PER_CHAR = 16.0
@@ -32,7 +32,7 @@ def vocabulary_path() -> str:
 class Lattice:
     """All ways to spell words in the pieces of a sentencepiece model (its control and byte pieces left out).
 
-    The pieces stand in a trie that is walked from all characters at once. Its 255 most used characters have a dense table
+    The pieces stand in a trie that is walked from all characters at once. Its 126 most used characters have a dense table
     of steps, the others a sorted list.
     """
 
@@ -60,11 +60,11 @@ class Lattice:
         used = Counter(c for _, c in steps)
         self.code = np.zeros(0x110000, np.uint8)  # 0: in no piece
         for k, (c, _) in enumerate(used.most_common()):
-            self.code[ord(c)] = min(k + 1, 255)
-        self.dense = np.zeros((len(ends), 256), np.int32)
+            self.code[ord(c)] = min(k + 1, 127)
+        self.dense = np.zeros((len(ends), 128), np.int32)
         rare = []
         for (node, c), to in steps.items():
-            if self.code[ord(c)] < 255:
+            if self.code[ord(c)] < 127:
                 self.dense[node, self.code[ord(c)]] = to
             else:
                 rare.append((node << 21 | ord(c), to))
@@ -81,7 +81,7 @@ class Lattice:
             place, node = place[inside], node[inside]
             c = codes[place + k]
             to = self.dense[node, c].astype(np.int64)
-            odd = np.flatnonzero(c == 255)
+            odd = np.flatnonzero(c == 127)
             if len(odd) and len(self.rare):
                 key = node[odd] << 21 | points[place[odd] + k]
                 at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
@@ -300,9 +300,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered
                 lang.append(model.languages[best])
                 score.append(float(odds[best] / odds.sum()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+    known.clear()
+    del table
+    release_memory()
 
 
-def predict(docs: DataFrame, model: LanguageModel, remembered_words: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, remembered_words: int = 120_000) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language of the whole text and its posterior probability.
 
     `und` with score 0 where text is null or has no letter, or no language was learned. Ties go to the language that

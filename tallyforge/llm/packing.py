@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, per_worker, rank_within
+from .common import materialise, per_worker, rank_within, release_memory
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -92,9 +92,12 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: in
                     for column, x in zip(out, (doc, k, begin // 4, len(own) // 4, zlib.crc32(own))):
                         column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    known.clear()
+    runs.clear()
+    release_memory()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remembered_words: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remembered_words: int = 150_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document; `tokenizer` is a file of the tokenizers library whose
     pre-tokenizer drops spaces and line ends. A null or empty text has the one token `end_id`. Repeated rows repeat."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _encode(it, tokenizer, capacity, end_id, remembered_words), PIECES)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_path, per_worker
+from .common import hadoop_path, per_worker, release_memory
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["documents", "tokens", "bytes"]
@@ -70,6 +70,8 @@ def _count(batches: Iterator[pa.RecordBatch], tokenizers: dict[str, str], rememb
         taken = batch.take(pa.array(rows, pa.int64()))
         size = [len((texts[i] or "").encode()) for i in rows]
         yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(versions, pa.string()), pa.array(numbers, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "source", "lang", "tokenizer_version", "tokens", "bytes"])
+    del counters
+    release_memory()
 
 
 def token_counts(docs: DataFrame, tokenizers: dict[str, str], remembered_words: int = 200_000) -> DataFrame:
