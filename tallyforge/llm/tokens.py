@@ -137,7 +137,10 @@ class Rollup:
         return sums.filter(" or ".join(f"{x} <> 0" for x in SUMS))
 
     def compact(self) -> None:
-        """Merge all batches' sums into the first of them; the others keep their names, with no rows, so they stay committed."""
+        """Merge all batches' sums into the first of them; the others keep their names, with no rows, so they stay committed.
+
+        Not while batches are being committed; if the driver dies on the way, _compact holds what has not been moved yet.
+        """
         fs, path = hadoop_path(self.spark, self.folder)
         batches = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName().startswith("batch-"))
         if len(batches) < 2:
