@@ -125,11 +125,17 @@ def page_mode(glyphs: Column, images: Column, is_form: Column) -> Column:
     return F.when((glyphs == 0) & (images > 0), "scan").when(is_form, "fixed").otherwise("flow")
 
 
-def best_density(sizes: DataFrame, presets: DataFrame) -> DataFrame:
-    """(doc, preset, pages) of the first preset that keeps within the doc's target, else of that with the fewest pages. sizes: (doc, height, target); presets: a fixed list (preset, ord, scale, page_height)."""
-    tried = sizes.crossJoin(F.broadcast(presets)).withColumn("pages", F.ceil(F.col("height") * F.col("scale") / F.col("page_height")))  # a handful of presets
-    over = F.col("pages") > F.col("target")
-    return tried.groupBy("doc").agg(F.min(F.struct(over.alias("over"), F.when(over, F.col("pages")).alias("n"), "ord", "preset", "pages")).alias("b")).select("doc", "b.preset", "b.pages")
+def best_density(sizes: DataFrame, presets: list[tuple[str, float, float]]) -> DataFrame:
+    """(doc, preset, pages) of the first preset that keeps within the doc's target, else of that with the fewest pages.
+
+    sizes: (doc, height, target); presets: a few (name, scale, page height) in order, tried side by side in each row.
+    """
+    tried = []
+    for i, (name, scale, page) in enumerate(presets):
+        n = F.ceil(F.col("height") * scale / page)
+        over = n > F.col("target")
+        tried.append(F.struct(over.alias("over"), F.when(over, n).alias("n"), F.lit(i).alias("ord"), F.lit(name).alias("preset"), n.alias("pages")))
+    return sizes.select("doc", F.array_min(F.array(*tried)).alias("b")).select("doc", "b.preset", "b.pages")
 
 
 #: Patterns of font names in order, with the family that stands in.

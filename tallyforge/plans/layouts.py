@@ -81,5 +81,5 @@ def font_families(spark, sf):
 SELECT doc, preset, pages FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pages > 20, CASE WHEN pages > 20 THEN pages END, ord) AS k FROM t) WHERE k = 1""")
 def page_density(spark, sf):
     sizes = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc")).agg((F.sum("o_totalprice") / 100).alias("height")).withColumn("target", F.lit(20))
-    presets = spark.createDataFrame([("roomy", 0, 1.0, 700.0), ("normal", 1, 0.9, 700.0), ("tight", 2, 0.8, 700.0), ("dense", 3, 0.7, 700.0)], "preset string, ord int, scale double, page_height double")
+    presets = [("roomy", 1.0, 700.0), ("normal", 0.9, 700.0), ("tight", 0.8, 700.0), ("dense", 0.7, 700.0)]
     return L.best_density(sizes, presets)
