@@ -17,7 +17,7 @@ from .common import forget, materialise
 
 #: Bits of a word's hash that stay below its rarity class in a word's key.
 HASH_BITS = 57
-#: Words of class 8 (256 lines or more share them) are looked up in pairs.
+#: Words of this class and above (8: 256 lines or more share them) are looked up in pairs; the class rises with the documents.
 HOT_CLASS = 8
 THRESHOLD = Fraction(4, 5)
 
@@ -86,7 +86,7 @@ def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> D
     return rows.select("doc_id", "line_no", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
 
 
-def postings(sets: DataFrame, least: Fraction) -> DataFrame:
+def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
     """(key, doc_id, line_no, n, pos, parity): where to look a set up.
 
     By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
@@ -94,7 +94,7 @@ def postings(sets: DataFrame, least: Fraction) -> DataFrame:
     word only are equal or less than half alike.
     """
     a, b = least.numerator, least.denominator
-    hot = HOT_CLASS << HASH_BITS
+    hot = hot_class << HASH_BITS
     out = sets.withColumn("p", F.expr(f"cast(n - ({a}L * n + {b - 1}) div {b} + 1 as int)"))
     out = out.withColumn("cold", F.size(F.filter("prefix", lambda k: k < hot)))
     singles = "transform(sequence(1, least(p, cold)), i -> named_struct('key', element_at(prefix, i), 'pos', i - 1))"
@@ -146,7 +146,8 @@ def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD,
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only; sets that this settles look no further, and only the others meet all earlier sets that share a key.
     """
-    own = postings(sets, least).repartition("key")
+    hot_class = max(HOT_CLASS, round(math.log2(docs.count() + 1)) - 8)
+    own = postings(sets, least, hot_class).repartition("key")
     head = F.min(F.struct("doc_id", "line_no", "n", "pos", "parity")).over(Window.partitionBy("key"))
     near = own.withColumn("x", head).select(F.struct("doc_id", "line_no", "n", "pos", "parity").alias("y"), "x")
     columns = [F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("x.doc_id").alias("of_doc"), F.col("x.line_no").alias("of_line")]
@@ -154,7 +155,7 @@ def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD,
     settled = materialise(_one(verified(first, docs, least, broadcast_rows)), "settled")
     done = settled.select(F.col("doc_id").alias("s_doc"), F.col("line_no").alias("s_line"))
     done = F.broadcast(done) if settled.count() <= broadcast_rows else done
-    own = postings(sets, least).repartition("key")
+    own = postings(sets, least, hot_class).repartition("key")
     rest = own.join(done, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line")), "left_anti").alias("y").join(own.alias("x"), F.col("y.key") == F.col("x.key"))
     second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
     second = second.join(first, ["doc_id", "line_no", "of_doc", "of_line"], "left_anti")
