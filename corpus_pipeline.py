@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, langid, lines, packing, simhash
+from tallyforge.llm import decontamination, langid, lines, packing, shingles
 from tallyforge.llm.common import materialise, table, third, without_ids
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs, k=5, limit=3)
+    """One document of each group of a Jaccard similarity of 0.8 or more stays, the one with the smallest doc_id."""
+    return shingles.keep_one(docs, k=5, least=shingles.THRESHOLD)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

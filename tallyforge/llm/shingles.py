@@ -1,0 +1,151 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact set-similarity join of documents.
+
+A document is the set of its shingles' hashes, frequent ones last. Similar sets share a shingle among their first few
+(prefix filter), not too far back (positional filter), and have similar sizes; candidates are confirmed on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import forget, materialise, release_memory, without_ids
+from .components import connected_components
+
+THRESHOLD = Fraction(4, 5)
+#: Shingles that so many documents of the sample share are put last in all sets: which ones decides on speed, not on results.
+FREQUENT = 4
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the k-word shingles of the A-Z lower-cased text. Fewer words make one shingle, none an empty set."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[j:] for j in range(k)))) if len(words) >= k else (b" ".join(words),)
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def _lists(own: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
+
+
+def _node(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes(), 42)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, frequent: np.ndarray, least: Fraction) -> Iterator[pa.RecordBatch]:
+    a, b = least.numerator, least.denominator
+    for batch in batches:
+        nodes, sizes, prefixes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            own = shingle_set(text, k)
+            n = sizes[i] = len(own)
+            nodes[i] = _node(own)
+            if len(frequent) and n:
+                last = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+                own = np.concatenate([own[~last], own[last]])
+            prefixes.append(own[: n - (a * n + b - 1) // b + 1].copy())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), _lists(prefixes)], ["doc_id", "node", "n", "prefix"])
+    release_memory()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0)
+        for at in range(0, batch.num_rows, 256):
+            own = [shingle_set(text, k) for text in texts.slice(at, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), _lists(own)], ["node", "own"])
+    release_memory()
+
+
+def frequent_shingles(docs: DataFrame, k: int, sampled: int = 5_000, at_most: int = 250_000) -> np.ndarray:
+    """Sorted hashes of the shingles that several documents of a sample share: at least `sampled` documents or a 64th of all."""
+    parts = max(1, min(64, docs.count() // sampled))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select(F.col("text").cast("string"))
+    sets = some.mapInArrow(lambda it: _whole(it, k), "node long, own array<long>")
+    counts = sets.dropDuplicates(["node"]).select(F.explode("own").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(at_most).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def _may_match(nx: Column, px: Column, ny: Column, py: Column, least: Fraction) -> Column:
+    """Whether two sets that share the words at px and py can be similar, if that is the first one that they share."""
+    a, b = least.numerator, least.denominator
+    return (b * nx >= a * ny) & (b * ny >= a * nx) & ((a + b) * F.least(nx - px, ny - py) >= a * (nx + ny))
+
+
+def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose whole sets, made anew from the texts, are similar."""
+    a, b = least.numerator, least.denominator
+    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    ids = heads.join(wanted, "node", "left_semi").select("first_id")
+    texts = docs.join(ids, docs["doc_id"].cast("long") == ids["first_id"], "left_semi").select(F.col("text").cast("string"))
+    sets = texts.mapInArrow(lambda it: _whole(it, k), "node long, own array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialise(sets, "sets")
+    left, right = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    out = pairs.join(left, "a").join(right, "b")
+    out = materialise(out.filter((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    forget(sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, least: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that can be reached by links of a Jaccard similarity of `least` or more
+    between the sets of k-word shingles. Texts without words are equal. Rows without a doc_id are left out.
+
+    All similar pairs are found or joined through others. Each set first meets the one it shares most prefix shingles
+    with, of the smallest sets of its shingles; then only sets that this hasn't joined meet all others of their shingles.
+    """
+    if not Fraction(1, 2) <= least <= 1:
+        raise ValueError("the threshold must be 1/2 to 1")
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    frequent = frequent_shingles(docs, k)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _prefixes(it, k, frequent, least), "doc_id long, node long, n int, prefix array<long>")
+    prints = materialise(rows, "prints")
+    sets = materialise(prints.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("node", F.col("x.doc_id").alias("first_id"), "x.n", "x.prefix"), "distinct")
+    heads = sets.select("node", "first_id")
+
+    posts = sets.select(F.posexplode("prefix").alias("pos", "key"), "node", F.col("n").cast("long").alias("n"))
+    of_key = Window.partitionBy("key")
+    first = F.min(F.struct("node", "n", "pos")).over(of_key)
+    crowded = materialise(posts.withColumn("x", first).withColumn("m", F.max("node").over(of_key)).filter("x.node < m").select("key", "node", "n", "pos", "x"), "crowded")
+    near = crowded.filter((F.col("node") != F.col("x.node")) & _may_match(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos"), least))
+    best = near.groupBy(F.col("x.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("times")).groupBy("b").agg(F.max(F.struct("times", "a")).alias("x"))
+    tried = materialise(best.select("x.a", "b"), "candidates")
+    links = _confirmed(tried, heads, docs, k, least)
+
+    label = connected_components(links).withColumnRenamed("component", "c")
+    open_ = crowded.drop("x").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    open_ = open_.withColumn("low", F.min("c").over(of_key)).withColumn("high", F.max("c").over(of_key)).filter("low < high")
+    open_ = materialise(open_.select("key", "node", "n", "pos", "c"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node")) & _may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least)
+    others = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    others = materialise(others.join(tried, ["a", "b"], "left_anti"), "candidates")
+    links = links.union(_confirmed(others, heads, docs, k, least))
+
+    label = connected_components(links)
+    named = heads.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialise(named, "labelled")
+    least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return prints.select("doc_id", "node").join(named.join(least_id, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, least: Fraction = THRESHOLD) -> DataFrame:
+    """The documents without the later members of each group; the one with the smallest doc_id stays.
+
+    Needs doc_ids that are unique: of rows with an equal doc_id all stay or go. Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, k, least)
+    return without_ids(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))

@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import shingles
+
+
+def plain_sets(texts: list, k: int) -> list[set]:
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} - {()} for w in split]
+
+
+def plain_groups(ids: list, texts: list, k: int) -> dict:
+    own, label = plain_sets(texts, k), list(range(len(ids)))
+    for i, j in combinations(range(len(ids)), 2):
+        if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    return {ids[i]: min(ids[j] for j in range(len(ids)) if label[j] == label[i]) for i in range(len(ids))}
+
+
+def edited(rng: random.Random, words: list[str], times: int) -> list[str]:
+    out = list(words)
+    for _ in range(times):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows() -> list[tuple]:
+    """Bases with variants around the threshold, chains of variants, a passage that most texts share, and odd texts."""
+    rng, texts = random.Random(4), [None, "", " \n ", "one two", "One TWO", "one two three", "a b c d e", "a b c d e"]
+    passage = [f"p{i}" for i in range(30)]
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.choice([12, 40, 150, 600]))]
+        base = base + passage if rng.random() < 0.6 else base
+        for _ in range(rng.choice([1, 2, 6])):
+            texts.append(" ".join(edited(rng, base, rng.randint(0, max(1, len(base) // 25)))))
+        for _ in range(rng.choice([0, 4])):
+            base = edited(rng, base, max(1, len(base) // 60))
+            texts.append(" ".join(base))
+    ids = list(range(1, len(texts) + 1))
+    rng.shuffle(ids)
+    return list(zip(ids, texts))
+
+
+def test_groups_match_brute_force(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(frame).collect()}
+    assert got == plain_groups([i for i, _ in rows], [t for _, t in rows], 5)
+
+
+def test_frequent_shingles_change_no_result(spark, rows, monkeypatch):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(shingles.frequent_shingles(frame, 5))
+    monkeypatch.setattr(shingles, "FREQUENT", 10**6)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(frame).collect()}
+    assert got == plain_groups([i for i, _ in rows], [t for _, t in rows], 5)
+
+
+def test_stage_drops_pairs_of_similarity_08(spark, sf):
+    """Pairs far beyond three differing bits, which the stage's fingerprints did not link."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(7), []
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+        other = list(base)
+        for at in (30, 90, 150):
+            other[at] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, frame, sf).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(0, 40, 2))
+    assert sum(r["doc_id"] is None for r in kept) == 1
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    assert shingles.near_duplicates(frame).count() == 0 and shingles.keep_one(frame).count() == 0
