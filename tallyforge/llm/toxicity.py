@@ -25,16 +25,17 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass
 class Ratios:
     """log P(toxic) - log P(ordinary) of a character after four others: by 5-gram if one class has seen it, else by
-    context. Both are tables of fixed size, whatever the corpus; an 8-bit tag tells other n-grams of a slot apart."""
+    context. Every n-gram has its row, by a 64-bit key in sorted order."""
 
-    bits: int
-    tag: np.ndarray
+    key: np.ndarray
     value: np.ndarray
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, tag = slots(keys, self.bits)
-        hit = self.tag[slot] == tag
-        return hit, np.where(hit, self.value[slot], np.float32(0))
+        if not len(self.key):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        hit = self.key[at] == keys
+        return hit, np.where(hit, self.value[at], np.float32(0))
 
 
 @dataclass
@@ -46,10 +47,6 @@ class ToxicityModel:
     spread: list[float] = field(default_factory=lambda: [1.0] * len(FEATURES))
 
 
-def slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64), ((keys >> np.uint64(16)) & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1)
-
-
 def keys_of(codes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit key of the n characters that end at each place of codes (from place n - 1 on)."""
     out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
@@ -104,24 +101,24 @@ def backed_off(counts: DataFrame) -> DataFrame:
     return p.select(F.col("g").alias("gram4"), "p")
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = "".join(batch.column(0).to_pylist())
         n = len(text) // max(1, batch.num_rows)
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        slot, tag = slots(keys_of(codes, n)[::n] if n else np.zeros(0, np.uint64), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(tag.astype(np.int32)), batch.column(1), batch.column(2)], ["slot", "tag", "value", "n"])
+        keys = keys_of(codes, n)[::n] if n else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1).cast(pa.float32())], ["key", "value"])
 
 
-def _table(rows: DataFrame, bits: int) -> Ratios:
-    """rows: (n-gram, value, n). Of n-grams that share a slot, the most frequent has it."""
-    found = rows.mapInArrow(lambda it: _slotted(it, bits), "slot int, tag int, value double, n long").groupBy("slot").agg(F.max(F.struct("n", "tag", "value")).alias("x")).select("slot", "x.tag", "x.value").toPandas()
-    out = Ratios(bits, np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.float32))
-    out.tag[found["slot"]], out.value[found["slot"]] = found["tag"].astype(np.uint8), found["value"].astype(np.float32)
-    return out
+def _table(rows: DataFrame) -> Ratios:
+    """rows: (n-gram, value), all of which are kept: the table grows with the distinct n-grams, 12 bytes each."""
+    found = rows.mapInArrow(_keyed, "key long, value float").toArrow()
+    key, value = (found.column(c).to_numpy() for c in ("key", "value"))
+    order = np.argsort(key.view(np.uint64))
+    return Ratios(key.view(np.uint64)[order], value[order])
 
 
-def fit_language_models(rows: DataFrame, bits: int = 22) -> ToxicityModel:
+def fit_language_models(rows: DataFrame) -> ToxicityModel:
     """Both classes' models from all of (text, toxic); rows with a null label are not learned from.
 
     A class's probability is discounted at the highest order only and backs off to the shared probability. Where neither
@@ -139,9 +136,9 @@ def fit_language_models(rows: DataFrame, bits: int = 22) -> ToxicityModel:
         return F.when(F.col(f"all_{s}") > 0, F.greatest(F.col(s) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{s}")).otherwise(0.0) + left(s) * F.col("p")
 
     full = split.join(heads, "h").join(backed_off(counts).withColumnRenamed("gram4", "tail"), F.substring("gram", 2, ORDER - 1) == F.col("tail"))
-    grams = full.select("gram", F.log(given("toxic") / given("plain")).alias("value"), (F.col("toxic") + F.col("plain")).alias("n"))
-    contexts = heads.select("h", F.log(left("toxic") / left("plain")).alias("value"), (F.col("all_toxic") + F.col("all_plain")).alias("n"))
-    return ToxicityModel(_table(grams, bits), _table(contexts, bits - 2))
+    grams = full.select("gram", F.log(given("toxic") / given("plain")).alias("value"))
+    contexts = heads.select("h", F.log(left("toxic") / left("plain")).alias("value"))
+    return ToxicityModel(_table(grams), _table(contexts))
 
 
 def word_ratios(words: list[str], model: ToxicityModel) -> np.ndarray:
