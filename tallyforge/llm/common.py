@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,9 +16,11 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tallyforge-")
         shared_dir.own = place
     return f"{place.rstrip('/')}/tallyforge-{spark.sparkContext.applicationId}"
@@ -93,15 +96,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def without_ids(df: DataFrame, gone: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """df without the rows whose id is in gone (one column); a null id there takes out null ids.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): what tells a row of documents from others, also from those that share its doc_id or lack one."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    The ids are written first and go by broadcast if they are no more than `broadcast_rows`, so that the texts stay where
+
+def without_rows(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows that gone (doc_id, text_key) names, null ids included; rows equal in doc_id and text go together.
+
+    The keys are written first and go by broadcast if they are no more than `broadcast_rows`, so that the texts stay where
     they are; else both sides are shuffled.
     """
-    gone = materialise(gone.toDF("__gone").distinct(), "gone")
+    gone = materialise(gone.select("doc_id", "text_key").distinct().toDF("__gone", "__gone_text"), "gone")
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return df.join(side, df[id_col].eqNullSafe(side["__gone"]), "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(side["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == side["__gone_text"])
+    return docs.join(side, same, "left_anti")
 
 
 def per_worker(key: tuple, make):

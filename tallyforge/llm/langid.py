@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, release_memory
+from .common import keyed, per_worker, release_memory
 
 #: Scale of a character's probability in the forward sums: they stay near 1, whatever a word's length.
 PER_CHAR = 16.0
@@ -19,7 +19,7 @@ PER_CHAR = 16.0
 UNKNOWN = 1e-7
 #: Stands for the space before a word in the vocabulary.
 SPACE = "▁"
-#: Training cuts longer words here; scoring doesn't.
+#: Words from this length on are trained one by one, in logarithms.
 LONGEST_TRAINED = 48
 
 
@@ -172,6 +172,25 @@ class Lattice:
         return np.bincount(piece, share, self.size + 1)
 
 
+    def expected_long(self, word: str, count: float, chance: np.ndarray) -> np.ndarray:
+        """expected() of one word of any length, in logarithms."""
+        (size,), _, start, end, piece = self.edges([word])
+        own = np.log(chance[piece])
+        ahead, behind = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+        ahead[0] = behind[size] = 0.0
+        order = np.argsort(end, kind="stable")
+        cuts = np.searchsorted(end[order], np.arange(size + 2))
+        for e in range(1, size + 1):
+            i = order[cuts[e] : cuts[e + 1]]
+            ahead[e] = np.logaddexp.reduce(ahead[start[i]] + own[i])
+        order = np.argsort(start, kind="stable")
+        cuts = np.searchsorted(start[order], np.arange(size + 2))
+        for b in range(size - 1, -1, -1):
+            i = order[cuts[b] : cuts[b + 1]]
+            behind[b] = np.logaddexp.reduce(behind[end[i]] + own[i])
+        return np.bincount(piece, np.exp(ahead[start] + own + behind[end] - behind[0]) * count, self.size + 1)
+
+
 @dataclass
 class LanguageModel:
     """chance: (piece, language); its size is bounded by the vocabulary and the languages."""
@@ -213,13 +232,11 @@ def _expect(batches: Iterator[pa.RecordBatch], path: str, languages: list[str],
             words = list(own)
             for at in range(0, len(words), 4096):
                 part = words[at : at + 4096]
-                pieces, times = [], []
+                short = [w for w in part if len(w) < LONGEST_TRAINED]
+                sums[i] += lattice.expected([SPACE + w for w in short], np.array([own[w] for w in short], float), weights[:, i]) if short else 0
                 for w in part:
-                    n, w = own[w], SPACE + w
-                    for cut in range(0, len(w), LONGEST_TRAINED):
-                        pieces.append(w[cut : cut + LONGEST_TRAINED])
-                        times.append(n)
-                sums[i] += lattice.expected(pieces, np.array(times, float), weights[:, i])
+                    if len(w) >= LONGEST_TRAINED:
+                        sums[i] += lattice.expected_long(SPACE + w, own[w], weights[:, i])
             own.clear()
 
     for batch in batches:
@@ -268,7 +285,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered
     table = np.zeros((0, len(model.languages)))
     for batch in batches:
         lang, score = [], []
-        texts = batch.column(1)
+        texts = batch.column(batch.num_columns - 1)
         for at in range(0, batch.num_rows, 64):
             split = [words_of(x) if x and model.languages and letter.search(x) else None for x in texts.slice(at, 64).to_pylist()]
             new = list({w for words in split if words for w in words if w not in known})
@@ -299,16 +316,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, remembered
                 best = int(odds.argmax())
                 lang.append(model.languages[best])
                 score.append(float(odds[best] / odds.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
     known.clear()
     del table
     release_memory()
 
 
 def predict(docs: DataFrame, model: LanguageModel, remembered_words: int = 120_000) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of the whole text and its posterior probability.
+    """(doc_id, text_key, lang_pred, score): the likeliest language of the whole text and its posterior probability.
 
     `und` with score 0 where text is null or has no letter, or no language was learned. Ties go to the language that
     sorts first. Words are kept with their likelihoods up to `remembered_words`, then forgotten; that changes no result.
+    text_key is the hash of a row's text, which tells rows with the same doc_id apart.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _predict(it, model, remembered_words), "doc_id long, lang_pred string, score double")
+    return keyed(docs).mapInArrow(lambda it: _predict(it, model, remembered_words), "doc_id long, text_key long, lang_pred string, score double")

@@ -13,19 +13,36 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import SEPARATORS, broadcast_if_small, forget, materialise
 
 #: Bits of a word's hash that stay below its rarity class in a word's key.
 HASH_BITS = 57
 #: Words of this class and above (8: 256 lines or more share them) are looked up in pairs; the class rises with the documents.
 HOT_CLASS = 8
 THRESHOLD = Fraction(4, 5)
+#: Where a line stands, in the order of lines: row is told in identified().
+PLACE = ("doc_id", "row", "line_no")
+#: The place of the earlier line that a line is similar to.
+OF = ("of_doc", "of_row", "of_line")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): row tells rows apart that share a doc_id, by a hash of their text; it is 0 where the id is alone.
+
+    Rows that are equal in doc_id and text are one document.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = materialise(rows.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("r_doc"), F.lit(1).alias("r_many")), "shared-ids")
+    if shared.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("row"), "text")
+    joined = rows.join(broadcast_if_small(shared, 1_000_000), F.col("doc_id").eqNullSafe(F.col("r_doc")), "left")
+    return joined.select("doc_id", F.when(F.col("r_many") == 1, F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("row"), "text")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words): the lines that have a word, with their words as they come."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(spaced(F.col("text").cast("string")), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    """(doc_id, row, line_no, words): the lines of identified docs that have a word, with their words as they come."""
+    rows = docs.select("doc_id", "row", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "row", "line_no", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
 def spaced(text: Column) -> Column:
@@ -50,9 +67,9 @@ def rarity(docs: DataFrame, bits: int | None = None) -> tuple[bytes, int]:
     """
     if bits is None:
         bits = min(22, max(12, math.ceil(math.log2(docs.count() + 1)) + 2))
-    lines = lines_of(docs)
+    words = docs.select(F.explode(F.split(F.translate(F.col("text"), SEPARATORS[1:], " " * 5), " ")).alias("w")).filter("w != ''")
     block = 1 << (bits // 2)
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
     levels = counts.select("slot", F.least(F.floor(F.log2("n")), F.lit(31)).cast("int").alias("level")).filter("level > 0")
     letter = F.struct((F.col("slot") % block).cast("int").alias("at"), F.col("level").cast("tinyint").alias("level"))
     packed = levels.groupBy(F.expr(f"slot div {block}").alias("block")).agg(F.collect_list(letter).alias("own"))
@@ -77,17 +94,17 @@ def keys_of(words: Column, table: bytes, bits: int) -> Column:
 
 
 def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> DataFrame:
-    """(doc_id, line_no, h1, h2, n, parity, prefix): what the join needs of each line."""
+    """(doc_id, row, line_no, h1, h2, n, parity, prefix): what the join needs of each line."""
     a, b = least.numerator, least.denominator
-    rows = lines.select("doc_id", "line_no", keys_of(F.col("words"), table, bits).alias("keys"))
+    rows = lines.select(*PLACE, keys_of(F.col("words"), table, bits).alias("keys"))
     n = F.size("keys")
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     size = F.expr(f"size(keys) - ({a} * size(keys) + {b - 1}) div {b} + 2").cast("int")
-    return rows.select("doc_id", "line_no", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
+    return rows.select(*PLACE, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
 
 
 def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
-    """(key, doc_id, line_no, n, pos, parity): where to look a set up.
+    """(key, place, n, pos, parity): where to look a set up.
 
     By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
     word that two similar sets share is hot, so is the second, and both stand there; they share two, as sets that share one
@@ -101,119 +118,158 @@ def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
     pairs = "flatten(transform(sequence(cold + 1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), j -> named_struct('key', xxhash64(element_at(prefix, i), element_at(prefix, j)), 'pos', i - 1))))"
     none = "cast(array() as array<struct<key: bigint, pos: int>>)"
     entry = F.expr(f"concat(if(least(p, cold) > 0, {singles}, {none}), if(size(prefix) - cold > 1, {pairs}, {none}))")
-    return out.select("doc_id", "line_no", "n", "parity", F.explode(entry).alias("e")).select("e.key", "doc_id", "line_no", "n", "e.pos", "parity")
+    return out.select(*PLACE, "n", "parity", F.explode(entry).alias("e")).select("e.key", *PLACE, "n", "e.pos", "parity")
+
+
+def _alike(x: str, y: str, least: Fraction) -> Column:
+    """Whether sets x and y can be similar by sizes and parities: words that one of them lacks flip a bit of the parity each."""
+    a, b = least.numerator, least.denominator
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = (b * nx >= a * ny) & (b * ny >= a * nx)
+    return sizes & ((a + b) * F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= (b - a) * (nx + ny))
 
 
 def may_match(x: str, y: str, least: Fraction) -> Column:
     """Whether set x of a posting comes before set y and can be similar: by sizes, places of the shared word and parities."""
     a, b = least.numerator, least.denominator
     nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-    both = nx + ny
-    earlier = F.struct(f"{x}.doc_id", f"{x}.line_no") < F.struct(f"{y}.doc_id", f"{y}.line_no")
-    sizes = (b * nx >= a * ny) & (b * ny >= a * nx)
-    places = (a + b) * F.least(nx - px, ny - py) >= a * both
-    parities = (a + b) * F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= (b - a) * both
-    return sizes & places & parities & earlier
+    earlier = F.struct(*(f"{x}.{c}" for c in PLACE)) < F.struct(*(f"{y}.{c}" for c in PLACE))
+    return _alike(x, y, least) & ((a + b) * F.least(nx - px, ny - py) >= a * (nx + ny)) & earlier
+
+
+def at_place(doc: str, row: str, line: str, other: tuple[str, str, str] = PLACE) -> Column:
+    """Equality of two places whose columns have different names."""
+    return F.col(other[0]).eqNullSafe(F.col(doc)) & (F.col(other[1]) == F.col(row)) & (F.col(other[2]) == F.col(line))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows: int) -> DataFrame:
-    """Of pairs (doc_id, line_no, of_doc, of_line) those whose sets of words, made anew from the texts, are similar.
+    """Of pairs (place, place of the earlier line, ...) those whose sets of words, made anew from the texts, are similar; one for each line.
 
     The lines are looked up in the texts by broadcast if a count shows no more than `broadcast_rows`, else by a join.
     """
     a, b = least.numerator, least.denominator
-    wanted = materialise(pairs.select("doc_id", "line_no").union(pairs.select("of_doc", "of_line")).distinct(), "wanted")
-    side = wanted.select(F.col("doc_id").alias("w_doc"), F.col("line_no").alias("w_line"))
+    wanted = materialise(pairs.select(*PLACE).union(pairs.select(*OF)).distinct(), "wanted")
+    side = wanted.toDF("w_doc", "w_row", "w_line")
     few = wanted.count() <= broadcast_rows
     side = F.broadcast(side) if few else side
-    own = wanted.select(F.col("doc_id").alias("d_doc")).distinct()
+    own = wanted.select(F.col("doc_id").alias("d_doc"), F.col("row").alias("d_row")).distinct()
     own = F.broadcast(own) if few else own
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")), "left_semi")
-    rows = rows.select("doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
-    rows = rows.join(side, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("line_no") == F.col("w_line")), "left_semi").dropDuplicates(["doc_id", "line_no"])
-    words = F.array_distinct(words_of(F.col("line")))
-    sets = materialise(rows.select("doc_id", "line_no", words.alias("words")), "sets")
-    left = sets.select(F.col("doc_id").alias("l_doc"), F.col("line_no").alias("l_line"), F.col("words").alias("l_words"))
-    right = sets.select(F.col("doc_id").alias("r_doc"), F.col("line_no").alias("r_line"), F.col("words").alias("r_words"))
-    both = pairs.join(left, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("line_no") == F.col("l_line"))).join(right, F.col("of_doc").eqNullSafe(F.col("r_doc")) & (F.col("of_line") == F.col("r_line")))
+    rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.col("row") == F.col("d_row")), "left_semi")
+    rows = rows.select("doc_id", "row", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    rows = rows.join(side, at_place("w_doc", "w_row", "w_line"), "left_semi")
+    sets = materialise(rows.select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words")).dropDuplicates(PLACE), "sets")
+    left, right = sets.toDF("l_doc", "l_row", "l_line", "l_words"), sets.toDF("r_doc", "r_row", "r_line", "r_words")
+    both = pairs.join(left, at_place("l_doc", "l_row", "l_line")).join(right, at_place("r_doc", "r_row", "r_line", OF))
     shared = F.size(F.array_intersect("l_words", "r_words"))
-    return both.filter((a + b) * shared >= a * (F.size("l_words") + F.size("r_words"))).select("doc_id", "line_no", "of_doc", "of_line")
+    found = both.filter((a + b) * shared >= a * (F.size("l_words") + F.size("r_words")))
+    out = materialise(found.groupBy(*PLACE).agg(F.min(F.struct(*OF, "n", "parity")).alias("x")).select(*PLACE, "x.*"), "settled")
+    forget(wanted)
+    forget(sets)
+    return out
+
+
+def without(rows: DataFrame, settled: DataFrame, broadcast_rows: int) -> DataFrame:
+    done = settled.select(*PLACE).toDF("s_doc", "s_row", "s_line")
+    done = F.broadcast(done) if settled.count() <= broadcast_rows else done
+    return rows.join(done, at_place("s_doc", "s_row", "s_line"), "left_anti")
 
 
 def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, line_no, of_doc, of_line): sets that an earlier set is similar to, with one such set.
+    """(place, place of an earlier line): sets that an earlier set is similar to, with one such set.
 
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
-    its key only; sets that this settles look no further, and only the others meet all earlier sets that share a key.
+    its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
+    for variants is the line that they all vary. Only what is left meets all earlier sets that share a key.
     """
     hot_class = max(HOT_CLASS, round(math.log2(docs.count() + 1)) - 8)
+    of_key = Window.partitionBy("key")
     own = postings(sets, least, hot_class).repartition("key")
-    head = F.min(F.struct("doc_id", "line_no", "n", "pos", "parity")).over(Window.partitionBy("key"))
-    near = own.withColumn("x", head).select(F.struct("doc_id", "line_no", "n", "pos", "parity").alias("y"), "x")
-    columns = [F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("x.doc_id").alias("of_doc"), F.col("x.line_no").alias("of_line")]
-    first = materialise(near.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
-    settled = materialise(_one(verified(first, docs, least, broadcast_rows)), "settled")
-    done = settled.select(F.col("doc_id").alias("s_doc"), F.col("line_no").alias("s_line"))
-    done = F.broadcast(done) if settled.count() <= broadcast_rows else done
-    own = postings(sets, least, hot_class).repartition("key")
-    rest = own.join(done, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line")), "left_anti").alias("y").join(own.alias("x"), F.col("y.key") == F.col("x.key"))
-    second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
-    second = second.join(first, ["doc_id", "line_no", "of_doc", "of_line"], "left_anti")
-    return settled.unionByName(_one(verified(second, docs, least, broadcast_rows)))
-
-
-def _one(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("doc_id", "line_no").agg(F.min(F.struct("of_doc", "of_line")).alias("x")).select("doc_id", "line_no", "x.*")
+    head = F.min(F.struct(*PLACE, "n", "pos", "parity")).over(of_key)
+    crowded = materialise(own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1"), "crowded")
+    rows = crowded.select(F.struct(*PLACE, "n", "pos", "parity").alias("y"), "x")
+    of = [F.col(f"x.{c}").alias(name) for c, name in zip(PLACE, OF)]
+    place = [F.col(f"y.{c}").alias(c) for c in PLACE]
+    first = materialise(rows.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.parity").distinct(), "candidates")
+    settled = verified(first, docs, least, broadcast_rows)
+
+    of_head = settled.select(*(F.col(c).alias(f"h_{c}") for c in PLACE), F.struct(*(F.col(o).alias(c) for o, c in zip(OF, PLACE)), "n", "parity").alias("z"))
+    of_head = F.broadcast(of_head) if settled.count() <= broadcast_rows else of_head
+    heads = without(crowded, settled, broadcast_rows).select(F.struct(*PLACE, "n", "parity").alias("y"), "x.doc_id", "x.row", "x.line_no")
+    through = heads.join(of_head, at_place("h_doc_id", "h_row", "h_line_no")).filter(_alike("z", "y", least))
+    through = through.select(*place, *(F.col(f"z.{c}").alias(name) for c, name in zip(PLACE, OF)), "z.n", "z.parity").distinct()
+    through = materialise(through, "candidates")
+    more = verified(through, docs, least, broadcast_rows)
+
+    settled = materialise(settled.union(more), "settled")
+    several = crowded.filter("times > 2").drop("x", "times")
+    rest = without(several, settled, broadcast_rows).alias("y").join(several.alias("x"), F.col("y.key") == F.col("x.key"))
+    second = materialise(rest.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.parity").distinct(), "candidates")
+    forget(crowded)
+    last = verified(second, docs, least, broadcast_rows)
+    return settled.union(last).select(*PLACE, *OF)
 
 
 def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, line_no, of_doc, of_line): the lines of docs (doc_id, text) to remove, each with an earlier similar line.
+    """(doc_id, row, line_no, of_doc, of_row, of_line): the lines of identified docs to remove, each with an earlier similar line.
 
     Lines are the parts of a text between \\n, counted from 0, words the runs of [^\\x20\\x09-\\x0D]; a line without words is
     never removed, so a null or empty text loses nothing. least: over 1/2. A null doc_id comes before all others. Rows
-    that repeat a doc_id are one document whose equal places are ties: of equal lines there, none goes for another.
-    Words are compared by 57 bits of a hash to find pairs, and as they are to confirm them.
+    that share a doc_id, or lack one, come in the order of a hash of their texts. Rows equal in both are one document whose
+    equal places are ties: none goes for another. Words are compared by 57 bits of a hash to find pairs, and as they are
+    to confirm them.
     """
     if not Fraction(1, 2) < least <= 1:
         raise ValueError("the threshold must be over 1/2")
     lines = lines_of(docs)
     table, bits = rarity(docs)
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
-    head = F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("x")
+    head = F.min(F.struct(*PLACE, "n", "parity", "prefix")).alias("x")
     sets = materialise(keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*"), "sets")
-    places = materialise(keyed.select("doc_id", "line_no", "h1", "h2"), "places")
+    places = materialise(keyed.select(*PLACE, "h1", "h2"), "places")
     forget(keyed)
     similar = materialise(similar_sets(sets, docs, least, broadcast_rows), "similar")
-    heads = sets.select("h1", "h2", "times", F.col("doc_id").alias("s_doc"), F.col("line_no").alias("s_line"))
-    matched = similar.select(F.col("doc_id").alias("m_doc"), F.col("line_no").alias("m_line"), "of_doc", "of_line")
-    marked = heads.join(matched, F.col("s_doc").eqNullSafe(F.col("m_doc")) & (F.col("s_line") == F.col("m_line")), "left").filter("times > 1 or of_line is not null")
-    marked = marked.select("h1", "h2", "s_doc", "s_line", "of_doc", "of_line")
+    heads = sets.select("h1", "h2", "times", *(F.col(c).alias(f"s_{c}") for c in PLACE))
+    matched = similar.toDF("m_doc", "m_row", "m_line", *OF)
+    marked = heads.join(matched, at_place("m_doc", "m_row", "m_line", ("s_doc_id", "s_row", "s_line_no")), "left").filter("times > 1 or of_line is not null")
+    marked = marked.select("h1", "h2", *(f"s_{c}" for c in PLACE), *OF)
     found = places.join(marked, ["h1", "h2"])
-    is_head = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("line_no") == F.col("s_line"))
-    gone = found.filter(~is_head | F.col("of_line").isNotNull())
-    of = F.when(F.col("of_line").isNotNull(), F.struct(F.col("of_doc"), F.col("of_line"))).otherwise(F.struct(F.col("s_doc").alias("of_doc"), F.col("s_line").alias("of_line")))
-    return gone.select("doc_id", "line_no", of.alias("of")).select("doc_id", "line_no", "of.*").distinct()
+    gone = found.filter(~at_place("s_doc_id", "s_row", "s_line_no") | F.col("of_line").isNotNull())
+    of = F.when(F.col("of_line").isNotNull(), F.struct(*OF)).otherwise(F.struct(*(F.col(f"s_{c}").alias(o) for c, o in zip(PLACE, OF))))
+    gone = materialise(gone.select(*PLACE, of.alias("of")).select(*PLACE, "of.*").distinct(), "repeated")
+    for done in (sets, places, similar):
+        forget(done)
+    return gone
 
 
 def removals(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed_lines, matches): a row for each row of docs; arrays in line order, empty where nothing goes."""
-    gone = repeated_lines(docs, least, broadcast_rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "of_doc", "of_line"))).alias("matches"))
-    gone = materialise(gone.withColumnRenamed("doc_id", "g_doc"), "gone")
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines"))
+    """(doc_id, n_lines, n_removed, removed_lines, matched_docs, matched_lines): a row for each row of docs; arrays in line order, empty where nothing goes."""
+    rows = identified(docs)
+    gone = repeated_lines(rows, least, broadcast_rows).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("line_no", "of_doc", "of_line"))).alias("matches"))
+    gone = gone.withColumnsRenamed({"doc_id": "g_doc", "row": "g_row"})
+    counts = rows.select("doc_id", "row", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     none = F.expr("cast(array() as array<struct<line_no: int, of_doc: bigint, of_line: int>>)")
-    out = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")), "left").withColumn("matches", F.coalesce("matches", none))
+    out = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("row") == F.col("g_row")), "left").withColumn("matches", F.coalesce("matches", none))
     return out.select("doc_id", "n_lines", F.size("matches").alias("n_removed"), F.transform("matches", lambda m: m["line_no"]).alias("removed_lines"), F.transform("matches", lambda m: m["of_doc"]).alias("matched_docs"), F.transform("matches", lambda m: m["of_line"]).alias("matched_lines"))
 
 
+def kept_lines(text: Column, removed: Column) -> Column:
+    """text without the lines numbered in removed, in time linear in both: the parts are cut once, outside the inner lambda."""
+    parts = F.split(text, "\n")
+    whole = F.array(F.struct(parts.alias("parts"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed).alias("stay")))
+    return F.transform(whole, lambda s: F.array_join(F.transform(s["stay"], lambda i: F.get(s["parts"], i)), "\n"))[0]
+
+
 def dedup(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
     """docs with the repeated lines taken out of text; every document stays, maybe with an empty text. n_chars, if there, follows the text."""
-    doc, removed = (f"__{x}_{len(docs.columns)}{max(docs.columns, key=len)}" for x in ("doc", "removed"))  # longer than any name of docs
-    gone = repeated_lines(docs, least, broadcast_rows).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("line_no").alias(removed))
+    doc, row, removed = (f"__{x}_{len(docs.columns)}{max(docs.columns, key=len)}" for x in ("doc", "row", "removed"))  # longer than any name of docs
+    rows = identified(docs)
+    gone = repeated_lines(rows, least, broadcast_rows).groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_list("line_no").alias(removed))
     gone = materialise(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    joined = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
-    numbered = F.transform(F.split(F.col("text"), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(removed, x["i"])), lambda x: x["line"]), "\n")
+    # a row number other than 0 stands for the hash of the text
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & ((F.col(row) == 0) | (F.col(row) == F.xxhash64(F.col("text").cast("string"))))
+    lines_gone = gone.agg(F.coalesce(F.sum(F.size(removed)), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(gone) if lines_gone <= 4 * broadcast_rows and gone.count() <= broadcast_rows else gone, at, "left")
+    kept = kept_lines(F.col("text"), F.col(removed))
     out = joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

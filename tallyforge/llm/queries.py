@@ -57,11 +57,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_set_join_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removals(table(spark, sf_dir, "documents"))
+    """Each document's removed lines, by number; which earlier line each matches is the operator's to say."""
+    return lines.removals(table(spark, sf_dir, "documents")).drop("matched_docs", "matched_lines")
 
 
 def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, coverage=0.5).drop("text_key")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

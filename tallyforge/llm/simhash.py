@@ -1,15 +1,20 @@
-"""SimHash near-duplicates by anchor points: the codewords of a Hamming code cover the fingerprints."""
+"""SimHash near-duplicates by anchor points: the codewords of a Hamming code cover the fingerprints.
+
+near_duplicates() links fingerprints of shingles within a few bits. similar_documents() takes anchors of a wider fingerprint
+of the words as candidates and confirms them by the Jaccard similarity of whole sets of shingles.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without_ids
+from .common import broadcast_if_small, forget, keyed, materialise, release_memory, without_rows
 from .components import connected_components
 
 #: Links join fingerprints that differ in so many of 64 bits at most. Two halves of 32 bits then have one that differs in
@@ -54,20 +59,26 @@ def syndrome(half: Column) -> Column:
     return out
 
 
-def anchored(prints: DataFrame) -> DataFrame:
-    """(anchor, bits): each distinct fingerprint at every anchor within covering radius plus threshold.
+def halves_of(*bits: str) -> Column:
+    """The 31 covered bits of each half of 64-bit columns."""
+    return F.array(*(x for c in bits for x in (F.col(c).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")))))
+
 
-    Anchors are the 2^26 codewords of the perfect (31,26) Hamming code, for each half of a fingerprint. The covering
-    radius is 1 and halves within the threshold of 1 are sought, so a fingerprint goes to each codeword within 2 of it:
-    with syndrome s, flipping places i and i xor s gives a codeword, for each i < i xor s (place 0: no flip), 16 in all;
-    a codeword is alone within 2. The 32nd bit of a half is not covered: it can't put halves within 1 further apart.
+def anchored(prints: DataFrame, *bits: str) -> DataFrame:
+    """prints with a column anchor: each row at every anchor near a half of its fingerprint, the 64-bit columns `bits`.
+
+    Anchors are the 2^26 codewords of the perfect (31,26) Hamming code, for each half by its number. The covering radius is
+    1 and halves within the threshold of 1 are sought, so a half goes to each codeword within 2 of it: with syndrome s,
+    flipping places i and i xor s gives a codeword, for each i < i xor s (place 0: no flip), 16 in all; a codeword is
+    alone within 2. The 32nd bit of a half is not covered: it can't put halves within 1 further apart. Halves two bits apart
+    meet as well, at the codeword next to a word between them.
     """
-    halves = prints.select("bits", F.posexplode(F.array(F.col("bits").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), F.shiftrightunsigned("bits", 32).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")))).alias("side", "half"))
-    flip = "shiftright(shiftleft(1L, i), 1)"
-    pair = "shiftright(shiftleft(1L, i ^ s), 1)"
-    spread = halves.withColumn("s", syndrome(F.col("half"))).withColumn("i", F.explode(F.expr("if(s = 0, array(0), sequence(0, 31))"))).filter("s = 0 or i < (i ^ s)")
-    code = F.expr(f"if(s = 0, half, half ^ {flip} ^ {pair})")
-    return spread.select((code * 2 + F.col("side")).alias("anchor"), "bits")
+    halves = prints.select("*", F.posexplode(halves_of(*bits)).alias("__side", "__half"))
+    flip = "shiftright(shiftleft(1L, __i), 1)"
+    pair = "shiftright(shiftleft(1L, __i ^ __s), 1)"
+    spread = halves.withColumn("__s", syndrome(F.col("__half"))).withColumn("__i", F.explode(F.expr("if(__s = 0, array(0), sequence(0, 31))"))).filter("__s = 0 or __i < (__i ^ __s)")
+    code = F.expr(f"if(__s = 0, __half, __half ^ {flip} ^ {pair})")
+    return spread.select((code * (2 * len(bits)) + F.col("__side")).alias("anchor"), *prints.columns)
 
 
 def _merge(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -146,7 +157,7 @@ def linked_prints(prints: DataFrame, limit: int = THRESHOLD) -> DataFrame:
     """
     if not 0 <= limit <= THRESHOLD:
         raise ValueError(f"the anchors cover 0 to {THRESHOLD} differing bits")
-    rows = anchored(prints).repartition("anchor").sortWithinPartitions("anchor")
+    rows = anchored(prints.select("bits"), "bits").repartition("anchor").sortWithinPartitions("anchor")
     return rows.mapInArrow(lambda it: _compare(it, limit), "a long, b long")
 
 
@@ -166,10 +177,165 @@ def near_duplicates(docs: DataFrame, k: int = 3, limit: int = THRESHOLD) -> Data
     return prints.join(named, "bits").select("doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 5, limit: int = THRESHOLD) -> DataFrame:
-    """The documents without the later members of each group; the one with the smallest doc_id stays.
+# documents by confirmed similarity
+
+#: Bits of 128 in which fingerprints of words may differ to be compared by shingles. One word in 45 changed, which leaves a
+#: Jaccard similarity of about 0.8 of five-word shingles, changes about 9 bits; unrelated texts differ in 40 and more.
+NEAR = 24
+#: Groups of an anchor up to this size are compared at once, larger ones by way of their middle first.
+SMALL = 16
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the k-word shingles of the A-Z lower-cased text. Fewer words make one shingle, none an empty set."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[j:] for j in range(k)))) if len(words) >= k else (b" ".join(words),)
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A number for the sequence of words, and 128 bits: each 1 if set in over half the XXH3 of the distinct words."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    for batch in batches:
+        node, out = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, 16), np.uint8)
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            words = (text or "").encode().lower().split()
+            node[i] = xxh64_intdigest(b" ".join(words), 42)
+            h = np.frombuffer(b"".join(map(xxh3_128_digest, set(words))), np.uint8).reshape(-1, 16)
+            votes = np.zeros(128, np.int64)
+            for at in range(0, len(h), 65536):
+                votes += np.unpackbits(h[at : at + 65536], axis=1).sum(0, dtype=np.int64)
+            out[i] = np.packbits(2 * votes > len(h))
+        left, right = (np.ascontiguousarray(out[:, 8 * j : 8 * j + 8]).view(np.int64)[:, 0] for j in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(left), pa.array(right)], ["doc_id", "text_key", "node", "left", "right"])
+    release_memory()
+
 
-    Needs doc_ids that are unique: of rows with an equal doc_id all stay or go. Rows without a doc_id stay.
+def _pairs_of(group: np.ndarray, limit: int, across: bool, block: int = 1024) -> Iterator[np.ndarray]:
+    """Rows (a, b) of nodes of one anchor's rows (node, left, right, label) that may be similar.
+
+    A large group is first compared with its middle only, the member nearest to the majority of each bit. With `across`, all
+    pairs with different labels are compared, in blocks.
+    """
+    prints = group[:, 1:3].view(np.uint64)
+    if across or len(group) <= SMALL:
+        for i in range(0, len(group), block):
+            for j in range(0, i + 1, block):
+                x, y = slice(i, i + block), slice(j, j + block)
+                apart = group[x, 3][:, None] != group[y, 3][None, :]
+                if not apart.any():
+                    continue
+                far = np.bitwise_count(prints[x, 0][:, None] ^ prints[y, 0][None, :]).astype(np.int16) + np.bitwise_count(prints[x, 1][:, None] ^ prints[y, 1][None, :])
+                a, b = np.nonzero((far <= limit) & apart)
+                yield np.stack([group[x, 0][a], group[y, 0][b]], 1)
+        return
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(group), 16), axis=1)
+    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(group)).view(np.uint64)
+    at = int(np.bitwise_count(prints ^ middle).sum(1).argmin())
+    near = np.bitwise_count(prints ^ prints[at]).sum(1) <= limit
+    yield np.stack([np.full(int(near.sum()), group[at, 0]), group[near, 0]], 1)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], limit: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of nodes, and (anchor, null) for each large group; rows come sorted by anchor and may go on in the next batch."""
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(rows)]
+        out, large = [np.zeros((0, 2), np.int64)], []
+        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            out += _pairs_of(rows[s:e, 1:], limit, across)
+            if e - s > SMALL:
+                large.append(rows[s, 0])
+        pairs = np.concatenate(out)
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[:, 0], np.array(large, np.int64)]), pa.array([*pairs[:, 1].tolist(), *[None] * len(large)], pa.int64())], ["a", "b"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        held.append(rows)
+        if rows[0, 0] == rows[-1, 0] == held[0][0, 0]:
+            continue
+        rows = np.concatenate(held)
+        last = np.searchsorted(rows[:, 0], rows[-1, 0])
+        if last:
+            yield from found(rows[:last])
+        held = [rows[last:]]
+    if held:
+        yield from found(np.concatenate(held))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            own = [shingle_set(x, k) for x in batch.column(1).slice(at, 256).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), lists], ["node", "own"])
+    release_memory()
+
+
+def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose whole sets of shingles are similar. heads: (node, first_id, text_key)."""
+    a, b = least.numerator, least.denominator
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = materialise(heads.join(wanted, "node", "left_semi"), "wanted").toDF("node", "w_id", "w_key")
+    rows = broadcast_if_small(rows, 1_000_000)
+    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["w_id"]) & (docs["text_key"] == rows["w_key"])).select("node", "text")
+    sets = materialise(texts.mapInArrow(lambda it: _sets(it, k), "node long, own array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    out = materialise(both.filter((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    forget(sets)
+    return out
+
+
+def similar_documents(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), limit: int = NEAR) -> DataFrame:
+    """(doc_id, text_key, component_id): the smallest doc_id that can be reached by links of a Jaccard similarity of `least`
+    or more between whole sets of k-word shingles. text_key is the hash of a row's text. Texts with equal words are linked,
+    those without words among them.
+
+    Fingerprints are of the distinct words, for changed words move these far less than shingles. Documents that meet at an
+    anchor of one of four 32-bit parts and differ in `limit` of 128 bits at most are compared by shingles. Similar documents
+    all of whose parts differ in three bits or more may be missed. A large group of an anchor is first linked to its middle;
+    then only members that this hasn't joined meet. A null doc_id counts as larger than all others.
+    """
+    docs = keyed(docs)
+    prints = materialise(docs.mapInArrow(_word_prints, "doc_id long, text_key long, node long, left long, right long"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")
+    nodes = materialise(prints.groupBy("node").agg(first, F.first("left").alias("left"), F.first("right").alias("right")).select("node", "x.doc_id", "x.text_key", "left", "right"), "distinct")
+    heads = nodes.select("node", F.col("doc_id").alias("first_id"), "text_key")
+
+    def found(rows: DataFrame, across: bool) -> DataFrame:
+        return materialise(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _candidates(it, limit, across), "a long, b long").distinct(), "candidates")
+
+    at_anchors = anchored(nodes.select("node", "left", "right", F.col("node").alias("label")), "left", "right")
+    tried = found(at_anchors, False)
+    links = _confirmed(tried.filter("b is not null"), heads, docs, k, least)
+    large = tried.filter("b is null").select(F.col("a").alias("anchor"))
+    if not large.isEmpty():
+        label = connected_components(links)
+        named = nodes.join(label, "node", "left").select("node", "left", "right", F.coalesce("component", "node").alias("label"))
+        open_ = anchored(named, "left", "right").join(broadcast_if_small(large, 1_000_000), "anchor", "left_semi")
+        others = found(open_, True).filter("b is not null").join(tried.filter("b is not null"), ["a", "b"], "left_anti")
+        links = links.union(_confirmed(materialise(others, "candidates"), heads, docs, k, least))
+    named = heads.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialise(named, "labelled")
+    least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return prints.select("doc_id", "text_key", "node").join(named.join(least_id, "component").select("node", "component_id"), "node").select("doc_id", "text_key", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), limit: int = NEAR) -> DataFrame:
+    """The documents without the later members of each group of similar_documents(); the one with the smallest doc_id stays.
+
+    Rows that share the smallest doc_id all stay, and so do rows without a doc_id.
     """
-    found = near_duplicates(docs, k, limit)
-    return without_ids(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    found = similar_documents(docs, k, least, limit)
+    return without_rows(docs, found.filter(F.col("doc_id") != F.col("component_id")))
