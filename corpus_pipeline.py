@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, langid, lines, packing, shingles
-from tallyforge.llm.common import materialise, table, third, without_ids
+from tallyforge.llm import decontamination, langid, lines, packing, simhash
+from tallyforge.llm.common import materialise, table, third, without_rows
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     probability. The declared language is what is learned from; it decides on no document."""
     model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
     rejected = langid.predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5))
-    return without_ids(docs, rejected.select("doc_id"))
+    return without_rows(docs, rejected)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of a Jaccard similarity of 0.8 or more stays, the one with the smallest doc_id."""
-    return shingles.keep_one(docs, k=5, least=shingles.THRESHOLD)
+    return simhash.keep_one(docs, k=5, least=Fraction(4, 5))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
