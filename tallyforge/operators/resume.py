@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.rewriting import polished
+from ..functions.rewriting import RESUME, parsed_resumes, polished
 from ..functions.scalars import joined, norm_key
 
 SECTIONS = ["summary", "experience", "projects", "skills", "education", "certifications"]
@@ -45,7 +48,7 @@ def cleaned(skills: Column) -> Column:
 def polish(df: DataFrame, record: str, key: str) -> DataFrame:
     """(key, job, pos, bullet, changed): each job's bullets polished; of those that say the same the first stays."""
     rows = df.select(key, F.posexplode(f"{record}.experience").alias("job", "e")).select(key, "job", F.posexplode(F.filter("e.bullets", lambda b: F.trim(b) != "")).alias("pos", "raw"))
-    rows = rows.withColumn("bullet", polished("raw")).withColumn("__k", norm_key(F.col("bullet"))).filter("__k <> ''")
+    rows = rows.withColumn("bullet", polished(F.col("raw"))).withColumn("__k", norm_key(F.col("bullet"))).filter("__k <> ''")
     row = F.struct("pos", "bullet", (norm_key(F.col("raw")) != F.col("__k")).alias("changed"))
     return rows.groupBy(key, "job", "__k").agg(F.min(row).alias("x")).select(key, "job", "x.*")
 
@@ -97,25 +100,61 @@ def broken(space: float, full: float):
     return run
 
 
-def structured(df: DataFrame, text: str, call=None, name: str = "record", schema: T.StructType | None = None) -> DataFrame:
-    """Add a record from an outside model: call takes a text and gives a dict or None, tried twice; rules fill in where it gives none. Without a call the rules do it all."""
-    from ..functions.rewriting import RESUME, parse_resume
+class Unavailable(Exception):
+    """What a provider raises when it can't answer now."""
+
+
+def asked(providers: list, kind: str, needed: list[str], attempts: int = 2, failures: int = 3, rest: int = 20):
+    """UDF: text -> struct of `kind`, or null where no provider gives one.
+
+    A provider is called with (text, problem) and returns a dict. An answer that lacks a `needed` field is sent back once
+    with the problem named. A provider that raises Unavailable is tried `attempts` times; the next one then takes over, and
+    after `failures` such texts in a row it rests for `rest` texts of its task. Other exceptions are faults and end the job.
+    """
+    names = [f.name for f in _parse_datatype_string(kind).fields]
 
-    kind = schema or RESUME
+    def answer(provider, text: str) -> dict | None:
+        problem = None
+        for _ in range(2):
+            got = provider(text, problem)
+            missing = [n for n in needed if not (got or {}).get(n)]
+            if not missing:
+                return {n: got.get(n) for n in names}
+            problem = "missing: " + ", ".join(missing)
+        return None
 
     @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            got = None
-            for _ in range(2 if call else 0):
-                try:
-                    got = call(t)
-                except Exception:  # noqa: BLE001  any fault of an outside service counts as no answer
-                    got = None
-                if got:
-                    break
-            rows.append(got or parse_resume(t or ""))
-        return pd.DataFrame(rows, columns=kind.names)
-
-    return df.withColumn(name, run(text))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        failed, resting = [0] * len(providers), [0] * len(providers)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                got = None
+                for i, provider in enumerate(providers):
+                    if resting[i]:
+                        resting[i] -= 1
+                        continue
+                    for _ in range(attempts):
+                        try:
+                            got, failed[i] = answer(provider, text or ""), 0
+                            break
+                        except Unavailable:
+                            failed[i] += 1
+                    if failed[i] >= failures * attempts:
+                        failed[i], resting[i] = 0, rest
+                    if got:
+                        break
+                rows.append(got or dict.fromkeys(names))
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def structured(df: DataFrame, text: str, key: str, providers: list | None = None, needed: list[str] | None = None, name: str = "record") -> DataFrame:
+    """Add a record (RESUME): from outside models where one answers, else from the rules. Without providers the rules do it all."""
+    ruled = parsed_resumes(df, text, key, name)
+    if not providers:
+        return ruled
+    needed = needed or ["name"]
+    told = ruled.withColumn("__told", asked(providers, RESUME, needed)(F.col(text)))
+    return told.withColumn(name, F.when(F.col("__told")[needed[0]].isNotNull(), F.col("__told")).otherwise(F.col(name))).drop("__told")

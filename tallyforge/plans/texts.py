@@ -112,25 +112,44 @@ def first_five_named(spark, sf):
     return table(spark, sf, "documents").filter("text <> '' and doc_id % 7 = 3").orderBy("doc_id").limit(5).select("doc_id", "text")
 
 
-@query()
-def sentence_split(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.sentences("text").alias("sentences"))
+#: DuckDB: the sentences of {text} on one line. Ends are marked by chr(1), then unmarked after abbreviations, which may follow each other.
+_MARKED = r"""regexp_replace(trim(regexp_replace({text}, '\s+', ' ', 'g')), '([.!?]["'')\]”]?) (["''(“]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g')"""
+_SHORTENED = r"""'((?:^|[\s(\x01])(?:v|vs|Inc|Co|Corp|Ltd|LLC|No|Nos|St|Mr|Mrs|Ms|Dr|Jr|Sr|Cal|App|Cir|Ct|Supp|Dist|Div|Dept|Ass''n|Bros|Gen|Stat|Ann|Rev|Sec|Art|al|e\.g|i\.e|U\.S|N\.Y|[A-Z])\.)\x01', '\1 ', 'g'"""
+_SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(" + _MARKED + f", {_SHORTENED}), {_SHORTENED}), {_SHORTENED}), chr(1)), lambda s: s <> '')"
+_COUNT = r"len(list_filter(string_split({text}, ' '), lambda w: regexp_matches(w, '[A-Za-z0-9]')))"
+_HAY = r"""' ' || trim(regexp_replace(regexp_replace(replace(lower(text), '’', chr(39)), '[^a-z0-9§''\s-]', ' ', 'g'), '\s+', ' ', 'g')) || ' '"""
 
 
-@query()
+@query(f"SELECT doc_id, {_SENTENCES.format(text='text')} AS sentences FROM documents")
+def sentence_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", P.sentences(F.col("text")).alias("sentences"))
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    s AS (SELECT doc_id, unnest(list_zip(l, range(len(l)))) AS x FROM (SELECT doc_id, {_SENTENCES.format(text='t')} AS l FROM t)),
+    c AS (SELECT doc_id, x[1] AS s, x[2] AS i, sum({_COUNT.format(text='x[1]')}) OVER (PARTITION BY doc_id ORDER BY x[2]) AS n FROM s),
+    k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) FILTER (n <= 150) AS whole, max(n) FILTER (n <= 150) AS n FROM c GROUP BY 1),
+    w AS (SELECT doc_id, unnest(list_zip(l, range(len(l)))) AS x FROM (SELECT doc_id, string_split(t, ' ') AS l FROM t)),
+    d AS (SELECT doc_id, x[1] AS w, x[2] AS i, sum(regexp_matches(x[1], '[A-Za-z0-9]')::INT) OVER (PARTITION BY doc_id ORDER BY x[2]) AS n FROM w),
+    cut AS (SELECT doc_id, regexp_replace(string_agg(w, ' ' ORDER BY i) FILTER (n <= 150), '[,;:–—-]+$', '') || '…' AS cut FROM d GROUP BY 1)
+    SELECT t.doc_id, CASE WHEN {_COUNT.format(text='t')} <= 150 THEN t WHEN k.n >= 100 THEN whole ELSE cut END AS summary
+    FROM t LEFT JOIN k USING (doc_id) LEFT JOIN cut USING (doc_id)"""
+)
 def clamped_summaries(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.clamped("text").alias("summary"))
+    return table(spark, sf, "documents").select("doc_id", P.clamped(F.col("text")).alias("summary"))
 
 
-@query()
+@query(f"SELECT doc_id, regexp_matches({_HAY}, ' licensed under license| licen.{{0,72}} under| under.{{0,78}} licen') AS present FROM documents")
 def keyword_presence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.keyword_appears("text", F.lit("licensed under license")).alias("present"))
+    return table(spark, sf, "documents").select("doc_id", P.appears(P.haystack(F.col("text")), F.lit("licensed under license")).alias("present"))
 
 
 @query()
 def extractive_summary(spark, sf):
-    run = P.summarised(["apache", "gnu", "license", "version"])
-    return table(spark, sf, "documents").select("doc_id", run("text", F.array(F.lit("license"), F.lit("software"))).alias("s")).select("doc_id", "s.summary", "s.keywords")
+    pool = ["apache", "gnu", "license", "version"]
+    told = P.summarised(F.col("text"), F.array(F.lit("license"), F.lit("software")), pool, F.lit("Licence"), F.lit("all states"))
+    return table(spark, sf, "documents").select("doc_id", told.alias("s")).select("doc_id", "s.summary", "s.keywords")
 
 
 @query()
@@ -138,12 +157,15 @@ def polished_bullets(spark, sf):
     from ..functions.rewriting import generic, polished
 
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc_id", "pos", polished("line").alias("bullet"), generic("line").alias("generic"))
+    return rows.select("doc_id", "pos", polished(F.col("line")).alias("bullet"), generic(F.col("line")).alias("generic"))
 
 
-@query()
+@query(r"""SELECT doc_id, 'Jane Doe' AS name, 'Engineer' AS title, 'Dev' AS role, source AS company, '2019' AS began, '2021' AS ended,
+    trim(regexp_replace('- ' || replace(text, chr(10), ' '), '^[\s•\-–—*·▪◦►]+', '')) AS bullet, 'University of ' || lang AS school, 'B.S.' AS degree, 'Physics' AS field FROM documents""")
 def parsed_resumes(spark, sf):
-    from ..functions.rewriting import parsed_resume
+    from ..functions.rewriting import parsed_resumes as parsed
 
     sections = F.concat(F.lit("Jane Doe\nEngineer\nExperience\nDev at "), F.col("source"), F.lit(" 2019 - 2021\n- "), F.translate("text", "\n", " "), F.lit("\nEducation\nUniversity of "), F.col("lang"), F.lit("\nB.S. in Physics 2014 - 2018"))
-    return table(spark, sf, "documents").select("doc_id", parsed_resume(sections).alias("r")).select("doc_id", "r.name", "r.title", F.to_json("r.experience").alias("experience"), F.to_json("r.education").alias("education"))
+    rows = parsed(table(spark, sf, "documents").select("doc_id", sections.alias("t")), "t", "doc_id", "r")
+    job, school = F.get("r.experience", F.lit(0)), F.get("r.education", F.lit(0))
+    return rows.select("doc_id", "r.name", "r.title", job["role"].alias("role"), job["company"].alias("company"), job["start"].alias("began"), job["end"].alias("ended"), F.array_join(job["bullets"], " ").alias("bullet"), school["school"].alias("school"), school["degree"].alias("degree"), school["field"].alias("field"))

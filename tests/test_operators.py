@@ -96,18 +96,34 @@ def test_scalars(spark):
     assert (row["r"], row["l"], row["k"], row["j"], row["f"]) == ("mcmxciv", "bb", "a b c", "a–b", "the federal courts")
 
 
-def test_sentences_and_limits():
-    assert P.split_sentences("Smith v. Jones was heard. The Acme Co. lost! J. Doe won.") == ["Smith v. Jones was heard.", "The Acme Co. lost!", "J. Doe won."]
+def of_text(spark, change, values):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r["x"] for r in df.select("i", change(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_sentences_and_limits(spark):
+    said = ["Smith v. Jones was heard. The Acme Co. lost! J. Doe won.", "He said \"no.\" Then (it) ended.  Is it so? 5 yes", "", None]
+    assert of_text(spark, P.sentences, said) == [["Smith v. Jones was heard.", "The Acme Co. lost!", "J. Doe won."], ["He said \"no.\"", "Then (it) ended.", "Is it so?", "5 yes"], [], []]
     text = " ".join(f"Sentence number {i} has exactly eight words here." for i in range(30))
-    assert P.count_words(P.clamp_words(text)) == 144
-    assert P.clamp_words("a " * 200).endswith("a…") and P.count_words(P.clamp_words("a " * 200)) == 150
+    whole, cut, short, none = of_text(spark, P.clamped, [text, "a " * 200, "x  y", None])
+    assert len(whole.split()) == 144 and cut == " ".join(["a"] * 150) + "…" and (short, none) == ("x y", "")
+
+
+def test_keywords(spark):
+    text = "The employee was terminated; her wrongful and sudden termination led to damages."
+    found = spark.createDataFrame([(text, k) for k in ("wrongful terminated", "copyright", "damage", "", None)], "t string, k string")
+    assert [r["x"] for r in found.select(P.appears(P.haystack(F.col("t")), F.col("k")).alias("x")).collect()] == [True, False, True, False, False]
+    words = spark.createDataFrame([(text, ["court", "damages", "Damages"], ["termination"]), (text, None, None), (None, ["damages"], [None])], "t string, p array<string>, s array<string>")
+    got = [r["x"] for r in words.select(P.final_keywords(F.col("p"), P.haystack(F.col("t")), F.col("s"), ["fraud", "sudden"]).alias("x")).collect()]
+    assert got == [["damages", "termination", "sudden"], ["sudden"], []]
 
 
-def test_keywords():
-    hay = P.haystack("The employee was terminated; her wrongful and sudden termination led to damages.")
-    assert P.appears(hay, "wrongful terminated") and not P.appears(hay, "copyright") and P.appears(hay, "damage")
-    assert P.final_keywords(["court", "damages", "Damages"], hay, ["termination"], ["fraud", "sudden"]) == ["damages", "termination", "sudden"]
-    assert "damages" in P.extract_summary("It was a long case about damages that were claimed by the owner. The court affirmed the judgment below.", ["damages"])
+def test_summaries(spark):
+    case = "It was a long case about damages that were claimed by the owner. The court affirmed the judgment below."
+    df = spark.createDataFrame([(case, ["damages"]), ("", ["x", "y"]), (None, None)], "t string, s array<string>")
+    told = [r["x"] for r in df.select(P.summarised(F.col("t"), F.col("s"), [], F.lit("Tort"), F.lit("Ohio"), F.lit("A v. B was decided.")).alias("x")).collect()]
+    assert told[0]["keywords"] == ["damages"] and told[0]["summary"] == " ".join(["A v. B was decided.", P.FACT, "“" + case.split(". ")[0] + ".”", P.RULING, "“The court affirmed the judgment below.”", "It may be relevant to your tort matter because the opinion discusses damages, issues that also come up in the situation you described.", P.CLOSING])
+    assert told[1]["summary"].startswith(f"A v. B was decided. {P.NO_RULING} It was returned for your search on x and y in Ohio.") and told[2]["keywords"] == []
 
 
 @settings(max_examples=300, deadline=None)

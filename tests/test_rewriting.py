@@ -1,56 +1,95 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallyforge.functions import rewriting as W
 
 
-def test_verbs():
-    assert [W.lemma(x) for x in ("planned", "created", "applied", "trained", "monitored", "installed", "processed")] == ["plan", "create", "apply", "train", "monitor", "install", "process"]
-    assert [W.gerund_base(x) for x in ("migrating", "planning", "building")] == ["Migrate", "Plan", "Build"]
-    assert W.harmonise("Architect, tested and deployed X") == "Architect, test and deploy X"
-    assert W.harmonise("Build X that reduced latency and improved uptime") == "Build X that reduced latency and improved uptime"
+def applied(spark, change, values):
+    """change(column) of each value, in order."""
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r["x"] for r in df.select("i", change(F.col("v")).alias("x")).orderBy("i").collect()]
+
 
+def test_verbs(spark):
+    assert applied(spark, W.base_of_past, ["planned", "created", "applied", "trained", "monitored", "installed", "processed"]) == ["plan", "create", "apply", "train", "monitor", "install", "process"]
+    assert applied(spark, W.base_of_gerund, ["migrating", "planning", "building"]) == ["Migrate", "Plan", "Build"]
+    said = ["Architect, tested and deployed X", "Build X that reduced latency and improved uptime", "Design, built and wrote it", "x"]
+    assert applied(spark, W.agreeing, said) == ["Architect, test and deploy X", said[1], "Design, build and write it", "x"]
+    assert applied(spark, W.strong_lead, ["Developing X", "Manages Y", "Builds Z", "Reading W", "Classes", "Led it", ""]) == ["Build X", "Manage Y", "Build Z", "Reading W", "Classes", "Led it", ""]
 
-def test_bullets():
-    assert W.polish_bullet("• Worked on migrating services to aws and k8s.") == "Migrate services to AWS and Kubernetes"
-    assert W.polish_bullet("Helped build  various rest apis in order to cut costs by 40 percent") == "Support efforts to build multiple REST APIs to cut costs by 40%"
-    assert W.polish_bullet("Manages postgres , nodejs etc.") == "Manage PostgreSQL, Node.js"
-    assert W.polish_bullet("Developed a scheduler") == "Developed a scheduler" and W.polish_bullet(" - ") == ""
-    assert W.polish_summary("I am a very keen python developer") == "Keen Python developer"
-    assert [W.is_generic(x) for x in ("Built a web app", "Cut latency by 30%", "Led the team", "Moved it to Kafka")] == [True, False, True, False]
-    assert W.rule_set("D", "- a\n\n* b").splitlines()[-2:] == ["1. a", "2. b"]
 
+def test_bullets(spark):
+    told = {
+        "• Worked on migrating services to aws and k8s.": "Migrate services to AWS and Kubernetes",
+        "Helped build  various rest apis in order to cut costs by 40 percent": "Support efforts to build multiple REST APIs to cut costs by 40%",
+        "Manages postgres , nodejs etc.": "Manage PostgreSQL, Node.js",
+        "Developed a scheduler": "Developed a scheduler",
+        "Was responsible for managing node.js.foo to Building x": "Manage node.js.foo to build x",
+        " - ": "",
+        None: "",
+    }
+    assert applied(spark, W.polished, list(told)) == list(told.values())
+    assert applied(spark, W.polished_summary, ["I am a very keen python developer", None]) == ["Keen Python developer", ""]
+    assert applied(spark, W.generic, ["Built a web app", "Cut latency by 30%", "Led the team", "Moved it to Kafka", None]) == [True, False, True, False, True]
+    assert applied(spark, lambda c: W.rule_set(F.lit("D"), c), ["- a\n\n* b", None]) == ["\n".join(["D", "", W.USER_RULES, "1. a", "2. b"]), "\n".join(["D", "", W.USER_RULES, W.NO_RULES])]
 
-def test_education():
+
+def test_education(spark):
     rows = ["University of Texas at Austin    Austin, TX", "B.S. in Computer Science    2014 – 2018", "GPA 3.8 / 4.0, Magna Cum Laude", "Master of Science, Physics 2019 - 2021"]
-    got = W.merge_education([W.education_line(r) for r in rows])
-    assert [(e["school"], e["degree"], e["field"], e["start"], e["end"]) for e in got] == [("University of Texas at Austin", "B.S.", "Computer Science", "2014", "2018"), ("University of Texas at Austin", "Master of Science", "Physics", "2019", "2021")]
+    df = spark.createDataFrame([(rows,), ([],)], "rows array<string>")
+    got, none = (r["e"] for r in df.select(W.merged_education(F.transform("rows", W.education_line)).alias("e")).collect())
+    assert none == [] and [(e["school"], e["degree"], e["field"], e["start"], e["end"]) for e in got] == [("University of Texas at Austin", "B.S.", "Computer Science", "2014", "2018"), ("University of Texas at Austin", "Master of Science", "Physics", "2019", "2021")]
     assert got[0]["details"].startswith("GPA 3.8")
-    assert W.split_degree("M.S. Electrical Engineering") == ("M.S.", "Electrical Engineering")
-    one = W.education_line("B.Tech in IT from Indian Institute of Technology, graduated 2012")
-    assert (one["degree"], one["field"], one["end"]) == ("B.Tech", "IT", "2012")
+    assert applied(spark, W.split_degree, ["M.S. Electrical Engineering"])[0].asDict() == {"degree": "M.S.", "field": "Electrical Engineering"}
+    one, two = applied(spark, W.education_line, ["B.Tech in IT from Indian Institute of Technology, graduated 2012", "MIT, B.S. in Physics"])
+    assert (one["degree"], one["field"], one["end"]) == ("B.Tech", "IT", "2012") and (two["school"], two["degree"], two["field"]) == ("MIT", "B.S.", "Physics")
+
 
+RESUME = "Ann Lee\nData Engineer\nann@x.org | +1 (555) 123-4567\nSummary\nKeen.\nExperience\nDev at Acme | 2019 - Present\nAustin, TX\n- Built a thing that\nruns well.\nClient: Foo · Remote\nSkills\nLanguages: Go, SQL\nProjects\nToy\n- fun\nCertifications\n• AWS"
 
-def test_resumes():
-    r = W.parse_resume("Ann Lee\nData Engineer\nann@x.org | +1 (555) 123-4567\nSummary\nKeen.\nExperience\nDev at Acme | 2019 - Present\nAustin, TX\n- Built a thing that\nruns well.\nClient: Foo · Remote\nSkills\nLanguages: Go, SQL\nProjects\nToy\n- fun\nCertifications\n• AWS")
+
+def test_resumes(spark):
+    texts = [RESUME, "", None, "A\nExperience\n- first\nBoston, MA\nRemote\nOps at X 2001 - 2002\n- a.\nb\nBoston, MA\nEducation\nMIT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    r, empty, null, odd = (x["record"] for x in W.parsed_resumes(df, "t", "i").orderBy("i").collect())
     assert (r["name"], r["title"], r["email"], r["phone"], r["summary"]) == ("Ann Lee", "Data Engineer", "ann@x.org", "+1 (555) 123-4567", "Keen.")
-    assert r["experience"] == [{"role": "Dev", "company": "Acme", "location": "Remote", "start": "2019", "end": "Present", "client": "Foo", "bullets": ["Built a thing that runs well."]}]
-    assert r["skills"] == [{"category": "Languages", "items": ["Go", "SQL"]}] and r["projects"] == [{"name": "Toy", "bullets": ["fun"]}] and r["certifications"] == ["AWS"]
-    assert W.parse_resume("")["experience"] == []
+    assert [e.asDict() for e in r["experience"]] == [{"role": "Dev", "company": "Acme", "location": "Remote", "start": "2019", "end": "Present", "client": "Foo", "bullets": ["Built a thing that runs well."]}]
+    assert [x.asDict() for x in r["skills"]] == [{"category": "Languages", "items": ["Go", "SQL"]}] and [x.asDict() for x in r["projects"]] == [{"name": "Toy", "bullets": ["fun"]}] and r["certifications"] == ["AWS"]
+    assert empty == null and empty["name"] == "" and empty["experience"] == [] and empty["education"] == []
+    assert [(e["role"], e["company"], e["location"], e["bullets"]) for e in odd["experience"]] == [("", "", "", ["first", "Boston, MA", "Remote"]), ("Ops", "X", "", ["a.", "b", "Boston, MA"])]
 
 
 def test_records(spark):
-    from pyspark.sql import functions as F
-
     from tallyforge.operators import resume as R
 
     text = "Ann Lee\nEngineer\nExperience\nDev at Acme | 2019 - 2021\n- Worked on building rest apis\n- worked on building REST APIs.\n- Led it\nSkills\nLang: Go,  \nEducation\nUniversity of X\nB.S. in Physics 2014 - 2018"
-    df = R.structured(spark.createDataFrame([(1, text), (2, "")], "id int, text string"), "text")
+    df = R.structured(spark.createDataFrame([(1, text), (2, "")], "id int, text string"), "text", "id").cache()
     assert [r["e"] for r in df.orderBy("id").select(R.enough(F.col("record")).alias("e")).collect()] == [True, False]
     assert sorted((r["pos"], r["bullet"], r["changed"]) for r in R.polish(df, "record", "id").collect()) == [(0, "Build REST APIs", True), (2, "Led it", False)]
     got = R.blocks(df, "record", "id").orderBy("section_ord", "item_ord", "sub_ord").collect()
     assert [r["text"] for r in got] == ["Experience", "Dev | Acme | 2019 – 2021", "Worked on building rest apis", "worked on building REST APIs.", "Led it", "Skills", "Lang: Go", "Education", "University of X, B.S., Physics, 2014 – 2018"]
-    calls = R.structured(spark.createDataFrame([(1, "x")], "id int, text string"), "text", call=lambda t: {**W.parse_resume(""), "name": t.upper()})
-    assert calls.first()["record"]["name"] == "X"
     assert R.break_line([3, 3, 3, 3], 1.0, 7.5) == [(0, 2, 1.5), (2, 4, 1.0)] and R.break_line([], 1, 5) == []
     lines = spark.createDataFrame([([3.0, 3.0, 3.0],)], "w array<double>").select(R.broken(1.0, 7.5)("w").alias("l")).first()["l"]
     assert [(x["first"], x["end"]) for x in lines] == [(0, 2), (2, 3)]
+
+
+def test_models_are_asked_before_rules(spark):
+    from tallyforge.operators import resume as R
+
+    def down(text, problem):
+        raise R.Unavailable
+
+    def model(text, problem):
+        return {} if text == "none" else {"name": text.upper()} if problem or text != "fix" else {"title": "x"}
+
+    df = spark.createDataFrame([(1, "ann"), (2, "fix"), (3, "none"), (4, None)], "id int, t string").coalesce(1)
+    got = {r["id"]: r["record"]["name"] for r in R.structured(df, "t", "id", [down, model]).collect()}
+    assert got == {1: "ANN", 2: "FIX", 3: "none", 4: ""}
+
+    def broken(text, problem):
+        raise ValueError("a fault")
+
+    with pytest.raises(Exception, match="a fault"):
+        R.structured(df, "t", "id", [broken]).collect()
