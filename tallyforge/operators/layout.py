@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import upper_median
+from .stats import distinct_top, floor_percentile, upper_median, weighted_mode
 
 PAGE = ["doc", "page"]
 
@@ -38,74 +42,275 @@ def justified(lines: DataFrame, tolerance: float = 1.5, least_words: int = 4) ->
     return a.join(b, on, "left_semi")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
-    """nodes (doc, page, id) with the smallest id that links (doc, page, a_id, b_id) reach, within a page. Labels pass over links and then over labels, so rounds grow with the logarithm of a chain."""
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder of spark.checkpoint.dir; a local master without one gets a folder of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyforge-"))
+    return df.checkpoint()
+
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))  # only where the session names no folder
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (doc, page, id) with the smallest id that links (doc, page, a_id, b_id) reach, within a page. Labels pass over links and then over labels until none moves; rounds grow with the logarithm of a chain."""
     both = links.select(*PAGE, F.col("a_id").alias("id"), F.col("b_id").alias("other")).union(links.select(*PAGE, F.col("b_id").alias("id"), F.col("a_id").alias("other"))).distinct()
-    labels = nodes.select(*PAGE, "id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
+    labels = checkpointed(nodes.select(*PAGE, "id", F.col("id").alias("component")))
+    moved = True
+    while moved:
         seen = both.join(labels.select(*PAGE, F.col("id").alias("other"), "component"), [*PAGE, "other"]).groupBy(*PAGE, "id").agg(F.min("component").alias("least"))
         low = labels.join(seen, [*PAGE, "id"], "left").select(*PAGE, "id", "component", F.least("component", F.coalesce("least", "component")).alias("low"))
         jump = low.select(*PAGE, F.col("id").alias("low"), F.col("low").alias("further"))
-        fresh = low.join(jump, [*PAGE, "low"], "left").select(*PAGE, "id", "component", F.least("low", F.coalesce("further", "low")).alias("fresh")).checkpoint()
-        moved = fresh.filter("fresh < component").limit(1).count()
+        fresh = checkpointed(low.join(jump, [*PAGE, "low"], "left").select(*PAGE, "id", "component", F.least("low", F.coalesce("further", "low")).alias("fresh")))
+        moved = not fresh.filter("fresh < component").isEmpty()
         labels = fresh.select(*PAGE, "id", F.col("fresh").alias("component"))
-        if not moved:
-            break
     return labels
 
 
-def lines_of_glyphs(glyphs: DataFrame, tolerance: float = 0.4) -> DataFrame:
-    """Glyphs (doc, page, seq, s, x, y, w, size) with the number of their line: baselines within `tolerance` of a size of the one above chain into a line."""
-    w = Window.partitionBy(*PAGE).orderBy("y", "x", "seq")
-    fresh = F.when(F.col("y") - F.lag("y").over(w) <= tolerance * F.col("size"), 0).otherwise(1)
-    return glyphs.withColumn("__f", fresh).withColumn("line", F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__f")
+def merged_cells(cells: DataFrame, open_edges: DataFrame) -> DataFrame:
+    """(doc, page, region, r0, r1, c0, c1, rectangular): cells (doc, page, id, r, c) merged over missing borders
+    (doc, page, a_id, b_id); a group that doesn't fill its bounds is no rectangle, which no table cell can be."""
+    named = components(cells, open_edges).join(cells, [*PAGE, "id"])
+    out = named.groupBy(*PAGE, F.col("component").alias("region")).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
+    return out.withColumn("rectangular", (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) == F.col("n")).drop("n")
 
 
-def line_texts(lined: DataFrame, gap: float = 0.12) -> DataFrame:
-    """Text of each line, with a space where glyphs stand more than `gap` of a size apart."""
-    w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
-    space = F.when(F.col("x") - F.lag(F.col("x") + F.col("w")).over(w) > gap * F.col("size"), F.concat(F.lit(" "), F.col("s"))).otherwise(F.col("s"))
-    rows = lined.withColumn("__t", space).groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "__t"))).alias("__x"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"))
-    return rows.select(*PAGE, "line", F.array_join(F.transform("__x", lambda g: g["__t"]), "").alias("text"), "x0", "x1", "y", "size")
+def edges(shapes: DataFrame, thin: float = 2.5, least: float = 3.0) -> DataFrame:
+    """(doc, page, shape, o, pos, a, b, w): rules that rectangles (doc, page, shape, x, y, w, h, stroked, filled, lw) draw.
+
+    A thin filled one is a rule along its longer side, a stroked one four; shorter ones than `least` don't count.
+    """
+    x, y, w, h, lw = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "lw"))
+
+    def edge(o: str, pos: Column, start: Column, length: Column, width: Column) -> Column:
+        return F.struct(F.lit(o).alias("o"), pos.alias("pos"), start.alias("a"), (start + length).alias("b"), width.alias("w"))
+
+    rule = F.when(w >= h, F.array(edge("h", y + h / 2, x, w, h))).otherwise(F.array(edge("v", x + w / 2, y, h, w)))
+    frame = F.array(edge("h", y, x, w, lw), edge("h", y + h, x, w, lw), edge("v", x, y, h, lw), edge("v", x + w, y, h, lw))
+    found = F.when(F.col("filled") & ~F.col("stroked") & (F.least(w, h) <= thin), rule).when(F.col("stroked"), frame)
+    return shapes.select(*PAGE, "shape", F.explode(found).alias("e")).select(*PAGE, "shape", "e.*").filter(F.col("b") - F.col("a") >= least)
 
 
-def style_runs(lined: DataFrame, tolerance: float = 0.3) -> DataFrame:
-    """Neighbouring glyphs of a line in one font and size (column font) as runs with their text."""
+def lines_of_glyphs(glyphs: DataFrame, tolerance: float = 0.42, least: float = 1.5) -> DataFrame:
+    """Glyphs (doc, page, seq, x, y, w, size, ...) with the number of their line.
+
+    In reading order (y, x, seq), a glyph joins the first line whose baseline is near its own, by `tolerance` of the larger
+    size, `least` at the least, and which has nothing where it stands; else it opens one. A line takes on the size and
+    baseline of its largest glyph. What a glyph joins depends on all before it, so each page is one group.
+    """
+    names = [f.name for f in glyphs.schema.fields]
+
+    def page(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["y", "x", "seq"], kind="stable")
+        levels: list[list[float]] = []
+        taken: list[list[tuple[float, float]]] = []
+        numbers = []
+        for x, y, w, size in frame[["x", "y", "w", "size"]].astype(float).itertuples(index=False):
+            for n, (line_y, line_size) in enumerate(levels):
+                if abs(line_y - y) <= max(least, tolerance * max(line_size, size)):
+                    at = bisect_left(taken[n], (x, x + w))
+                    around = taken[n][max(0, at - 1) : at + 1]
+                    if not any(x < end - 1 and start < x + w - 1 for start, end in around):
+                        taken[n].insert(at, (x, x + w))
+                        if size > line_size:
+                            levels[n] = [y, size]
+                        break
+            else:
+                n = len(levels)
+                levels.append([y, size])
+                taken.append([(x, x + w)])
+            numbers.append(n)
+        return frame.assign(line=numbers)[[*names, "line"]]
+
+    return glyphs.groupBy(*PAGE).applyInPandas(page, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in glyphs.schema.fields) + ", line int")
+
+
+def tagged(lined: DataFrame, size: str = "line_size", y: str = "line_y") -> DataFrame:
+    """Glyphs with vert: super or sub beside the line's base, else null. The base is the first glyph in the size that most
+    of the line's characters have."""
+    own = Window.partitionBy(*PAGE, "line")
+    weights = lined.groupBy(*PAGE, "line", F.round("size", 2).alias("__size")).agg(F.sum(F.length("s")).alias("__n"), F.min(F.struct("x", "seq")).alias("__at"))
+    main = weights.groupBy(*PAGE, "line").agg(F.max_by("__size", F.struct("__n", -F.col("__at.x"), -F.col("__at.seq"))).alias(size))
+    near = F.when(F.abs(F.col("size") - F.col(size)) < 0.3, F.struct("x", "seq", "y"))
+    rows = lined.join(main, [*PAGE, "line"]).withColumn(y, F.coalesce(F.min(near).over(own)["y"], F.min(F.struct("x", "seq", "y")).over(own)["y"]))
+    return rows.withColumn("vert", raised(F.col("size"), F.col("y"), F.col(size), F.col(y)))
+
+
+def spaced(gap: float = 0.12) -> Column:
+    """Whether a space stands before a glyph: it starts more than `gap` of its size after the one before, neither raised."""
     w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
-    same = (F.lag("font").over(w) == F.col("font")) & (F.abs(F.lag("size").over(w) - F.col("size")) <= tolerance)
-    rows = lined.withColumn("__n", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*PAGE, "line", "run").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "s"))).alias("__x"), F.min("font").alias("font"))
-    return runs.select(*PAGE, "line", "run", F.array_join(F.transform("__x", lambda g: g["s"]), "").alias("text"), "font")
+    apart = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w) > gap * F.col("size")
+    return F.coalesce(apart & F.col("vert").isNull() & F.lag(F.col("vert").isNull()).over(w), F.lit(False))
+
+
+def line_texts(glyphs: DataFrame, gap: float = 0.12) -> DataFrame:
+    """(doc, page, line, text, x0, x1): the text of each line of tagged glyphs (s, x, w, size, vert)."""
+    rows = glyphs.withColumn("__t", F.concat(F.when(spaced(gap), " ").otherwise(""), "s"))
+    lines = rows.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "__t"))).alias("__x"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"))
+    return lines.select(*PAGE, "line", F.array_join(F.transform("__x", lambda g: g["__t"]), "").alias("text"), "x0", "x1")
+
+
+def style_runs(glyphs: DataFrame, styles: list[str], tolerance: float = 0.3) -> DataFrame:
+    """(doc, page, run, styles, text): neighbouring glyphs of equal styles and near sizes as runs, over the lines of a page.
+
+    A line ends with a space, or, where a hyphen after a small letter meets a small letter, with neither.
+    """
+    within, over = Window.partitionBy(*PAGE, "line").orderBy("x", "seq"), Window.partitionBy(*PAGE).orderBy("line", "x", "seq")
+    rows = glyphs.withColumn("__before", F.when(spaced(), " ").otherwise("")).withColumn("__next_line", F.lead("line").over(over)).withColumn("__next", F.lead("s").over(over))
+    ends = F.col("__next_line").isNotNull() & (F.col("__next_line") != F.col("line"))
+    hyphen = F.col("s").rlike("-$") & F.concat(F.coalesce(F.lag("s").over(within), F.lit("")), F.col("s")).rlike("[a-z]-$") & F.col("__next").rlike("^[a-z]")
+    text = F.when(ends & hyphen, F.expr("left(s, length(s) - 1)")).when(ends, F.concat("s", F.lit(" "))).otherwise(F.col("s"))
+    same = F.abs(F.lag("size").over(over) - F.col("size")) < tolerance
+    for c in styles:
+        same = same & F.lag(c).over(over).eqNullSafe(F.col(c))
+    rows = rows.withColumn("__t", F.concat("__before", text)).withColumn("__new", F.when(F.coalesce(same & F.lag(F.lit(True)).over(over), F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("__new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list(F.struct("line", "x", "seq", "__t"))).alias("__x"), *[F.first(c).alias(c) for c in styles])
+    return runs.select(*PAGE, "run", *styles, F.array_join(F.transform("__x", lambda g: g["__t"]), "").alias("text"))
 
 
 def raised(size: Column, y: Column, base_size: Column, base_y: Column) -> Column:
     """super, sub or null for a glyph beside its line's base."""
-    small = size <= 0.8 * base_size
-    return F.when(small & (y < base_y - 0.15 * base_size), "super").when(small & (y > base_y + 0.05 * base_size), "sub")
+    small = size < 0.85 * base_size
+    return F.when(small & (y < base_y - 0.12 * base_size), "super").when(small & (y > base_y + 0.08 * base_size), "sub")
+
+
+def without_marker(glyphs: DataFrame, length: str) -> DataFrame:
+    """Glyphs (doc, page, line, seq, s, x, w, length) after the first `length` characters of their line, a list's marker.
+
+    A glyph that the marker fills goes, and a space with it; one that it fills in part is cut, by its mean width.
+    """
+    w = Window.partitionBy(*PAGE, "line").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = glyphs.withColumn("__left", F.col(length) - F.coalesce(F.sum(F.length("s") + 1).over(w), F.lit(0)))
+    rest = F.ltrim(F.expr("substring(s, cast(__left as int) + 1)"))
+    rows = rows.filter((F.col("__left") <= 0) | (F.length("s") > F.col("__left"))).withColumn("__s", F.when(F.col("__left") > 0, rest).otherwise(F.col("s")))
+    gone = (F.length("s") - F.length("__s")) * F.col("w") / F.greatest(F.lit(1), F.length("s"))
+    return rows.withColumn("x", F.col("x") + gone).withColumn("w", F.col("w") - gone).withColumn("s", F.col("__s")).drop("__left", "__s")
 
 
 def gutters(lines: DataFrame, left: int, right: int, step: int = 2) -> DataFrame:
-    """The gutter of each page that the fewest lines (x0, x1) cross, the first of equal ones, with the lines on either side."""
-    at = F.explode(F.sequence(F.lit(left), F.lit(right), F.lit(step))).alias("gutter")
-    sides = lines.select(*PAGE, "x0", "x1", at).groupBy(*PAGE, "gutter").agg(F.count(F.when((F.col("x0") < F.col("gutter")) & (F.col("x1") > F.col("gutter")), 1)).alias("crossing"), F.count(F.when(F.col("x1") <= F.col("gutter"), 1)).alias("lefts"), F.count(F.when(F.col("x0") >= F.col("gutter"), 1)).alias("rights"))
-    return sides.groupBy(*PAGE).agg(F.min(F.struct("crossing", "gutter", "lefts", "rights")).alias("b")).select(*PAGE, "b.*")
+    """The gutter of each page that the fewest lines (x0, x1) cross, the first of equal ones, with the lines on either side.
+
+    A line counts up where it begins and down where it ends; running sums over the candidates give the rest.
+    """
+    n = (right - left) // step + 1
+    after = F.least(F.lit(n), F.greatest(F.lit(0), F.floor((F.col("x0") - left) / step).cast("int") + 1))
+    until = F.least(F.lit(n), F.greatest(F.lit(0), F.ceil((F.col("x1") - left) / step).cast("int")))
+    mark = lambda i, crossing, lefts, rights: F.struct(i.alias("i"), F.lit(crossing).alias("crossing"), F.lit(lefts).alias("lefts"), F.lit(rights).alias("rights"))
+    marks = F.array(mark(F.lit(0), 0, 0, 1), mark(after, 1, 0, -1), mark(F.greatest(after, until), -1, 0, 0), mark(until, 0, 1, 0))
+    rows = lines.select(*PAGE, F.explode(marks).alias("m")).select(*PAGE, "m.*").groupBy(*PAGE, "i").agg(*[F.sum(c).alias(c) for c in ("crossing", "lefts", "rights")])
+    grid = lines.select(*PAGE).distinct().select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    running = Window.partitionBy(*PAGE).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sides = grid.join(rows, [*PAGE, "i"], "left").select(*PAGE, "i", *[F.sum(F.coalesce(c, F.lit(0))).over(running).alias(c) for c in ("crossing", "lefts", "rights")])
+    best = F.min(F.struct("crossing", (F.col("i") * step + left).alias("gutter"), "lefts", "rights"))
+    return sides.groupBy(*PAGE).agg(best.alias("b")).select(*PAGE, "b.*")
 
 
 def column_of(cells: DataFrame, starts: DataFrame, slack: float = 6.0) -> DataFrame:
     """As-of lookup: each cell (doc, page, id, x) with the last column start (doc, page, col, x0) at or before x + slack."""
-    c, s = cells.alias("c"), starts.alias("s")
-    both = c.join(s, (F.col("c.doc") == F.col("s.doc")) & (F.col("c.page") == F.col("s.page")) & (F.col("s.x0") <= F.col("c.x") + slack), "left")
-    return both.groupBy("c.doc", "c.page", "c.id").agg(F.max_by("s.col", "s.x0").alias("col"))
+    both = starts.select(*PAGE, F.col("x0").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("col"), F.lit(None).alias("id")).unionByName(cells.select(*PAGE, (F.col("x") + slack).cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).alias("col"), "id"))
+    w = Window.partitionBy(*PAGE).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("col", F.last("col", True).over(w)).filter("kind = 1").select(*PAGE, "id", "col")
 
 
-def margins(lines: DataFrame) -> DataFrame:
-    """(doc, left): the upper median over pages of the leftmost start."""
-    return upper_median(lines.groupBy(*PAGE).agg(F.min("x0").alias("left")), ["doc"], "left", "left")
+def margins(lines: DataFrame, width: float = 612.0) -> DataFrame:
+    """(doc, left, right): upper medians over pages of the leftmost start and of the 97th percentile of ends (x0, x1), kept
+    on a page of `width`; the right margin is never wider than the left."""
+    left = upper_median(lines.groupBy(*PAGE).agg(F.min("x0").alias("left")), ["doc"], "left", "left")
+    ends = upper_median(floor_percentile(lines, PAGE, "x1", 0.97, "end"), ["doc"], "end", "end")
+    low = F.greatest(F.lit(18.0), F.col("left"))
+    return left.join(ends, "doc").select("doc", low.alias("left"), F.least(F.lit(width - 18), F.greatest(F.col("end"), low + 100, F.lit(width) - low)).alias("right"))
+
+
+def heading_sizes(lines: DataFrame, least: float = 1.2, longest: int = 120) -> DataFrame:
+    """(doc, size, tier): the three largest sizes of short lines (doc, size, chars, seq), `least` times the body's or more.
+    The body's size is that of most characters, of equal ones the first."""
+    body = weighted_mode(lines, ["doc"], "size", "chars", "seq", "body")
+    large = lines.join(body, "doc").filter((F.col("size") >= F.col("body") * least) & (F.col("chars") < longest))
+    return distinct_top(large, ["doc"], "size", 3)
+
+
+def regions(lines: DataFrame, gutters: DataFrame) -> DataFrame:
+    """lines (doc, page, id, x0, x1, y) with their part: 0 above, 1 left, 2 right, 3 below of a two-column band.
+
+    gutters: (doc, page, gutter), null or no row for pages of one column, whose lines are part 0. The band reaches from the
+    first to the last line that keeps clear of the gutter.
+    """
+    g, own = F.col("gutter"), Window.partitionBy(*PAGE)
+    rows = lines.join(gutters.select(*PAGE, "gutter"), PAGE, "left")
+    clear = F.when((F.col("x1") < g - 2) | (F.col("x0") > g + 2), F.col("y"))
+    rows = rows.withColumn("__top", F.min(clear).over(own)).withColumn("__end", F.max(clear).over(own))
+    across = (F.col("x0") <= g + 2) & (F.col("x1") >= g - 2)
+    part = F.when(g.isNull(), 0).when(across & (F.col("y") < F.col("__top")), 0).when(across & (F.col("y") > F.col("__end")), 3).when(F.col("x0") < g, 1).otherwise(2)
+    return rows.select(*lines.columns, part.alias("part"))
+
+
+def floating(images: DataFrame, lines: DataFrame, least: int = 2) -> DataFrame:
+    """images (doc, page, image, x, y, w, h) with floats: whether `least` lines (x0, x1, y, size) or more stand over one."""
+    i, t = images.alias("i"), lines.alias("t")
+    on = (F.col("i.doc") == F.col("t.doc")) & (F.col("i.page") == F.col("t.page")) & (F.col("t.y") > F.col("i.y")) & (F.col("t.y") - F.col("t.size") < F.col("i.y") + F.col("i.h")) & (F.col("t.x1") > F.col("i.x")) & (F.col("t.x0") < F.col("i.x") + F.col("i.w"))
+    over = i.join(t, on).groupBy("i.doc", "i.page", "i.image").count().filter(F.col("count") >= least).drop("count").withColumn("__f", F.lit(True))
+    return images.join(over, [*PAGE, "image"], "left").withColumn("floats", F.coalesce("__f", F.lit(False))).drop("__f")
+
+
+def alignment(lines: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
+    """(doc, para, align): center, right, both or left of paragraphs whose lines (doc, para, seq, x0, x1, left, right) lie
+    between the margins left and right."""
+    L, R, x0, x1 = F.col(left), F.col(right), F.col("x0"), F.col("x1")
+    last = F.max("seq").over(Window.partitionBy("doc", "para"))
+    rows = lines.withColumn("__last", F.col("seq") == last)
+    centred = F.every(F.abs((x0 + x1) / 2 - (L + R) / 2) < F.greatest(F.lit(5.0), (R - L) * 0.02))
+    found = rows.groupBy("doc", "para").agg(
+        centred.alias("centred"),
+        F.every(F.abs(x1 - R) < 5).alias("flush"),
+        F.count("*").alias("n"),
+        F.every(F.col("__last") | (F.abs(x1 - R) < 3.5)).alias("full"),
+        F.max(F.when(F.col("__last"), x1 < R - 3)).alias("short"),
+        F.min_by(x0 - L, "seq").alias("indent"),
+    )
+    align = F.when(F.col("centred") & (F.col("indent") > 10), "center").when(F.col("flush") & (F.col("indent") > 30), "right").when((F.col("n") >= 2) & F.col("full") & F.col("short"), "both").otherwise("left")
+    return found.select("doc", "para", align.alias("align"))
+
+
+def page_field(text: Column) -> Column:
+    """struct(before, page, between, total, after) of a running line that holds a page number, and maybe a total; else null."""
+    pattern = r"^(.*?)(\d+)(\D*?)(?:(\d+)(\D*))?$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("before"), part(2).alias("page"), part(3).alias("between"), part(4).alias("total"), part(5).alias("after")))
+
+
+def numbered_pages(lines: DataFrame, text: str) -> DataFrame:
+    """Running lines (doc, page, text) with {page} and {pages} filled in, once all pages of a document are known."""
+    pages = F.max("page").over(Window.partitionBy("doc"))
+    return lines.withColumn(text, F.replace(F.replace(text, F.lit("{pages}"), pages.cast("string")), F.lit("{page}"), F.col("page").cast("string")))
+
+
+#: Signs of symbol fonts, with what they show as.
+SYMBOLS = {"\uf0b7": "•", "\uf0a7": "▪", "\uf0d8": "►", "\uf0fc": "✓", "\uf076": "❖", "\uf06e": "■", "\uf0a8": "□", "\uf0e0": "→", "\uf0a2": "•", "\uf0b0": "°", "\uf02d": "–"}
+
+
+def symbols(text: Column, family: Column) -> Column:
+    """Private signs of symbol fonts as the ones they show; others of that range as bullets, as is a lone · in Symbol."""
+    out = F.regexp_replace(F.translate(text, "".join(SYMBOLS), "".join(SYMBOLS.values())), "[\ue000-\uf8ff]", "•")
+    return F.when((family == "Symbol") & (out == "·"), "•").otherwise(out)
+
+
+def form_pages(lines: DataFrame, pages: DataFrame, wide: float = 0.55) -> DataFrame:
+    """(doc, page, form): whether a page is a form rather than prose.
+
+    lines: (doc, page, seq, x0, x1, segments, chars, boxed), boxed the characters within boxes; pages: (doc, page, edges,
+    grids, boxes). Prose are lines of one segment, `wide` of the text's width or more, with another such line above or below.
+    """
+    own, by = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy("seq")
+    width = F.greatest(F.lit(1.0), F.max("x1").over(own) - F.min("x0").over(own))
+    rows = lines.withColumn("__long", (F.col("segments") == 1) & (F.col("x1") - F.col("x0") >= width * wide) & (F.col("chars") >= 35))
+    prose = F.col("__long") & (F.coalesce(F.lag("__long").over(by), F.lit(False)) | F.coalesce(F.lead("__long").over(by), F.lit(False)))
+    rows = rows.withColumn("__prose", F.when(prose, F.col("chars")).otherwise(0))
+    sums = rows.groupBy(*PAGE).agg(F.sum("chars").alias("total"), F.sum("__prose").alias("prose"), F.sum("boxed").alias("boxed"), F.avg((F.col("segments") >= 2).cast("double")).alias("multi"))
+    share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0)
+    all_ = pages.join(sums, PAGE, "left")
+    form = ((F.least(F.lit(1.0), share("boxed")) >= 0.3) & (F.col("edges") >= 8) & (share("prose") < 0.55)) | ((F.col("grids") >= 2) & (share("prose") < 0.5)) | ((F.col("boxes") >= 4) & (share("prose") < 0.5)) | ((F.col("multi") >= 0.4) & (F.col("edges") >= 4) & (share("prose") < 0.55))
+    return all_.select(*PAGE, F.coalesce(F.col("total").isNotNull() & form, F.lit(False)).alias("form"))
 
 
 def line_pitch(lines: DataFrame) -> DataFrame:
@@ -138,12 +343,18 @@ def best_density(sizes: DataFrame, presets: list[tuple[str, float, float]]) -> D
     return sizes.select("doc", F.array_min(F.array(*tried)).alias("b")).select("doc", "b.preset", "b.pages")
 
 
-#: Patterns of font names in order, with the family that stands in.
-FAMILIES = [("courier|mono|consol", "Cousine"), ("cambria|caladea", "Caladea"), ("calibri|carlito", "Carlito"), ("arial|helvet|sans|arimo", "Arimo"), ("times|serif|roman|georgia", "Tinos")]
+#: Patterns of font names in order, with the family of equal widths that stands in; serif faces only without "sans".
+FAMILIES = [
+    ("calibri|carlito|aptos|segoe|verdana|tahoma|open sans|lato|source sans", "Carlito"),
+    ("cambria|caladea", "Caladea"),
+    ("courier|consolas|mono|menlo|monaco|lucida console|cousine|code", "Cousine"),
+    ("^(?!.*sans).*(?:times|tinos|georgia|garamond|book antiqua|palatino|century|baskerville|serif|minion|constantia|bookman|cochin|didot|rockwell)", "Tinos"),
+]
 
 
 def font_family(name: Column) -> Column:
-    out = F.lit("Arimo")
-    for pattern, family in reversed(FAMILIES):
-        out = F.when(name.rlike(f"(?i){pattern}"), family).otherwise(out)
-    return out
+    """The family that stands in for a font; Arimo where no pattern fits, and for null."""
+    out = F
+    for pattern, family in FAMILIES:
+        out = out.when(name.rlike(f"(?i){pattern}"), family)
+    return out.otherwise("Arimo")

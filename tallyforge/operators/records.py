@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import checkpointed
+
 
 def keep_known(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
     """Foreign-key check: the row stays, its key becomes null if the other table lacks it."""
@@ -95,12 +97,14 @@ def cascade_of(attempts: list[DataFrame]) -> DataFrame:
     return tagged.filter(F.col("attempt") == tagged.agg(F.min("attempt").alias("m")).scalar())
 
 
-def inherited(styles: DataFrame, key: str, parent: str, values: list[str], depth: int = 32) -> DataFrame:
-    """Values of each style, from the nearest ancestor that has one; a cycle ends where it meets a style again. Bounded by `depth` joins."""
-    known = styles.select(key, parent, *values)
-    out = known.withColumn("__next", F.col(parent)).withColumn("__seen", F.array(F.col(key)))
-    up = known.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), *[F.col(v).alias(f"__{v}") for v in values])
-    for _ in range(depth):
-        out = out.join(up, (F.col("__next") == F.col("__k")) & ~F.array_contains("__seen", F.col("__next")), "left")
-        out = out.select(key, parent, *[F.coalesce(v, f"__{v}").alias(v) for v in values], F.col("__p").alias("__next"), F.when(F.col("__k").isNull(), F.col("__seen")).otherwise(F.array_append("__seen", F.col("__k"))).alias("__seen"))
+def inherited(styles: DataFrame, key: str, parent: str, values: list[str]) -> DataFrame:
+    """Values of each style, from the nearest ancestor that has one. Pointers to parents are doubled in each round, so a
+    chain of any length takes the logarithm of the styles in joins; in a cycle, the nearest style on the way counts."""
+    out = styles.select(key, parent, *values, F.col(parent).alias("__next"))
+    for _ in range(styles.count().bit_length() + 1):
+        out = checkpointed(out)
+        if out.filter("__next is not null").isEmpty():
+            break
+        up = out.select(F.col(key).alias("__k"), F.col("__next").alias("__further"), *[F.col(v).alias(f"__{v}") for v in values])
+        out = out.join(up, F.col("__next") == F.col("__k"), "left").select(key, parent, *[F.coalesce(v, f"__{v}").alias(v) for v in values], F.col("__further").alias("__next"))
     return out.select(key, parent, *values)

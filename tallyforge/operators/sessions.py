@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +39,28 @@ def visitors(visits: DataFrame, key: str, started: str = "started") -> DataFrame
 
 
 def rate_limited(hits: DataFrame, key: str, ts: str, tie: str, limit: int, seconds: int) -> DataFrame:
-    """hits with window_start, count_in_window and allowed, for windows that open at a key's first hit after the last one's end.
+    """(tie, key, window_start, count_in_window, allowed) of each hit, for windows that open at a key's first hit after the
+    last one's end. A hit just at the end still counts in a window.
 
-    A hit opens a window if the last window's end lies before it (a hit just at the end still counts there). This is a fold
-    over a key's hits in order; each key's hits are folded as one array.
+    Hits are sorted by key and time within their partition, and a task walks over them with the window of one key in hand,
+    so a key's hits are never held together. Of hits at one instant the smaller tie comes first. Hits without a key are one key.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(tie).alias("id")))).alias("own"))
+    rows = hits.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie"), F.col(key).alias("key"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     span = seconds * 1_000_000
-    start = "named_struct('t', cast(null as bigint), 'n', 0, 'out', cast(array() as array<struct<id: bigint, w: bigint, n: int>>))"
-    step = (
-        f"(s, x) -> if(s.t is null or s.t + {span} < x.t, "
-        "named_struct('t', x.t, 'n', 1, 'out', array_append(s.out, named_struct('id', x.id, 'w', x.t, 'n', 1))), "
-        "named_struct('t', s.t, 'n', s.n + 1, 'out', array_append(s.out, named_struct('id', x.id, 'w', s.t, 'n', s.n + 1))))"
-    )
-    folded = own.select(key, F.explode(F.expr(f"aggregate(own, {start}, {step}).out")).alias("x"))
-    return folded.select(F.col("x.id").alias(tie), key, F.timestamp_micros("x.w").cast("timestamp_ntz").alias("window_start"), F.col("x.n").alias("count_in_window"), (F.col("x.n") <= limit).alias("allowed"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, n = object(), 0, 0
+        for batch in batches:
+            starts, counts = [], []
+            for t, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != key or start + span < t:
+                    key, start, n = own, t, 0
+                n += 1
+                starts.append(start)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(starts, pa.int64()), pa.array(counts, pa.int32())], ["tie", "key", "w", "n"])
+
+    ordered = rows.filter("t is not null").repartition("key").sortWithinPartitions("key", "t", "tie")
+    walked = ordered.mapInArrow(walk, f"tie {kinds['tie']}, key {kinds['key']}, w long, n int")
+    return walked.select(F.col("tie").alias(tie), F.col("key").alias(key), F.timestamp_micros("w").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("count_in_window"), (F.col("n") <= limit).alias("allowed"))

@@ -56,12 +56,12 @@ def bounds(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(x).alias("min_x"), F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"))
 
 
-def running_lines(df: DataFrame, doc: str, page: str, line: str) -> DataFrame:
-    """(doc, masked, n): lines that stand on half of a document's pages or more (two at least), digits as #."""
+def running_lines(df: DataFrame, doc: str, page: str, line: str, share: float = 0.5) -> DataFrame:
+    """(doc, masked, n): lines that stand on `share` of a document's pages or more (two at least), digits as #."""
     masked = df.select(doc, page, F.regexp_replace(F.trim(line), "[0-9]+", "#").alias("masked")).filter("masked <> ''")
     pages = df.groupBy(doc).agg(F.countDistinct(page).alias("__pages"))
     counts = masked.groupBy(doc, "masked").agg(F.countDistinct(page).alias("n"))
-    return counts.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("__pages") / 2))).drop("__pages")
+    return counts.join(pages, doc).filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("__pages") * share))).drop("__pages")
 
 
 def sessions_by_gap(df: DataFrame, keys: list[str], order: str, joined, name: str = "segment") -> DataFrame:

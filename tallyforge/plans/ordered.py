@@ -24,11 +24,11 @@ def floor_percentile(spark, sf):
     return O.floor_percentile(table(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.97, "p97")
 
 
-@query("""WITH w AS (SELECT l_suppkey, l_quantity, sum(l_linenumber) AS w, min(l_orderkey) AS f FROM lineitem GROUP BY ALL)
+@query("""WITH w AS (SELECT l_suppkey, l_quantity, sum(l_linenumber) AS w, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, l_quantity AS mode FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, f, l_quantity DESC) AS k FROM w) WHERE k = 1""")
 def weighted_mode(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.sum("l_linenumber").alias("w"), F.min("l_orderkey").alias("f"))
-    return rows.groupBy("l_suppkey").agg(F.max_by("l_quantity", F.struct("w", -F.col("f"), "l_quantity")).alias("mode"))
+    rows = table(spark, sf, "lineitem").withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return O.weighted_mode(rows, ["l_suppkey"], "l_quantity", "l_linenumber", "seq")
 
 
 @query("""WITH v AS (SELECT p_brand, p_retailprice, count(*) AS c FROM part GROUP BY ALL), g AS (SELECT *, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) <= 2 THEN 0 ELSE 1 END AS fresh FROM v),
@@ -39,11 +39,11 @@ def gap_clusters(spark, sf):
     return out.select("p_brand", "first", F.round("mean", 4).alias("mean"), "size")
 
 
-@query("""WITH c AS (SELECT l_suppkey, greatest(l_quantity * 20, 100.0) AS b, max(least(l_quantity * 20 + l_discount * 100, 900.0)) AS e FROM lineitem WHERE l_orderkey % 50 = 0 AND least(l_quantity * 20 + l_discount * 100, 900.0) > greatest(l_quantity * 20, 100.0) GROUP BY ALL),
+@query("""WITH c AS (SELECT l_suppkey, greatest(l_quantity * 20, 100.0) AS b, max(least(l_quantity * 20 + l_discount * 100, 900.0)) AS e FROM lineitem WHERE least(l_quantity * 20 + l_discount * 100, 900.0) > greatest(l_quantity * 20, 100.0) GROUP BY ALL),
 f AS (SELECT l_suppkey, greatest(0.0, e - greatest(b, coalesce(max(e) OVER (PARTITION BY l_suppkey ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b))) AS x FROM c)
 SELECT l_suppkey, round(sum(x) / 800, 6) AS covered FROM f GROUP BY 1""")
 def interval_coverage(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey % 50 = 0").select("l_suppkey", (F.col("l_quantity") * 20).alias("b"), (F.col("l_quantity") * 20 + F.col("l_discount") * 100).alias("e"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") * 20).alias("b"), (F.col("l_quantity") * 20 + F.col("l_discount") * 100).alias("e"))
     return O.coverage(rows, ["l_suppkey"], "b", "e", 100.0, 900.0).select("l_suppkey", F.round("covered", 6).alias("covered"))
 
 
@@ -53,12 +53,10 @@ def bounding_boxes(spark, sf):
 
 
 @query("""WITH m AS (SELECT source, doc_id, regexp_replace(trim(split_part(text, chr(10), 1)), '[0-9]+', '#', 'g') AS masked FROM documents WHERE trim(split_part(text, chr(10), 1)) <> ''), p AS (SELECT source, count(DISTINCT doc_id) AS p FROM documents GROUP BY 1)
-SELECT source, masked, count(DISTINCT doc_id) AS n FROM m JOIN p USING (source) GROUP BY source, masked, p HAVING n >= greatest(2, ceil(p / 25.0))""")
+SELECT source, masked, count(DISTINCT doc_id) AS n FROM m JOIN p USING (source) GROUP BY source, masked, p HAVING n >= greatest(2, ceil(p * 0.04))""")
 def repeated_first_lines(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
-    masked = docs.select("source", "doc_id", F.regexp_replace(F.trim("line"), "[0-9]+", "#").alias("masked")).filter("masked <> ''")
-    pages = docs.groupBy("source").agg(F.countDistinct("doc_id").alias("p"))
-    return masked.groupBy("source", "masked").agg(F.countDistinct("doc_id").alias("n")).join(pages, "source").filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("p") / 25.0))).drop("p")
+    return O.running_lines(docs, "source", "doc_id", "line", 0.04)
 
 
 @query("""SELECT 'de' AS term, sum(len(string_split(lower(text), 'de')) - 1)::BIGINT AS n FROM documents UNION ALL SELECT 'the', sum(len(string_split(lower(text), 'the')) - 1)::BIGINT FROM documents UNION ALL SELECT 'license', sum(len(string_split(lower(text), 'license')) - 1)::BIGINT FROM documents""")
@@ -141,9 +139,9 @@ def ordered_union(spark, sf):
     return R.ordered_union(table(spark, sf, "nation").select(F.col("n_name").alias("name")), table(spark, sf, "region").select(F.col("r_name").alias("name")))
 
 
-@query("SELECT k, coalesce(c_name, s_name) AS name FROM (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT s_suppkey AS k, s_name FROM supplier) USING (k)")
+@query("SELECT k, coalesce(c_name, s_name) AS name FROM (SELECT c_custkey * 3 AS k, c_name FROM customer) FULL JOIN (SELECT s_suppkey AS k, s_name FROM supplier) USING (k)")
 def union_distinct(spark, sf):
-    first = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    first = table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("k"), F.col("c_name").alias("name"))
     return R.union_distinct(first, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), "k")
 
 
@@ -179,11 +177,10 @@ def bounded_lists(spark, sf):
     return own.select("conv_id", F.slice("roles", 1, 3).alias("kept"), (F.size("roles") <= 3).alias("accepted"))
 
 
-@query("SELECT user_id, list(event_type ORDER BY ts)[1] AS a, list(value ORDER BY ts)[1] AS b FROM events GROUP BY 1")
+@query("SELECT user_id, list(event_type ORDER BY ts, event_type, value)[1] AS a, list(value ORDER BY ts, event_type, value)[1] AS b FROM events GROUP BY 1")
 def positional_zip(spark, sf):
-    own = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_type", "value"))).alias("x"))
-    zipped = own.select("user_id", F.arrays_zip(F.transform("x", lambda r: r["event_type"]).alias("a"), F.transform("x", lambda r: r["value"]).alias("b")).alias("z"))
-    return zipped.select("user_id", F.col("z")[0]["a"].alias("a"), F.col("z")[0]["b"].alias("b"))
+    first = F.min(F.struct("ts", "event_type", "value")).alias("x")
+    return table(spark, sf, "events").groupBy("user_id").agg(first).select("user_id", F.col("x.event_type").alias("a"), F.col("x.value").alias("b"))
 
 
 @query("""WITH RECURSIVE up AS (SELECT n_nationkey AS id, n_nationkey AS here, CASE WHEN n_nationkey % 4 = 0 THEN n_name END AS v, 0 AS d FROM nation
@@ -192,4 +189,4 @@ SELECT id, max(v) AS v FROM up GROUP BY 1""")
 def style_inheritance(spark, sf):
     k = F.col("n_nationkey")
     styles = table(spark, sf, "nation").select(k.alias("id"), F.when(k > 0, k - 1).alias("parent"), F.when(k % 4 == 0, F.col("n_name")).alias("v"))
-    return R.inherited(styles, "id", "parent", ["v"], depth=4).select("id", "v")
+    return R.inherited(styles, "id", "parent", ["v"]).select("id", "v")

@@ -99,17 +99,17 @@ def opinion_pick(spark, sf):
     return own.select("conv_id", F.coalesce(X.pick_opinion(F.col("o")), F.lit(-1)).alias("opinion"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(trim(text)) > 2000 THEN 'plain' WHEN length(trim(text)) > 200 THEN 'html' ELSE '' END AS field FROM documents WHERE NOT regexp_matches(text, '^\s|\s$')""")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(trim(text)) > 2000 THEN 'plain' WHEN length(trim(text)) > 200 THEN 'html' ELSE '' END AS field FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents)""")
 def field_priority(spark, sf):
-    docs = table(spark, sf, "documents").filter(~F.col("text").rlike(r"^\s|\s$"))
+    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     picked = docs.select("doc_id", "text", F.when((F.col("doc_id") % 2 == 0) & (F.length("text") > 2000), F.col("text")).alias("plain"), F.concat(F.lit("<b>html</b>"), F.col("text")).alias("html"), F.length("text").alias("n"))
     body = S.first_long([("plain", True), ("html", False)], 200)
     return picked.select("doc_id", F.when(F.col("plain").isNotNull() & (F.length(body) > 0), "plain").when(F.col("n") > 200, F.when(body.startswith("html"), "html")).otherwise("").alias("field"))
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE text <> '' AND doc_id % 7 = 3) WHERE k <= 5")
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE text <> '') WHERE k <= 5")
 def first_five_named(spark, sf):
-    return table(spark, sf, "documents").filter("text <> '' and doc_id % 7 = 3").orderBy("doc_id").limit(5).select("doc_id", "text")
+    return table(spark, sf, "documents").filter("text <> ''").orderBy("doc_id").limit(5).select("doc_id", "text")
 
 
 #: DuckDB: the sentences of {text} on one line. Ends are marked by chr(1), then unmarked after abbreviations, which may follow each other.
@@ -169,3 +169,13 @@ def parsed_resumes(spark, sf):
     rows = parsed(table(spark, sf, "documents").select("doc_id", sections.alias("t")), "t", "doc_id", "r")
     job, school = F.get("r.experience", F.lit(0)), F.get("r.education", F.lit(0))
     return rows.select("doc_id", "r.name", "r.title", job["role"].alias("role"), job["company"].alias("company"), job["start"].alias("began"), job["end"].alias("ended"), F.array_join(job["bullets"], " ").alias("bullet"), school["school"].alias("school"), school["degree"].alias("degree"), school["field"].alias("field"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, base64(encode(lang)) AS lang64, hex(encode(source)) AS source_hex FROM documents")
+def digests(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.base64(F.encode("lang", "UTF-8")).alias("lang64"), F.hex(F.encode("source", "UTF-8")).alias("source_hex"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice / 7 * 10 + 0.5) / 10 AS rounded FROM lineitem")
+def half_up_rounding(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.half_up(F.col("l_extendedprice") / 7, 1).alias("rounded"))
