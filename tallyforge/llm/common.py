@@ -44,20 +44,33 @@ def remove_path(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
     """Shuffle files go when the query that made them has ended, and not only when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the queries within, and what they were before after them."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession):
+    """Batches of 1,000 rows to Python, each of which stands in the JVM, on the way and in the worker at once."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path

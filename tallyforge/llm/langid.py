@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, per_worker, release_memory
+from .common import keyed, per_worker, release_memory, small_batches
 
 #: Scale of a character's probability in the forward sums: they stay near 1, whatever a word's length.
 PER_CHAR = 16.0
@@ -264,7 +264,9 @@ def train(rows: DataFrame, path: str, rounds: int = 1, shared: float = 0.05, gue
     chance = np.repeat(start[:, None], max(1, len(languages)), axis=1)
     for _ in range(rounds if languages else 0):
         given = chance
-        sums = rows.mapInArrow(lambda it: _expect(it, path, languages, given, held_words), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        sums = rows.mapInArrow(lambda it: _expect(it, path, languages, given, held_words), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        with small_batches(sums.sparkSession):
+            sums = sums.toPandas()
         counts = np.zeros_like(chance)
         counts[sums["piece"], sums["lang"]] = sums["n"]
         counts[-1] = 0

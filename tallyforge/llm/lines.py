@@ -94,17 +94,21 @@ def keys_of(words: Column, table: bytes, bits: int) -> Column:
 
 
 def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> DataFrame:
-    """(doc_id, row, line_no, h1, h2, n, parity, prefix): what the join needs of each line."""
+    """(doc_id, row, line_no, h1, h2, n, p1, p2, prefix): what the join needs of each line. p1 and p2 have 128 bits, each the parity of the words that seven bits of their keys send there."""
     a, b = least.numerator, least.denominator
     rows = lines.select(*PLACE, keys_of(F.col("words"), table, bits).alias("keys"))
     n = F.size("keys")
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(side: int) -> Column:
+        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - side))
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", own(k).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
     size = F.expr(f"size(keys) - ({a} * size(keys) + {b - 1}) div {b} + 2").cast("int")
-    return rows.select(*PLACE, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity.alias("parity"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
+    return rows.select(*PLACE, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity(0).alias("p1"), parity(1).alias("p2"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
 
 
 def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
-    """(key, place, n, pos, parity): where to look a set up.
+    """(key, place, n, pos, p1, p2): where to look a set up.
 
     By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
     word that two similar sets share is hot, so is the second, and both stand there; they share two, as sets that share one
@@ -118,7 +122,7 @@ def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
     pairs = "flatten(transform(sequence(cold + 1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), j -> named_struct('key', xxhash64(element_at(prefix, i), element_at(prefix, j)), 'pos', i - 1))))"
     none = "cast(array() as array<struct<key: bigint, pos: int>>)"
     entry = F.expr(f"concat(if(least(p, cold) > 0, {singles}, {none}), if(size(prefix) - cold > 1, {pairs}, {none}))")
-    return out.select(*PLACE, "n", "parity", F.explode(entry).alias("e")).select("e.key", *PLACE, "n", "e.pos", "parity")
+    return out.select(*PLACE, "n", "p1", "p2", F.explode(entry).alias("e")).select("e.key", *PLACE, "n", "e.pos", "p1", "p2")
 
 
 def _alike(x: str, y: str, least: Fraction) -> Column:
@@ -126,7 +130,8 @@ def _alike(x: str, y: str, least: Fraction) -> Column:
     a, b = least.numerator, least.denominator
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     sizes = (b * nx >= a * ny) & (b * ny >= a * nx)
-    return sizes & ((a + b) * F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= (b - a) * (nx + ny))
+    bits = [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ("p1", "p2")]
+    return sizes & ((a + b) * (bits[0] + bits[1]) <= (b - a) * (nx + ny))
 
 
 def may_match(x: str, y: str, least: Fraction) -> Column:
@@ -143,7 +148,7 @@ def at_place(doc: str, row: str, line: str, other: tuple[str, str, str] = PLACE)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows: int) -> DataFrame:
-    """Of pairs (place, place of the earlier line, ...) those whose sets of words, made anew from the texts, are similar; one for each line.
+    """Of pairs (place, place of the earlier line, ...) those whose sets of words, made anew from the texts as 64-bit hashes, are similar; one for each line.
 
     The lines are looked up in the texts by broadcast if a count shows no more than `broadcast_rows`, else by a join.
     """
@@ -157,12 +162,12 @@ def verified(pairs: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows:
     rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.col("row") == F.col("d_row")), "left_semi")
     rows = rows.select("doc_id", "row", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
     rows = rows.join(side, at_place("w_doc", "w_row", "w_line"), "left_semi")
-    sets = materialise(rows.select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words")).dropDuplicates(PLACE), "sets")
+    sets = materialise(rows.select(*PLACE, F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(PLACE), "sets")
     left, right = sets.toDF("l_doc", "l_row", "l_line", "l_words"), sets.toDF("r_doc", "r_row", "r_line", "r_words")
     both = pairs.join(left, at_place("l_doc", "l_row", "l_line")).join(right, at_place("r_doc", "r_row", "r_line", OF))
     shared = F.size(F.array_intersect("l_words", "r_words"))
     found = both.filter((a + b) * shared >= a * (F.size("l_words") + F.size("r_words")))
-    out = materialise(found.groupBy(*PLACE).agg(F.min(F.struct(*OF, "n", "parity")).alias("x")).select(*PLACE, "x.*"), "settled")
+    out = materialise(found.groupBy(*PLACE).agg(F.min(F.struct(*OF, "n", "p1", "p2")).alias("x")).select(*PLACE, "x.*"), "settled")
     forget(wanted)
     forget(sets)
     return out
@@ -175,7 +180,7 @@ def without(rows: DataFrame, settled: DataFrame, broadcast_rows: int) -> DataFra
 
 
 def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
-    """(place, place of an earlier line): sets that an earlier set is similar to, with one such set.
+    """(place, place of an earlier line): sets that an earlier set is similar to, with one such set. The written table `sets` goes.
 
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
@@ -184,26 +189,27 @@ def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD,
     hot_class = max(HOT_CLASS, round(math.log2(docs.count() + 1)) - 8)
     of_key = Window.partitionBy("key")
     own = postings(sets, least, hot_class).repartition("key")
-    head = F.min(F.struct(*PLACE, "n", "pos", "parity")).over(of_key)
+    head = F.min(F.struct(*PLACE, "n", "pos", "p1", "p2")).over(of_key)
     crowded = materialise(own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1"), "crowded")
-    rows = crowded.select(F.struct(*PLACE, "n", "pos", "parity").alias("y"), "x")
+    forget(sets)
+    rows = crowded.select(F.struct(*PLACE, "n", "pos", "p1", "p2").alias("y"), "x")
     of = [F.col(f"x.{c}").alias(name) for c, name in zip(PLACE, OF)]
     place = [F.col(f"y.{c}").alias(c) for c in PLACE]
-    first = materialise(rows.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.parity").distinct(), "candidates")
+    first = materialise(rows.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.p1", "x.p2").distinct(), "candidates")
     settled = verified(first, docs, least, broadcast_rows)
 
-    of_head = settled.select(*(F.col(c).alias(f"h_{c}") for c in PLACE), F.struct(*(F.col(o).alias(c) for o, c in zip(OF, PLACE)), "n", "parity").alias("z"))
+    of_head = settled.select(*(F.col(c).alias(f"h_{c}") for c in PLACE), F.struct(*(F.col(o).alias(c) for o, c in zip(OF, PLACE)), "n", "p1", "p2").alias("z"))
     of_head = F.broadcast(of_head) if settled.count() <= broadcast_rows else of_head
-    heads = without(crowded, settled, broadcast_rows).select(F.struct(*PLACE, "n", "parity").alias("y"), "x.doc_id", "x.row", "x.line_no")
+    heads = without(crowded, settled, broadcast_rows).select(F.struct(*PLACE, "n", "p1", "p2").alias("y"), "x.doc_id", "x.row", "x.line_no")
     through = heads.join(of_head, at_place("h_doc_id", "h_row", "h_line_no")).filter(_alike("z", "y", least))
-    through = through.select(*place, *(F.col(f"z.{c}").alias(name) for c, name in zip(PLACE, OF)), "z.n", "z.parity").distinct()
+    through = through.select(*place, *(F.col(f"z.{c}").alias(name) for c, name in zip(PLACE, OF)), "z.n", "z.p1", "z.p2").distinct()
     through = materialise(through, "candidates")
     more = verified(through, docs, least, broadcast_rows)
 
     settled = materialise(settled.union(more), "settled")
-    several = crowded.filter("times > 2").drop("x", "times")
+    several = crowded.filter("times > 2").drop("x", "times").repartition("key")
     rest = without(several, settled, broadcast_rows).alias("y").join(several.alias("x"), F.col("y.key") == F.col("x.key"))
-    second = materialise(rest.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.parity").distinct(), "candidates")
+    second = materialise(rest.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.p1", "x.p2").distinct(), "candidates")
     forget(crowded)
     last = verified(second, docs, least, broadcast_rows)
     return settled.union(last).select(*PLACE, *OF)
@@ -223,12 +229,12 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     lines = lines_of(docs)
     table, bits = rarity(docs)
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
-    head = F.min(F.struct(*PLACE, "n", "parity", "prefix")).alias("x")
+    head = F.min(F.struct(*PLACE, "n", "p1", "p2", "prefix")).alias("x")
     sets = materialise(keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*"), "sets")
     places = materialise(keyed.select(*PLACE, "h1", "h2"), "places")
     forget(keyed)
+    heads = materialise(sets.select("h1", "h2", "times", *(F.col(c).alias(f"s_{c}") for c in PLACE)), "heads")
     similar = materialise(similar_sets(sets, docs, least, broadcast_rows), "similar")
-    heads = sets.select("h1", "h2", "times", *(F.col(c).alias(f"s_{c}") for c in PLACE))
     matched = similar.toDF("m_doc", "m_row", "m_line", *OF)
     marked = heads.join(matched, at_place("m_doc", "m_row", "m_line", ("s_doc_id", "s_row", "s_line_no")), "left").filter("times > 1 or of_line is not null")
     marked = marked.select("h1", "h2", *(f"s_{c}" for c in PLACE), *OF)
@@ -236,7 +242,7 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     gone = found.filter(~at_place("s_doc_id", "s_row", "s_line_no") | F.col("of_line").isNotNull())
     of = F.when(F.col("of_line").isNotNull(), F.struct(*OF)).otherwise(F.struct(*(F.col(f"s_{c}").alias(o) for c, o in zip(PLACE, OF))))
     gone = materialise(gone.select(*PLACE, of.alias("of")).select(*PLACE, "of.*").distinct(), "repeated")
-    for done in (sets, places, similar):
+    for done in (heads, places, similar):
         forget(done)
     return gone
 
