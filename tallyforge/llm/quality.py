@@ -76,49 +76,44 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measure, MEASURES)
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 100, prior: float = 2.0, accuracy: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
-    """(P(good) of each vote pattern, P(vote | class) as (class, rule, vote)) by expectation-maximisation.
-
-    Faults seldom come together, so votes alone would be explained best by one fault as the bad class and the others as
-    quirks of good texts. Hence the posteriors are regularised: each rule's votes for bad must be right in `accuracy` of
-    the cases, in expectation, and so must silence: a text that no rule votes against is good as often. A rule that falls
-    short gets a weight that is added to the odds of the texts it speaks on.
+def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 1000, shrink: float = 0.001, start: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(good) of each vote pattern, P(a vote is against | class, rule), P(class)) by expectation-maximisation; class 0 is bad.
+
+    Texts are of two classes, in which each rule votes against by a rate of its own; an abstention says nothing. All rates
+    are estimated from how the rules agree. They start from the votes: a text that no rule votes against is good by
+    `start`, each vote against quarters its chance. `shrink` of all texts pull both rates of a rule to its overall rate, so
+    a rule whose votes against stand alone counts for little, and the others may outvote it. The class of more votes
+    against is the bad one.
     """
     votes = patterns[:, None] // 3 ** np.arange(rules) % 3
-    one_hot = (votes[:, :, None] == np.arange(3)).astype(float)
-    against = one_hot[:, :, BAD]
-    mass, clear = against.T @ counts, ~against.any(1)
-    good = np.clip(0.95 - 0.9 * (votes == BAD).any(1), 0.05, 0.95)
-    extra = np.zeros(rules)
-    logit = np.log(accuracy / (1 - accuracy))
+    against, favour = (votes == BAD).astype(float), (votes == GOOD).astype(float)
+    pull = shrink * counts.sum()
+    overall = (counts @ against + 1e-3) / (counts @ (against + favour) + 2e-3)
+    good = np.where(against.any(1), 0.25 ** against.sum(1), start)
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
-        chance = (np.einsum("cp,prv->crv", weight, one_hot) + prior) / (weight.sum(1) + 3 * prior)[:, None, None]
-        log = np.einsum("prv,crv->cp", one_hot, np.log(chance)) + np.log((weight.sum(1) + prior) / (counts.sum() + 2 * prior))[:, None]
-        before = good
-        for _ in range(20):
-            good = 1 / (1 + np.exp(np.clip(log[0] - log[1] + against @ extra, -500, 500)))
-            good = np.where(clear, np.maximum(good, accuracy), good)
-            right = np.clip((against.T @ ((1 - good) * counts)) / np.maximum(mass, 1e-9), 1e-6, 1 - 1e-6)
-            step = np.where(mass > 0, logit - np.log(right / (1 - right)), 0.0)
-            extra, last = np.maximum(0.0, extra + 0.5 * step), extra
-            if np.abs(extra - last).max() < 1e-4:
-                break
-        if (np.abs(good - before) * counts).sum() < 1e-7 * counts.sum():
+        rate = (weight @ against + pull * overall) / (weight @ (against + favour) + pull)
+        share = (weight.sum(1) + pull / 2) / (counts.sum() + pull)
+        odds = np.log(share[1] / share[0]) + against @ np.log(rate[1] / rate[0]) + favour @ np.log((1 - rate[1]) / (1 - rate[0]))
+        before, good = good, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if (np.abs(good - before) * counts).sum() < 1e-9 * counts.sum():
             break
-    return good, chance
+    if rate[0].sum() < rate[1].sum():
+        good, rate, share = 1 - good, rate[::-1], share[::-1]
+    return good, rate, share
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The measures of each document with base_failed, quality (posterior probability of being good) and kept.
 
-    Estimates come from the counts of vote patterns over all documents, at most 3^10 whatever the input. base_failed:
-    under 50 words, or over half of them in repeated windows; such documents aren't kept. A null or empty text counts
+    Estimates come from the counts of vote patterns over all documents that the base rules pass, at most 3^10 whatever the
+    input. base_failed: under 50 words, or over half of them in repeated windows; such documents aren't kept, and have quality 0. A null or empty text counts
     as no words: one vote against it, none for it. Repeated rows each get their row; an empty table gives none.
     """
-    own = materialise(measures(docs), "measures")
-    table = own.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
-    good, _ = posteriors(table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float), len(RULES)) if len(table) else (np.zeros(0), None)
-    known = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"pattern": table["pattern"].astype("int32"), "quality": np.asarray(good, float)}), "pattern int, quality double"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return own.join(known, "pattern").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))
+    own = materialise(measures(docs).withColumn("base_failed", failed), "measures")
+    table = own.filter(~F.col("base_failed")).groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
+    good = posteriors(table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float), len(RULES))[0] if len(table) else np.zeros(0)
+    known = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"pattern": table["pattern"].astype("int32"), "quality": np.asarray(good, float)}), "pattern int, quality double"))
+    judged = own.join(known, "pattern", "left").withColumn("quality", F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

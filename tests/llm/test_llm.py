@@ -308,21 +308,52 @@ def test_measures_match_brute_force(docs, empty):
     assert not (got["base_failed"] & got["kept"]).any() and quality.judge(empty).count() == 0
 
 
-def test_accuracies_separate_faulty_texts():
-    """Texts with a fault that one rule sees are told from good ones, though faults never come together."""
-    rng, rules = np.random.default_rng(1), 6
-    votes, truth = [], []
-    for i in range(4000):
-        bad = i % 8 == 0
-        v = np.full(rules, quality.GOOD)
-        if bad:
-            v[rng.integers(3)] = quality.BAD
-        v[5] = quality.ABSTAIN if rng.random() < 0.5 else v[5]
-        votes.append(int((v * 3 ** np.arange(rules)).sum()))
-        truth.append(not bad)
-    patterns, at, counts = np.unique(votes, return_inverse=True, return_counts=True)
-    good, _ = quality.posteriors(patterns, counts.astype(float), rules)
-    assert ((good[at] >= 0.5) == np.array(truth)).mean() > 0.99
+def simulated(rates, n: int, seed: int, share_bad: float = 0.1, silent: float = 0.2):
+    """Votes of rules with rates (class, rule) against, as pattern numbers, and which texts are good."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) >= share_bad
+    against = rng.random((n, len(rates[0]))) < np.where(truth[:, None], rates[1], rates[0])
+    votes = np.where(rng.random(against.shape) < silent, quality.ABSTAIN, np.where(against, quality.BAD, quality.GOOD))
+    return votes, truth
+
+
+def test_rates_are_estimated_from_agreement():
+    rates = [[0.8, 0.6, 0.5, 0.7, 0.05], [0.02, 0.05, 0.1, 0.01, 0.05]]
+    votes, truth = simulated(rates, 20_000, 3)
+    patterns, at, counts = np.unique(votes @ 3 ** np.arange(5), return_inverse=True, return_counts=True)
+    good, rate, share = quality.posteriors(patterns, counts.astype(float), 5)
+    assert np.abs(rate - rates).max() < 0.06 and abs(share[0] - 0.1) < 0.02
+    assert ((good[at] >= 0.5) == truth).mean() > 0.97
+
+
+def test_posteriors_match_a_plain_loop_over_texts():
+    votes, _ = simulated([[0.9, 0.5, 0.3], [0.05, 0.1, 0.02]], 60, 4)
+    patterns, at, counts = np.unique(votes @ 3 ** np.arange(3), return_inverse=True, return_counts=True)
+    got, _, _ = quality.posteriors(patterns, counts.astype(float), 3, rounds=30)
+    pull, own = 0.001 * 60, [[v for v in row] for row in votes.tolist()]
+    overall = [(sum(r[j] == quality.BAD for r in own) + 1e-3) / (sum(r[j] != quality.ABSTAIN for r in own) + 2e-3) for j in range(3)]
+    p = [0.25 ** r.count(quality.BAD) if quality.BAD in r else 0.98 for r in own]
+    for _ in range(30):
+        weight = [[1 - x for x in p], p]
+        rate = [[(sum(w for w, r in zip(ws, own) if r[j] == quality.BAD) + pull * overall[j]) / (sum(w for w, r in zip(ws, own) if r[j] != quality.ABSTAIN) + pull) for j in range(3)] for ws in weight]
+        share = [(sum(ws) + pull / 2) / (60 + pull) for ws in weight]
+        like = [[s * math.prod(1 if v == quality.ABSTAIN else q if v == quality.BAD else 1 - q for v, q in zip(r, qs)) for s, qs in zip(share, rate)] for r in own]
+        p = [b / (a + b) for a, b in like]
+    assert np.allclose(got[at], p, atol=1e-6)
+
+
+def test_good_votes_outweigh_one_weak_vote(spark):
+    """Texts of signs are bad; one rule that also votes against plain texts now and then is outvoted there."""
+    rng = random.Random(3)
+    sentence = lambda: words(rng, 12).capitalize()
+    plain = ["\n".join(sentence() + "." for _ in range(12)) for _ in range(150)]
+    unfinished = ["\n".join(sentence() + " and" for _ in range(12)) for _ in range(2)]
+    junk = ["\n".join(sentence().replace(" ", "*** $ ") for _ in range(12)) for _ in range(25)]
+    rows = list(enumerate(plain + unfinished + junk))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    bad_votes = [(got["pattern"] // 3**j % 3 == quality.BAD).to_numpy() for j in range(len(quality.RULES))]
+    assert not got["base_failed"].any() and np.array(bad_votes).any(0)[got.index.isin([150, 151])].all()
+    assert got.loc[:151, "kept"].all() and not got.loc[152:, "kept"].any()
 
 
 # token counts
