@@ -77,8 +77,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """materialise(), in buckets by a column: joins and windows by it then read it where it lies. df should be dealt by the
+    key into as many partitions, so that each bucket is one file."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    name = f"{label}_{uuid.uuid4().hex}"
+    with shuffles_removed(spark), small_batches(spark):
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at, out.stored_as = path, name
+    return out
+
+
 def forget(df: DataFrame) -> None:
-    """Remove the files of a materialised frame that nothing reads any more."""
+    """Remove the files of a materialised or bucketed frame that nothing reads any more."""
+    if name := getattr(df, "stored_as", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     remove_path(df.sparkSession, df.stored_at)
 
 

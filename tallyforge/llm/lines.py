@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, broadcast_if_small, forget, materialise
+from .common import SEPARATORS, broadcast_if_small, bucketed, forget, materialise
 
 #: Bits of a word's hash that stay below its rarity class in a word's key.
 HASH_BITS = 57
@@ -94,7 +94,7 @@ def keys_of(words: Column, table: bytes, bits: int) -> Column:
 
 
 def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> DataFrame:
-    """(doc_id, row, line_no, h1, h2, n, p1, p2, prefix): what the join needs of each line. p1 and p2 have 128 bits, each the parity of the words that seven bits of their keys send there."""
+    """(place, h1, h2, n, p1, p2, prefix): what the join needs of each line. p1 and p2 have 128 bits, each the parity of the words that seven bits of their keys send there."""
     a, b = least.numerator, least.denominator
     rows = lines.select(*PLACE, keys_of(F.col("words"), table, bits).alias("keys"))
     n = F.size("keys")
@@ -108,7 +108,7 @@ def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> D
 
 
 def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
-    """(key, place, n, pos, p1, p2): where to look a set up.
+    """(key, sid, n, pos, p1, p2): where to look a set up.
 
     By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
     word that two similar sets share is hot, so is the second, and both stand there; they share two, as sets that share one
@@ -122,7 +122,7 @@ def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
     pairs = "flatten(transform(sequence(cold + 1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), j -> named_struct('key', xxhash64(element_at(prefix, i), element_at(prefix, j)), 'pos', i - 1))))"
     none = "cast(array() as array<struct<key: bigint, pos: int>>)"
     entry = F.expr(f"concat(if(least(p, cold) > 0, {singles}, {none}), if(size(prefix) - cold > 1, {pairs}, {none}))")
-    return out.select(*PLACE, "n", "p1", "p2", F.explode(entry).alias("e")).select("e.key", *PLACE, "n", "e.pos", "p1", "p2")
+    return out.select("sid", "n", "p1", "p2", F.explode(entry).alias("e")).select("e.key", "sid", "n", "e.pos", "p1", "p2")
 
 
 def _alike(x: str, y: str, least: Fraction) -> Column:
@@ -138,81 +138,76 @@ def may_match(x: str, y: str, least: Fraction) -> Column:
     """Whether set x of a posting comes before set y and can be similar: by sizes, places of the shared word and parities."""
     a, b = least.numerator, least.denominator
     nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-    earlier = F.struct(*(f"{x}.{c}" for c in PLACE)) < F.struct(*(f"{y}.{c}" for c in PLACE))
-    return _alike(x, y, least) & ((a + b) * F.least(nx - px, ny - py) >= a * (nx + ny)) & earlier
+    return _alike(x, y, least) & ((a + b) * F.least(nx - px, ny - py) >= a * (nx + ny)) & (F.col(f"{x}.sid") < F.col(f"{y}.sid"))
 
 
-def at_place(doc: str, row: str, line: str, other: tuple[str, str, str] = PLACE) -> Column:
-    """Equality of two places whose columns have different names."""
-    return F.col(other[0]).eqNullSafe(F.col(doc)) & (F.col(other[1]) == F.col(row)) & (F.col(other[2]) == F.col(line))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows: int) -> DataFrame:
-    """Of pairs (place, place of the earlier line, ...) those whose sets of words, made anew from the texts as 64-bit hashes, are similar; one for each line.
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows: int) -> DataFrame:
+    """(sid, of_sid, n, p1, p2): of pairs of such rows those whose sets of words, made anew from the texts as 64-bit hashes,
+    are similar; one for each sid. heads: (sid, place).
 
     The lines are looked up in the texts by broadcast if a count shows no more than `broadcast_rows`, else by a join.
     """
     a, b = least.numerator, least.denominator
-    wanted = materialise(pairs.select(*PLACE).union(pairs.select(*OF)).distinct(), "wanted")
-    side = wanted.toDF("w_doc", "w_row", "w_line")
+    wanted = pairs.select("sid").union(pairs.select("of_sid")).distinct()
+    wanted = materialise(heads.select("sid", *PLACE).join(wanted, "sid", "left_semi"), "wanted")
     few = wanted.count() <= broadcast_rows
-    side = F.broadcast(side) if few else side
+    side = wanted.toDF("w_sid", "w_doc", "w_row", "w_line")
     own = wanted.select(F.col("doc_id").alias("d_doc"), F.col("row").alias("d_row")).distinct()
-    own = F.broadcast(own) if few else own
+    side, own = (F.broadcast(side), F.broadcast(own)) if few else (side, own)
     rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.col("row") == F.col("d_row")), "left_semi")
     rows = rows.select("doc_id", "row", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
-    rows = rows.join(side, at_place("w_doc", "w_row", "w_line"), "left_semi")
-    sets = materialise(rows.select(*PLACE, F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(PLACE), "sets")
-    left, right = sets.toDF("l_doc", "l_row", "l_line", "l_words"), sets.toDF("r_doc", "r_row", "r_line", "r_words")
-    both = pairs.join(left, at_place("l_doc", "l_row", "l_line")).join(right, at_place("r_doc", "r_row", "r_line", OF))
-    shared = F.size(F.array_intersect("l_words", "r_words"))
-    found = both.filter((a + b) * shared >= a * (F.size("l_words") + F.size("r_words")))
-    out = materialise(found.groupBy(*PLACE).agg(F.min(F.struct(*OF, "n", "p1", "p2")).alias("x")).select(*PLACE, "x.*"), "settled")
+    rows = rows.join(side, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row") == F.col("w_row")) & (F.col("line_no") == F.col("w_line")))
+    # rows that are equal in doc_id and text give a line more than once
+    sets = materialise(rows.select(F.col("w_sid").alias("sid"), F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).dropDuplicates(["sid"]), "words")
+    both = pairs.join(sets.toDF("sid", "words"), "sid").join(sets.toDF("of_sid", "of_words"), "of_sid")
+    shared = F.size(F.array_intersect("words", "of_words"))
+    found = both.filter((a + b) * shared >= a * (F.size("words") + F.size("of_words")))
+    out = materialise(found.groupBy("sid").agg(F.min(F.struct("of_sid", "n", "p1", "p2")).alias("x")).select("sid", "x.*"), "settled")
     forget(wanted)
     forget(sets)
     return out
 
 
-def without(rows: DataFrame, settled: DataFrame, broadcast_rows: int) -> DataFrame:
-    done = settled.select(*PLACE).toDF("s_doc", "s_row", "s_line")
-    done = F.broadcast(done) if settled.count() <= broadcast_rows else done
-    return rows.join(done, at_place("s_doc", "s_row", "s_line"), "left_anti")
-
-
-def similar_sets(sets: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
-    """(place, place of an earlier line): sets that an earlier set is similar to, with one such set. The written table `sets` goes.
+def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
+    """(sid, of_sid): sets that an earlier set is similar to, with one such set. The written table `sets` goes.
 
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
-    for variants is the line that they all vary. Only what is left meets all earlier sets that share a key.
+    for variants is the line that they all vary. Only what is left meets all earlier sets that share a key. The postings
+    are written in buckets by key, so that this last join moves none of them.
     """
+
+    def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
+        done = settled.select(F.col("sid").alias("s_sid"))
+        done = F.broadcast(done) if settled.count() <= broadcast_rows else done
+        return rows.join(done, F.col("sid") == F.col("s_sid"), "left_anti")
+
+    spark = sets.sparkSession
     hot_class = max(HOT_CLASS, round(math.log2(docs.count() + 1)) - 8)
-    of_key = Window.partitionBy("key")
-    own = postings(sets, least, hot_class).repartition("key")
-    head = F.min(F.struct(*PLACE, "n", "pos", "p1", "p2")).over(of_key)
-    crowded = materialise(own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1"), "crowded")
+    of_key, parts = Window.partitionBy("key"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = postings(sets, least, hot_class).repartition(parts, "key")
+    head = F.min(F.struct("sid", "n", "pos", "p1", "p2")).over(of_key)
+    crowded = bucketed(own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1"), "key", parts, "crowded")
     forget(sets)
-    rows = crowded.select(F.struct(*PLACE, "n", "pos", "p1", "p2").alias("y"), "x")
-    of = [F.col(f"x.{c}").alias(name) for c, name in zip(PLACE, OF)]
-    place = [F.col(f"y.{c}").alias(c) for c in PLACE]
-    first = materialise(rows.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.p1", "x.p2").distinct(), "candidates")
-    settled = verified(first, docs, least, broadcast_rows)
+    rows = crowded.select(F.struct("sid", "n", "pos", "p1", "p2").alias("y"), "x")
+    columns = [F.col("y.sid").alias("sid"), F.col("x.sid").alias("of_sid"), "x.n", "x.p1", "x.p2"]
+    first = materialise(rows.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
+    settled = verified(first, heads, docs, least, broadcast_rows)
 
-    of_head = settled.select(*(F.col(c).alias(f"h_{c}") for c in PLACE), F.struct(*(F.col(o).alias(c) for o, c in zip(OF, PLACE)), "n", "p1", "p2").alias("z"))
+    of_head = settled.select(F.col("sid").alias("h_sid"), F.struct(F.col("of_sid").alias("sid"), "n", "p1", "p2").alias("z"))
     of_head = F.broadcast(of_head) if settled.count() <= broadcast_rows else of_head
-    heads = without(crowded, settled, broadcast_rows).select(F.struct(*PLACE, "n", "p1", "p2").alias("y"), "x.doc_id", "x.row", "x.line_no")
-    through = heads.join(of_head, at_place("h_doc_id", "h_row", "h_line_no")).filter(_alike("z", "y", least))
-    through = through.select(*place, *(F.col(f"z.{c}").alias(name) for c, name in zip(PLACE, OF)), "z.n", "z.p1", "z.p2").distinct()
-    through = materialise(through, "candidates")
-    more = verified(through, docs, least, broadcast_rows)
+    y = without(crowded, settled).select(F.struct("sid", "n", "p1", "p2").alias("y"), F.col("x.sid").alias("x_sid"))
+    through = y.join(of_head, F.col("x_sid") == F.col("h_sid")).filter(_alike("z", "y", least))
+    through = materialise(through.select(F.col("y.sid").alias("sid"), F.col("z.sid").alias("of_sid"), "z.n", "z.p1", "z.p2").distinct(), "candidates")
+    more = verified(through, heads, docs, least, broadcast_rows)
 
     settled = materialise(settled.union(more), "settled")
-    several = crowded.filter("times > 2").drop("x", "times").repartition("key")
-    rest = without(several, settled, broadcast_rows).alias("y").join(several.alias("x"), F.col("y.key") == F.col("x.key"))
-    second = materialise(rest.filter(may_match("x", "y", least)).select(*place, *of, "x.n", "x.p1", "x.p2").distinct(), "candidates")
+    several = crowded.filter("times > 2").drop("x", "times")
+    rest = without(several, settled).alias("y").join(several.alias("x").hint("merge"), F.col("y.key") == F.col("x.key"))
+    second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
     forget(crowded)
-    last = verified(second, docs, least, broadcast_rows)
-    return settled.union(last).select(*PLACE, *OF)
+    last = verified(second, heads, docs, least, broadcast_rows)
+    return settled.union(last).select("sid", "of_sid")
 
 
 def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
@@ -221,8 +216,8 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     Lines are the parts of a text between \\n, counted from 0, words the runs of [^\\x20\\x09-\\x0D]; a line without words is
     never removed, so a null or empty text loses nothing. least: over 1/2. A null doc_id comes before all others. Rows
     that share a doc_id, or lack one, come in the order of a hash of their texts. Rows equal in both are one document whose
-    equal places are ties: none goes for another. Words are compared by 57 bits of a hash to find pairs, and as they are
-    to confirm them.
+    equal places are ties: none goes for another. Words are compared by 57 bits of a hash to find pairs, and by 64 bits to
+    confirm them.
     """
     if not Fraction(1, 2) < least <= 1:
         raise ValueError("the threshold must be over 1/2")
@@ -230,16 +225,21 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     table, bits = rarity(docs)
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
     head = F.min(F.struct(*PLACE, "n", "p1", "p2", "prefix")).alias("x")
-    sets = materialise(keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*"), "sets")
+    sets = keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*")
+    # numbers that rise with the place: ranges in order, sorted within
+    sets = materialise(sets.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("sid", F.monotonically_increasing_id()), "sets")
     places = materialise(keyed.select(*PLACE, "h1", "h2"), "places")
     forget(keyed)
-    heads = materialise(sets.select("h1", "h2", "times", *(F.col(c).alias(f"s_{c}") for c in PLACE)), "heads")
-    similar = materialise(similar_sets(sets, docs, least, broadcast_rows), "similar")
-    matched = similar.toDF("m_doc", "m_row", "m_line", *OF)
-    marked = heads.join(matched, at_place("m_doc", "m_row", "m_line", ("s_doc_id", "s_row", "s_line_no")), "left").filter("times > 1 or of_line is not null")
+    heads = materialise(sets.select("sid", "h1", "h2", "times", *PLACE), "heads")
+    similar = materialise(similar_sets(sets, heads, docs, least, broadcast_rows), "similar")
+    of = heads.select(F.col("sid").alias("of_sid"), *(F.col(c).alias(o) for c, o in zip(PLACE, OF)))
+    matched = similar.join(of, "of_sid").select("sid", *OF)
+    own = heads.select("sid", "h1", "h2", "times", *(F.col(c).alias(f"s_{c}") for c in PLACE))
+    marked = own.join(matched, "sid", "left").filter("times > 1 or of_line is not null")
     marked = marked.select("h1", "h2", *(f"s_{c}" for c in PLACE), *OF)
     found = places.join(marked, ["h1", "h2"])
-    gone = found.filter(~at_place("s_doc_id", "s_row", "s_line_no") | F.col("of_line").isNotNull())
+    is_head = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("row") == F.col("s_row")) & (F.col("line_no") == F.col("s_line_no"))
+    gone = found.filter(~is_head | F.col("of_line").isNotNull())
     of = F.when(F.col("of_line").isNotNull(), F.struct(*OF)).otherwise(F.struct(*(F.col(f"s_{c}").alias(o) for c, o in zip(PLACE, OF))))
     gone = materialise(gone.select(*PLACE, of.alias("of")).select(*PLACE, "of.*").distinct(), "repeated")
     for done in (heads, places, similar):
