@@ -35,27 +35,32 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models and curve from labelled rows that are not held out, scores of all whole texts. Null and empty texts score as no evidence."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs.filter(third() != 1), table(spark, sf_dir, "labels").filter(third() != 1))
     return toxicity.score(docs, model, threshold=0.7).select("doc_id", (third() == 1).alias("held_out"), "score", "predicted")
 
 
 def op4_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from rows that are not held out, predicted for all. Null and letterless texts are und."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
     return langid.predict(docs, model).select("doc_id", (third() == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op5_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back by byte ranges. A null html is an empty payload; rows that repeat in full each get a record."""
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, base rules and posterior of every document; a null text has no words."""
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles of all documents, linked at three differing bits; texts without words are linked as zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, limit=3)
 
 
@@ -65,10 +70,12 @@ def op8_set_join_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which half or more stands in it. Null texts match nothing."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, coverage=0.5).drop("text_key")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in sequences of 2048 tokens; a null text is the end id alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 

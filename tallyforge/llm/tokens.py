@@ -102,16 +102,33 @@ class Rollup:
     """Totals by source, language and tokenizer version under one folder, a subfolder of sums for each batch.
 
     A batch is written under a draft name and becomes visible by one rename, so a commit happens whole or not at all;
-    a batch id that is there already is left alone, so a batch may be delivered any number of times. The folder must be
-    on a file system with atomic renames that driver and executors share. One writer at a time commits a given batch id.
+    a batch id that is there already is left alone, so a batch may be delivered any number of times. compact() writes a
+    base, the sums of batches with their ids, which becomes visible by one rename as well; batches that the newest base
+    names no longer count by themselves, whether or not their folders are still there. The folder must be on a file system
+    with atomic renames that driver and executors share. One writer at a time commits a given batch id or compacts.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _names(self, prefix: str) -> list[str]:
+        fs, path = hadoop_path(self.spark, self.folder)
+        found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(x.removeprefix(prefix) for x in found if x.startswith(prefix))
+
+    def _base(self) -> tuple[int, set[str]]:
+        """Number of the newest base, 0 without one, and the ids of the batches in it."""
+        n = max(map(int, self._names("base-")), default=0)
+        return n, {r["value"] for r in self.spark.read.text(f"{self.folder}/base-{n}/ids").collect()} if n else set()
+
+    def _publish(self, draft: str, name: str) -> None:
+        fs, path = hadoop_path(self.spark, f"{self.folder}/{draft}")
+        if not fs.rename(path, hadoop_path(self.spark, f"{self.folder}/{name}")[1]):
+            raise OSError(f"{name} could not be committed")
+
     def committed(self, batch_id: str) -> bool:
         fs, path = hadoop_path(self.spark, f"{self.folder}/batch-{batch_id}")
-        return fs.exists(path)
+        return fs.exists(path) or batch_id in self._base()[1]
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add up deltas (KEYS and SUMS) as a batch; False if it was committed before."""
@@ -120,37 +137,27 @@ class Rollup:
         if self.committed(batch_id):
             return False
         sums = deltas.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
-        draft = f"{self.folder}/_draft-{batch_id}"
-        sums.write.mode("overwrite").parquet(draft)
-        fs, path = hadoop_path(self.spark, draft)
-        _, final = hadoop_path(self.spark, f"{self.folder}/batch-{batch_id}")
-        if not fs.rename(path, final):
-            raise OSError(f"batch {batch_id} could not be committed")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/_draft-{batch_id}")
+        self._publish(f"_draft-{batch_id}", f"batch-{batch_id}")
         return True
 
     def totals(self) -> DataFrame:
-        """Sums of all batches; keys whose documents, tokens and bytes have come to nothing are left out."""
-        fs, path = hadoop_path(self.spark, self.folder)
-        batches = [str(x.getPath()) for x in fs.listStatus(path) if x.getPath().getName().startswith("batch-")] if fs.exists(path) else []
-        rows = self.spark.read.schema(SCHEMA).parquet(*batches) if batches else self.spark.createDataFrame([], SCHEMA)
+        """Sums of the base and of all batches since; keys whose documents, tokens and bytes have come to nothing are left out."""
+        n, merged = self._base()
+        places = [f"{self.folder}/base-{n}/totals"] * bool(n) + [f"{self.folder}/batch-{x}" for x in self._names("batch-") if x not in merged]
+        rows = self.spark.read.schema(SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in SUMS])
         return sums.filter(" or ".join(f"{x} <> 0" for x in SUMS))
 
     def compact(self) -> None:
-        """Merge all batches' sums into the first of them; the others keep their names, with no rows, so they stay committed.
-
-        Not while batches are being committed; if the driver dies on the way, _compact holds what has not been moved yet.
-        """
-        fs, path = hadoop_path(self.spark, self.folder)
-        batches = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName().startswith("batch-"))
-        if len(batches) < 2:
-            return
-        fresh = f"{self.folder}/_compact"
-        totals = self.totals()
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{fresh}/{batches[0]}")
-        for name in batches[1:]:
-            self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{fresh}/{name}")
-        for name in batches:
+        """Write a base of all that is committed, then remove what it replaces. If the driver dies before the rename, the
+        old state holds; after it, the new one does, and what is left over is removed by the next compaction."""
+        fs, _ = hadoop_path(self.spark, self.folder)
+        n, merged = self._base()
+        batches = self._names("batch-")
+        draft = f"_draft-base-{n + 1}"
+        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{draft}/totals")
+        self.spark.createDataFrame([(x,) for x in sorted(merged.union(batches))], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{draft}/ids")
+        self._publish(draft, f"base-{n + 1}")
+        for name in [f"batch-{x}" for x in batches] + [f"base-{x}" for x in self._names("base-") if int(x) <= n]:
             fs.delete(hadoop_path(self.spark, f"{self.folder}/{name}")[1], True)
-            fs.rename(hadoop_path(self.spark, f"{fresh}/{name}")[1], hadoop_path(self.spark, f"{self.folder}/{name}")[1])
-        fs.delete(hadoop_path(self.spark, fresh)[1], True)

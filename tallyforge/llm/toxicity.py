@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, release_memory
 
-ORDER = 5
+ORDER = 6
 START, END = "\x02", "\x03"
 DISCOUNT = 0.75
-#: Words of one stretch, whose likelihoods are compared for themselves.
-STRETCH = 8
+#: Words of one stretch, whose likelihoods are compared for themselves. One word tells more than a stretch with its
+#: ordinary neighbours: expressions of several words show by the words that they are made of.
+STRETCH = 1
 FEATURES = ["whole", "first", "second", "third", "words"]
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Ratios:
-    """log P(toxic) - log P(ordinary) of a character after four others: by 5-gram if one class has seen it, else by
+    """log P(toxic) - log P(ordinary) of a character after ORDER - 1 others: by n-gram if one class has seen it, else by
     context. Every n-gram has its row, by a 64-bit key in sorted order."""
 
     key: np.ndarray
@@ -82,12 +83,12 @@ def _grams(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBa
 
 
 def gram_counts(rows: DataFrame, held_words: int = 150_000) -> DataFrame:
-    """(gram, toxic, plain): how often each 5-gram of characters within words occurs in either class of (text, toxic)."""
+    """(gram, toxic, plain): how often each n-gram of ORDER characters within words occurs in either class of (text, toxic)."""
     return rows.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(lambda it: _grams(it, held_words), "gram string, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def backed_off(counts: DataFrame) -> DataFrame:
-    """(gram4, p): Kneser-Ney probability of the last of four characters after the other three, from how many distinct
+    """(tail, p): Kneser-Ney probability of the last of ORDER - 1 characters after the others, from how many distinct
     characters precede an n-gram in either class: the shared backoff of both models."""
     levels = {ORDER - 1: counts.groupBy(F.substring("gram", 2, ORDER - 1).alias("g")).agg(F.count("*").alias("n"))}
     for k in range(ORDER - 2, 0, -1):
@@ -98,7 +99,7 @@ def backed_off(counts: DataFrame) -> DataFrame:
         own = levels[k].withColumn("h", F.substring("g", 1, k - 1)).withColumn("rest", F.substring("g", 2, k - 1))
         heads = own.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
         p = own.join(heads, "h").join(p.withColumnRenamed("g", "rest"), "rest").select("g", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("all")).alias("p"))
-    return p.select(F.col("g").alias("gram4"), "p")
+    return p.select(F.col("g").alias("tail"), "p")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,7 @@ def fit_language_models(rows: DataFrame) -> ToxicityModel:
     """Both classes' models from all of (text, toxic); rows with a null label are not learned from.
 
     A class's probability is discounted at the highest order only and backs off to the shared probability. Where neither
-    class has seen a 5-gram that probability cancels out of the ratio, so the tables of `Ratios` are all that scoring needs.
+    class has seen an n-gram that probability cancels out of the ratio, so the tables of `Ratios` are all that scoring needs.
     """
     counts = materialise(gram_counts(rows.filter(F.col("toxic").isNotNull())), "grams")
     sides = ("toxic", "plain")
@@ -135,7 +136,7 @@ def fit_language_models(rows: DataFrame) -> ToxicityModel:
     def given(s: str):
         return F.when(F.col(f"all_{s}") > 0, F.greatest(F.col(s) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{s}")).otherwise(0.0) + left(s) * F.col("p")
 
-    full = split.join(heads, "h").join(backed_off(counts).withColumnRenamed("gram4", "tail"), F.substring("gram", 2, ORDER - 1) == F.col("tail"))
+    full = split.join(heads, "h").join(backed_off(counts), F.substring("gram", 2, ORDER - 1) == F.col("tail"))
     grams = full.select("gram", F.log(given("toxic") / given("plain")).alias("value"))
     contexts = heads.select("h", F.log(left("toxic") / left("plain")).alias("value"))
     return ToxicityModel(_table(grams), _table(contexts))
@@ -184,7 +185,7 @@ def _features(batches: Iterator[pa.RecordBatch], model: ToxicityModel, remembere
 
 def features(docs: DataFrame, model: ToxicityModel, remembered_words: int = 200_000) -> DataFrame:
     """Per document: the length-normalised log-likelihood ratio of the whole text, the three largest of its stretches of
-    eight words, and the logarithm of its words; all 0 for a text without words. Words are remembered up to a number, which changes no result."""
+    words, and the logarithm of its words; all 0 for a text without words. Words are remembered up to a number, which changes no result."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _features(it, model, remembered_words), "doc_id long, " + ", ".join(f"{x} double" for x in FEATURES))
 
 

@@ -287,9 +287,10 @@ def test_ratios_match_plain_kneser_ney(spark):
     model = toxicity.fit_language_models(spark.createDataFrame(rows, "text string, toxic int"))
     d = toxicity.DISCOUNT
     levels = [set(counts)]
-    for k in range(4, 0, -1):
+    top = toxicity.ORDER - 1
+    for k in range(top, 0, -1):
         levels.append({g[1:] for g in levels[-1]})
-    before = {k: Counter(g[1:] for g in levels[4 - k]) for k in range(4, 0, -1)}
+    before = {k: Counter(g[1:] for g in levels[top - k]) for k in range(top, 0, -1)}
 
     def shared(g: str) -> float:
         own = before[len(g)]
@@ -298,12 +299,12 @@ def test_ratios_match_plain_kneser_ney(spark):
         return (own[g] - d + d * len(head) * lower) / sum(head)
 
     def given(g: str, side: int) -> float:
-        head = [c[side] for x, c in counts.items() if x[:4] == g[:4] and c[side]]
+        head = [c[side] for x, c in counts.items() if x[:top] == g[:top] and c[side]]
         return shared(g[1:]) if not head else (max(counts[g][side] - d, 0) + d * len(head) * shared(g[1:])) / sum(head)
 
     for w in ("vile", rows[0][0].split()[0]):
-        padded = toxicity.START * 4 + w + toxicity.END
-        plain = sum(math.log(given(padded[i : i + 5], 0) / given(padded[i : i + 5], 1)) for i in range(len(padded) - 4))
+        padded = toxicity.START * top + w + toxicity.END
+        plain = sum(math.log(given(padded[i : i + top + 1], 0) / given(padded[i : i + top + 1], 1)) for i in range(len(padded) - top))
         assert math.isclose(toxicity.word_ratios([w], model)[0], plain, rel_tol=1e-3, abs_tol=1e-4)
 
 

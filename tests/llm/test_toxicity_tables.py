@@ -14,7 +14,7 @@ def test_every_ngram_has_its_own_value(spark):
     frame = spark.createDataFrame(rows, "text string, toxic int")
     grams = [r["gram"] for r in toxicity.gram_counts(frame).collect()]
     model = toxicity.fit_language_models(frame)
-    for n, own, table in ((5, grams, model.grams), (4, sorted({g[:4] for g in grams}), model.contexts)):
+    for n, own, table in ((toxicity.ORDER, grams, model.grams), (toxicity.ORDER - 1, sorted({g[:-1] for g in grams}), model.contexts)):
         keys = toxicity.keys_of(np.frombuffer("".join(own).encode("utf-32-le"), "<u4"), n)[::n]
         hit, _ = table.look(keys)
         assert hit.all() and len(table.key) == len(own) == len(np.unique(table.key))
