@@ -10,10 +10,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.rewriting import RESUME, parsed_resumes, polished
+from ..functions.rewriting import RESUME, bind, parsed_resumes, polished, polished_summary, spelled
 from ..functions.scalars import joined, norm_key
 
 SECTIONS = ["summary", "experience", "projects", "skills", "education", "certifications"]
+#: The order of sections, the headings, whether clients are named, and the lines of the header, by template.
+TEMPLATES = {
+    "full-time": {
+        "sections": ["summary", "experience", "projects", "skills", "education", "certifications"],
+        "summary": "Professional Summary", "experience": "Professional Experience", "skills": "Technical Skills",
+        "client": False, "extras": ["{relocation}"],
+    },
+    "w2": {
+        "sections": ["summary", "skills", "experience", "projects", "education", "certifications"],
+        "summary": "Summary", "experience": "Project Experience", "skills": "Technical Skills",
+        "client": True, "extras": ["Work Authorization: {workAuthorization}", "Availability: {availability}", "{relocation}", "Open to W2 Contract"],
+    },
+    "c2c": {
+        "sections": ["skills", "summary", "experience", "projects", "certifications", "education"],
+        "summary": "Consultant Profile", "experience": "Client Engagements", "skills": "Technical Skills Matrix",
+        "client": True, "extras": ["Corp-to-Corp via {corpName}", "Work Authorization: {workAuthorization}", "Availability: {availability}", "{relocation}"],
+    },
+}
+#: Headings that all templates share.
+HEADINGS = {"projects": "Key Projects", "education": "Education", "certifications": "Certifications"}
+
+
+def heading(template: str, section: str) -> str:
+    return TEMPLATES[template].get(section) or HEADINGS[section]
+
+
+def header_extras(template: str, engagement: Column) -> Column:
+    """Lines of the header from a struct of facts; a line whose fact is empty or null is left out."""
+    lines = []
+    for line in TEMPLATES[template]["extras"]:
+        before, _, rest = line.partition("{")
+        fact = F.coalesce(F.trim(engagement[rest.rstrip("}")]), F.lit("")) if rest else F.lit("stated")
+        lines.append(F.when(fact != "", F.concat(F.lit(before), fact) if rest else F.lit(line)))
+    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+
+
+def optimised(r: Column) -> Column:
+    """struct(record, changed): a record with polished summary, bullets and spellings, and how many bullets that changed.
+
+    Bullets and skills that say the same as an earlier one of their list go.
+    """
+
+    def bullets(own: Column) -> Column:
+        told = F.transform(F.filter(own, lambda b: F.trim(b) != ""), lambda b: bind(polished(b), lambda p: F.struct(p.alias("text"), norm_key(p).alias("key"), (norm_key(p) != norm_key(b)).alias("changed"))))
+        return told
+
+    def firsts(told: Column) -> Column:
+        kept = bind(F.transform(told, lambda x: x["key"]), lambda keys: F.filter(told, lambda x, i: (x["key"] != "") & (F.array_position(keys, x["key"]) == i + 1)))
+        return F.transform(kept, lambda x: x["text"])
+
+    def skills(items: Column) -> Column:
+        own = F.transform(items, lambda i: spelled(F.trim(i)))
+        return bind(own, lambda x: bind(F.transform(x, lambda i: F.lower(i)), lambda low: F.filter(x, lambda i, at: (i != "") & (F.array_position(low, F.lower(i)) == at + 1))))
+
+    def of(told: Column) -> Column:
+        jobs = F.zip_with(r["experience"], told["jobs"], lambda e, t: e.withField("bullets", firsts(t)))
+        projects = F.zip_with(r["projects"], told["projects"], lambda p, t: p.withField("bullets", firsts(t)))
+        groups = F.transform(r["skills"], lambda g: g.withField("items", skills(g["items"])))
+        every = F.concat(F.flatten(told["jobs"]), F.flatten(told["projects"]))
+        record = r.withField("summary", polished_summary(r["summary"])).withField("experience", jobs).withField("projects", projects).withField("skills", groups)
+        return F.struct(record.alias("record"), F.size(F.filter(every, lambda x: x["changed"])).alias("changed"))
+
+    told = F.struct(F.transform(r["experience"], lambda e: bullets(e["bullets"])).alias("jobs"), F.transform(r["projects"], lambda p: bullets(p["bullets"])).alias("projects"))
+    return bind(told, of)
 
 
 def enough(r: Column) -> Column:
@@ -35,48 +99,42 @@ def has_content(r: Column, section: str) -> Column:
     return F.exists(r[section], lambda c: F.trim(c) != "")
 
 
-def trimmed(items: Column) -> Column:
-    """Items trimmed, empty ones dropped."""
-    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
-
-
 def cleaned(skills: Column) -> Column:
     """Skill groups with trimmed items; groups without any go."""
-    return F.filter(F.transform(skills, lambda g: F.struct(F.trim(g["category"]).alias("category"), trimmed(g["items"]).alias("items"))), lambda g: F.size(g["items"]) > 0)
-
-
-def polish(df: DataFrame, record: str, key: str) -> DataFrame:
-    """(key, job, pos, bullet, changed): each job's bullets polished; of those that say the same the first stays."""
-    rows = df.select(key, F.posexplode(f"{record}.experience").alias("job", "e")).select(key, "job", F.posexplode(F.filter("e.bullets", lambda b: F.trim(b) != "")).alias("pos", "raw"))
-    rows = rows.withColumn("bullet", polished(F.col("raw"))).withColumn("__k", norm_key(F.col("bullet"))).filter("__k <> ''")
-    row = F.struct("pos", "bullet", (norm_key(F.col("raw")) != F.col("__k")).alias("changed"))
-    return rows.groupBy(key, "job", "__k").agg(F.min(row).alias("x")).select(key, "job", "x.*")
-
-
-def blocks(df: DataFrame, record: str, key: str, order: list[str] | None = None) -> DataFrame:
-    """(key, section_ord, item_ord, sub_ord, kind, text): a record as an ordered list of blocks; empty sections give none."""
-    out = None
-    r = F.col(record)
-    for ord_, section in enumerate(order or SECTIONS):
-        own = df.filter(has_content(r, section))
-        head = own.select(key, F.lit(-1).alias("item_ord"), F.lit(-1).alias("sub_ord"), F.lit("heading").alias("kind"), F.lit(section.capitalize()).alias("text"))
-        if section == "summary":
-            body = own.select(key, F.lit(0).alias("item_ord"), F.lit(0).alias("sub_ord"), F.lit("para").alias("kind"), r["summary"].alias("text"))
-        elif section == "certifications":
-            body = own.select(key, F.posexplode(r[section]).alias("item_ord", "text")).select(key, "item_ord", F.lit(0).alias("sub_ord"), F.lit("bullet").alias("kind"), "text")
-        else:
-            items = own.select(key, F.posexplode(r[section]).alias("item_ord", "i"))
-            if section == "skills":
-                body = items.select(key, "item_ord", F.lit(0).alias("sub_ord"), F.lit("para").alias("kind"), F.concat("i.category", F.lit(": "), F.array_join("i.items", ", ")).alias("text"))
-            else:
-                i = F.col("i")
-                title = {"experience": lambda: joined(" | ", i["role"], i["company"], joined(" – ", i["start"], i["end"])), "projects": lambda: i["name"], "education": lambda: joined(", ", i["school"], i["degree"], i["field"], joined(" – ", i["start"], i["end"]))}[section]()
-                body = items.select(key, "item_ord", F.lit(-1).alias("sub_ord"), F.lit("entry").alias("kind"), title.alias("text"))
-                if section != "education":
-                    body = body.unionByName(items.select(key, "item_ord", F.posexplode("i.bullets").alias("sub_ord", "text"), F.lit("bullet").alias("kind")))
-        part = head.unionByName(body).withColumn("section_ord", F.lit(ord_))
-        out = part if out is None else out.unionByName(part)
-    return out.select(key, "section_ord", "item_ord", "sub_ord", "kind", "text")
+    items = lambda g: F.filter(F.transform(g["items"], lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(skills, lambda g: F.struct(F.trim(g["category"]).alias("category"), items(g).alias("items"))), lambda g: F.size(g["items"]) > 0)
+
+
+def blocks(df: DataFrame, record: str, key: str, template: str = "full-time") -> DataFrame:
+    """(key, section_ord, item_ord, sub_ord, kind, text): a record as an ordered list of blocks by a template; empty
+    sections give none. Each record's blocks are made as one array, so df is read once."""
+    shape, r = TEMPLATES[template], F.col(record)
+    block = lambda item, sub, kind, text: F.struct(item.cast("int").alias("item_ord"), sub.cast("int").alias("sub_ord"), F.lit(kind).alias("kind"), text.alias("text"))
+    zero, none = F.lit(0), F.lit(-1)
+    span = lambda x: joined(" – ", x["start"], x["end"])
+
+    def entries(items: Column, title, bullets: bool) -> Column:
+        own = lambda x, i: F.array(block(i, none, "entry", title(x)))
+        rows = F.transform(items, lambda x, i: F.concat(own(x, i), F.transform(x["bullets"], lambda b, j: block(i, j, "bullet", b))) if bullets else own(x, i))
+        return F.flatten(rows)
+
+    client = lambda e: F.when(e["client"] != "", F.concat(F.lit("Client: "), e["client"])) if shape["client"] else F.lit(None).cast("string")
+    bodies = {
+        "summary": F.array(block(zero, zero, "para", r["summary"])),
+        "experience": entries(r["experience"], lambda e: joined(" | ", e["role"], e["company"], client(e), span(e)), True),
+        "projects": entries(r["projects"], lambda p: p["name"], True),
+        "skills": F.transform(cleaned(r["skills"]), lambda g, i: block(i, zero, "para", F.concat(g["category"], F.lit(": "), F.array_join(g["items"], ", ")))),
+        "education": entries(r["education"], lambda e: joined(", ", e["school"], e["degree"], e["field"], span(e)), False),
+        "certifications": F.transform(r["certifications"], lambda c, i: block(i, zero, "bullet", c)),
+    }
+    def numbered(at: int, section: str) -> Column:
+        rows = F.concat(F.array(block(none, none, "heading", F.lit(heading(template, section)))), bodies[section])
+        told = F.transform(rows, lambda x: F.struct(F.lit(at).alias("section_ord"), x.alias("x")))
+        return F.when(has_content(r, section), told).otherwise(F.slice(told, 1, 0))
+
+    parts = [numbered(at, section) for at, section in enumerate(shape["sections"])]
+    told = df.select(key, F.explode(F.flatten(F.array(*parts))).alias("b"))
+    return told.select(key, "b.section_ord", "b.x.*")
 
 
 def break_line(widths: list[float], space: float, full: float, shrink: float = 0.25) -> list[tuple[int, int, float]]:

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.layout import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -105,10 +107,28 @@ def docx_text(df: DataFrame, content: str = "content", name: str = "text") -> Da
 
 
 def json_ld(df: DataFrame, name: str, url: str, order: str) -> DataFrame:
-    """One row: the rows as an ordered list of JSON-LD items, positions from 1. For lists of a site's own pages, not for data."""
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(url).alias("u")))).alias("x"))
-    items = F.transform("x", lambda r, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), r["n"].alias("name"), r["u"].alias("url")))
-    return rows.select(F.to_json(F.struct(F.lit("ItemList").alias("@type"), items.alias("itemListElement"))).alias("json"))
+    """(position, json): a JSON-LD item for each row, positions from 1. Sorted ranges are numbered by themselves and start
+    after those before; to_list() puts items into one document for a page of them."""
+    rows = checkpointed(df.select(name, url, order).repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = F.broadcast(sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    placed = rows.join(starts, "__part").withColumn("position", F.col("__start") + F.col("__id") - F.col("__first") + 1)
+    item = F.struct(F.lit("ListItem").alias("@type"), F.col("position"), F.col(name).alias("name"), F.col(url).alias("url"))
+    return placed.select("position", F.to_json(item).alias("json"))
+
+
+def to_list(items: DataFrame, first: int = 1, size: int = 100) -> DataFrame:
+    """One row: `size` items from position `first` on as a JSON-LD list."""
+    page = items.filter(F.col("position").between(first, first + size - 1))
+    own = page.agg(F.array_sort(F.collect_list(F.struct("position", "json"))).alias("x"))
+    return own.select(F.concat(F.lit('{"@type":"ItemList","itemListElement":['), F.array_join(F.transform("x", lambda r: r["json"]), ","), F.lit("]}")).alias("json"))
+
+
+def stamped(df: DataFrame, key: str = "id", ts: str = "created_at") -> DataFrame:
+    """Rows with a random key and the time of the load, where they lack them. Both differ from run to run: for loads, not for queries."""
+    made = {key: F.uuid(), ts: F.current_timestamp()}
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in made.items()})
 
 
 def site_map(df: DataFrame, path: str, active: str, site: str) -> DataFrame:

@@ -178,7 +178,9 @@ def test_files(spark, tmp_path):
 
 def test_json_ld(spark):
     rows = spark.createDataFrame([(2, "B", "/b", False), (1, "A", "/a", True)], "o int, n string, u string, live boolean")
-    assert I.json_ld(rows, "n", "u", "o").first()["json"] == '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","position":1,"name":"A","url":"/a"},{"@type":"ListItem","position":2,"name":"B","url":"/b"}]}'
+    assert I.to_list(I.json_ld(rows, "n", "u", "o")).first()["json"] == '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","position":1,"name":"A","url":"/a"},{"@type":"ListItem","position":2,"name":"B","url":"/b"}]}'
+    made = I.stamped(rows).collect()
+    assert len({r["id"] for r in made}) == 2 and all(r["created_at"] for r in made)
     assert {tuple(r) for r in I.site_map(rows, "u", "live", "https://s").collect()} == {("https://s/a", 0.9), ("https://s/b", 0.6)}
 
 

@@ -67,9 +67,14 @@ def test_records(spark):
     text = "Ann Lee\nEngineer\nExperience\nDev at Acme | 2019 - 2021\n- Worked on building rest apis\n- worked on building REST APIs.\n- Led it\nSkills\nLang: Go,  \nEducation\nUniversity of X\nB.S. in Physics 2014 - 2018"
     df = R.structured(spark.createDataFrame([(1, text), (2, "")], "id int, text string"), "text", "id").cache()
     assert [r["e"] for r in df.orderBy("id").select(R.enough(F.col("record")).alias("e")).collect()] == [True, False]
-    assert sorted((r["pos"], r["bullet"], r["changed"]) for r in R.polish(df, "record", "id").collect()) == [(0, "Build REST APIs", True), (2, "Led it", False)]
+    told = df.filter("id = 1").select(R.optimised(F.col("record")).alias("o")).select("o.changed", "o.record.experience", "o.record.skills").first()
+    assert (told["changed"], told["experience"][0]["bullets"], told["skills"][0]["items"]) == (2, ["Build REST APIs", "Led it"], ["Go"])
     got = R.blocks(df, "record", "id").orderBy("section_ord", "item_ord", "sub_ord").collect()
-    assert [r["text"] for r in got] == ["Experience", "Dev | Acme | 2019 – 2021", "Worked on building rest apis", "worked on building REST APIs.", "Led it", "Skills", "Lang: Go", "Education", "University of X, B.S., Physics, 2014 – 2018"]
+    assert [r["text"] for r in got] == ["Professional Experience", "Dev | Acme | 2019 – 2021", "Worked on building rest apis", "worked on building REST APIs.", "Led it", "Technical Skills", "Lang: Go", "Education", "University of X, B.S., Physics, 2014 – 2018"]
+    assert [r["text"] for r in R.blocks(df, "record", "id", "c2c").filter("kind = 'heading'").orderBy("section_ord").collect()] == ["Technical Skills Matrix", "Client Engagements", "Education"]
+    facts = spark.createDataFrame([("X Corp", "Citizen", "", None)], "corpName string, workAuthorization string, availability string, relocation string")
+    extras = facts.select(*[R.header_extras(t, F.struct("*")).alias(t.replace("-", "_")) for t in R.TEMPLATES]).first()
+    assert (extras["full_time"], extras["w2"], extras["c2c"]) == ([], ["Work Authorization: Citizen", "Open to W2 Contract"], ["Corp-to-Corp via X Corp", "Work Authorization: Citizen"])
     assert R.break_line([3, 3, 3, 3], 1.0, 7.5) == [(0, 2, 1.5), (2, 4, 1.0)] and R.break_line([], 1, 5) == []
     lines = spark.createDataFrame([([3.0, 3.0, 3.0],)], "w array<double>").select(R.broken(1.0, 7.5)("w").alias("l")).first()["l"]
     assert [(x["first"], x["end"]) for x in lines] == [(0, 2), (2, 3)]
