@@ -421,6 +421,34 @@ def test_rollup_takes_deltas_once(spark, tmp_path):
         rollup.commit("../x", tokens.inserts(counts))
 
 
+def test_compaction_survives_a_crash_anywhere(spark, tmp_path, monkeypatch):
+    counts = spark.createDataFrame([(i, "s", "en", "v", 3, 9) for i in range(10)], "doc_id long, source string, lang string, tokenizer_version string, tokens long, bytes long")
+    rollup = tokens.Rollup(spark, str(tmp_path / "r"))
+    for k in "ab":
+        rollup.commit(k, tokens.inserts(counts))
+    whole = [("s", "en", "v", 20, 60, 180)]
+
+    def holds() -> bool:
+        return list(map(tuple, rollup.totals().collect())) == whole and not rollup.commit("a", tokens.inserts(counts))
+
+    def dies(*_):
+        raise OSError
+
+    monkeypatch.setattr(rollup, "_publish", dies)
+    with pytest.raises(OSError):
+        rollup.compact()
+    monkeypatch.undo()
+    assert holds()
+    publish, names = rollup._publish, rollup._names
+    monkeypatch.setattr(rollup, "_publish", lambda *x: (publish(*x), monkeypatch.setattr(rollup, "_names", dies)))
+    with pytest.raises(OSError):
+        rollup.compact()  # after the rename, before anything is removed
+    monkeypatch.undo()
+    assert names("batch-") == ["a", "b"] and holds()
+    rollup.compact()
+    assert rollup._names("batch-") == [] and rollup._names("base-") == ["2"] and holds()
+
+
 # WARC
 
 
