@@ -12,30 +12,33 @@ from tallyforge.llm.common import materialise, table, third, without_rows
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: `und` ones go, and those whose likeliest language has less than half the
-    probability. The declared language is what is learned from; it decides on no document."""
+    """Documents whose language can be told stay: `und` ones go (null, empty and letterless texts among them), and those whose
+    likeliest language has less than half the probability. The declared language is what is learned from; it decides on
+    no document. Rows equal in doc_id and text stay or go together; very long texts are scored whole."""
     model = langid.train(docs.filter(third() != 1), langid.vocabulary_path())
     rejected = langid.predict(docs, model).filter((F.col("lang_pred") == "und") | (F.col("score") < 0.5))
     return without_rows(docs, rejected)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier one are taken out of the texts; every document stays."""
+    """Lines similar to an earlier one are taken out of the texts; every document stays, null and empty texts as they are.
+    Of lines that tie, the one with the smaller doc_id and place is the earlier; see lines.repeated_lines for repeated rows."""
     return lines.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a Jaccard similarity of 0.8 or more stays, the one with the smallest doc_id."""
+    """One document of each group of a Jaccard similarity of 0.8 or more stays, the one with the smallest doc_id; texts
+    without words are one group. Rows without a doc_id stay, and so do repeated rows of the one that stays."""
     return simhash.keep_one(docs, k=5, least=Fraction(4, 5))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item go."""
+    """Documents that hold at least half of a benchmark item go; null and empty texts stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences of 2048 tokens at most."""
+    """Places of all documents in sequences of 2048 tokens at most; a null text is the end id alone, repeated rows repeat."""
     return packing.pack_documents(docs, packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
