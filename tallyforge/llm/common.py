@@ -100,12 +100,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = 256) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
     """Add a gapless 0-based rank within `keys` (not null), without putting a hot key into one task.
 
-    Rows of a key are dealt into `buckets` by a hash of the order columns; each bucket is numbered by itself, and
-    starts where the counts of the buckets before it end. df is read twice, so it should be materialised.
+    Rows of a key are dealt into `buckets` by a hash of the order columns (one for 100,000 rows, 256 at the least); each
+    bucket is numbered by itself, and starts where the counts of the buckets before it end. df is read several times, so
+    it should be materialised.
     """
+    buckets = buckets or max(256, df.count() // 100_000)
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

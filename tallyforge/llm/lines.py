@@ -20,6 +20,8 @@ HASH_BITS = 57
 #: Words of this class and above (8: 256 lines or more share them) are looked up in pairs; the class rises with the documents.
 HOT_CLASS = 8
 THRESHOLD = Fraction(4, 5)
+#: Keys of more sets than this are looked at by slices first: which ones decides on speed, not on results.
+LARGE, SLICES = 16, 16
 #: Where a line stands, in the order of lines: row is told in identified().
 PLACE = ("doc_id", "row", "line_no")
 #: The place of the earlier line that a line is similar to.
@@ -130,8 +132,13 @@ def _alike(x: str, y: str, least: Fraction) -> Column:
     a, b = least.numerator, least.denominator
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     sizes = (b * nx >= a * ny) & (b * ny >= a * nx)
+    return sizes & ((a + b) * _apart(x, y) <= (b - a) * (nx + ny))
+
+
+def _apart(x: str, y: str) -> Column:
+    """Bits in which the parities of two sets differ."""
     bits = [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ("p1", "p2")]
-    return sizes & ((a + b) * (bits[0] + bits[1]) <= (b - a) * (nx + ny))
+    return bits[0] + bits[1]
 
 
 def may_match(x: str, y: str, least: Fraction) -> Column:
@@ -173,8 +180,9 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
 
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
-    for variants is the line that they all vary. Only what is left meets all earlier sets that share a key. The postings
-    are written in buckets by key, so that this last join moves none of them.
+    for variants is the line that they all vary. In keys of more than LARGE sets, they then meet the earliest of each of
+    SLICES slices of these, and the nearest of them by its parities is tried. Only what is left meets all earlier sets
+    that share a key. The postings are written in buckets by key, so that these joins move none of them.
     """
 
     def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
@@ -201,6 +209,15 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     through = materialise(through.select(F.col("y.sid").alias("sid"), F.col("z.sid").alias("of_sid"), "z.n", "z.p1", "z.p2").distinct(), "candidates")
     more = verified(through, heads, docs, least, broadcast_rows)
 
+    settled = materialise(settled.union(more), "settled")
+    large = crowded.filter(f"times > {LARGE}").drop("x", "times")
+    early = large.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(SLICES)).alias("slice")).agg(F.min(F.struct("sid", "n", "pos", "p1", "p2")).alias("x"))
+    y = without(large, settled).select("key", F.struct("sid", "n", "pos", "p1", "p2").alias("y"))
+    tried = y.join(early.withColumnRenamed("key", "x_key").hint("merge"), F.col("key") == F.col("x_key")).filter(may_match("x", "y", least))
+    nearest = F.min(F.struct(_apart("x", "y").alias("bits"), "x")).alias("best")
+    tried = tried.groupBy(F.col("y.sid").alias("sid")).agg(nearest).select("sid", F.col("best.x.sid").alias("of_sid"), "best.x.n", "best.x.p1", "best.x.p2")
+    more = verified(materialise(tried, "candidates"), heads, docs, least, broadcast_rows)
+
     settled = materialise(settled.union(more), "settled")
     several = crowded.filter("times > 2").drop("x", "times")
     rest = without(several, settled).alias("y").join(several.alias("x").hint("merge"), F.col("y.key") == F.col("x.key"))

@@ -83,5 +83,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: All pairs of distinct word sets of near sizes: for small tables.
+LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM d),
+w AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t\x0b\x0c\r]+'), lambda x: x <> ''))) AS w FROM l),
+p AS (SELECT *, min((doc_id, line_no)) OVER (PARTITION BY w) AS head FROM w WHERE len(w) > 0),
+h AS (SELECT DISTINCT head, w, len(w) AS n FROM p),
+s AS (SELECT DISTINCT y.head FROM h x JOIN h y ON x.head < y.head AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+r AS (SELECT doc_id, list(line_no ORDER BY line_no)::INT[] AS removed FROM p WHERE (doc_id, line_no) <> head OR head IN (SELECT head FROM s) GROUP BY 1)
+SELECT doc_id, coalesce(len(l), 0)::INT AS n_lines, coalesce(len(removed), 0)::INT AS n_removed, coalesce(removed, []::INT[]) AS removed_lines FROM d LEFT JOIN r USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_set_join_line_dedup": LINE_DEDUP}

@@ -527,6 +527,20 @@ def test_lines_match_brute_force(spark, docs, empty):
     assert lines.dedup(empty).count() == 0 and lines.dedup(docs).columns == docs.columns
 
 
+def test_many_variants_of_one_line(spark):
+    """A large group in which most lines are similar to some others, but seldom to the earliest."""
+    rng = random.Random(12)
+    base = words(rng, 40).split()
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for j in rng.sample(range(40), rng.randint(3, 5)):
+            own[j] = words(rng, 1) + str(i)
+        rows.append((i, " ".join(own), None, None, 0) + ("c",) * 6)
+    got = {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(lines.identified(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == plain_lines(rows) and 50 < len(got) < 300
+
+
 def test_hot_words_are_found_in_pairs(spark):
     """Few distinct words in many lines: every word is hot."""
     rng = random.Random(10)
@@ -691,6 +705,16 @@ def test_queries_and_pipeline(spark, sf, tmp_path):
     assert out.groupby("sequence_id")["length"].sum().max() <= 2048 and len(out)
 
 
+def test_line_dedup_matches_its_sql(spark, sf):
+    import duckdb
+    from tallyforge.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = con.execute(queries.oracle_sql()["op8_set_join_line_dedup"]).fetchall()
+    assert sorted(map(tuple, queries.op8_set_join_line_dedup(spark, sf).collect())) == sorted(expected) and len(expected) == 200
+
+
 def test_stages_take_awkward_tables(spark, sf, docs, empty):
     import corpus_pipeline
 
