@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -326,6 +328,39 @@ def forced_breaks(pages: DataFrame, full: float = 0.72) -> DataFrame:
     return pages.withColumn("forced", F.coalesce(early, F.lit(False)) | ((F.col("first_kind") == "h1") & F.lag("page").over(w).isNotNull()))
 
 
+def paginated(blocks: DataFrame, full: float) -> DataFrame:
+    """blocks (doc, seq, height, keep_next, break_before) with their page, from 1, and top on it.
+
+    A block that no longer fits opens a page, as does one with break_before. Blocks that keep with the next one move
+    together, unless they fill more than a page. Blocks are sorted by document and order, and a task walks over them with one
+    page's height in hand. Blocks at the same place of a document come in the order of their heights.
+    """
+    w = Window.partitionBy("doc").orderBy("seq", "height")
+    rows = blocks.select("doc", "seq", F.col("height").cast("double").alias("height"), F.coalesce("keep_next", F.lit(False)).alias("keep"), F.coalesce("break_before", F.lit(False)).alias("fresh"))
+    rows = rows.withColumn("chain", F.sum(F.when(F.lag("keep", 1, False).over(w), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("doc", "chain")
+    rows = rows.withColumn("whole", F.sum("height").over(chain)).withColumn("first", F.row_number().over(chain.orderBy("seq", "height")) == 1)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, page, used = object(), 1, 0.0
+        for batch in batches:
+            pages, tops = [], []
+            for own, height, fresh, whole, first in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if own != doc:
+                    doc, page, used = own, 1, 0.0
+                together = first and whole <= full and used + whole > full
+                if used and (fresh or together or used + height > full):
+                    page, used = page + 1, 0.0
+                pages.append(page)
+                tops.append(used)
+                used += height
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(pages, pa.int32()), pa.array(tops, pa.float64())], ["doc", "seq", "height", "page", "top"])
+
+    ordered = rows.select("doc", "seq", "height", "fresh", "whole", "first").repartition("doc").sortWithinPartitions("doc", "seq", "height")
+    return ordered.mapInArrow(walk, f"doc {kinds['doc']}, seq {kinds['seq']}, height double, page int, top double")
+
+
 def page_mode(glyphs: Column, images: Column, is_form: Column) -> Column:
     return F.when((glyphs == 0) & (images > 0), "scan").when(is_form, "fixed").otherwise("flow")
 

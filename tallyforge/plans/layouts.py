@@ -205,6 +205,19 @@ def assembled_lines(spark, sf):
     return L.lines_of_glyphs(glyphs(spark, sf).drop("line")).select("doc", "seq", "line")
 
 
+@query("""WITH RECURSIVE b AS (SELECT conv_id AS doc, turn AS seq, (len(text) % 400 + 20)::DOUBLE AS h, turn % 3 = 0 AS keep, turn % 11 = 10 AS fresh FROM conversations),
+c AS (SELECT *, sum(CASE WHEN lag_keep THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY seq) AS chain, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i FROM (SELECT *, coalesce(lag(keep) OVER (PARTITION BY doc ORDER BY seq), false) AS lag_keep FROM b)),
+g AS (SELECT *, sum(h) OVER (PARTITION BY doc, chain) AS whole, row_number() OVER (PARTITION BY doc, chain ORDER BY seq) = 1 AS opens FROM c),
+r(doc, i, seq, page, top, used) AS (SELECT doc, i, seq, 1, 0.0::DOUBLE, h FROM g WHERE i = 1
+UNION ALL SELECT doc, i, seq, CASE WHEN over THEN page + 1 ELSE page END, CASE WHEN over THEN 0.0 ELSE used END, CASE WHEN over THEN h ELSE used + h END
+FROM (SELECT g.*, r.page, r.used, r.used > 0 AND (g.fresh OR (g.opens AND g.whole <= 700 AND r.used + g.whole > 700) OR r.used + g.h > 700) AS over FROM r JOIN g ON g.doc = r.doc AND g.i = r.i + 1))
+SELECT doc, seq, page, top FROM r""")
+def pagination(spark, sf):
+    t = F.col("turn")
+    blocks = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), t.alias("seq"), (F.length("text") % 400 + 20).alias("height"), (t % 3 == 0).alias("keep_next"), (t % 11 == 10).alias("break_before"))
+    return L.paginated(blocks, 700.0).select("doc", "seq", "page", "top")
+
+
 PAGES = "SELECT conv_id AS doc, turn AS page, len(text) % 100 AS bottom, CASE WHEN role = 'system' THEN 'h1' ELSE 'p' END AS kind, len(text) % 3 AS glyphs, turn % 2 AS images, turn % 3 = 0 AS form FROM conversations"
 
 

@@ -106,6 +106,64 @@ def docx_text(df: DataFrame, content: str = "content", name: str = "text") -> Da
     return df.withColumn(name, text(content))
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+BLOCKS = "array<struct<seq: int, style: string, list: string, level: int, align: string, page_break: boolean, in_table: boolean, text: string>>"
+STYLES = "array<struct<id: string, parent: string, font: string, size: double, bold: boolean, align: string>>"
+
+
+def _value(node, *steps: str) -> str | None:
+    for step in steps:
+        node = None if node is None else node.find(f"{_WORD}{step}")
+    return None if node is None else node.get(f"{_WORD}val", "1")
+
+
+def _docx_blocks(root) -> list[tuple]:
+    inside = {id(p) for t in root.iter(f"{_WORD}tbl") for p in t.iter(f"{_WORD}p")}
+    out = []
+    for seq, p in enumerate(root.iter(f"{_WORD}p")):
+        props = p.find(f"{_WORD}pPr")
+        parts = [{"t": x.text or "", "tab": "\t", "br": "\n"}.get(x.tag.removeprefix(_WORD), "") for x in p.iter()]
+        level = _value(props, "numPr", "ilvl")
+        out.append((seq, _value(props, "pStyle"), _value(props, "numPr", "numId"), None if level is None else int(level), _value(props, "jc"), _value(props, "pageBreakBefore") not in (None, "0", "false"), id(p) in inside, "".join(parts)))
+    return out
+
+
+def _docx_styles(root) -> list[tuple]:
+    out = []
+    for s in root.iter(f"{_WORD}style"):
+        run = s.find(f"{_WORD}rPr")
+        font = None if run is None else run.find(f"{_WORD}rFonts")
+        size, bold = _value(run, "sz"), _value(run, "b")
+        out.append((s.get(f"{_WORD}styleId"), _value(s, "basedOn"), None if font is None else font.get(f"{_WORD}ascii"), None if size is None else float(size) / 2, None if bold is None else bold not in ("0", "false"), _value(s, "pPr", "jc")))
+    return out
+
+
+def docx_parts(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add blocks and styles of Word files: paragraphs in order with style, list, level, alignment and text, and the style
+    sheet with each style's parent, which operators.records.inherited resolves. Null where the bytes are no such file."""
+
+    def read(data: bytes | None, name: str, parse):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as package:
+                return parse(ElementTree.fromstring(package.read(name)))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
+
+    @F.pandas_udf(BLOCKS)
+    def blocks(column: pd.Series) -> pd.Series:
+        names = ("seq", "style", "list", "level", "align", "page_break", "in_table", "text")
+        found = [read(x, "word/document.xml", _docx_blocks) for x in column]
+        return pd.Series([None if b is None else [dict(zip(names, x)) for x in b] for b in found], dtype=object)
+
+    @F.pandas_udf(STYLES)
+    def styles(column: pd.Series) -> pd.Series:
+        names = ("id", "parent", "font", "size", "bold", "align")
+        found = [read(x, "word/styles.xml", _docx_styles) for x in column]
+        return pd.Series([None if b is None else [dict(zip(names, x)) for x in b] for b in found], dtype=object)
+
+    return df.withColumn("blocks", blocks(content)).withColumn("styles", styles(content))
+
+
 def json_ld(df: DataFrame, name: str, url: str, order: str) -> DataFrame:
     """(position, json): a JSON-LD item for each row, positions from 1. Sorted ranges are numbered by themselves and start
     after those before; to_list() puts items into one document for a page of them."""

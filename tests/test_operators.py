@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import prose as P
 from tallyforge.functions import scalars as S
 from tallyforge.operators import aggregates as A
+from tallyforge.operators import layout as L
 from tallyforge.operators import records as R
 from tallyforge.operators import search as X
 from tallyforge.operators import sessions as V
@@ -176,6 +177,54 @@ def test_files(spark, tmp_path):
     assert got == {"a.docx": ("docx", "One\ttwo\n\nThree"), "b.pdf": ("pdf", None), "c.pdf": (None, None)}
 
 
+def test_word_files_as_blocks_and_styles(spark):
+    import io
+    import zipfile
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = '<w:p><w:pPr><w:pStyle w:val="H"/><w:jc w:val="center"/></w:pPr><w:r><w:t>Title</w:t><w:tab/></w:r></w:p><w:p><w:pPr><w:numPr><w:ilvl w:val="1"/><w:numId w:val="4"/></w:numPr><w:pageBreakBefore/></w:pPr><w:r><w:t>item</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    sheet = '<w:style w:styleId="N"><w:rPr><w:rFonts w:ascii="Arial"/><w:sz w:val="22"/></w:rPr></w:style><w:style w:styleId="H"><w:basedOn w:val="N"/><w:rPr><w:b/></w:rPr></w:style>'
+    file = io.BytesIO()
+    with zipfile.ZipFile(file, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {space}>{sheet}</w:styles>")
+    df = I.docx_parts(spark.createDataFrame([(1, bytearray(file.getvalue())), (2, bytearray(b"x")), (3, None)], "i int, content binary")).cache()
+    one, *others = df.orderBy("i").collect()
+    assert [tuple(b) for b in one["blocks"]] == [(0, "H", None, None, "center", False, False, "Title\t"), (1, None, "4", 1, None, True, False, "item"), (2, None, None, None, None, False, True, "cell")]
+    assert all(o["blocks"] is None and o["styles"] is None for o in others)
+    styles = df.select(F.explode("styles").alias("s")).select("s.*")
+    got = {r["id"]: (r["font"], r["size"], r["bold"]) for r in R.inherited(styles, "id", "parent", ["font", "size", "bold"]).collect()}
+    assert got == {"N": ("Arial", 11.0, None), "H": ("Arial", 11.0, True)}
+
+
+def test_inheritance_of_long_chains_and_cycles(spark):
+    rows = [(i, i - 1 if i else None, "root" if i == 0 else None) for i in range(100)] + [(200, 201, None), (201, 200, "c"), (300, 999, None)]
+    got = {r["id"]: r["v"] for r in R.inherited(spark.createDataFrame(rows, "id int, parent int, v string"), "id", "parent", ["v"]).collect()}
+    assert all(got[i] == "root" for i in range(100)) and got[200] == got[201] == "c" and got[300] is None
+
+
+def test_assembled_lines_match_a_plain_version(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(d, 0, i, float(rng.randint(0, 60)), rng.choice([10.0, 12.0, 13.0, 30.0, 31.0]), float(rng.randint(2, 9)), rng.choice([6.0, 10.0])) for d in range(4) for i in range(40)]
+    got = {(r["doc"], r["seq"]): r["line"] for r in L.lines_of_glyphs(spark.createDataFrame(rows, "doc int, page int, seq int, x double, y double, w double, size double")).collect()}
+    for d in range(4):
+        lines: list = []
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: (r[4], r[3], r[2])):
+            fits = [n for n, own in enumerate(lines) if abs(max(own, key=lambda g: g[6])[4] - r[4]) <= max(1.5, 0.42 * max(max(g[6] for g in own), r[6])) and not any(r[3] < g[3] + g[5] - 1 and g[3] < r[3] + r[5] - 1 for g in own)]
+            n = fits[0] if fits else len(lines)
+            lines[n:] = lines[n:] or [[]]
+            lines[n].append(r)
+            assert got[(d, r[2])] == n
+
+
+def test_rate_limits_of_a_hot_key(spark):
+    hits = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id"), F.timestamp_seconds(F.expr("id div 10")).alias("ts"))
+    got = V.rate_limited(hits, "k", "ts", "id", 5, 60).agg(F.count("*").alias("n"), F.max("count_in_window").alias("most"), F.countDistinct("window_start").alias("w")).first()
+    assert (got["n"], got["most"], got["w"]) == (200_000, 610, 328)
+
+
 def test_json_ld(spark):
     rows = spark.createDataFrame([(2, "B", "/b", False), (1, "A", "/a", True)], "o int, n string, u string, live boolean")
     assert I.to_list(I.json_ld(rows, "n", "u", "o")).first()["json"] == '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","position":1,"name":"A","url":"/a"},{"@type":"ListItem","position":2,"name":"B","url":"/b"}]}'
