@@ -232,6 +232,15 @@ def heading_sizes(lines: DataFrame, least: float = 1.2, longest: int = 120) -> D
     return distinct_top(large, ["doc"], "size", 3)
 
 
+def heading_levels(paragraphs: DataFrame, tiers: DataFrame, most_lines: int = 3) -> DataFrame:
+    """paragraphs (doc, para, size, lines, listed) with level: the first tier (doc, size, tier) within 0.6 of their size, if
+    they have few lines and are no list items; else null."""
+    near = F.abs(F.col("size") - F.col("__size")) < 0.6
+    joined = paragraphs.join(tiers.select("doc", F.col("size").alias("__size"), "tier"), "doc", "left")
+    level = F.min(F.when(near & (F.col("lines") <= most_lines) & ~F.col("listed"), F.col("tier")))
+    return joined.groupBy("doc", "para").agg(level.alias("level"))
+
+
 def regions(lines: DataFrame, gutters: DataFrame) -> DataFrame:
     """lines (doc, page, id, x0, x1, y) with their part: 0 above, 1 left, 2 right, 3 below of a two-column band.
 

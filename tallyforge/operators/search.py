@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prose import sanitize_query
+from ..functions.prose import sanitize_query, sanitized
+from ..functions.rewriting import bind, mapped
 from ..functions.scalars import query_from_keywords  # noqa: F401
 from .records import cascade_of
 
@@ -66,9 +67,19 @@ def unjustified(text: Column, facts: Column, guards: list[tuple[str, str, str]])
     return F.array_compact(F.array(*own))
 
 
-def strip_terms(words: Column, patterns: list[str]) -> Column:
-    """Keywords without those that a pattern hits."""
-    return F.filter(words, lambda w: ~w.rlike("(?i)" + "|".join(patterns))) if patterns else words
+def without_unsupported(keywords: Column, queries: dict[str, Column], facts: Column, guards: list[tuple[str, str, str]]) -> dict[str, Column]:
+    """keywords and queries without the terms whose guard the facts don't meet; see unjustified() for guards. Phrases and
+    words that a term's pattern hits go from a query, which is sanitised after that, and stay where no guard fails."""
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(facts.rlike(f"(?i){needs}"), F.lit(False)), F.lit(f"(?i){term}")) for term, needs, _ in guards]))
+
+    def hit(word: Column, patterns: Column) -> Column:
+        return F.exists(patterns, lambda p: F.rlike(word, p))
+
+    def cleaned(query: Column) -> Column:
+        over = bind(bad, lambda own: mapped(query, r'"[^"]*"|(?<![\w*-])[\w*-]+(?![\w*-])', lambda m: F.when(~m.isin("AND", "OR", "NOT") & hit(m, own), "").otherwise(m)))
+        return F.when(F.size(bad) == 0, query).otherwise(sanitized(over))
+
+    return {"keywords": bind(bad, lambda own: F.filter(keywords, lambda k: ~hit(k, own)))} | {name: cleaned(q) for name, q in queries.items()}
 
 
 def parse(query: str) -> list | str:

@@ -77,6 +77,17 @@ def heading_sizes(spark, sf):
     return L.heading_sizes(lines(spark, sf).withColumn("seq", F.col("id"))).withColumn("tier", F.col("tier").cast("long"))
 
 
+@query(f"""WITH l AS ({LINES}), w AS (SELECT doc, size, sum(chars) AS n, min(id) AS f FROM l GROUP BY 1, 2), b AS (SELECT doc, arg_max(size, (n, -f)) AS body FROM w GROUP BY 1),
+t AS (SELECT doc, size, tier FROM (SELECT DISTINCT doc, size, dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) AS tier FROM l JOIN b USING (doc) WHERE size >= body * 1.2 AND chars < 120) WHERE tier <= 3),
+p AS (SELECT doc, page * 10 + chars // 35 AS para, max(size) AS size, count(*) AS lines FROM l GROUP BY ALL)
+SELECT p.doc, para, min(tier) FILTER (abs(p.size - t.size) < 0.6 AND lines <= 3 AND para % 10 <> 2) AS level FROM p LEFT JOIN t USING (doc) GROUP BY ALL""")
+def heading_levels(spark, sf):
+    own = lines(spark, sf)
+    paras = own.groupBy("doc", (F.col("page") * 10 + F.expr("chars div 35")).alias("para")).agg(F.max("size").alias("size"), F.count("*").alias("lines")).withColumn("listed", F.col("para") % 10 == 2)
+    out = L.heading_levels(paras, L.heading_sizes(own.withColumn("seq", F.col("id"))))
+    return out.withColumn("level", F.col("level").cast("long"))
+
+
 GUTTERS = "SELECT doc, page, CASE WHEN page % 2 = 1 THEN 130 END AS gutter FROM l GROUP BY ALL"
 
 

@@ -80,18 +80,34 @@ def guarded_terms(spark, sf):
 VOCABULARY = [X.Term("license", "licen", ("license", "licensed under")), X.Term("copyleft", "gnu", ("gnu", "copyleft")), X.Term("apache", "apache", ("apache",), needs="version"), X.Term("permissive", "(?<![A-Za-z0-9_])mit(?![A-Za-z0-9_])", ("mit", "license"))]
 
 
-@query("""WITH f AS (SELECT doc_id, regexp_matches(text, '(?i)licen') AS a, regexp_matches(text, '(?i)gnu') AS b, regexp_matches(text, '(?i)apache') AND regexp_matches(text, '(?i)version') AS c, regexp_matches(text, '(?i)\\bmit\\b') AS d FROM documents),
-k AS (SELECT *, list_filter([CASE WHEN a THEN 'license' END, CASE WHEN b THEN 'copyleft' END, CASE WHEN c THEN 'apache' END, CASE WHEN d THEN 'permissive' END], lambda x: x IS NOT NULL) AS found FROM f)
-SELECT doc_id, found || list_slice(['software', 'code', 'terms'], 1, greatest(0, 3 - len(found))) AS keywords FROM k""")
+#: DuckDB: which terms of VOCABULARY suit a document, and their keywords.
+_FOUND = r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?i)licen') AS a, regexp_matches(text, '(?i)gnu') AS b, regexp_matches(text, '(?i)apache') AND regexp_matches(text, '(?i)version') AS c, regexp_matches(text, '(?i)\bmit\b') AS d FROM documents),
+k AS (SELECT *, list_filter([CASE WHEN a THEN 'license' END, CASE WHEN b THEN 'copyleft' END, CASE WHEN c THEN 'apache' END, CASE WHEN d THEN 'permissive' END], lambda x: x IS NOT NULL) AS found FROM f)"""
+
+
+@query(_FOUND + """ SELECT doc_id, found || list_slice(['software', 'code', 'terms'], 1, greatest(0, 3 - len(found))) AS keywords FROM k""")
 def planned_keywords(spark, sf):
     return X.plan_query(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCABULARY, ["software", "code", "terms"]).select("doc_id", "keywords")
 
 
-@query()
+@query(
+    _FOUND
+    + """, p AS (SELECT doc_id, found || list_slice(['software', 'code', 'terms'], 1, greatest(0, 3 - len(found))) AS w, list_slice(list_filter([CASE WHEN a THEN '(license OR "licensed under")' END, CASE WHEN b THEN '(gnu OR copyleft)' END, CASE WHEN c THEN '(apache)' END, CASE WHEN d AND NOT a THEN '(mit OR license)' END], lambda x: x IS NOT NULL), 1, 3) AS g FROM k),
+q AS (SELECT doc_id, CASE WHEN len(g) >= 2 THEN array_to_string(g, ' AND ') WHEN len(g) = 1 THEN g[1] || ' AND (' || array_to_string(w[2:], ' OR ') || ')' WHEN len(w) < 3 THEN array_to_string(w, ' OR ') ELSE '(' || w[1] || ' OR ' || w[2] || ') AND (' || array_to_string(w[3:], ' OR ') || ')' END AS q,
+CASE WHEN len(g) >= 3 THEN g[1] || ' AND ' || g[2] ELSE array_to_string(w, ' OR ') END AS b FROM p)
+SELECT doc_id, q AS boolean_query, b AS broad_query, q AS sent FROM q"""
+)
 def planned_queries(spark, sf):
     return X.plan_query(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCABULARY, ["software", "code", "terms"]).select("doc_id", "boolean_query", "broad_query", P.sanitized("boolean_query").alias("sent"))
 
 
+@query(_FOUND + """ SELECT k.doc_id, list_filter(found, lambda x: NOT (x = 'license' AND NOT regexp_matches(text, '(?i)apache|mit')) AND NOT (x = 'copyleft' AND NOT regexp_matches(text, '(?i)version'))) AS keywords FROM k JOIN documents USING (doc_id)""")
+def supported_keywords(spark, sf):
+    planned = X.plan_query(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCABULARY, [])
+    kept = X.without_unsupported(F.col("keywords"), {}, F.col("text"), [("licen", "apache|mit", "license"), ("copyleft", "version", "version")])
+    return planned.select("doc_id", kept["keywords"].alias("keywords"))
+
+
 @query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'assistant' AND turn > 0), min(turn) FILTER (turn > 0), -1) AS opinion FROM conversations GROUP BY 1")
 def opinion_pick(spark, sf):
     opinion = F.struct(F.col("turn").alias("id"), F.when(F.col("role") == "assistant", "lead-opinion").otherwise("dissent").alias("type"))

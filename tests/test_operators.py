@@ -177,6 +177,14 @@ def test_files(spark, tmp_path):
     assert got == {"a.docx": ("docx", "One\ttwo\n\nThree"), "b.pdf": ("pdf", None), "c.pdf": (None, None)}
 
 
+def test_unsupported_terms_go(spark):
+    rows = [(["miranda rights", "search"], '("miranda rights" OR search) AND (police OR miranda*)', "a quarrel"), (["miranda rights"], "miranda AND search", "questioned by police"), ([], None, None)]
+    df = spark.createDataFrame(rows, "k array<string>, q string, t string")
+    out = X.without_unsupported(F.col("k"), {"q": F.col("q")}, F.col("t"), [("miranda", "police", "no police")])
+    got = [tuple(r) for r in df.select(out["keywords"].alias("k"), out["q"].alias("q")).collect()]
+    assert got == [(["search"], "(search) AND (police)"), (["miranda rights"], "miranda AND search"), ([], None)]
+
+
 def test_word_files_as_blocks_and_styles(spark):
     import io
     import zipfile
