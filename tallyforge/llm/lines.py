@@ -181,7 +181,7 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
     for variants is the line that they all vary. In keys of more than LARGE sets, they then meet the earliest of each of
-    SLICES slices of these, and the nearest of them by its parities is tried. Only what is left meets all earlier sets
+    SLICES slices of these, and any one of each, and the nearest of them by its parities is tried. Only what is left meets all earlier sets
     that share a key. The postings are written in buckets by key, so that these joins move none of them.
     """
 
@@ -209,14 +209,17 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     through = materialise(through.select(F.col("y.sid").alias("sid"), F.col("z.sid").alias("of_sid"), "z.n", "z.p1", "z.p2").distinct(), "candidates")
     more = verified(through, heads, docs, least, broadcast_rows)
 
-    settled = materialise(settled.union(more), "settled")
     large = crowded.filter(f"times > {LARGE}").drop("x", "times")
-    early = large.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(SLICES)).alias("slice")).agg(F.min(F.struct("sid", "n", "pos", "p1", "p2")).alias("x"))
-    y = without(large, settled).select("key", F.struct("sid", "n", "pos", "p1", "p2").alias("y"))
-    tried = y.join(early.withColumnRenamed("key", "x_key").hint("merge"), F.col("key") == F.col("x_key")).filter(may_match("x", "y", least))
-    nearest = F.min(F.struct(_apart("x", "y").alias("bits"), "x")).alias("best")
-    tried = tried.groupBy(F.col("y.sid").alias("sid")).agg(nearest).select("sid", F.col("best.x.sid").alias("of_sid"), "best.x.n", "best.x.p1", "best.x.p2")
-    more = verified(materialise(tried, "candidates"), heads, docs, least, broadcast_rows)
+    own = F.struct("sid", "n", "pos", "p1", "p2")
+    # of each slice first the earliest set, then any
+    for seed, pick in enumerate((F.min(own), F.min_by(own, F.xxhash64("sid", F.lit("any"))))):
+        settled = materialise(settled.union(more), "settled")
+        some = large.groupBy(F.col("key").alias("x_key"), F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(SLICES)).alias("slice")).agg(pick.alias("x"))
+        y = without(large, settled).select("key", own.alias("y"))
+        tried = y.join(some.hint("merge"), F.col("key") == F.col("x_key")).filter(may_match("x", "y", least))
+        nearest = F.min(F.struct(_apart("x", "y").alias("bits"), "x")).alias("best")
+        tried = tried.groupBy(F.col("y.sid").alias("sid")).agg(nearest).select("sid", F.col("best.x.sid").alias("of_sid"), "best.x.n", "best.x.p1", "best.x.p2")
+        more = verified(materialise(tried, "candidates"), heads, docs, least, broadcast_rows)
 
     settled = materialise(settled.union(more), "settled")
     several = crowded.filter("times > 2").drop("x", "times")
