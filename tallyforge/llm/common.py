@@ -61,16 +61,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession):
-    """Batches of 1,000 rows to Python, each of which stands in the JVM, on the way and in the worker at once."""
-    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Batches of few rows to Python, each of which stands in the JVM, on the way and in the worker at once."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
-    with shuffles_removed(spark), small_batches(spark):
+    with shuffles_removed(spark), small_batches(spark, rows):
         df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path

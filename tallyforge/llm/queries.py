@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, packing, quality, sharding, simhash, tokens, toxicity, warc
+from . import chat, codes, decontamination, langid, lines, oracles, packing, periods, quality, sharding, simhash, tokens, toxicity, warc
 from .common import materialise, new_path, table, third
 
 
@@ -79,20 +79,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+#: A conversation whose texts spell the marks of common chat templates.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op11_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted, encoded and read back. Null texts are empty."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    path = chat.tokenizer_path()
+    return chat.digests(chat.format_conversations(turns.union(added), path), path)
+
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codebooks from six rounds over all embeddings, codes and errors of all, and errors by label. Without any vector, no row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.train(vectors, "vec_id", "embedding", parts=8, entries=16, rounds=6, scale=4096)
+    coded = materialise(codes.assign(vectors, books, ["vec_id", "label"], "embedding", 4096), "codes")
+    out = codes.with_totals(coded, "label", "error", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
 
-#: All pairs of distinct word sets of near sizes: for small tables.
-LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-l AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM d),
-w AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(line, '[ \t\x0b\x0c\r]+'), lambda x: x <> ''))) AS w FROM l),
-p AS (SELECT *, min((doc_id, line_no)) OVER (PARTITION BY w) AS head FROM w WHERE len(w) > 0),
-h AS (SELECT DISTINCT head, w, len(w) AS n FROM p),
-s AS (SELECT DISTINCT y.head FROM h x JOIN h y ON x.head < y.head AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
-r AS (SELECT doc_id, list(line_no ORDER BY line_no)::INT[] AS removed FROM p WHERE (doc_id, line_no) <> head OR head IN (SELECT head FROM s) GROUP BY 1)
-SELECT doc_id, coalesce(len(l), 0)::INT AS n_lines, coalesce(len(removed), 0)::INT AS n_removed, coalesce(removed, []::INT[]) AS removed_lines FROM d LEFT JOIN r USING (doc_id)"""
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of which get a periodic tail first. A null text has no words; a document without a
+    doc_id gets no tail."""
+    docs = periods.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periods.periodic_runs(docs, least=24, exponent=3, with_text=False).drop("collapsed")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_set_join_line_dedup": LINE_DEDUP}
+    return {
+        "op8_set_join_line_dedup": oracles.LINE_DEDUP,
+        "op11_chat_masks": oracles.CHAT_MASKS,
+        "op12_vector_codes": oracles.vector_codes(),
+        "op13_periodic_runs": oracles.PERIODIC_RUNS,
+    }
