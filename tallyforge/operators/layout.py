@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place and not spark.sparkContext.master.startswith("local["):
+        if not place and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyforge-"))
-    return df.checkpoint()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # a checkpoint writes in a job of its own, which reads this
+    out = kept.checkpoint()
+    kept.unpersist()
+    return out
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prose import sanitize_query, sanitized
-from ..functions.rewriting import bind, mapped
+from ..functions.prose import sanitize_query, sanitized_apart
+from ..functions.rewriting import mapped
 from ..functions.scalars import query_from_keywords  # noqa: F401
 from .records import cascade_of
 
@@ -67,19 +67,22 @@ def unjustified(text: Column, facts: Column, guards: list[tuple[str, str, str]])
     return F.array_compact(F.array(*own))
 
 
-def without_unsupported(keywords: Column, queries: dict[str, Column], facts: Column, guards: list[tuple[str, str, str]]) -> dict[str, Column]:
-    """keywords and queries without the terms whose guard the facts don't meet; see unjustified() for guards. Phrases and
-    words that a term's pattern hits go from a query, which is sanitised after that, and stay where no guard fails."""
-    bad = F.array_compact(F.array(*[F.when(~F.coalesce(facts.rlike(f"(?i){needs}"), F.lit(False)), F.lit(f"(?i){term}")) for term, needs, _ in guards]))
+def without_unsupported(df: DataFrame, keywords: str, queries: list[str], facts: str, guards: list[tuple[str, str, str]]) -> DataFrame:
+    """df with its keywords (an array) and queries without the terms whose guard the facts don't meet; see unjustified() for
+    guards. Phrases and words that a term's pattern hits go from a query, which is sanitised after that, and stay where no
+    guard fails. Null keywords and queries stay null; null facts meet no guard."""
+    bad = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(facts).rlike(f"(?i){needs}"), F.lit(False)), F.lit(f"(?i){term}")) for term, needs, _ in guards]).cast("array<string>"))
 
-    def hit(word: Column, patterns: Column) -> Column:
-        return F.exists(patterns, lambda p: F.rlike(word, p))
+    def hit(word: Column) -> Column:
+        return F.exists("__bad", lambda p: F.rlike(word, p))
 
-    def cleaned(query: Column) -> Column:
-        over = bind(bad, lambda own: mapped(query, r'"[^"]*"|(?<![\w*-])[\w*-]+(?![\w*-])', lambda m: F.when(~m.isin("AND", "OR", "NOT") & hit(m, own), "").otherwise(m)))
-        return F.when(F.size(bad) == 0, query).otherwise(sanitized(over))
+    def stripped(query: str) -> Column:
+        return mapped(F.col(query), r'"[^"]*"|(?<![\w*-])[\w*-]+(?![\w*-])', lambda m: F.when(~m.isin("AND", "OR", "NOT") & hit(m), "").otherwise(m))
 
-    return {"keywords": bind(bad, lambda own: F.filter(keywords, lambda k: ~hit(k, own)))} | {name: cleaned(q) for name, q in queries.items()}
+    out = df.withColumn("__bad", bad)
+    out = out.withColumns({keywords: F.filter(keywords, lambda k: ~hit(k))} | {f"__{q}": stripped(q) for q in queries})
+    out = out.withColumns({f"__{q}": sanitized_apart(f"__{q}") for q in queries}) if queries else out
+    return out.withColumns({q: F.when(F.size("__bad") == 0, F.col(q)).otherwise(F.col(f"__{q}")) for q in queries}).select(*df.columns)
 
 
 def parse(query: str) -> list | str:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import grids as G
 from .registry import query, table
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
@@ -70,3 +71,77 @@ def cells(spark, sf):
     piece = lambda x0, text, on: F.when(on, F.struct((F.lit(0.0) + x0).alias("x0"), text.alias("text")))
     found = F.array(piece(10 + p % 3, F.concat(F.lit("a"), p), s % 4 > 0), piece(120 + s % 4, F.concat(F.lit("b"), s), F.lit(True)), piece(250 + p % 9, F.concat(F.lit("c"), p), F.col("l_quantity") % 2 == 0))
     return rows.select(doc.alias("doc"), "line", (F.col("line") * 12 + p % 3 * 2.0).alias("y"), F.lit(10.0).alias("size"), F.lit(300.0).alias("edge"), F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("doc", "line", "y", "size", "edge", "e.*")
+
+
+PART_RULES = """t AS (SELECT p_partkey // 6 AS doc, p_partkey % 6 // 3 AS r, p_partkey % 3 AS c, p_partkey AS p, p_size AS s FROM part),
+e AS (SELECT doc, o, pos, a, b, w, row_number() OVER (PARTITION BY doc ORDER BY o, pos, a, b, w) AS id FROM (
+SELECT doc, 'v' AS o, 40.0 * c + s % 2 * 0.25 AS pos, 20.0 * r - 0.5 AS a, 20.0 * r + 20 AS b, 0.5 + s % 4 * 0.25 AS w FROM t WHERE CASE WHEN c = 0 THEN s <> 7 ELSE s % 3 > 0 END
+UNION ALL SELECT doc, 'h', 20.0 * r + s % 2 * 0.25, 40.0 * c, 40.0 * c + 40 + s % 3, 0.5 FROM t WHERE CASE WHEN r = 0 THEN s <> 9 ELSE s % 5 > 0 END
+UNION ALL SELECT doc, 'v', 120.0, 20.0 * r, 20.0 * r + 20, 1.0 FROM t WHERE c = 2 UNION ALL SELECT doc, 'h', 40.0, 40.0 * c, 40.0 * c + 40, 1.0 FROM t WHERE r = 1))"""
+
+#: Links by recursion, places by clusters, coverage by running ends; NEAR joins sides to the rules on their line.
+NEAR = "ON s.doc = e.doc AND s.grid = e.grid AND s.o = e.o AND abs(s.pos - e.pos) <= 1.2 + e.w / 2 AND e.b > s.a - 1 AND e.a < s.b + 1"
+SHARE = "coalesce(sum(CASE WHEN hi IS NOT NULL THEN greatest(0, hi - greatest(lo, coalesce(before, lo))) END), 0) / max(b - a)"
+
+
+def _share(sides: str) -> str:
+    cut = f"SELECT s.*, CASE WHEN e.o IS NOT NULL THEN greatest(s.a, e.a - 1.5) END AS lo, CASE WHEN e.o IS NOT NULL THEN least(s.b, e.b + 1.5) END AS hi FROM {sides} s LEFT JOIN g e {NEAR}"
+    return f"SELECT doc, grid, side, o, {SHARE} AS share FROM (SELECT *, max(hi) OVER (PARTITION BY doc, grid, side ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({cut})) GROUP BY ALL"
+
+
+GRIDS = f"""WITH RECURSIVE {PART_RULES},
+k AS (SELECT x.doc, x.id AS a, y.id AS b FROM e x JOIN e y ON x.doc = y.doc AND x.id <> y.id AND CASE WHEN x.o = y.o THEN abs(x.pos - y.pos) <= 1.2 AND x.a <= y.b + 1.5 + greatest(x.w, y.w) AND y.a <= x.b + 1.5 + greatest(x.w, y.w)
+ELSE x.pos BETWEEN y.a - 1.5 - greatest(x.w, y.w) AND y.b + 1.5 + greatest(x.w, y.w) AND y.pos BETWEEN x.a - 1.5 - greatest(x.w, y.w) AND x.b + 1.5 + greatest(x.w, y.w) END),
+u(doc, id, reach) AS (SELECT doc, id, id FROM e UNION SELECT u.doc, u.id, k.b FROM u JOIN k ON k.doc = u.doc AND k.a = u.reach),
+g AS MATERIALIZED (SELECT e.*, grid FROM e JOIN (SELECT doc, id, min(reach) AS grid FROM u GROUP BY ALL) USING (doc, id)),
+f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc, grid, o ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS fresh FROM g), q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc, grid, o ORDER BY pos RANGE UNBOUNDED PRECEDING) AS q FROM f),
+m AS (SELECT doc, grid, o, avg(pos) AS p FROM q GROUP BY doc, grid, o, q), n AS (SELECT *, row_number() OVER w - 1 AS i, lead(p) OVER w AS nx FROM m WINDOW w AS (PARTITION BY doc, grid, o ORDER BY p)),
+l AS (SELECT * FROM n WHERE nx IS NOT NULL), z AS (SELECT doc, grid, o, min(p) AS lo, max(nx) AS hi, count(*) AS n, min(nx - p) AS step FROM l GROUP BY ALL),
+x AS (SELECT v.doc, v.grid, v.lo AS x0, v.hi AS x1, h.lo AS y0, h.hi AS y1 FROM z v JOIN z h ON v.doc = h.doc AND v.grid = h.grid AND v.o = 'v' AND h.o = 'h' WHERE v.hi - v.lo >= 20 AND h.hi - h.lo >= 8 AND v.step >= 2.5 AND h.step >= 2.5 AND v.n * h.n >= 2),
+o AS (SELECT doc, grid, 0 AS side, 'h' AS o, y0 AS pos, x0 AS a, x1 AS b FROM x UNION ALL SELECT doc, grid, 1, 'h', y1, x0, x1 FROM x UNION ALL SELECT doc, grid, 2, 'v', x0, y0, y1 FROM x UNION ALL SELECT doc, grid, 3, 'v', x1, y0, y1 FROM x),
+y AS (SELECT doc, grid FROM ({_share("o")}) GROUP BY ALL HAVING min(share) >= 0.9),
+c AS MATERIALIZED (SELECT v.doc, v.grid, h.i AS r, v.i AS c, v.p AS x0, v.nx AS x1, h.p AS y0, h.nx AS y1, (h.i * 100 + v.i)::BIGINT AS id FROM l v JOIN l h ON v.doc = h.doc AND v.grid = h.grid AND v.o = 'v' AND h.o = 'h' SEMI JOIN y ON v.doc = y.doc AND v.grid = y.grid),
+i AS (SELECT doc, grid, id * 2 AS side, 'v' AS o, x1 AS pos, y0 AS a, y1 AS b FROM c UNION ALL SELECT doc, grid, id * 2 + 1, 'h', y1, x0, x1 FROM c),
+d AS (SELECT s.doc, s.grid, s.side // 2 AS a, s.side // 2 + CASE WHEN o = 'v' THEN 1 ELSE 100 END AS b FROM ({_share("i")}) s WHERE share < 0.75),
+j AS (SELECT d.* FROM d SEMI JOIN c ON c.doc = d.doc AND c.grid = d.grid AND c.id = d.b), j2 AS (SELECT * FROM j UNION SELECT doc, grid, b, a FROM j),
+w(doc, grid, id, reach) AS (SELECT doc, grid, id, id FROM c UNION SELECT w.doc, w.grid, w.id, j2.b FROM w JOIN j2 ON j2.doc = w.doc AND j2.grid = w.grid AND j2.a = w.reach),
+b AS (SELECT doc, grid, region, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM c JOIN (SELECT doc, grid, id, min(reach) AS region FROM w GROUP BY ALL) USING (doc, grid, id) GROUP BY ALL),
+rg AS MATERIALIZED (SELECT * FROM b JOIN (SELECT doc, grid FROM b GROUP BY ALL HAVING count(*) >= 2 AND bool_and((r1 - r0 + 1) * (c1 - c0 + 1) = n)) USING (doc, grid))"""
+
+
+def part_rules(spark, sf):
+    """All of part as rules around cells, six parts to a page of two rows: some are left out, some are out of place."""
+    p, s = F.col("p_partkey"), F.col("p_size")
+    t = table(spark, sf, "part").select(F.expr("p_partkey div 6").alias("doc"), F.expr("p_partkey % 6 div 3").alias("r"), (p % 3).alias("c"), s.alias("s"))
+    r, c, s, off = F.col("r") * 20.0, F.col("c") * 40.0, F.col("s"), F.col("s") % 2 * 0.25
+    rule = lambda on, o, pos, a, b, w: F.when(on, F.struct(F.lit(o).alias("o"), (F.lit(0.0) + pos).alias("pos"), (F.lit(0.0) + a).alias("a"), (F.lit(0.0) + b).alias("b"), (F.lit(0.0) + w).alias("w")))
+    found = F.array(
+        rule(F.when(F.col("c") == 0, s != 7).otherwise(s % 3 > 0), "v", c + off, r - 0.5, r + 20, s % 4 * 0.25 + 0.5),
+        rule(F.when(F.col("r") == 0, s != 9).otherwise(s % 5 > 0), "h", r + off, c, c + 40 + s % 3, F.lit(0.5)),
+        rule(F.col("c") == 2, "v", F.lit(120.0), r, r + 20, F.lit(1.0)),
+        rule(F.col("r") == 1, "h", F.lit(40.0), c, c + 40, F.lit(1.0)),
+    )
+    return t.select("doc", F.lit(0).alias("page"), F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("doc", "page", "e.*")
+
+
+@query(f"""{GRIDS}, sd AS (SELECT doc, grid, region, unnest([{{'side': 'top', 'o': 'h', 'pos': y0, 'a': x0, 'b': x1}}, {{'side': 'bottom', 'o': 'h', 'pos': y1, 'a': x0, 'b': x1}}, {{'side': 'left', 'o': 'v', 'pos': x0, 'a': y0, 'b': y1}}, {{'side': 'right', 'o': 'v', 'pos': x1, 'a': y0, 'b': y1}}]) AS t FROM rg),
+bd AS (SELECT s.doc, s.grid, s.region, max(w) FILTER (t.side = 'top') AS top, max(w) FILTER (t.side = 'bottom') AS bottom, max(w) FILTER (t.side = 'left') AS "left", max(w) FILTER (t.side = 'right') AS "right"
+FROM sd s JOIN g e ON s.doc = e.doc AND s.grid = e.grid AND t.o = e.o AND abs(t.pos - e.pos) <= 1.2 + e.w / 2 AND least(t.b, e.b) - greatest(t.a, e.a) >= (t.b - t.a) * 0.5 GROUP BY ALL)
+SELECT doc, r0, r1, c0, c1, round(x0, 4)::DOUBLE AS x0, round(x1, 4)::DOUBLE AS x1, round(y0, 4)::DOUBLE AS y0, round(y1, 4)::DOUBLE AS y1, top::DOUBLE AS top, bottom::DOUBLE AS bottom, "left"::DOUBLE AS "left", "right"::DOUBLE AS "right" FROM rg LEFT JOIN bd USING (doc, grid, region)""")
+def grid_cells(spark, sf):
+    long = [F.col(c).cast("long").alias(c) for c in ("r0", "r1", "c0", "c1")]
+    out = G.borders(G.find_grids(part_rules(spark, sf)))
+    return out.select("doc", *long, *[F.round(c, 4).alias(c) for c in ("x0", "x1", "y0", "y1")], "top", "bottom", "left", "right")
+
+
+@query(f"""{GRIDS}, sg AS (SELECT doc, p AS id, r AS line, 20.0 * r + 14 AS base, 40.0 * c + 2 AS x0, 40.0 * c + 20 + s % 30 AS x1, s || '' AS text FROM t),
+held AS (SELECT sg.doc, sg.id, min({{'g': grid, 'r': r0, 'c': c0, 'k': region}}) AS k FROM sg JOIN rg ON sg.doc = rg.doc AND sg.x0 >= rg.x0 - 1 AND sg.x1 <= rg.x1 + 2 AND sg.base - 7.5 >= rg.y0 - 1.5 AND sg.base <= rg.y1 + 1 GROUP BY ALL),
+ln AS (SELECT sg.doc, k, line, min(base) AS y, string_agg(text, chr(9) ORDER BY x0) AS text FROM sg JOIN held USING (doc, id) GROUP BY ALL)
+SELECT doc, k.r AS r0, k.c AS c0, string_agg(text, chr(10) ORDER BY y, line) AS text FROM ln GROUP BY ALL""")
+def grid_texts(spark, sf):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    r, c = F.expr("p_partkey % 6 div 3"), p % 3
+    texts = table(spark, sf, "part").select(F.expr("p_partkey div 6").alias("doc"), F.lit(0).alias("page"), p.alias("id"), r.alias("line"), (r * 20.0 + 14).alias("base"), (r * 20.0 + 14).alias("y"), F.lit(10.0).alias("size"), (c * 40.0 + 2).alias("x0"), (c * 40.0 + 20 + s % 30).alias("x1"), s.cast("string").alias("text"))
+    grids = G.find_grids(part_rules(spark, sf))
+    out = G.cell_texts(G.placed(texts, grids.regions)).join(grids.regions, [*G.GRID, "region"])
+    return out.select("doc", F.col("r0").cast("long").alias("r0"), F.col("c0").cast("long").alias("c0"), "text")

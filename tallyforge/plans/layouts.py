@@ -21,7 +21,8 @@ def lines(spark, sf):
     return table(spark, sf, "lineitem").select(doc.alias("doc"), F.col("l_linenumber").alias("page"), number.alias("id"), (q * 4).alias("x0"), (q * 4 + 40 + tax * 500).alias("x1"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_discount") * 100 + 8).alias("size"), (F.col("l_suppkey") % 140).alias("chars"))
 
 
-@query(f"WITH l AS ({LINES}) SELECT x.id AS a_id, y.id AS b_id FROM l x JOIN l y ON x.doc = y.doc AND x.page = y.page AND x.id <> y.id AND least(x.x1, y.x1) - greatest(x.x0, y.x0) > 0 AND least(x.x1, y.x1) - greatest(x.x0, y.x0) >= 0.5 * least(x.x1 - x.x0, y.x1 - y.x0)")
+@query(f"""WITH l AS MATERIALIZED ({LINES}), p AS MATERIALIZED (SELECT x.id AS a_id, y.id AS b_id, x.x0 AS s, x.x1 AS t, y.x0 AS u, y.x1 AS v FROM l x JOIN l y USING (doc, page))
+SELECT a_id, b_id FROM p WHERE a_id <> b_id AND least(t, v) - greatest(s, u) > 0 AND least(t, v) - greatest(s, u) >= 0.5 * least(t - s, v - u)""")
 def interval_overlap(spark, sf):
     own = lines(spark, sf)
     return L.overlapping(own, own, "x0", "x1", 0.5).select("a_id", "b_id")

@@ -101,11 +101,23 @@ def planned_queries(spark, sf):
     return X.plan_query(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCABULARY, ["software", "code", "terms"]).select("doc_id", "boolean_query", "broad_query", P.sanitized("boolean_query").alias("sent"))
 
 
+#: Terms, what texts that bear them out must show, and why.
+GUARDS = [("licen", "apache|mit", "license"), ("copyleft", "version", "version")]
+
+
 @query(_FOUND + """ SELECT k.doc_id, list_filter(found, lambda x: NOT (x = 'license' AND NOT regexp_matches(text, '(?i)apache|mit')) AND NOT (x = 'copyleft' AND NOT regexp_matches(text, '(?i)version'))) AS keywords FROM k JOIN documents USING (doc_id)""")
 def supported_keywords(spark, sf):
     planned = X.plan_query(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCABULARY, [])
-    kept = X.without_unsupported(F.col("keywords"), {}, F.col("text"), [("licen", "apache|mit", "license"), ("copyleft", "version", "version")])
-    return planned.select("doc_id", kept["keywords"].alias("keywords"))
+    return X.without_unsupported(planned, "keywords", [], "text", GUARDS).select("doc_id", "keywords")
+
+
+@query("""SELECT doc_id, CASE WHEN lic AND ver THEN b || a WHEN lic THEN b || ' AND ' || w WHEN ver THEN a[6:] ELSE w END AS q, CASE WHEN lic AND ver THEN '  copyleft  OR licensing' WHEN lic THEN 'licensing' WHEN ver THEN 'copyleft' ELSE '' END AS r
+FROM (SELECT doc_id, '(license OR "apache license")' AS b, ' AND (w' || doc_id % 7 || ' OR copyleft*) AND "open source"' AS a, '(w' || doc_id % 7 || ') AND "open source"' AS w, coalesce(regexp_matches(text, '(?i)apache|mit'), false) AS lic, coalesce(regexp_matches(text, '(?i)version'), false) AS ver FROM documents)""")
+def supported_queries(spark, sf):
+    """Two queries of each document without the terms that its text doesn't bear out."""
+    q = F.concat(F.lit('(license OR "apache license") AND (w'), F.col("doc_id") % 7, F.lit(' OR copyleft*) AND "open source"'))
+    own = table(spark, sf, "documents").select("doc_id", "text", q.alias("q"), F.lit("  copyleft  OR licensing").alias("r"), F.array(F.lit("x")).alias("k"))
+    return X.without_unsupported(own, "k", ["q", "r"], "text", GUARDS).select("doc_id", "q", "r")
 
 
 @query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'assistant' AND turn > 0), min(turn) FILTER (turn > 0), -1) AS opinion FROM conversations GROUP BY 1")

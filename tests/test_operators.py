@@ -87,7 +87,7 @@ def test_records(spark):
 
 def test_inheritance_stops_at_cycles(spark):
     rows = spark.createDataFrame([("a", "b", None), ("b", "c", None), ("c", "a", None), ("d", "e", None), ("e", None, "x")], "id string, parent string, v string")
-    assert {(r["id"], r["v"]) for r in R.inherited(rows, "id", "parent", ["v"], 6).collect()} == {("a", None), ("b", None), ("c", None), ("d", "x"), ("e", "x")}
+    assert {(r["id"], r["v"]) for r in R.inherited(rows, "id", "parent", ["v"]).collect()} == {("a", None), ("b", None), ("c", None), ("d", "x"), ("e", "x")}
 
 
 def test_scalars(spark):
@@ -180,9 +180,10 @@ def test_files(spark, tmp_path):
 def test_unsupported_terms_go(spark):
     rows = [(["miranda rights", "search"], '("miranda rights" OR search) AND (police OR miranda*)', "a quarrel"), (["miranda rights"], "miranda AND search", "questioned by police"), ([], None, None)]
     df = spark.createDataFrame(rows, "k array<string>, q string, t string")
-    out = X.without_unsupported(F.col("k"), {"q": F.col("q")}, F.col("t"), [("miranda", "police", "no police")])
-    got = [tuple(r) for r in df.select(out["keywords"].alias("k"), out["q"].alias("q")).collect()]
+    out = X.without_unsupported(df, "k", ["q"], "t", [("miranda", "police", "no police")])
+    got = [tuple(r) for r in out.select("k", "q").collect()]
     assert got == [(["search"], "(search) AND (police)"), (["miranda rights"], "miranda AND search"), ([], None)]
+    assert X.without_unsupported(df, "k", [], "t", []).select("k").collect() == df.select("k").collect()
 
 
 def test_word_files_as_blocks_and_styles(spark):
