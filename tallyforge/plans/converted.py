@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import flow as W
 from ..operators import grids as G
 from .registry import query, table
 
@@ -145,3 +146,84 @@ def grid_texts(spark, sf):
     grids = G.find_grids(part_rules(spark, sf))
     out = G.cell_texts(G.placed(texts, grids.regions)).join(grids.regions, [*G.GRID, "region"])
     return out.select("doc", F.col("r0").cast("long").alias("r0"), F.col("c0").cast("long").alias("c0"), "text")
+
+
+def turn_paragraphs(spark, sf):
+    """All turns as paragraphs: the role as a label, a tab, the text; some narrow, indented, hanging, with stops."""
+    t, n = F.col("turn"), F.length("text")
+    own = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), t.alias("para"), "role", "text", n.alias("n"))
+    run = lambda seq, kind, text, label: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), F.lit(label).alias("label"))
+    pieces = F.array(run(0, "text", F.col("role"), True), run(1, "tab", F.lit(None).cast("string"), True), run(2, "text", F.col("text"), False), run(3, "tab", F.lit(None).cast("string"), False), run(4, "text", F.col("role"), False))
+    runs = own.select("doc", "para", F.explode(pieces).alias("r"), F.lit("plain").alias("font"), F.when(F.col("n") % 2 == 0, 10.0).otherwise(12.0).alias("size"), (F.col("n") % 7 == 0).alias("caps"), F.lit(None).cast("double").alias("width")).select("doc", "para", "r.*", "font", "size", "caps", "width")
+    stop = lambda pos, align: F.struct(F.lit(pos).alias("pos"), F.lit(align).alias("align"))
+    stops = F.when(F.col("n") % 3 == 0, F.array(stop(150.0, "center"), stop(290.0, "right"))).when(F.col("n") % 3 == 1, F.array(stop(200.0, "decimal")))
+    paragraphs = own.select("doc", "para", F.when(F.col("n") % 5 == 0, 60.0).otherwise(300.0).alias("width"), (F.col("n") % 4 * 10.0).alias("left"), F.lit(5.0).alias("right"), F.when(F.col("n") % 4 > 1, -10.0).otherwise(4.0).alias("first"), stops.alias("stops"), F.lit(36.0).alias("step"), F.element_at(F.array(*map(F.lit, ["left", "right", "center", "both"])), F.col("n") % 4 + 1).alias("align"), F.when(F.col("n") % 3 == 0, "exact").when(F.col("n") % 3 == 1, "atLeast").alias("rule"), F.when(F.col("n") % 3 == 0, 14.0).when(F.col("n") % 3 == 1, 12.0).otherwise(1.15).alias("value"), F.lit("Calibri").alias("font"), F.lit(11.0).alias("size"))
+    signs = own.select(F.explode(F.split(F.concat("text", F.upper("text"), "role", F.lit(" ")), "")).alias("sign")).filter("sign <> ''").distinct()
+    return runs, paragraphs, signs.select(F.lit("plain").alias("font"), "sign", (0.3 + F.ascii("sign") % 5 * 0.1).alias("w"))
+
+
+@query()
+def broken_lines(spark, sf):
+    """Where a line ends depends on the lines before it; a plain version stands in the tests."""
+    runs, paragraphs, widths = turn_paragraphs(spark, sf)
+    lines = W.broken_lines(W.atoms(runs, widths), paragraphs)
+    return W.aligned(lines, paragraphs).select("doc", "para", "line", "seq", "at", "piece", "text", F.round("x", 6).alias("x"))
+
+
+FLOW = f"""o AS (SELECT l_orderkey // 32 AS doc, l_orderkey // 8 % 4 AS section, l_orderkey AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS line, l_quantity::DOUBLE + 8 AS height, l_partkey AS p, l_suppkey AS s FROM lineitem),
+t AS (SELECT *, block % 5 = 0 AS tab, line = 1 AS opens, CASE WHEN block % 5 = 0 THEN line <= 1 + block % 2 END AS header FROM o),
+i AS (SELECT *, CASE WHEN opens AND NOT tab THEN (p % 20)::DOUBLE END AS before, CASE WHEN opens AND NOT tab THEN height + s % 60 END AS need, (s % 9)::DOUBLE AS after, NOT tab AND opens AND p % 23 = 0 AS fresh, CASE WHEN tab THEN NULL WHEN p % 31 = 0 THEN 'page' WHEN p % 29 = 0 THEN 'column' END AS brk,
+CASE WHEN tab AND NOT header AND line > 1 THEN sum(CASE WHEN header THEN height ELSE 0 END) OVER (PARTITION BY doc, section, block) ELSE 0::DOUBLE END AS again, 1 + section % 3 AS cols, 20::DOUBLE AS top, (320 + section * 10)::DOUBLE AS bottom, section % 2 = 1 AS cont, row_number() OVER (PARTITION BY doc ORDER BY section, block, line) AS k FROM t)"""
+
+#: One step after another, each a query around the one before: section, forced page, keeping together, fit.
+STEPS = """SELECT doc, k, section, block, line, height, after, brk, cols, top, page, col, start, y, again,
+CASE WHEN over THEN again ELSE 0 END AS repeated FROM (SELECT * REPLACE (CASE WHEN over AND NOT more THEN page + 1 ELSE page END AS page, CASE WHEN over THEN CASE WHEN more THEN col + 1 ELSE 0 END ELSE col END AS col, CASE WHEN over AND NOT more THEN top ELSE start END AS start, CASE WHEN over THEN CASE WHEN more THEN start ELSE top END + again ELSE y END AS y)
+FROM (SELECT *, y + height > bottom + 0.01 AND y - start >= 0.01 AS over, col + 1 < cols AS more FROM (SELECT * REPLACE (CASE WHEN kept AND col + 1 >= cols THEN page + 1 ELSE page END AS page, CASE WHEN kept THEN CASE WHEN col + 1 < cols THEN col + 1 ELSE 0 END ELSE col END AS col, CASE WHEN kept AND col + 1 >= cols THEN top ELSE start END AS start,
+CASE WHEN kept THEN CASE WHEN col + 1 < cols THEN start ELSE top END ELSE y + space END AS y) FROM (SELECT *, need IS NOT NULL AND y + space + need > bottom + 0.01 AND y - start >= 0.01 AND space + need < bottom - start AS kept
+FROM (SELECT *, CASE WHEN need IS NOT NULL AND y - start >= 0.01 THEN before ELSE 0 END AS space FROM (SELECT * REPLACE (CASE WHEN turned THEN page + 1 ELSE page END AS page, CASE WHEN turned THEN 0 ELSE col END AS col, CASE WHEN turned THEN top ELSE start END AS start, CASE WHEN turned THEN top ELSE y END AS y)
+FROM (SELECT *, need IS NOT NULL AND fresh AND y - start >= 0.01 AS turned FROM ({}))))))))"""
+AFTER = "page + CASE WHEN brk = 'page' OR (brk = 'column' AND col + 1 >= cols) THEN 1 ELSE 0 END AS page, CASE WHEN brk = 'page' OR (brk = 'column' AND col + 1 >= cols) THEN 0 WHEN brk = 'column' THEN col + 1 ELSE col END AS col, CASE WHEN brk = 'page' OR (brk = 'column' AND col + 1 >= cols) THEN top ELSE start END AS start, CASE WHEN brk = 'page' OR (brk = 'column' AND col + 1 >= cols) THEN top WHEN brk = 'column' THEN start ELSE y + height END + after AS y"
+NEXT = f"""SELECT i.*, CASE WHEN i.section <> r.section AND NOT i.cont THEN r.page + 1 ELSE r.page END AS page, CASE WHEN i.section <> r.section THEN 0 ELSE r.col END AS col, CASE WHEN i.section <> r.section THEN CASE WHEN i.cont THEN r.y ELSE i.top END ELSE r.start END AS start, CASE WHEN i.section <> r.section AND NOT i.cont THEN i.top ELSE r.y END AS y
+FROM (SELECT doc, k, section, {AFTER} FROM r) r JOIN i ON i.doc = r.doc AND i.k = r.k + 1"""
+
+
+@query(f"""WITH RECURSIVE {FLOW}, r AS ({STEPS.format("SELECT *, 1 AS page, 0 AS col, top AS start, top AS y FROM i WHERE k = 1")}
+UNION ALL {STEPS.format(NEXT)}) SELECT doc, section, block, line::BIGINT AS line, page::BIGINT AS page, col::BIGINT AS col, round(y, 4)::DOUBLE AS y, repeated::DOUBLE AS repeated FROM r""")
+def flowed_pages(spark, sf):
+    """All of lineitem as lines of paragraphs and rows of tables, orders being blocks: sections of one to three columns, some continuous."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf, "lineitem").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", "))))
+    tab, opens = F.col("l_orderkey") % 5 == 0, F.col("line") == 1
+    height = F.col("l_quantity").cast("double") + 8
+    items = rows.select(
+        F.expr("l_orderkey div 32").alias("doc"),
+        F.expr("l_orderkey div 8 % 4").alias("section"),
+        F.col("l_orderkey").alias("block"),
+        "line",
+        height.alias("height"),
+        F.when(opens & ~tab, p % 20 * 1.0).alias("before"),
+        F.when(opens & ~tab, height + s % 60).alias("need"),
+        (s % 9 * 1.0).alias("after"),
+        (~tab & opens & (p % 23 == 0)).alias("fresh"),
+        F.when(~tab & (p % 31 == 0), "page").when(~tab & (p % 29 == 0), "column").alias("brk"),
+        F.when(tab, F.col("line") <= F.col("l_orderkey") % 2 + 1).alias("header"),
+    )
+    k = F.col("section")
+    sections = items.select("doc", "section").distinct().select("doc", "section", (k % 3 + 1).alias("cols"), F.lit(20.0).alias("top"), (k * 10 + 320.0).alias("bottom"), (k % 2 == 1).alias("continuous"))
+    out = W.flowed(items, sections)
+    return out.select("doc", "section", "block", F.col("line").cast("long").alias("line"), F.col("page").cast("long").alias("page"), F.col("col").cast("long").alias("col"), F.round("y", 4).alias("y"), "repeated")
+
+
+@query()
+def table_boxes(spark, sf):
+    """All of lineitem as tables, orders being tables: merged cells lengthen rows one after another; a plain version stands in the tests."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, sf, "lineitem").withColumn("row", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", "))) - 1).cast("int"))
+    own = rows.select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("table"), "row", p.alias("p"), s.alias("s"), F.col("l_quantity").cast("double").alias("q"))
+    merge = F.when(F.col("row") % 3 == 0, "restart").when(F.col("s") % 4 > 0, "continue")
+    cell = lambda n, span, merge, content: F.struct(F.lit(n).alias("cell"), span.cast("int").alias("span"), merge.alias("merge"), content.cast("double").alias("content"))
+    cells = own.select("doc", "table", "row", F.explode(F.array(cell(0, F.lit(1), merge, F.col("q") * 3), cell(1, 1 + F.col("p") % 2, F.lit(None).cast("string"), F.col("q")), cell(2, F.lit(1), F.when(F.col("row") % 2 == 0, "restart").otherwise("continue"), F.col("q") * 2))).alias("c")).select("doc", "table", "row", "c.*")
+    heights = own.select("doc", "table", "row", F.when(F.col("s") % 3 == 0, "exact").when(F.col("s") % 3 == 1, "atLeast").alias("rule"), F.when(F.col("s") % 3 < 2, F.col("p") % 40 * 1.0).alias("value"))
+    grid = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("table") % 5 * 10.0 + i * 20.0)
+    tables = own.select("doc", "table").distinct().select("doc", "table", grid.alias("grid"), F.lit(6.0).alias("indent"), F.element_at(F.array(*map(F.lit, ["left", "center", "right"])), (F.col("table") % 3 + 1).cast("int")).alias("align"), F.lit(300.0).alias("avail"), F.lit(2.0).alias("left"), F.lit(2.0).alias("right"), F.lit(1.0).alias("top"), F.lit(1.0).alias("bottom"))
+    return W.table_boxes(tables, cells, heights).select("table", "row", "cell", "col", *[F.round(c, 4).alias(c) for c in "xwyh"])
