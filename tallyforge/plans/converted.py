@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import flow as W
+from ..operators import graphics as D
 from ..operators import grids as G
 from .registry import query, table
 
@@ -227,3 +228,49 @@ def table_boxes(spark, sf):
     grid = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("table") % 5 * 10.0 + i * 20.0)
     tables = own.select("doc", "table").distinct().select("doc", "table", grid.alias("grid"), F.lit(6.0).alias("indent"), F.element_at(F.array(*map(F.lit, ["left", "center", "right"])), (F.col("table") % 3 + 1).cast("int")).alias("align"), F.lit(300.0).alias("avail"), F.lit(2.0).alias("left"), F.lit(2.0).alias("right"), F.lit(1.0).alias("top"), F.lit(1.0).alias("bottom"))
     return W.table_boxes(tables, cells, heights).select("table", "row", "cell", "col", *[F.round(c, 4).alias(c) for c in "xwyh"])
+
+
+@query("""SELECT p_partkey, p_size % 3 AS k, round(b.x, 6) AS x, round(b.y, 6) AS y, round(b.w, 6) AS w, round(b.h, 6) AS h, b.d AS direction, b.t::INT AS turn FROM (SELECT *, CASE WHEN abs(g - 270) < 3 THEN {'x': 50 - d * 4, 'y': 80 - n, 'w': d * 5, 'h': n, 'd': 'up', 't': 0}
+WHEN abs(g - 90) < 3 THEN {'x': 50 - d, 'y': 80.0::DOUBLE, 'w': d * 5, 'h': n, 'd': 'down', 't': 0} ELSE {'x': 50 + n / 2 * cos(radians(a)) + d * 1.5 * sin(radians(a)) - n / 2, 'y': 80 + n / 2 * sin(radians(a)) - d * 1.5 * cos(radians(a)) - d * 2.5, 'w': n, 'h': d * 5, 'd': 'level', 't': floor(g * 60000 + 0.5)} END AS b
+FROM (SELECT *, (a % 360 + 360) % 360 AS g FROM (SELECT p_partkey, p_size, (0.212 * (8 + p_size % 5))::DOUBLE AS d, (length(p_name) * 4 * 1.08 + (8 + p_size % 5) * 0.5)::DOUBLE AS n, (p_partkey * 7 % 800 - 400)::DOUBLE AS a FROM part)))""")
+def rotated_boxes(spark, sf):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    box = D.rotated_box(F.lit(50.0), F.lit(80.0), F.length("p_name") * 4.0, 8 + s % 5, (p * 7 % 800 - 400).cast("double"), F.lit("Helvetica"))
+    own = table(spark, sf, "part").select("p_partkey", (s % 3).alias("k"), box.alias("b"))
+    return own.select("p_partkey", "k", *[F.round(f"b.{c}", 6).alias(c) for c in "xywh"], "b.direction", "b.turn")
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(range(len(embedding) // 3)) AS k, embedding AS e FROM embeddings), p AS (SELECT vec_id, k, [floor(abs(e[3 * k + j] * 1000) + CASE WHEN vec_id % 3 = 0 THEN 60 ELSE 0 END)::INT % 256 FOR j IN [1, 2, 3]] AS c, vec_id % 5 = 0 AS dull FROM v),
+x AS (SELECT vec_id, k, c[1] AS r, CASE WHEN dull THEN c[1] ELSE c[2] END AS g, CASE WHEN dull THEN c[1] ELSE c[3] END AS b FROM p), l AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM x),
+s AS (SELECT vec_id, CASE WHEN greatest(r, g, b) - least(r, g, b) < 40 THEN -1 ELSE (r // 32) * 64 + (g // 32) * 8 + b // 32 END AS q, sum(255 - y) AS w, min(k) AS f, min(y) AS dark FROM l WHERE y <= 215 GROUP BY ALL),
+t AS (SELECT vec_id, coalesce(sum(w) FILTER (q < 0), 0) AS n, coalesce(sum(w) FILTER (q >= 0), 0) AS c, arg_max(q, (round(w, 6), -f)) FILTER (q >= 0) AS best, min(dark) FILTER (q < 0) AS dark FROM s GROUP BY 1)
+SELECT vec_id, CASE WHEN n < c THEN printf('%02X%02X%02X', best // 64 * 32 + 16, best // 8 % 8 * 32 + 16, best % 8 * 32 + 16) WHEN dark >= 110 THEN repeat(printf('%02X', floor(dark + 0.5)::INT), 3) END AS color FROM t""")
+def glyph_colors(spark, sf):
+    """All embeddings as pixels of glyphs, three components to a pixel; some glyphs are grey."""
+    own = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("embedding") / 3).cast("int") - 1), lambda k: F.slice("embedding", k * 3 + 1, F.lit(3)))).alias("seq", "e"))
+    channel = lambda j: (F.floor(F.abs(F.get("e", F.lit(j)) * 1000) + F.when(F.col("vec_id") % 3 == 0, 60).otherwise(0)) % 256).cast("int")
+    dull = F.col("vec_id") % 5 == 0
+    pixels = own.select("vec_id", "seq", channel(0).alias("r"), F.when(dull, channel(0)).otherwise(channel(1)).alias("g"), F.when(dull, channel(0)).otherwise(channel(2)).alias("b"))
+    return D.glyph_colors(pixels, ["vec_id"])
+
+
+@query()
+def drawn_shapes(spark, sf):
+    """All of part as drawing operators; matrices stack, so a plain version stands in the tests."""
+    return D.shapes(drawing(spark, sf)).select("doc", "seq", "part", "kind", *[F.round(c, 4).alias(c) for c in ("x", "y", "w", "h", "lw")], "filled", "stroked", "color")
+
+
+def drawing(spark, sf):
+    """Each part draws a line, a box or a curve, within a matrix that it sets and takes back; some leave theirs to the next."""
+    p, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    op = lambda name, *v, text=None: F.struct(F.lit(name).alias("op"), F.array(*[F.lit(0.0) + x for x in v]).cast("array<double>").alias("args"), F.lit(text).cast("string").alias("text"))
+    zero = F.lit(0.0)
+    line = F.array(op("move", zero, zero), op("line", s, F.when(p % 2 == 0, 0.0).otherwise(s)), op("paint:stroke"))
+    box = F.array(op("move", zero, zero), op("line", s, zero), op("line", s, s * 2), op("line", zero, s * 2), op("close"), op("paint:fill+stroke"))
+    curve = F.array(op("move", s, s), op("curve", s, zero, zero, s, zero, zero), op("line", zero, s), op("paint:fill"))
+    clip = F.array(op("move", s, s), op("line", zero, s), op("paint"))
+    drawn = F.when(p % 4 == 0, line).when(p % 4 == 1, box).when(p % 4 == 2, curve).otherwise(clip)
+    turn = F.when(p % 3 == 0, F.array(op("transform", zero, F.lit(1.0), F.lit(-1.0), zero, s, zero))).otherwise(F.array(op("transform", F.lit(2.0), zero, zero, F.lit(1.5), s, F.lit(3.0)), op("width", s % 4)))
+    ops = F.concat(F.array(op("save")), turn, F.array(op("stroke", text="FF0000")), drawn, F.when(p % 5 == 0, F.array(op("save"))).otherwise(F.array(op("restore"))))
+    rows = table(spark, sf, "part").select(F.expr("p_partkey div 16").alias("doc"), F.lit(0).alias("page"), "p_partkey", F.posexplode(ops).alias("k", "o"))
+    return rows.select("doc", "page", (F.col("p_partkey") * 100 + F.col("k")).alias("seq"), "o.*")
