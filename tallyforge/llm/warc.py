@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path
 
 MAGIC = b"\x1f\x8b\x08"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
 BLOCK = 1 << 20
 
 
@@ -78,7 +79,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Write a record for each row of pages (page_id, url, html) below folder (a shared one of our own if None).
 
     Of equal payloads of `least` bytes or more, the record with the smallest page_id is the response and others revisit
-    it; rows that repeat in full are responses all. A null page_id comes after all others (of several, by a hash of the
+    it; of rows that repeat in full one is the response. A null page_id comes after all others (of several, by a hash of the
     url); a null html is an empty payload, a null url leaves out the target. Only digests that occur more than once are joined back:
     by broadcast if a count shows no more than `broadcast_rows` of them, so that payloads stay where they are read; else
     by a shuffle, each in `salts` copies so that no group of copies meets in one task. Gives (folder, [(file, records, bytes)]); the list
@@ -89,12 +90,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    rank = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.xxhash64("url").alias("tie"))
-    numbered = rows.filter(F.length("payload") >= least).withColumn("order", rank)
-    copies = numbered.groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = materialise(copies.select(F.col("digest").alias("twin"), "first"), "copies")
+
+
+    def copied(rows: DataFrame) -> DataFrame:
+        """(twin, first, same): digests that occur more than once, the smallest rank of theirs and how many rows share it."""
+        ranks = rows.filter(F.length("payload") >= least).groupBy("digest", "rank").agg(F.count("*").alias("n"))
+        found = ranks.groupBy(F.col("digest").alias("twin")).agg(F.min(F.struct("rank", "n")).alias("x"), F.sum("n").alias("n")).filter("n > 1")
+        return materialise(found.select("twin", F.col("x.rank").alias("first"), F.col("x.n").alias("same")), "copies")
+
+    order = [F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page_id"), F.xxhash64("url").alias("tie")]
+    rows = rows.withColumn("rank", F.struct(*order, F.lit(0).cast("long").alias("row")))
+    copies = copied(rows)
+    if not copies.filter("same > 1").isEmpty():  # rows that repeat in full: written with numbers, so that one of them comes first
+        rows = materialise(rows.withColumn("rank", F.struct(*order, F.monotonically_increasing_id().alias("row"))), "numbered")
+        copies = copied(rows)
     same = (F.col("digest") == F.col("twin")) & (F.length("payload") >= least)
-    rows = rows.withColumn("own_rank", rank)
+    rows = rows.withColumnRenamed("rank", "own_rank")
+    copies = copies.drop("same")
     if copies.count() <= broadcast_rows:
         joined = rows.join(F.broadcast(copies), same, "left")
     else:
@@ -119,33 +131,48 @@ class _Source:
         return self.data[place - self.start : place - self.start + n]
 
 
-def member(source: _Source, place: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at `place`, if it holds a WARC record and is whole; else None.
+class Broken(NamedTuple):
+    """A member that begins as a record and can't be decoded to its end."""
+
+    place: int
+    reason: str
+
+
+def member(source: _Source, place: int) -> tuple[bytes, int] | Broken | None:
+    """(content, end) of the gzip member at `place` if it holds a WARC record; Broken if it begins as one but ends early or
+    fails its checksum; None if it is no record.
 
     The headers are decoded first, so a chance match of the magic bytes costs little; then all of it is, with its checksum.
     """
     import zlib
 
-    inflate, parts, at, checked = zlib.decompressobj(31), [], place, False
+    try:
+        if zlib.decompressobj(31).decompress(source.at(place, 65536), 5) != b"WARC/":
+            return None
+    except zlib.error:
+        return None
+    inflate, parts, at, reason = zlib.decompressobj(31), [], place, ""
     try:
         while not inflate.eof:
             data = source.at(at, 65536)
             if not data:
-                return None
+                return Broken(place, "the file ends within the record")
             at += len(data)
             parts.append(inflate.decompress(data))
-            if not checked and sum(map(len, parts)) >= 5:
-                parts, checked = [b"".join(parts)], True
-                if not parts[0].startswith(b"WARC/"):
-                    return None
-    except zlib.error:
-        return None
+    except zlib.error as error:
+        reason = str(error)
     content = b"".join(parts)
-    return (content, at - len(inflate.unused_data)) if checked and b"\r\n\r\n" in content else None
+    if reason or b"\r\n\r\n" not in content:
+        return Broken(place, reason or "the record has no end of headers")
+    return content, at - len(inflate.unused_data)
+
 
+def records_in(source: _Source, begin: int, end: int) -> Iterator[bytes | Broken]:
+    """Contents of the members with records that start in [begin, end), and those that are broken.
 
-def records_in(source: _Source, begin: int, end: int) -> Iterator[bytes]:
-    """Contents of the records whose members start in [begin, end). From the first valid one on, each ends where the next begins."""
+    A member is a record's if its header and checksum say so; whatever stands between members, padding or other data, is
+    passed over. After a whole member the search goes on at its end, after a broken one right behind its first byte.
+    """
     place = begin
     while place < end:
         data = source.at(place, min(BLOCK, end - place) + len(MAGIC) - 1)
@@ -159,44 +186,82 @@ def records_in(source: _Source, begin: int, end: int) -> Iterator[bytes]:
         if place >= end:
             return
         found = member(source, place)
-        follows = found and (found[1] >= source.size or source.at(found[1], len(MAGIC)) == MAGIC)
-        if follows:
+        if isinstance(found, Broken):
+            yield found
+        elif found:
             yield found[0]
-            place = found[1]
-        else:
-            place += 1
-
-
-def parse(content: bytes) -> tuple:
-    head, _, body = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    payload = body[: int(fields["Content-Length"])]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (base32_sha1(payload) != digest or len(payload) != int(fields["X-Payload-Length"])):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't fit its digest")
+        place = found[1] if found and not isinstance(found, Broken) else place + 1
+
+
+def headers(head: bytes) -> dict[str, str]:
+    """Fields of a record's head by their names in small letters; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out.setdefault(name, value.strip())
+    return out
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """What a record's block carries: of an HTTP message what comes after its own headers, else all of it."""
+    if fields.get("content-type", "").lower().startswith("application/http") and b"\r\n\r\n" in block:
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def parse(content: bytes) -> Iterator[tuple]:
+    """Rows of the records in a member, one as a rule."""
     from urllib.parse import unquote
 
-    number, other, url = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID"), fields.get("WARC-Target-URI")
-    return int(number) if number else None, unquote(url) if url is not None else None, int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], int(other) if other else None, None if revisit else payload
+    while content.startswith(b"WARC/"):
+        head, _, rest = content.partition(b"\r\n\r\n")
+        fields = headers(head)
+        length = fields.get("content-length", "")
+        block = rest[: int(length)] if length.isdigit() else rest
+        content = rest[len(block) :].lstrip(b"\r\n")
+        kind, own = fields.get("warc-type", "").lower() or None, "x-payload-length" in fields
+        payload = None if kind == "revisit" else payload_of(fields, block)
+        told = fields.get("warc-payload-digest", "")
+        digest = told.partition(":")[2].upper() if told.lower().startswith("sha1:") else None
+        error = None
+        if not length.isdigit() or len(block) < int(length):
+            error = "the record is shorter than its length"
+        elif payload is not None:
+            made = base32_sha1(payload)
+            if digest not in (None, made, base32_sha1(block)) or own and len(payload) != int(fields["x-payload-length"]):
+                error = "the payload doesn't fit its digest"
+            digest = digest or made
+        size = int(fields["x-payload-length"]) if own else None if payload is None else len(payload)
+        url = fields.get("warc-target-uri")
+        url = url if url is None else unquote(url) if own else url.removeprefix("<").removesuffix(">")
+        number = lambda name: int(fields[name]) if fields.get(name, "").lstrip("-").isdigit() else None
+        yield number("x-page-id"), url, size, digest, kind, number("x-refers-to-page-id"), payload, error
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str, rows: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     files, _ = fs.FileSystem.from_uri(folder)
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held) if held else [()] * 7, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held) if held else [()] * len(names), types)], names)
 
     for batch in batches:
         for file, begin, end, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
             with files.open_input_file(file) as handle:
                 held, weight = [], 0
                 for content in records_in(_Source(handle, size), begin, end):
-                    held.append(parse(content))
+                    if isinstance(content, Broken):
+                        held.append((*[None] * 7, f"{file} at {content.place}: {content.reason}"))
+                        continue
+                    held += [(*r[:7], r[7] and f"{file}: {r[7]} ({r[1]})") for r in parse(content)]
                     weight += len(content)
                     if len(held) >= rows or weight > 16 << 20:
                         yield batch_of(held)
@@ -204,16 +269,26 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, rows: int) -> Iterator
                 yield batch_of(held)
 
 
-def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]], split_bytes: int = 8 << 20) -> DataFrame:
-    """Records of archives [(file, bytes)], (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload).
+def read_archives(spark: SparkSession, folder: str, files: list[tuple[str, int]], split_bytes: int = 8 << 20, broken: str = "raise") -> DataFrame:
+    """Records of archives [(file, bytes)]: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, error).
 
     Each task scans a byte range of `split_bytes` for gzip members, and has the records that start in it, so a large
-    archive is read by many tasks and every record by one. A revisit's payload is null. No file gives no row.
+    archive is read by many tasks and every record by one. Archives of any writer are read: field names in any case, records
+    of all types (warcinfo, request, metadata and others), without digests (they are worked out) or page ids (null), several in
+    a member, with padding or other data between members. A revisit's payload is null. A member that begins as a record
+    and is cut short or damaged, and a payload that doesn't fit its digest, fail the job, or with broken="row" are rows
+    that say so in `error`. Other members than records are passed over. No file gives no row.
     """
-    ranges = [(f, b, min(b + split_bytes, size), size) for f, size in files for b in range(0, size, split_bytes)]
-    plan = spark.createDataFrame(ranges, "file string, begin long, stop long, size long")
-    dealt = plan.repartition(max(1, min(len(ranges), 10_000)))
-    return dealt.mapInArrow(lambda it: _read(it, folder, 1000), RECORDS)
+    known = spark.createDataFrame(files, "file string, size long")
+    begins = F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))))
+    ranges = known.withColumn("begin", begins).select("file", "begin", F.least(F.col("begin") + split_bytes, F.col("size")).alias("stop"), "size")
+    n = sum(-(-size // split_bytes) for _, size in files)
+    dealt = ranges.repartition(max(1, min(n, 10_000)), "file", "begin")
+    out = dealt.mapInArrow(lambda it: _read(it, folder, 1000), RECORDS)
+    if broken == "row":
+        return out
+    checked = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.col("error")).cast("string"))
+    return out.withColumn("record_type", checked)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, split_bytes: int = 8 << 20) -> DataFrame:

@@ -470,6 +470,75 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.filter("page_id < 0"), str(tmp_path / "none")).count() == 0
 
 
+def contents(data: bytes, step: int) -> list:
+    """What the tasks find that read an archive in steps."""
+    return [c for b in range(0, len(data), step) for c in warc.records_in(warc._Source(io.BytesIO(data), len(data)), b, min(b + step, len(data)))]
+
+
+def foreign(kind: str, block: bytes, *fields: str) -> bytes:
+    return "\r\n".join(["WARC/1.0", f"warc-type: {kind}", *fields, f"CONTENT-LENGTH: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_reader_passes_over_padding_and_tells_of_broken_members():
+    one, two = (warc.record(i, "u", b"p%d" % i, warc.base32_sha1(b"p%d" % i), None, False) for i in (1, 2))
+    odd = gzip.compress(b"no record")
+    for between in (b"", b"\0" * 16, b"junk\x1f\x8b\x08junk", odd, b"\x1f\x8b"):
+        data = between + one + between + two + between
+        for step in (1, 13, 64, 1000):
+            assert [r[0] for c in contents(data, step) for r in warc.parse(c)] == [1, 2]
+    damaged = one[:-6] + bytes([one[-6] ^ 1]) + one[-5:]
+    for data, place in ((one + two[:-3], len(one)), (damaged + two, 0)):
+        for step in (1, 13, 64, 1000):
+            found = contents(data, step)
+            broken = [x for x in found if isinstance(x, warc.Broken)]
+            assert [x.place for x in broken] == [place] and len(found) == 2
+    assert contents(b"", 5) == [] and contents(two[:5], 5) == []
+
+
+def test_foreign_archives(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    digest = warc.base32_sha1(b"<p>x</p>")
+    http = "Content-Type: application/http; msgtype=response"
+    records = [
+        foreign("warcinfo", b"software: x", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: <http://x/%20>", "Content-Type: application/http; msgtype=request"),
+        foreign("response", page, "WARC-Target-URI: http://x/%20", http, f"WARC-Payload-Digest: SHA1:{digest.lower()}"),
+        foreign("response", page, "WARC-Target-URI: http://y/", "X-Folded: a", " b", http),
+        foreign("revisit", b"", "WARC-Target-URI: http://z/", f"warc-payload-digest: sha1:{digest}"),
+        foreign("metadata", b"", "WARC-Payload-Digest: md5:00"),
+    ]
+    made = gzip.compress(records[0]) + gzip.compress(records[1] + records[2]) + b"\0" * 9 + b"".join(map(gzip.compress, records[3:]))
+    (tmp_path / "foreign.warc.gz").write_bytes(made)
+    for split in (50, 1 << 20):
+        got = {(r["record_type"], r["url"]): (r["payload_bytes"], r["payload_digest"], r["payload"], r["page_id"], r["error"]) for r in warc.read_archives(spark, str(tmp_path), [(str(tmp_path / "foreign.warc.gz"), len(made))], split).collect()}
+        empty = warc.base32_sha1(b"")
+        assert got == {
+            ("warcinfo", None): (11, warc.base32_sha1(b"software: x"), b"software: x", None, None),
+            ("request", "http://x/%20"): (0, empty, b"", None, None),
+            ("response", "http://x/%20"): (8, digest, b"<p>x</p>", None, None),
+            ("response", "http://y/"): (8, digest, b"<p>x</p>", None, None),
+            ("revisit", "http://z/"): (None, digest, None, None, None),
+            ("metadata", None): (0, empty, b"", None, None),
+        }
+    wrong = gzip.compress(foreign("resource", b"abc", f"WARC-Payload-Digest: sha1:{digest}")) + made[:40]
+    (tmp_path / "wrong.warc.gz").write_bytes(wrong)
+    files = [(str(tmp_path / "wrong.warc.gz"), len(wrong)), (str(tmp_path / "none.warc.gz"), 0)]
+    (tmp_path / "none.warc.gz").write_bytes(b"")
+    errors = [r["error"] for r in warc.read_archives(spark, str(tmp_path), files, broken="row").collect()]
+    assert len(errors) == 2 and any("digest" in e for e in errors) and any("ends within" in e for e in errors)
+    with pytest.raises(Exception, match="wrong.warc.gz"):
+        warc.read_archives(spark, str(tmp_path), files).collect()
+
+
+def test_rows_that_repeat_in_full_are_one_response(spark, tmp_path):
+    rows = [(7, "u", "<p>a</p>")] * 5 + [(8, "v", "<p>a</p>"), (9, "w", "<b>"), (None, None, "<i>"), (None, None, "<i>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for k, limit in enumerate((500_000, 0)):
+        folder, made = warc.write_archives(pages, str(tmp_path / f"r{k}"), broadcast_rows=limit)
+        got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.read_archives(spark, folder, [(f, n) for f, _, n in made]).collect())
+        assert got == [("7", "response", "None"), *[("7", "revisit", "7")] * 4, ("8", "revisit", "7"), ("9", "response", "None"), ("None", "response", "None"), ("None", "revisit", "None")]
+
+
 def test_reader_owns_members_by_where_they_start():
     """Every way to split an archive gives every record once; magic bytes within a member don't count."""
     inner = warc.record(5, "u", b"inner", warc.base32_sha1(b"inner"), None, False)
@@ -477,9 +546,8 @@ def test_reader_owns_members_by_where_they_start():
     members = [warc.record(i, "u", b"p%d" % i, warc.base32_sha1(b"p%d" % i), None, False) for i in range(4)]
     data = members[0] + members[1] + b"".join(members[2:])
     for step in (1, 7, 50, 10_000):
-        ids = [warc.parse(c)[0] for b in range(0, len(data), step) for c in warc.records_in(warc._Source(io.BytesIO(data), len(data)), b, min(b + step, len(data)))]
-        assert ids == [0, 1, 2, 3]
-    assert list(warc.records_in(warc._Source(io.BytesIO(stored[:40]), 40), 0, 40)) == []
+        assert [r[0] for c in contents(data, step) for r in warc.parse(c)] == [0, 1, 2, 3]
+    assert contents(stored[:40], 40) == []
 
 
 def test_long_words_are_trained_whole():
