@@ -1,7 +1,8 @@
 """SimHash near-duplicates by anchor points: the codewords of a Hamming code cover the fingerprints.
 
 near_duplicates() links fingerprints of shingles within a few bits. similar_documents() takes anchors of a wider fingerprint
-of the words as candidates and confirms them by the Jaccard similarity of whole sets of shingles.
+of the words as candidates and confirms them by the Jaccard similarity of whole sets of shingles; short texts, of which a
+fingerprint says little, meet at their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -182,6 +183,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, limit: int = THRESHOLD) -> Data
 #: Bits of 128 in which fingerprints of words may differ to be compared by shingles. One word in 45 changed, which leaves a
 #: Jaccard similarity of about 0.8 of five-word shingles, changes about 9 bits; unrelated texts differ in 40 and more.
 NEAR = 24
+#: Texts of up to so many distinct shingles meet at their rarest ones as well, where no similar pair is missed.
+SHORT = 80
+#: Shingles are ranked by how often those are that share so many bits of their hash.
+RARITY_BITS = 16
 #: Groups of an anchor up to this size are compared at once, larger ones by way of their middle first.
 SMALL = 16
 
@@ -197,32 +202,66 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
 
 
-def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A number for the sequence of words, and 128 bits: each 1 if set in over half the XXH3 of the distinct words."""
+def _word_prints(batches: Iterator[pa.RecordBatch], k: int, short: int) -> Iterator[pa.RecordBatch]:
+    """A number for the sequence of words, and 128 bits: each 1 if set in over half the XXH3 of the distinct words; the set of
+    shingles of texts with words, `short` shingles at most, else null."""
     from xxhash import xxh3_128_digest, xxh64_intdigest
 
     for batch in batches:
-        node, out = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, 16), np.uint8)
+        node, out, sets = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, 16), np.uint8), [None] * batch.num_rows
         for i, text in enumerate(batch.column(2).to_pylist()):
             words = (text or "").encode().lower().split()
             node[i] = xxh64_intdigest(b" ".join(words), 42)
+            if 0 < len(words) < short + k:
+                sets[i] = shingle_set(text, k).view(np.int64)
             h = np.frombuffer(b"".join(map(xxh3_128_digest, set(words))), np.uint8).reshape(-1, 16)
             votes = np.zeros(128, np.int64)
             for at in range(0, len(h), 65536):
                 votes += np.unpackbits(h[at : at + 65536], axis=1).sum(0, dtype=np.int64)
             out[i] = np.packbits(2 * votes > len(h))
         left, right = (np.ascontiguousarray(out[:, 8 * j : 8 * j + 8]).view(np.int64)[:, 0] for j in (0, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(left), pa.array(right)], ["doc_id", "text_key", "node", "left", "right"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(left), pa.array(right), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "left", "right", "short"])
     release_memory()
 
 
-def _pairs_of(group: np.ndarray, limit: int, across: bool, block: int = 1024) -> Iterator[np.ndarray]:
-    """Rows (a, b) of nodes of one anchor's rows (node, left, right, label) that may be similar.
+def _at_rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: Fraction) -> Iterator[pa.RecordBatch]:
+    """(anchor, node, left, right, label, size) of short sets (node, label, own) at each shingle of their prefix: the rarest ones,
+    so many that sets with `least` of their shingles in common share one. left and right are 128 bits, each the parity of the
+    shingles that fall on it."""
+    for batch in batches:
+        made = [np.zeros((0, 6), np.int64)]
+        for node, label, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            hashes = np.array(own.values, np.int64).view(np.uint64)
+            n = len(hashes)
+            ranked = hashes[np.lexsort((hashes, counts[hashes & np.uint64(len(counts) - 1)]))]
+            prefix = ranked[: n - -(-least.numerator * n // least.denominator) + 1].view(np.int64)
+            bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & 127, minlength=128) & 1
+            left, right = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            rows = np.empty((len(prefix), 6), np.int64)
+            rows[:, 0], rows[:, 1:] = prefix, (node, left, right, label, n)
+            made.append(rows)
+        rows = np.concatenate(made)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["anchor", "node", "left", "right", "label", "size"])
+
+
+def at_rarest_shingles(short: DataFrame, least: Fraction) -> DataFrame:
+    """Rows of _at_rarest() of sets (node, label, own). Shingles are counted by a part of their hash, so what goes to the driver
+    and to each task is of one size always."""
+    mask = (1 << RARITY_BITS) - 1
+    found = short.select(F.explode("own").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(mask).cast("long")).alias("b")).count().collect()
+    counts = np.zeros(mask + 1, np.int64)
+    for b, n in found:
+        counts[b] = n
+    return short.select("node", "label", "own").mapInArrow(lambda it: _at_rarest(it, counts, least), "anchor long, node long, left long, right long, label long, size long")
+
+def _pairs_of(group: np.ndarray, reach, across: bool, block: int = 1024) -> Iterator[np.ndarray]:
+    """Rows (a, b) of nodes of one anchor's rows (node, left, right, label, size) that may be similar: reach(sizes, sizes) is how
+    many of their bits may differ.
 
     A large group is first compared with its middle only, the member nearest to the majority of each bit. With `across`, all
     pairs with different labels are compared, in blocks.
     """
-    prints = group[:, 1:3].view(np.uint64)
+    prints, sizes = group[:, 1:3].view(np.uint64), group[:, 4]
     if across or len(group) <= SMALL:
         for i in range(0, len(group), block):
             for j in range(0, i + 1, block):
@@ -231,17 +270,17 @@ def _pairs_of(group: np.ndarray, limit: int, across: bool, block: int = 1024) ->
                 if not apart.any():
                     continue
                 far = np.bitwise_count(prints[x, 0][:, None] ^ prints[y, 0][None, :]).astype(np.int16) + np.bitwise_count(prints[x, 1][:, None] ^ prints[y, 1][None, :])
-                a, b = np.nonzero((far <= limit) & apart)
+                a, b = np.nonzero((far <= reach(sizes[x][:, None], sizes[y][None, :])) & apart)
                 yield np.stack([group[x, 0][a], group[y, 0][b]], 1)
         return
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(group), 16), axis=1)
     middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(group)).view(np.uint64)
     at = int(np.bitwise_count(prints ^ middle).sum(1).argmin())
-    near = np.bitwise_count(prints ^ prints[at]).sum(1) <= limit
+    near = np.bitwise_count(prints ^ prints[at]).sum(1) <= reach(sizes, sizes[at])
     yield np.stack([np.full(int(near.sum()), group[at, 0]), group[near, 0]], 1)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], limit: int, across: bool) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], reach, across: bool) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of nodes, and (anchor, null) for each large group; rows come sorted by anchor and may go on in the next batch."""
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -249,7 +288,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], limit: int, across: bool) ->
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(rows)]
         out, large = [np.zeros((0, 2), np.int64)], []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            out += _pairs_of(rows[s:e, 1:], limit, across)
+            out += _pairs_of(rows[s:e, 1:], reach, across)
             if e - s > SMALL:
                 large.append(rows[s, 0])
         pairs = np.concatenate(out)
@@ -283,20 +322,51 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     release_memory()
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets (node, own) are similar; written."""
+    a, b = least.numerator, least.denominator
+    both = pairs.join(sets.select("node", "own").toDF("a", "x"), "a").join(sets.select("node", "own").toDF("b", "y"), "b")
+    return materialise(both.filter((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+
+
 def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b) of nodes those whose whole sets of shingles are similar. heads: (node, first_id, text_key)."""
-    a, b = least.numerator, least.denominator
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = materialise(heads.join(wanted, "node", "left_semi"), "wanted").toDF("node", "w_id", "w_key")
-    rows = broadcast_if_small(rows, 1_000_000)
+    kept = materialise(heads.join(wanted, "node", "left_semi"), "wanted")
+    rows = broadcast_if_small(kept.toDF("node", "w_id", "w_key"), 1_000_000)
     texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["w_id"]) & (docs["text_key"] == rows["w_key"])).select("node", "text")
     sets = materialise(texts.mapInArrow(lambda it: _sets(it, k), "node long, own array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    out = materialise(both.filter((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y"))).select("a", "b"), "links")
+    out = _similar(pairs, sets, least)
     forget(sets)
+    forget(kept)
     return out
 
 
+def _linked(nodes: DataFrame, anchors, reach, confirm) -> DataFrame:
+    """(a, b): links that join all similar nodes that meet at anchors. anchors(nodes with a label) are their rows (anchor, node, left,
+    right, label, size), reach the bits that may differ, confirm(pairs) the pairs that are similar.
+
+    A large group of an anchor is first linked to its middle; then only members that this hasn't joined meet.
+    """
+
+    def found(rows: DataFrame, across: bool) -> DataFrame:
+        return materialise(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _candidates(it, reach, across), "a long, b long").distinct(), "candidates")
+
+    tried = found(anchors(nodes.withColumn("label", F.col("node"))), False)
+    links = confirm(tried.filter("b is not null"))
+    large = tried.filter("b is null").select(F.col("a").alias("anchor"))
+    if not large.isEmpty():
+        named = nodes.join(connected_components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        open_ = anchors(named).join(broadcast_if_small(large, 1_000_000), "anchor", "left_semi")
+        others = found(open_, True)
+        fresh = materialise(others.filter("b is not null").join(tried.filter("b is not null"), ["a", "b"], "left_anti"), "candidates")
+        links = links.union(confirm(fresh))
+        forget(others)
+        forget(fresh)
+    forget(tried)
+    return links
+
+
 def similar_documents(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), limit: int = NEAR) -> DataFrame:
     """(doc_id, text_key, component_id): the smallest doc_id that can be reached by links of a Jaccard similarity of `least`
     or more between whole sets of k-word shingles. text_key is the hash of a row's text. Texts with equal words are linked,
@@ -304,29 +374,20 @@ def similar_documents(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4,
 
     Fingerprints are of the distinct words, for changed words move these far less than shingles. Documents that meet at an
     anchor of one of four 32-bit parts and differ in `limit` of 128 bits at most are compared by shingles. Similar documents
-    all of whose parts differ in three bits or more may be missed. A large group of an anchor is first linked to its middle;
-    then only members that this hasn't joined meet. A null doc_id counts as larger than all others.
+    all of whose parts differ in three bits or more may be missed, which happens to short ones: texts of up to SHORT shingles
+    also meet at their rarest ones, by prefixes of which similar sets share one, within the bits that sets so similar can
+    differ in; of these no pair is missed. A null doc_id counts as larger than all others.
     """
     docs = keyed(docs)
-    prints = materialise(docs.mapInArrow(_word_prints, "doc_id long, text_key long, node long, left long, right long"), "prints")
+    prints = materialise(docs.mapInArrow(lambda it: _word_prints(it, k, SHORT), "doc_id long, text_key long, node long, left long, right long, short array<long>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")
-    nodes = materialise(prints.groupBy("node").agg(first, F.first("left").alias("left"), F.first("right").alias("right")).select("node", "x.doc_id", "x.text_key", "left", "right"), "distinct")
+    nodes = materialise(prints.groupBy("node").agg(first, F.first("left").alias("left"), F.first("right").alias("right"), F.first("short").alias("own")).select("node", "x.doc_id", "x.text_key", "left", "right", "own"), "distinct")
     heads = nodes.select("node", F.col("doc_id").alias("first_id"), "text_key")
-
-    def found(rows: DataFrame, across: bool) -> DataFrame:
-        return materialise(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _candidates(it, limit, across), "a long, b long").distinct(), "candidates")
-
-    at_anchors = anchored(nodes.select("node", "left", "right", F.col("node").alias("label")), "left", "right")
-    tried = found(at_anchors, False)
-    links = _confirmed(tried.filter("b is not null"), heads, docs, k, least)
-    large = tried.filter("b is null").select(F.col("a").alias("anchor"))
-    if not large.isEmpty():
-        label = connected_components(links)
-        named = nodes.join(label, "node", "left").select("node", "left", "right", F.coalesce("component", "node").alias("label"))
-        open_ = anchored(named, "left", "right").join(broadcast_if_small(large, 1_000_000), "anchor", "left_semi")
-        others = found(open_, True).filter("b is not null").join(tried.filter("b is not null"), ["a", "b"], "left_anti")
-        links = links.union(_confirmed(materialise(others, "candidates"), heads, docs, k, least))
-    named = heads.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_words = _linked(nodes.select("node", "left", "right"), lambda own: anchored(own, "left", "right").withColumn("size", F.lit(0).cast("long")).select("anchor", "node", "left", "right", "label", "size"), lambda x, y: limit, lambda pairs: _confirmed(pairs, heads, docs, k, least))
+    short = nodes.filter("own is not null").select("node", "own")
+    share, whole = least.denominator - least.numerator, least.denominator + least.numerator
+    by_shingles = _linked(short, lambda own: at_rarest_shingles(own, least), lambda x, y: share * (x + y) // whole, lambda pairs: _similar(pairs, short, least))
+    named = heads.join(connected_components(by_words.union(by_shingles)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "labelled")
     least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return prints.select("doc_id", "text_key", "node").join(named.join(least_id, "component").select("node", "component_id"), "node").select("doc_id", "text_key", "component_id")
