@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -13,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
 from .stats import distinct_top, floor_percentile, upper_median, weighted_mode
 
 PAGE = ["doc", "page"]
@@ -50,10 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder of spark.checkpoint.dir; a local master without one gets a folder of its own."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallyforge-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # a checkpoint writes in a job of its own, which reads this
     out = kept.checkpoint()
     kept.unpersist()

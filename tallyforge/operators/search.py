@@ -125,7 +125,8 @@ def parse(query: str) -> list | str:
     return alternatives() if tokens else ""
 
 
-def _leaf(word: str) -> str:
+def leaf_pattern(word: str) -> str:
+    """The pattern of a word or phrase in a lower-case text."""
     bare = word.strip('"').lower()
     star = bare.endswith("*")
     body = re.escape(bare.rstrip("*").strip()).replace(r"\ ", r"\s+").replace(" ", r"\s+")
@@ -141,7 +142,7 @@ def leaves(tree: list | str) -> list[str]:
 def predicate(tree: list | str, text: Column) -> Column:
     """A parsed query as a condition on a lower-case text; words match whole ASCII words, a trailing * the beginning of one."""
     if isinstance(tree, str):
-        return text.rlike(_leaf(tree)) if tree else F.lit(False)
+        return text.rlike(leaf_pattern(tree)) if tree else F.lit(False)
     parts = [predicate(x, text) for x in tree[1:]]
     if tree[0] == "NOT":
         return ~parts[0]
@@ -156,7 +157,7 @@ def retrieve(docs: DataFrame, text: str, query: str) -> DataFrame:
     tree, low = parse(query), F.lower(text)
     score = F.lit(0)
     for leaf in dict.fromkeys(leaves(tree)):
-        score = score + F.regexp_count(low, F.lit(_leaf(leaf)))
+        score = score + F.regexp_count(low, F.lit(leaf_pattern(leaf)))
     return docs.filter(predicate(tree, low)).withColumn("score", score)
 
 

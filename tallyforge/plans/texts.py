@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import prose as P
 from ..functions import scalars as S
+from ..operators import index as I
 from ..operators import records as R
 from ..operators import search as X
+from ..operators.scratch import scratch
 from .registry import query, table
 
 DECODED = "t"
@@ -63,6 +65,13 @@ def boolean_retrieval_page(spark, sf):
     return R.page_window(hits, [F.desc("score"), F.asc("doc_id")], 2).select("doc_id", F.col("rank").cast("long").alias("rank"), "has_more")
 
 
+@query(f"""SELECT doc_id, (len(regexp_extract_all(lower(text), '(^|[^a-z0-9])license([^a-z0-9]|$)')) + len(regexp_extract_all(lower(text), '(^|[^a-z0-9])licensed\\s+under([^a-z0-9]|$)')))::INT AS score FROM documents WHERE {HIT}""")
+def indexed_retrieval(spark, sf):
+    """The index of all documents, built and asked."""
+    index = I.build_index(table(spark, sf, "documents"), "doc_id", "text", scratch(spark, "index"))
+    return I.lookup(index, '(license OR "licensed under") AND NOT mit').select(F.col("doc").alias("doc_id"), "score")
+
+
 @query("SELECT doc_id, 1 AS attempt FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])licen')")
 def fallback_cascade(spark, sf):
     """The first query finds nothing, so the second one's hits count."""
