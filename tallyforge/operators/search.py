@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prose import sanitize_query, sanitized_apart
-from ..functions.rewriting import mapped
+from ..functions.prose import sanitize_query, stripped
 from ..functions.scalars import query_from_keywords  # noqa: F401
 from .records import cascade_of
 
@@ -71,18 +70,11 @@ def without_unsupported(df: DataFrame, keywords: str, queries: list[str], facts:
     """df with its keywords (an array) and queries without the terms whose guard the facts don't meet; see unjustified() for
     guards. Phrases and words that a term's pattern hits go from a query, which is sanitised after that, and stay where no
     guard fails. Null keywords and queries stay null; null facts meet no guard."""
-    bad = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(facts).rlike(f"(?i){needs}"), F.lit(False)), F.lit(f"(?i){term}")) for term, needs, _ in guards]).cast("array<string>"))
-
-    def hit(word: Column) -> Column:
-        return F.exists("__bad", lambda p: F.rlike(word, p))
-
-    def stripped(query: str) -> Column:
-        return mapped(F.col(query), r'"[^"]*"|(?<![\w*-])[\w*-]+(?![\w*-])', lambda m: F.when(~m.isin("AND", "OR", "NOT") & hit(m), "").otherwise(m))
-
+    bad = F.concat_ws("\n", *[F.when(~F.coalesce(F.col(facts).rlike(f"(?i){needs}"), F.lit(False)), F.lit(term)) for term, needs, _ in guards]) if guards else F.lit("")
+    patterns = F.filter(F.split("__bad", "\n"), lambda t: t != "")
+    kept = F.filter(keywords, lambda k: ~F.exists(patterns, lambda t: F.rlike(k, F.concat(F.lit("(?i)"), t))))
     out = df.withColumn("__bad", bad)
-    out = out.withColumns({keywords: F.filter(keywords, lambda k: ~hit(k))} | {f"__{q}": stripped(q) for q in queries})
-    out = out.withColumns({f"__{q}": sanitized_apart(f"__{q}") for q in queries}) if queries else out
-    return out.withColumns({q: F.when(F.size("__bad") == 0, F.col(q)).otherwise(F.col(f"__{q}")) for q in queries}).select(*df.columns)
+    return out.withColumns({keywords: kept} | {q: stripped(q, "__bad") for q in queries}).select(*df.columns)
 
 
 def parse(query: str) -> list | str:

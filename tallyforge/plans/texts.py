@@ -185,8 +185,8 @@ def keyword_presence(spark, sf):
 @query()
 def extractive_summary(spark, sf):
     pool = ["apache", "gnu", "license", "version"]
-    told = P.summarised(F.col("text"), F.array(F.lit("license"), F.lit("software")), pool, F.lit("Licence"), F.lit("all states"))
-    return table(spark, sf, "documents").select("doc_id", told.alias("s")).select("doc_id", "s.summary", "s.keywords")
+    own = table(spark, sf, "documents").select("doc_id", "text")
+    return P.summarised(own, "text", F.array(F.lit("license"), F.lit("software")), pool, F.lit("Licence"), F.lit("all states")).drop("text")
 
 
 @query()

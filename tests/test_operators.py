@@ -115,14 +115,14 @@ def test_keywords(spark):
     found = spark.createDataFrame([(text, k) for k in ("wrongful terminated", "copyright", "damage", "", None)], "t string, k string")
     assert [r["x"] for r in found.select(P.appears(P.haystack(F.col("t")), F.col("k")).alias("x")).collect()] == [True, False, True, False, False]
     words = spark.createDataFrame([(text, ["court", "damages", "Damages"], ["termination"]), (text, None, None), (None, ["damages"], [None])], "t string, p array<string>, s array<string>")
-    got = [r["x"] for r in words.select(P.final_keywords(F.col("p"), P.haystack(F.col("t")), F.col("s"), ["fraud", "sudden"]).alias("x")).collect()]
+    got = [r["x"] for r in P.with_keywords(words.withColumn("h", P.haystack(F.col("t"))), "h", F.col("p"), F.col("s"), ["fraud", "sudden"], "x").collect()]
     assert got == [["damages", "termination", "sudden"], ["sudden"], []]
 
 
 def test_summaries(spark):
     case = "It was a long case about damages that were claimed by the owner. The court affirmed the judgment below."
     df = spark.createDataFrame([(case, ["damages"]), ("", ["x", "y"]), (None, None)], "t string, s array<string>")
-    told = [r["x"] for r in df.select(P.summarised(F.col("t"), F.col("s"), [], F.lit("Tort"), F.lit("Ohio"), F.lit("A v. B was decided.")).alias("x")).collect()]
+    told = P.summarised(df, "t", F.col("s"), [], F.lit("Tort"), F.lit("Ohio"), F.lit("A v. B was decided.")).collect()
     assert told[0]["keywords"] == ["damages"] and told[0]["summary"] == " ".join(["A v. B was decided.", P.FACT, "“" + case.split(". ")[0] + ".”", P.RULING, "“The court affirmed the judgment below.”", "It may be relevant to your tort matter because the opinion discusses damages, issues that also come up in the situation you described.", P.CLOSING])
     assert told[1]["summary"].startswith(f"A v. B was decided. {P.NO_RULING} It was returned for your search on x and y in Ohio.") and told[2]["keywords"] == []
 
