@@ -64,3 +64,34 @@ def rate_limited(hits: DataFrame, key: str, ts: str, tie: str, limit: int, secon
     ordered = rows.filter("t is not null").repartition("key").sortWithinPartitions("key", "t", "tie")
     walked = ordered.mapInArrow(walk, f"tie {kinds['tie']}, key {kinds['key']}, w long, n int")
     return walked.select(F.col("tie").alias(tie), F.col("key").alias(key), F.timestamp_micros("w").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("count_in_window"), (F.col("n") <= limit).alias("allowed"))
+
+
+def cooled_down(attempts: DataFrame, key: str, ts: str, tie: str, exhausted: str, minutes: int = 20) -> DataFrame:
+    """(tie, key, resting, until) of each attempt at a provider (key): one whose quota is exhausted rests for `minutes` from that
+    attempt on, and attempts in that time are skipped, whatever they would have met; one just at its end is made. until: when the
+    rest that holds after the attempt ends, else null.
+
+    Attempts are sorted by key and time within their partition, and a task walks over them with one key's rest in hand. Of
+    attempts at one instant the smaller tie comes first. Attempts without a key are one key, those without a time are left out.
+    """
+    rows = attempts.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie"), F.col(key).alias("key"), F.coalesce(F.col(exhausted), F.lit(False)).alias("out"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    span = minutes * 60_000_000
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until = object(), None
+        for batch in batches:
+            resting, ends = [], []
+            for t, own, out in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if own != key:
+                    key, until = own, None
+                skipped = until is not None and t < until
+                if not skipped:
+                    until = t + span if out else None
+                resting.append(skipped)
+                ends.append(until)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(resting, pa.bool_()), pa.array(ends, pa.int64())], ["tie", "key", "resting", "until"])
+
+    ordered = rows.filter("t is not null").repartition("key").sortWithinPartitions("key", "t", "tie")
+    walked = ordered.mapInArrow(walk, f"tie {kinds['tie']}, key {kinds['key']}, resting boolean, until long")
+    return walked.select(F.col("tie").alias(tie), F.col("key").alias(key), "resting", F.timestamp_micros("until").cast("timestamp_ntz").alias("until"))

@@ -167,6 +167,16 @@ def rate_limited_events(spark, sf):
     return V.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 2, 3600)
 
 
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id % 50 AS provider, ts, event_id % 7 = 0 AS out, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, provider, ts, k, false AS resting, CASE WHEN out THEN ts + INTERVAL 20 HOUR END AS until FROM o WHERE k = 1
+UNION ALL SELECT o.event_id, o.provider, o.ts, o.k, coalesce(o.ts < r.until, false), CASE WHEN o.ts < r.until THEN r.until WHEN o.out THEN o.ts + INTERVAL 20 HOUR END FROM r JOIN o ON o.provider = r.provider AND o.k = r.k + 1)
+SELECT event_id, provider, resting, until FROM r""")
+def resting_providers(spark, sf):
+    """All events as attempts at fifty providers, whose quota every seventh finds exhausted."""
+    attempts = table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("provider"), "ts", (F.col("event_id") % 7 == 0).alias("exhausted"))
+    return V.cooled_down(attempts, "provider", "ts", "event_id", "exhausted", 20 * 60)
+
+
 @query("SELECT event_id, CASE WHEN user_id % 4 > 0 THEN user_id::VARCHAR END AS user_id FROM events")
 def fk_nulling(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id")

@@ -262,3 +262,22 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {(r["id"], r["allowed"]) for r in limited.collect()} == {(r["id"], r["allowed"]) for r in expected.collect()}
     streams.write_batches(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Limits and rests hold over files that arrive after the query was stopped; a group's state goes once its time has passed."""
+    schema = "k long, ts timestamp_ntz, id long, out boolean"
+    rows = [(1, 0, 1, True), (1, 600, 2, False), (2, 10, 3, False), (1, 1199, 4, True), (1, 1200, 5, False), (2, 1300, 6, True), (1, 1300, 7, False), (2, 2000, 8, True), (2, 2500, 9, False), (3, 90_000, 10, False), (2, 90_100, 11, False), (1, 90_200, 12, True)]
+    frame = lambda own: spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), i, out) for k, s, i, out in own], schema)
+    limited, rests = {}, {}
+    for n, part in enumerate((rows[:4], rows[4:7], rows[7:])):
+        frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = streams.source(spark, str(tmp_path / "in"), schema, "ts")
+        for name, stream, into in (("limits", streams.rate_limited(src, "k", "ts", "id", 2, 700), limited), ("rests", streams.cooled_down(src, "k", "ts", "id", "out", 20), rests)):
+            q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp-{name}")).option("path", str(tmp_path / name)).trigger(availableNow=True).start()
+            q.awaitTermination()
+            into.clear()
+            into.update({r["id"]: r[-1] for r in spark.read.parquet(str(tmp_path / name)).collect()})
+            assert len(into) == sum(map(len, (rows[:4], rows[4:7], rows[7:])[: n + 1]))
+    assert limited == {r["id"]: r["allowed"] for r in V.rate_limited(frame(rows), "k", "ts", "id", 2, 700).collect()}
+    assert rests == {r["id"]: r["resting"] for r in V.cooled_down(frame(rows), "k", "ts", "id", "out").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True, 9: False, 10: False, 11: False, 12: False}
