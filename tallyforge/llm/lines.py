@@ -19,9 +19,13 @@ from .common import SEPARATORS, broadcast_if_small, bucketed, forget, materialis
 HASH_BITS = 57
 #: Words of this class and above (8: 256 lines or more share them) are looked up in pairs; the class rises with the documents.
 HOT_CLASS = 8
+#: Sets of up to so many words are looked up by pairs of hot words, larger ones by each hot word, so that a set has eight
+#: postings for each of its words at the most.
+PAIRED = 400
 THRESHOLD = Fraction(4, 5)
-#: Keys of more sets than this are looked at by slices first: which ones decides on speed, not on results.
-LARGE, SLICES = 16, 16
+#: Keys of more sets than this are looked at by slices first, and so many of the nearest sets found there are tried: this
+#: decides on speed, not on results.
+LARGE, SLICES, TRIED = 16, 24, 16
 #: Where a line stands, in the order of lines: row is told in identified().
 PLACE = ("doc_id", "row", "line_no")
 #: The place of the earlier line that a line is similar to.
@@ -114,16 +118,18 @@ def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
 
     By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
     word that two similar sets share is hot, so is the second, and both stand there; they share two, as sets that share one
-    word only are equal or less than half alike.
+    word only are equal or less than half alike. Pairs grow with the square of the prefix, so sets of more than PAIRED words go by
+    single words all through; smaller ones that can be similar to such a set do both.
     """
     a, b = least.numerator, least.denominator
     hot = hot_class << HASH_BITS
     out = sets.withColumn("p", F.expr(f"cast(n - ({a}L * n + {b - 1}) div {b} + 1 as int)"))
     out = out.withColumn("cold", F.size(F.filter("prefix", lambda k: k < hot)))
-    singles = "transform(sequence(1, least(p, cold)), i -> named_struct('key', element_at(prefix, i), 'pos', i - 1))"
+    out = out.withColumn("single", F.expr(f"if({b}L * n > {a}L * {PAIRED}, p, least(p, cold))"))
+    singles = "transform(sequence(1, single), i -> named_struct('key', element_at(prefix, i), 'pos', i - 1))"
     pairs = "flatten(transform(sequence(cold + 1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), j -> named_struct('key', xxhash64(element_at(prefix, i), element_at(prefix, j)), 'pos', i - 1))))"
     none = "cast(array() as array<struct<key: bigint, pos: int>>)"
-    entry = F.expr(f"concat(if(least(p, cold) > 0, {singles}, {none}), if(size(prefix) - cold > 1, {pairs}, {none}))")
+    entry = F.expr(f"concat(if(single > 0, {singles}, {none}), if(n <= {PAIRED} and size(prefix) - cold > 1, {pairs}, {none}))")
     return out.select("sid", "n", "p1", "p2", F.explode(entry).alias("e")).select("e.key", "sid", "n", "e.pos", "p1", "p2")
 
 
@@ -181,8 +187,8 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
     for variants is the line that they all vary. In keys of more than LARGE sets, they then meet the earliest of each of
-    SLICES slices of these, and any one of each, and the nearest of them by its parities is tried. Only what is left meets all earlier sets
-    that share a key. The postings are written in buckets by key, so that these joins move none of them.
+    SLICES slices of these, and any one of each, and the nearest of them by their parities are tried. Only what is left meets all
+    earlier sets that share a key. The postings are written in buckets by key, so that these joins move none of them.
     """
 
     def without(rows: DataFrame, settled: DataFrame) -> DataFrame:
@@ -217,9 +223,10 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
         some = large.groupBy(F.col("key").alias("x_key"), F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(SLICES)).alias("slice")).agg(pick.alias("x"))
         y = without(large, settled).select("key", own.alias("y"))
         tried = y.join(some.hint("merge"), F.col("key") == F.col("x_key")).filter(may_match("x", "y", least))
-        nearest = F.min(F.struct(_apart("x", "y").alias("bits"), "x")).alias("best")
-        tried = tried.groupBy(F.col("y.sid").alias("sid")).agg(nearest).select("sid", F.col("best.x.sid").alias("of_sid"), "best.x.n", "best.x.p1", "best.x.p2")
-        more = verified(materialise(tried, "candidates"), heads, docs, least, broadcast_rows)
+        rank = F.row_number().over(Window.partitionBy("sid").orderBy("bits", "x.sid"))
+        tried = tried.select(F.col("y.sid").alias("sid"), _apart("x", "y").alias("bits"), "x").distinct().withColumn("rank", rank).filter(f"rank <= {TRIED}")
+        tried = materialise(tried.select("sid", F.col("x.sid").alias("of_sid"), "x.n", "x.p1", "x.p2").distinct(), "candidates")
+        more = verified(tried, heads, docs, least, broadcast_rows)
 
     settled = materialise(settled.union(more), "settled")
     several = crowded.filter("times > 2").drop("x", "times")

@@ -623,6 +623,31 @@ def test_hot_words_are_found_in_pairs(spark):
     assert got == plain_lines(rows)
 
 
+def test_long_lines_of_hot_words(spark):
+    """Sets around the size from which single hot words are looked up, all words hot: as brute force, with few postings each."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(650)]
+    rows = []
+    for n in (310, 318, 322, 330, 380, 399, 401, 420, 480, 500):
+        base = rng.sample(words, n)
+        rows += [base, base[: int(n * 0.82)], base[n // 8 :], rng.sample(words, n)]
+        rows.append(base[n // 20 :] + rng.sample([w for w in words if w not in base], n // 20))
+    rng.shuffle(rows)
+    rows += [[*w, f"rare{i}"] for i, w in enumerate(rows[:5])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    sets = [frozenset(w) for w in rows]
+    expected = {i for i, y in enumerate(sets) if any(5 * len(x & y) >= 4 * len(x | y) for x in sets[:i])}
+    for hot in (lines.HOT_CLASS, 0):
+        lines.HOT_CLASS, before = hot, lines.HOT_CLASS
+        got = {r["doc_id"] for r in lines.removals(frame).filter("n_removed > 0").collect()}
+        lines.HOT_CLASS = before
+        assert got == expected and len(expected) > 20
+    many = spark.createDataFrame([(i, " ".join(rng.sample([f"v{k}" for k in range(1200)], 600))) for i in range(200)], "doc_id long, text string")
+    table, bits = lines.rarity(lines.identified(many))
+    keyed = lines.keyed_lines(lines.lines_of(lines.identified(many)), table, bits, lines.THRESHOLD).withColumn("sid", F.col("doc_id"))
+    assert lines.postings(keyed, lines.THRESHOLD, 0).count() <= 200 * 125  # 1 + 600 / 5 words of each prefix
+
+
 def test_dedup_takes_lines_out(spark):
     rows = [(1, "a b c d e\nkeep me here now\n\n", "en", "s", 1) + ("c",) * 6, (2, "x y z\ne d c b a\nlast words stand here", "en", "s", 2) + ("c",) * 6]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
