@@ -108,3 +108,11 @@ def inherited(styles: DataFrame, key: str, parent: str, values: list[str]) -> Da
         up = out.select(F.col(key).alias("__k"), F.col("__next").alias("__further"), *[F.col(v).alias(f"__{v}") for v in values])
         out = out.join(up, F.col("__next") == F.col("__k"), "left").select(key, parent, *[F.coalesce(v, f"__{v}").alias(v) for v in values], F.col("__further").alias("__next"))
     return out.select(key, parent, *values)
+
+
+def zipped(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of two frames side by side: of each key the first with the first by order, and so on, with their place from 1. Where one
+    runs out, its columns are null; order itself, which each numbers by, is left out."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    own = [x.withColumn("place", F.row_number().over(w)).drop(order) for x in (a, b)]
+    return own[0].join(own[1], [*keys, "place"], "full")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, converted, layouts, ordered, texts  # noqa: F401  they register their queries
+from . import analytics, converted, layouts, ordered, resumes, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
