@@ -112,3 +112,29 @@ def zipped_turns(spark, sf):
     asked = own.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = own.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     return R.zipped(asked, told, ["conv_id"], "turn").withColumn("place", F.col("place").cast("long"))
+
+
+#: Bullets as written, and as they should read; {x} is a word of its own for each document.
+BULLETS = [
+    ("• Worked on migrating {x} to aws and k8s.", "Migrate {x} to AWS and Kubernetes"),
+    ("Helped build  various {x} apis in order to cut costs by 40 percent", "Support efforts to build multiple {x} APIs to cut costs by 40%"),
+    ("Manages {x} , nodejs etc.", "Manage {x}, Node.js"),
+    ("Developed {x}", "Developed {x}"),
+    ("Was responsible for managing {x} to Building y", "Manage {x} to build y"),
+    ("Architecting {x}, tested and deployed it that reduced y", "Architect {x}, test and deploy it that reduced y"),
+    ("Assisted with testing {x} and wrote docs", "Test {x} and write docs"),
+    ("Led {x} with the help of python", "Led {x} with Python"),
+    ("- applies {x} on a daily basis;", "Applies {x} daily"),
+    ("successfully utilized {x} and so on", "Use {x}"),
+    ("Was tasked with {x} ,  and more", "Own {x}"),
+    ("Builds {x}", "Build {x}"),
+]
+
+
+@query(f"SELECT doc_id, replace(({[said for _, said in BULLETS]})[doc_id % {len(BULLETS)} + 1], '{{x}}', 'gadget' || doc_id % 9) AS bullet FROM documents")
+def polished_cases(spark, sf):
+    from ..functions.rewriting import polished
+
+    raw = F.element_at(F.array(*[F.lit(said) for said, _ in BULLETS]), (F.col("doc_id") % len(BULLETS) + 1).cast("int"))
+    filled = F.replace(raw, F.lit("{x}"), F.concat(F.lit("gadget"), (F.col("doc_id") % 9).cast("string")))
+    return table(spark, sf, "documents").select("doc_id", polished(filled).alias("bullet"))
