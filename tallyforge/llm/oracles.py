@@ -51,3 +51,8 @@ d AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
 o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS x FROM e ANTI JOIN d USING (doc_id, i) GROUP BY 1)
 SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli, coalesce(sha, sha256('')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
 FROM t LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+#: Base32 of the SHA-1: the 32 groups of five bits, each out of two hex digits.
+SPLITTABLE_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages), h AS (SELECT page_id, octet_length(encode(x))::BIGINT AS payload_bytes, sha1(x) AS h FROM p),
+d AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((strpos('0123456789abcdef', substr(h, 5 * j // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 5 * j // 4 + 2, 1)) - 1) >> (3 - 5 * j % 4)) & 31)::INT, 1) FOR j IN range(32)], '') AS payload_digest, min(page_id) OVER (PARTITION BY h) AS head FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM d"""

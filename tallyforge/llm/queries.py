@@ -113,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_splittable_warc": oracles.SPLITTABLE_WARC,
         "op8_set_join_line_dedup": oracles.LINE_DEDUP,
         "op11_chat_masks": oracles.CHAT_MASKS,
         "op12_vector_codes": oracles.vector_codes(),

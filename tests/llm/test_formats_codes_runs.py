@@ -223,12 +223,12 @@ def test_periodic_tails(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["op11_chat_masks", "op12_vector_codes", "op13_periodic_runs"])
+@pytest.mark.parametrize("name", ["op5_splittable_warc", "op11_chat_masks", "op12_vector_codes", "op13_periodic_runs"])
 def test_registered_queries_equal_their_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     twin = con.sql(queries.oracle_sql()[name])
     columns = sorted(twin.columns)
