@@ -813,7 +813,7 @@ def test_queries_and_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
     from tallyforge.llm import queries
 
-    assert [k.split("_")[0] for k in sorted(queries.queries(), key=lambda k: int(k.split("_")[0][2:]))] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in sorted(queries.queries(), key=lambda k: int(k.split("_")[0][2:]))] == [f"op{n}" for n in range(1, 14)]
     totals = queries.op1_token_rollups(spark, sf).groupBy("tokenizer_version").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t")).collect()
     plain = tokens.token_counts(spark.read.parquet(f"{sf}/documents.parquet"), tokens.tokenizer_files()).groupBy("tokenizer_version").agg(F.count("*").alias("d"), F.sum("tokens").alias("t")).collect()
     assert sorted(map(tuple, totals)) == sorted(map(tuple, plain))
