@@ -115,7 +115,7 @@ def placed(segments: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def cell_texts(segments: DataFrame) -> DataFrame:
-    """(doc, page, grid, region, text, flush): the text of each region that holds placed() segments (line, y, x0, x1, text): its
+    """(doc, page, grid, region, text): the text of each region that holds placed() segments (line, y, x0, x1, text): its
     lines from top to bottom, their pieces a tab apart."""
     own = segments.filter("region IS NOT NULL").groupBy(*GRID, "region", "line").agg(F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("x0", "id", "text"))).alias("s"))
     lines = own.select(*GRID, "region", "y", "line", F.array_join(F.transform("s", lambda s: s["text"]), "\t").alias("text"))
