@@ -45,12 +45,12 @@ def cap(text: Column, most: int) -> Column:
 
 def cut_at_word(text: Column, most: int, mark: str = "…") -> Column:
     """Longer texts are cut to `most` characters, back to the last white space, and marked."""
-    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit(mark))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", ""), F.lit(mark))).otherwise(text)
 
 
 def condense(text: Column, head: int = 9000, tail: int = 5000, slack: int = 500, mark: str = "\n\n[… middle of the opinion omitted …]\n\n") -> Column:
-    """Head and tail of a long text, cut at words; others as they are."""
-    front = F.regexp_replace(F.substring(text, 1, head), r"\s+\S*$", "")
+    """Head and tail of a long text, cut at words; others as they are. The cut is at the head's very end, also where that is a line's."""
+    front = F.regexp_replace(F.substring(text, 1, head), r"\s+\S*\z", "")
     back = F.regexp_replace(F.right(text, F.lit(tail)), r"^\S*\s+", "")
     return F.when(F.length(text) > head + tail + slack, F.concat(front, F.lit(mark), back)).otherwise(text)
 

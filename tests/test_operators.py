@@ -281,3 +281,10 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
             assert len(into) == sum(map(len, (rows[:4], rows[4:7], rows[7:])[: n + 1]))
     assert limited == {r["id"]: r["allowed"] for r in V.rate_limited(frame(rows), "k", "ts", "id", 2, 700).collect()}
     assert rests == {r["id"]: r["resting"] for r in V.cooled_down(frame(rows), "k", "ts", "id", "out").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True, 9: False, 10: False, 11: False, 12: False}
+
+
+def test_condensed_texts_keep_a_last_word_before_a_line_end(spark):
+    """The head ends with a line: its last word is whole, and only the line end goes."""
+    text = "one two three\n" + "x " * 20 + "end of it"
+    (row,) = spark.createDataFrame([(text,)], ["t"]).select(S.condense(F.col("t"), 14, 8, 0, " [...] ")).collect()
+    assert row[0] == "one two three [...] of it"
