@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .scratch import shared_folder
+from .scratch import shared_folder, stored
 from .stats import distinct_top, floor_percentile, upper_median, weighted_mode
 
 PAGE = ["doc", "page"]
@@ -56,16 +58,78 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (doc, page, id) with the smallest id that links (doc, page, a_id, b_id) reach, within a page. Labels pass over links and then over labels until none moves; rounds grow with the logarithm of a chain."""
-    both = links.select(*PAGE, F.col("a_id").alias("id"), F.col("b_id").alias("other")).union(links.select(*PAGE, F.col("b_id").alias("id"), F.col("a_id").alias("other"))).distinct()
-    labels = checkpointed(nodes.select(*PAGE, "id", F.col("id").alias("component")))
+def components(nodes: DataFrame, links: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """nodes (doc, page, id) with the smallest id that links (doc, page, a_id, b_id) reach, within a page.
+
+    Nodes and links are sorted by page, and a task walks over them with one page's nodes in hand, each hanging on a smaller
+    one. A count shows pages of over `most` nodes; these go by rounds of joins instead, so that no task holds them.
+    """
+    keys = [*PAGE, "id"]
+    kinds = {c: nodes.schema[c].dataType for c in keys}
+    own, ends = nodes.select(*keys), {"id": "a_id", "other": "b_id"}
+    both = links.dropna(subset=[*PAGE, *ends.values()]).select(*[F.col(c).cast(kinds[c]).alias(c) for c in PAGE], *[F.col(c).cast(kinds["id"]).alias(n) for n, c in ends.items()])
+    huge = own.groupBy(*PAGE).count().filter(F.col("count") > most).select(*PAGE).dropna()
+    if huge.isEmpty():
+        return _walked_components(own, both)
+    small, large = (_walked_components, "left_anti"), (_joined_components, "left_semi")
+    parts = [find(own.join(huge, PAGE, how), both.join(huge, PAGE, how)) for find, how in (small, large)]
+    return parts[0].unionByName(parts[1])
+
+
+def _walked_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of pages that a task can hold: nodes (doc, page, id), links (doc, page, id, other)."""
+    names = [*PAGE, "id", "component"]
+    kinds = {f.name: f.dataType for f in nodes.schema.fields}
+    types = [to_arrow_type(kinds[c]) for c in (*PAGE, "id", "id")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def batch(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+
+        made: list[tuple] = []
+        for (doc, page), own in groupby(read(), key=lambda r: r[:2]):
+            on: dict = {}  # what each node hangs on, itself at first
+            ids = []
+
+            def root(x):
+                while on[x] != x:
+                    on[x] = x = on[on[x]]
+                return x
+
+            for _, _, a, b in own:  # nodes come first
+                if b is None:
+                    on[a] = a
+                    ids.append(a)
+                elif a in on and b in on:
+                    a, b = root(a), root(b)
+                    on[max(a, b)] = min(a, b)
+            made += [(doc, page, x, root(x)) for x in ids]
+            if len(made) >= 5000:
+                yield batch(made)
+                made = []
+        if made:
+            yield batch(made)
+
+    rows = nodes.withColumn("other", F.lit(None).cast(kinds["id"])).unionByName(links)
+    ordered = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, F.col("other").isNotNull())
+    return ordered.mapInArrow(walk, ", ".join(f"{c} {kinds[k].simpleString()}" for c, k in zip(names, (*PAGE, "id", "id"))))
+
+
+def _joined_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of pages of any size: nodes (doc, page, id), links (doc, page, id, other). Labels pass over links and then over
+    labels until none moves; rounds grow with the logarithm of a chain."""
+    both = stored(links.union(links.select(*PAGE, F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
+    labels = stored(nodes.select(*PAGE, "id", F.col("id").alias("component")))
     moved = True
     while moved:
         seen = both.join(labels.select(*PAGE, F.col("id").alias("other"), "component"), [*PAGE, "other"]).groupBy(*PAGE, "id").agg(F.min("component").alias("least"))
         low = labels.join(seen, [*PAGE, "id"], "left").select(*PAGE, "id", "component", F.least("component", F.coalesce("least", "component")).alias("low"))
         jump = low.select(*PAGE, F.col("id").alias("low"), F.col("low").alias("further"))
-        fresh = checkpointed(low.join(jump, [*PAGE, "low"], "left").select(*PAGE, "id", "component", F.least("low", F.coalesce("further", "low")).alias("fresh")))
+        fresh = stored(low.join(jump, [*PAGE, "low"], "left").select(*PAGE, "id", "component", F.least("low", F.coalesce("further", "low")).alias("fresh")))
         moved = not fresh.filter("fresh < component").isEmpty()
         labels = fresh.select(*PAGE, "id", F.col("fresh").alias("component"))
     return labels

@@ -288,3 +288,27 @@ def test_condensed_texts_keep_a_last_word_before_a_line_end(spark):
     text = "one two three\n" + "x " * 20 + "end of it"
     (row,) = spark.createDataFrame([(text,)], ["t"]).select(S.condense(F.col("t"), 14, 8, 0, " [...] ")).collect()
     assert row[0] == "one two three [...] of it"
+
+
+def jobs_of(spark, run) -> int:
+    """How many Spark jobs a call runs."""
+    group = f"jobs-{dt.datetime.now().timestamp()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_components_of_a_chain_take_no_rounds(spark):
+    """Chains, rings, loops, repeated links and links to nothing; the same by rounds, which huge pages take."""
+    n = 200
+    nodes = spark.createDataFrame([(d, 0, i) for d in (1, 2) for i in range(n)] + [(3, 0, 7), (None, 0, 1), (None, 0, 2)], "doc int, page int, id int")
+    links = [(1, 0, i + 1, i) for i in range(n - 1) if i != 100] + [(2, 0, i, i + 2) for i in range(n - 2)] * 2 + [(2, 0, 5, 5), (3, 0, 7, 8), (None, 0, 1, 2)]
+    links = spark.createDataFrame(links, "doc int, page int, a_id long, b_id long")
+    expected = sorted([(1, 0, i, 0 if i <= 100 else 101) for i in range(n)] + [(2, 0, i, i % 2) for i in range(n)] + [(3, 0, 7, 7), (-1, 0, 1, 1), (-1, 0, 2, 2)])
+    out = []
+    assert jobs_of(spark, lambda: out.extend(L.components(nodes, links).fillna(-1, ["doc"]).collect())) <= 8
+    assert sorted(map(tuple, out)) == expected
+    assert sorted(map(tuple, L.components(nodes, links, most=100).fillna(-1, ["doc"]).collect())) == expected
