@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import PAGE, checkpointed, components
+from .layout import PAGE, components
+from .scratch import stored
 from .stats import cluster_values
 
 GRID = [*PAGE, "grid"]
@@ -29,7 +30,7 @@ def joined_rules(edges: DataFrame) -> DataFrame:
     """edges (doc, page, o, pos, a, b, w, ...) with grid: rules that touch share it. Rules of one direction touch if they lie on
     one line and overlap or nearly do, others if they cross or nearly do; all by their widths."""
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("o", "pos", "a", "b", "w"))
-    rules = checkpointed(edges.withColumn("id", number))
+    rules = stored(edges.withColumn("id", number))
     sides = [rules.select(*[F.col(c).alias(c if c in PAGE else f"{n}_{c}") for c in (*PAGE, "id", "o", "pos", "a", "b", "w")]) for n in "xy"]
     slack = F.greatest("x_w", "y_w") + 1.5
 
@@ -40,7 +41,7 @@ def joined_rules(edges: DataFrame) -> DataFrame:
     across = (F.col("x_o") != F.col("y_o")) & spans("x_pos", "y_a", "y_b") & spans("y_pos", "x_a", "x_b")
     links = sides[0].join(sides[1], PAGE).filter((F.col("x_id") < F.col("y_id")) & (along | across)).select(*PAGE, F.col("x_id").alias("a_id"), F.col("y_id").alias("b_id"))
     found = components(rules.select(*PAGE, "id"), links).withColumnRenamed("component", "grid")
-    return checkpointed(rules.join(found, [*PAGE, "id"]).drop("id"))
+    return stored(rules.join(found, [*PAGE, "id"]).drop("id"))
 
 
 def drawn(sides: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def find_grids(edges: DataFrame) -> Grids:
     side = lambda n, o, pos, a, b: F.struct(F.lit(n).cast("long").alias("side"), F.lit(o).alias("o"), F.col(pos).alias("pos"), F.col(a).alias("a"), F.col(b).alias("b"))
     outer = frames.select(*GRID, F.explode(F.array(side(0, "h", "r0", "c0", "c1"), side(1, "h", "r1", "c0", "c1"), side(2, "v", "c0", "r0", "r1"), side(3, "v", "c1", "r0", "r1"))).alias("s")).select(*GRID, "s.*")
     closed = drawn(outer, rules).groupBy(*GRID).agg(F.min("share").alias("least")).filter(F.col("least") >= FRAME).select(*GRID)
-    closed = checkpointed(closed)
+    closed = stored(closed)
     place = (F.col("grid").cast("long") * (1 << 40)).alias("__p")
-    cells = checkpointed(columns.join(closed, GRID, "left_semi").join(rows, GRID).withColumn("id", place + F.col("r") * (1 << 20) + F.col("c")))
+    cells = stored(columns.join(closed, GRID, "left_semi").join(rows, GRID).withColumn("id", place + F.col("r") * (1 << 20) + F.col("c")))
     right = cells.select(*GRID, (F.col("id") * 2).alias("side"), F.lit("v").alias("o"), F.col("c_high").alias("pos"), F.col("r_low").alias("a"), F.col("r_high").alias("b"))
     below = cells.select(*GRID, (F.col("id") * 2 + 1).alias("side"), F.lit("h").alias("o"), F.col("r_high").alias("pos"), F.col("c_low").alias("a"), F.col("c_high").alias("b"))
     a_id = F.expr("shiftright(side, 1)")
@@ -89,7 +90,7 @@ def find_grids(edges: DataFrame) -> Grids:
     whole = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) == F.col("n")
     own = Window.partitionBy(*GRID)
     kept = regions.withColumn("__ok", F.every(whole).over(own) & (F.count("*").over(own) >= 2)).filter("__ok").drop("__ok", "n")
-    kept = checkpointed(kept)
+    kept = stored(kept)
     return Grids(rules.join(kept.select(*GRID).distinct(), GRID, "left_semi"), kept)
 
 
