@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,20 @@ def test_models_are_asked_before_rules(spark):
 
     with pytest.raises(Exception, match="a fault"):
         R.structured(df, "t", "id", [broken]).collect()
+
+
+def test_a_bullet_passes_each_rule_once(spark):
+    """What a rule looks at is worked out once, however often it says something of it."""
+    own = spark.createDataFrame([("x",)], ["t"]).select(W.polished(F.col("t")))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("(?i)\\bon a weekly basis\\b") <= 2
+
+
+def test_signs_of_fillers_and_spellings_miss_nothing():
+    """Where a filler fits, its signs do; the tree of words finds what a list of them by length would."""
+    texts = ["he really did", "in order to win", "Utilized it", "utilization of", "a wide variety of", "a number of", "several different", "Various", "x, etc.", "and so on", "and more", "on a daily basis", "on a weekly basis", "with the help of", "in the process of it", "5 percent", "5pct", "5 per cent"]
+    for text in texts:
+        assert any(re.search(p, text, re.ASCII) for p, _ in W.FILLERS) and re.search(W.FILLER_SIGNS, text, re.ASCII), text
+    listed = re.compile("(?i)(?:" + "|".join(re.escape(k) for k in sorted(W.SPELLINGS, key=len, reverse=True)) + r")(?![\w#/-]|\.\w)", re.ASCII)
+    tree = re.compile("(?i)" + W.one_of(W.SPELLINGS) + r"(?![\w#/-]|\.\w)", re.ASCII)
+    for text in [*W.SPELLINGS, *(f"{a}{b}" for a in W.SPELLINGS for b in (" apis", "s", "script", ".js", "#", " js"))]:
+        assert [m.span() for m in tree.finditer(text)] == [m.span() for m in listed.finditer(text)], text
