@@ -135,7 +135,8 @@ def broken_lines(placed: DataFrame, paragraphs: DataFrame) -> DataFrame:
     ahead = F.sum(F.when(~F.col("kind").isin("tab", "break"), F.col("w")).otherwise(0.0)).over(Window.partitionBy(*PARA, "__part"))
     rows = rows.withColumn("__ahead", F.when(F.col("kind") == "tab", ahead)).withColumn("label", F.coalesce("label", F.lit(False)))
     own = paragraphs.select(*PARA, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{c}") for c in ("width", "left", "right", "first")], F.col("stops").alias("__stops"), F.col("step").cast("double").alias("__step"))
-    joined = own.join(rows, PARA, "left").withColumn("__letters", F.when((F.col("kind") == "word") & (F.col("w") > F.col("__width") - F.col("__left") - F.col("__right") - F.greatest("__first", F.lit(0.0))), F.col("letters")))
+    rows = rows.withColumn("__opens", F.row_number().over(order) == 1)  # what holds for the paragraph goes with its first atom
+    joined = own.join(rows, PARA, "left").withColumn("__opens", F.coalesce("__opens", F.lit(True))).withColumn("__stops", F.when(F.col("__opens"), F.col("__stops"))).withColumn("__letters", F.when((F.col("kind") == "word") & (F.col("w") > F.col("__width") - F.col("__left") - F.col("__right") - F.greatest("__first", F.lit(0.0))), F.col("letters")))
     taken = joined.select(*PARA, "seq", "at", "kind", "text", "w", "__letters", "label", "blank", "__ahead", "__left", (F.col("__width") - F.col("__right")).alias("__edge"), "__first", "__stops", "__step")
     kinds = {f.name: f for f in taken.schema.fields}
     names = ["doc", "para", "line", "seq", "at", "piece", "kind", "text", "x", "w", "last"]
@@ -178,10 +179,10 @@ def _rows(made: list[tuple], keys: list[pa.DataType], names: list[str]) -> pa.Re
 def aligned(lines: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Pieces of broken_lines() with x moved by their paragraph's align (doc, para, align): left, right, center, both. Only what
     stands after a line's last tab is spread, and no line with a tab is moved; the last line of a paragraph isn't spread."""
-    pieces = lines.filter("kind <> 'end'")
-    ends = lines.filter("kind = 'end'").select(*PARA, "line", F.col("w").alias("__room"), F.col("last").alias("__last"))
+    ends = F.col("kind") == "end"
     own, upto = Window.partitionBy(*PARA, "line"), Window.partitionBy(*PARA, "line").orderBy("seq", "at", "piece")
-    rows = pieces.join(ends, [*PARA, "line"]).join(paragraphs.select(*PARA, "align"), PARA, "left")
+    rows = lines.withColumn("__room", F.max(F.when(ends, F.col("w"))).over(own)).withColumn("__last", F.max(F.when(ends, F.col("last"))).over(own)).filter(~ends)
+    rows = rows.join(paragraphs.select(*PARA, "align"), PARA, "left")
     rows = rows.withColumn("__n", F.row_number().over(upto)).withColumn("__tab", F.coalesce(F.max(F.when(F.col("kind") == "tab", F.col("__n"))).over(own), F.lit(0)))
     gap = F.when((F.col("kind") == "space") & (F.col("__n") > F.col("__tab")), 1).otherwise(0)
     rows = rows.withColumn("__gap", gap).withColumn("__gaps", F.sum("__gap").over(own)).withColumn("__before", F.coalesce(F.sum("__gap").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -189,7 +190,7 @@ def aligned(lines: DataFrame, paragraphs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__free", free)
     spread = (F.col("align") == "both") & ~F.col("__last") & (F.col("__free") > 0) & (F.col("__gaps") > 0)
     moved = F.when((F.col("align") == "right") & (F.col("__tab") == 0), F.col("__free")).when((F.col("align") == "center") & (F.col("__tab") == 0), F.col("__free") / 2).when(spread, F.col("__free") / F.col("__gaps") * F.col("__before")).otherwise(0.0)
-    return rows.withColumn("x", F.col("x") + moved).select(*pieces.columns)
+    return rows.withColumn("x", F.col("x") + moved).select(*lines.columns)
 
 
 def line_heights(lines: DataFrame, fonts: DataFrame, paragraphs: DataFrame) -> DataFrame:
