@@ -6,7 +6,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -164,33 +163,40 @@ def lines_of_glyphs(glyphs: DataFrame, tolerance: float = 0.42, least: float = 1
 
     In reading order (y, x, seq), a glyph joins the first line whose baseline is near its own, by `tolerance` of the larger
     size, `least` at the least, and which has nothing where it stands; else it opens one. A line takes on the size and
-    baseline of its largest glyph. What a glyph joins depends on all before it, so each page is one group.
+    baseline of its largest glyph. What a glyph joins depends on all before it: a task walks over sorted pages, with the lines
+    of one in hand.
     """
     names = [f.name for f in glyphs.schema.fields]
+    none = float("nan")
 
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "seq"], kind="stable")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page: object = None
         levels: list[list[float]] = []
         taken: list[list[tuple[float, float]]] = []
-        numbers = []
-        for x, y, w, size in frame[["x", "y", "w", "size"]].astype(float).itertuples(index=False):
-            for n, (line_y, line_size) in enumerate(levels):
-                if abs(line_y - y) <= max(least, tolerance * max(line_size, size)):
-                    at = bisect_left(taken[n], (x, x + w))
-                    around = taken[n][max(0, at - 1) : at + 1]
-                    if not any(x < end - 1 and start < x + w - 1 for start, end in around):
-                        taken[n].insert(at, (x, x + w))
-                        if size > line_size:
-                            levels[n] = [y, size]
-                        break
-            else:
-                n = len(levels)
-                levels.append([y, size])
-                taken.append([(x, x + w)])
-            numbers.append(n)
-        return frame.assign(line=numbers)[[*names, "line"]]
-
-    return glyphs.groupBy(*PAGE).applyInPandas(page, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in glyphs.schema.fields) + ", line int")
+        for batch in batches:
+            numbers = []
+            for doc, number, *box in zip(*(batch.column(names.index(c)).to_pylist() for c in (*PAGE, "x", "y", "w", "size"))):
+                if (doc, number) != page:
+                    page, levels, taken = (doc, number), [], []
+                x, y, w, size = (none if v is None else float(v) for v in box)
+                for n, (line_y, line_size) in enumerate(levels):
+                    if abs(line_y - y) <= max(least, tolerance * max(line_size, size)):
+                        at = bisect_left(taken[n], (x, x + w))
+                        around = taken[n][max(0, at - 1) : at + 1]
+                        if not any(x < end - 1 and start < x + w - 1 for start, end in around):
+                            taken[n].insert(at, (x, x + w))
+                            if size > line_size:
+                                levels[n] = [y, size]
+                            break
+                else:
+                    n = len(levels)
+                    levels.append([y, size])
+                    taken.append([(x, x + w)])
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*names, "line"])
+
+    ordered = glyphs.repartition(*PAGE).sortWithinPartitions(*PAGE, *[F.asc_nulls_last(c) for c in ("y", "x", "seq")])
+    return ordered.mapInArrow(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in glyphs.schema.fields) + ", line int")
 
 
 def tagged(lined: DataFrame, size: str = "line_size", y: str = "line_y") -> DataFrame:

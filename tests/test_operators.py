@@ -320,3 +320,10 @@ def test_keyword_presence_makes_a_haystack_once(spark):
     asked = own.select(P.appears(P.haystack(F.col("t")), F.lit("licensed under license")).alias("p"))
     assert asked._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(t#") == 1
     assert [r[0] for r in asked.collect()] == [True, False]
+
+
+def test_lines_of_glyphs_take_no_call_a_page(spark):
+    glyphs = spark.createDataFrame([(d, 0, s, 10.0 * s, 0.0 if s < 2 else 50.0, 8.0, 10.0) for d in (1, 2) for s in range(4)], "doc int, page int, seq int, x double, y double, w double, size double")
+    lined = L.lines_of_glyphs(glyphs)
+    assert sorted((r.doc, r.seq, r.line) for r in lined.collect()) == [(d, s, s // 2) for d in (1, 2) for s in range(4)]
+    assert "FlatMapGroups" not in lined._jdf.queryExecution().optimizedPlan().toString()
