@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .layout import PAGE
+from .scratch import dealt
 from .stats import cluster_values, floor_percentile
 
 REGION = [*PAGE, "part"]
@@ -102,7 +103,12 @@ def described(lines: DataFrame, body: Column) -> DataFrame:
     """lines with the facts of Line, by expressions and the line before in each region; body: the size of running text."""
     own = Window.partitionBy(*REGION).orderBy("line")
     before = lambda c: F.lag(c).over(own)
-    rows = lines.join(text_boxes(lines), REGION).withColumn("marker", list_marker(F.col("text"))).withColumn("__body", body)
+    region = Window.partitionBy(*REGION)
+    ends = region.orderBy(F.asc_nulls_last("right"))
+    at_edge = F.row_number().over(ends) == F.floor(F.lit(0.95) * (F.count("right").over(region) - 1)) + 1
+    rows = lines.withColumn("left", F.min("x").over(region)).withColumn("__at_edge", at_edge)
+    rows = rows.withColumn("edge", F.max(F.when(F.col("__at_edge"), F.col("right"))).over(region)).drop("__at_edge")  # as text_boxes()
+    rows = rows.withColumn("marker", list_marker(F.col("text"))).withColumn("__body", body)
     small = F.col("size") < F.col("__body") * 1.15
     marked_first = (F.size("starts") == 2) & (F.length("first") <= 4) & list_marker(F.concat("first", F.lit(" x"))).isNotNull()
     rows = rows.withColumn("multi", (F.size("starts") >= 2) & ~marked_first).withColumn("listed", F.col("marker").isNotNull() & small)
@@ -243,13 +249,17 @@ def table_rows(segments: DataFrame, columns: DataFrame, keys: list[str]) -> Data
     starts = columns.select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), "col")
     asof = segments.withColumn("__at", F.col("x0").cast("double") + NEAR).withColumn("__kind", F.lit(1)).withColumn("col", F.lit(None).cast("int"))
     upto = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    placed = starts.unionByName(asof, allowMissingColumns=True).withColumn("col", F.coalesce(F.last("col", True).over(upto), F.lit(0))).filter("__kind = 1").drop("__at", "__kind")
-    lines = placed.groupBy(*keys, "line").agg(F.max("y").alias("__y"), F.max("size").alias("__size"), F.min("col").alias("__least"), F.count("*").alias("__n"))
-    own = Window.partitionBy(*keys).orderBy("line")
-    close = (F.col("__n") == 1) & (F.col("__y") - F.lag("__y").over(own) < F.col("__size") * WRAPPED)
-    opens = F.lag("line").over(own).isNull() | ((F.col("__least") == 0) & ~close)
-    rows = lines.withColumn("row", F.sum(F.when(opens, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return placed.join(rows.select(*keys, "line", "row"), [*keys, "line"])
+    both = dealt(starts.unionByName(asof, allowMissingColumns=True), keys, segments.count())
+    placed = both.withColumn("col", F.coalesce(F.last("col", True).over(upto), F.lit(0))).filter("__kind = 1").drop("__at", "__kind")
+    line, own = Window.partitionBy(*keys, "line"), Window.partitionBy(*keys).orderBy("line")
+    rows = placed.withColumns({"__y": F.max("y").over(line), "__size": F.max("size").over(line), "__least": F.min("col").over(line), "__n": F.count("*").over(line)})
+    rows = rows.withColumn("__above", F.lag(F.struct("line", "__y")).over(own))  # of a line's first piece, the line before
+    close = (F.col("__n") == 1) & (F.col("__y") - F.col("__above.__y") < F.col("__size") * WRAPPED)
+    first = F.col("__above").isNull() | (F.col("__above.line") != F.col("line"))
+    opens = first & (F.col("__above").isNull() | ((F.col("__least") == 0) & ~close))
+    upto_line = own.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__opens", F.when(opens, 1).otherwise(0)).withColumn("row", F.sum("__opens").over(upto_line) - 1)
+    return rows.drop("__y", "__size", "__least", "__n", "__above", "__opens")
 
 
 def table_cells(rows: DataFrame, keys: list[str]) -> DataFrame:

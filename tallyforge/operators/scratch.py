@@ -25,6 +25,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, each: int = 250_000) -> DataFrame:
+    """df, of about so many rows, dealt by keys into partitions of about `each` rows: what a task holds doesn't grow with the table."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back, which ends its lineage."""
     path = scratch(df.sparkSession, "step")

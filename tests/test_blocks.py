@@ -154,3 +154,27 @@ def test_tables_of_one_line_and_of_none(spark):
     cells = {(r["row"], r["col"]): r["text"] for r in B.table_cells(B.table_rows(own, columns, ["k"]), ["k"]).collect()}
     assert cells == {(0, 0): "a", (0, 1): "b", (1, 0): "c\nf", (1, 1): "d\ne", (2, 0): "g"}
     assert B.table_columns(own.limit(0), ["k"], "edge").count() == 0
+
+
+def test_rows_of_tables_are_found_without_a_join(spark):
+    """Lines of two pieces, a wrapped one and one that lacks the first column; a plan of one large exchange, by the table alone."""
+    from tallyforge.operators import blocks as B
+
+    pieces = [(1, 1, 0.0, 10.0), (1, 1, 0.0, 100.0), (1, 2, 12.0, 10.0), (1, 3, 40.0, 10.0), (1, 3, 40.0, 100.0), (1, 4, 80.0, 100.0), (2, 1, 0.0, 10.0)]
+    own = spark.createDataFrame(pieces, "doc int, line int, y double, x0 double").selectExpr("*", "10D AS size", "'t' AS text")
+    starts = spark.createDataFrame([(d, i, x) for d in (1, 2) for i, x in enumerate((10.0, 100.0))], "doc int, col int, start double")
+    rows = B.table_rows(own, starts, ["doc"])
+    assert sorted((r.doc, r.line, r.col, r.row) for r in rows.collect()) == [(1, 1, 0, 0), (1, 1, 1, 0), (1, 2, 0, 0), (1, 3, 0, 1), (1, 3, 1, 1), (1, 4, 1, 1), (2, 1, 0, 0)]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_text_are_found_without_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import blocks as B
+
+    own = spark.createDataFrame([(1, 0, 0, i, 12.0 * i, 10.0, False, False, 10.0, 100.0 + i, "x") for i in range(41)], "doc int, page int, part int, line int, y double, size double, bold boolean, label boolean, x0 double, x1 double, text string")
+    lines = B.lines_of_segments(own)
+    told = B.described(lines, F.lit(10.0))
+    assert {(r.left, r.edge) for r in told.collect()} == {(r.left, r.edge) for r in B.text_boxes(lines).collect()} == {(10.0, 138.0)}
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
