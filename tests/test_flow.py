@@ -206,3 +206,10 @@ def test_rules_of_keeping_and_pages(spark):
     longer = spark.createDataFrame([(1, 0, 0, n, 15.0, None, None, 0.0, False, None, n == 0) for n in range(5)], "doc int, section int, block int, line int, height double, before double, need double, after double, fresh boolean, brk string, header boolean")
     at = [(r["page"], r["col"], r["y"], r["repeated"]) for r in W.flowed(longer, sections).orderBy("line").collect()]
     assert at == [(1, 0, 0.0, 0.0), (1, 0, 15.0, 0.0), (1, 1, 15.0, 15.0), (2, 0, 15.0, 15.0), (2, 1, 15.0, 15.0)]
+
+
+def test_aligned_lines_are_broken_once(spark):
+    from tallyforge.plans import converted
+
+    plan = converted.broken_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
