@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
+
+#: So many counted values of a group's order stand in a range; this decides on memory, not on results.
+RANGE = 250_000
+
+
+def _ranges(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """counts with __range, numbers of ranges in order of keys and value, of about RANGE rows each: a large group has several."""
+    ranges = -(-counts.count() // RANGE)
+    if ranges <= 1:
+        return counts.withColumn("__range", F.lit(0))
+    return stored(counts.repartitionByRange(ranges, *keys, value).withColumn("__range", F.spark_partition_id()))
+
 
 def _at_rank(df: DataFrame, keys: list[str], value: str, rank, name: str) -> DataFrame:
-    """The value at a 0-based rank within each group; rank: a column function of the group's size n."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    """The value at a 0-based rank within each group; rank: a column function of the group's size n.
+
+    Sums of ranges tell which range has a group's rank; only the values of that one are sorted.
+    """
+    counts = _ranges(stored(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))), keys, value)
     own = Window.partitionBy(*keys)
-    ranked = counts.withColumn("__n", F.sum("__c").over(own)).withColumn("__upto", F.sum("__c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter(F.col("__upto") > rank(F.col("__n"))).groupBy(*keys).agg(F.min(value).alias(name))
+    sums = counts.groupBy(*keys, "__range").agg(F.sum("__c").alias("__own")).withColumn("__n", F.sum("__own").over(own))
+    sums = sums.withColumn("__to", F.sum("__own").over(own.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__before", F.col("__to") - F.col("__own"))
+    sums = sums.withColumn("__rank", rank(F.col("__n"))).filter("__before <= __rank and __rank < __to")
+    sums = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__range").alias("__at"), "__before", "__rank")
+    at = F.col("__range") == F.col("__at")
+    for i, k in enumerate(keys):
+        at = at & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    upto = F.col("__before") + F.sum("__c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.join(sums, at).withColumn("__upto", upto).filter("__upto > __rank").groupBy(*keys).agg(F.min(value).alias(name))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

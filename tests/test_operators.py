@@ -61,6 +61,21 @@ def test_order_statistics(spark):
     assert O.weighted_mode(ties, ["k"], "v", "w", "seq").first()["mode"] == "y"
 
 
+def test_ranks_of_a_large_group_stand_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE", 20)
+    values = {k: [i * i * 7 % 211 for i in range(n)] for k, n in (("a", 400), ("b", 31), (None, 90))}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own] + [("a", None), ("c", None)], "k string, v int")
+    counts = rows.filter("v is not null").groupBy("k", "v").agg(F.count("*").alias("__c"))
+    parts = O._ranges(counts, ["k"], "v").groupBy("k", "__range").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    assert max(r["n"] for r in parts) < 60 < sum(r["n"] for r in parts if r["k"] == "a")
+    own = sorted((r["__range"], r["low"], r["high"]) for r in parts if r["k"] == "a")
+    assert all(a[2] < b[1] for a, b in zip(own, own[1:]))
+    assert {tuple(r) for r in O.upper_median(rows, ["k"], "v").collect()} == {(k, sorted(v)[len(v) // 2]) for k, v in values.items()}
+    for q in (0.0, 0.3, 0.97, 1.0):
+        assert {tuple(r) for r in O.floor_percentile(rows, ["k"], "v", q).collect()} == {(k, sorted(v)[int(q * (len(v) - 1))]) for k, v in values.items()}
+    assert [tuple(r) for r in O.upper_median(rows, [], "v").collect()] == [(sorted(sum(values.values(), []))[521 // 2],)]
+
+
 def test_coverage_and_clusters(spark):
     rows = spark.createDataFrame([("a", 0.0, 4.0), ("a", 1.0, 2.0), ("a", 4.0, 5.0), ("a", 8.0, 20.0), ("b", 50.0, 60.0)], "k string, b double, e double")
     assert {tuple(r) for r in O.coverage(rows, ["k"], "b", "e", 0.0, 10.0).collect()} == {("a", 0.7)}
