@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ from .search import leaf_pattern, leaves, parse
 
 #: Runs of these signs are terms; everything else parts them.
 TERM = re.compile("[a-z0-9]+")
-#: Signs that may stand between the words of a phrase.
-BLANK = re.compile("[ \t\n\x0b\f\r]+")
+#: Signs by code point, 128 and all above as one: 1 in a term, 0 a blank, which may stand between the words of a phrase, 2 other.
+KINDS = np.full(129, 2, np.uint8)
+KINDS[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+KINDS[[ord(c) for c in " \t\n\x0b\f\r"]] = 0
+#: Texts are taken together up to so many signs, or one by one if longer.
+SIGNS = 1_000_000
 PLACES = "array<struct<pos: int, start: int, spaced: boolean>>"
 
 
@@ -32,29 +37,44 @@ class Index(NamedTuple):
     documents: DataFrame
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, lower-case text) to (term, doc, pos, start, spaced), in batches of a bounded number of places."""
+def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """First and last number, exclusive, of texts that make up about SIGNS signs."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and held + len(text) > SIGNS:
+            yield first, i
+            first, held = i, 0
+        held += len(text)
+    if texts:
+        yield first, len(texts)
 
-    def batch(made: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
-        terms, docs, places = zip(*made) if made else ((), (), ())
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("spaced", pa.bool_())]))
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs, doc_type), pa.array(places, kind)], ["term", "doc", "places"])
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, lower-case text) to (term, doc, places), in batches of a bounded number of signs."""
     for rows in batches:
-        made, held = [], 0
-        for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-            own: dict[str, list] = {}
-            end, data = 0, text.as_py() or ""
-            for pos, m in enumerate(TERM.finditer(data)):
-                spaced = pos > 0 and BLANK.fullmatch(data, end, m.start()) is not None
-                own.setdefault(m[0], []).append({"pos": pos, "start": m.start(), "spaced": spaced})
-                end = m.end()
-                held += 1
-            made += [(term, doc, places) for term, places in own.items()]
-            if held > 200_000:
-                yield batch(made, rows.schema.field(0).type)
-                made, held = [], 0
-        yield batch(made, rows.schema.field(0).type)
+        texts = [t or "" for t in rows.column(1).to_pylist()]
+        for first, last in _together(texts):
+            data = "\0".join(texts[first:last])
+            kinds = KINDS[np.minimum(np.frombuffer(data.encode("utf-32-le"), np.uint32), 128)]
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], kinds == 1, [0])).astype(np.int8)))
+            starts, ends = edges[::2], edges[1::2]
+            if not len(starts):
+                continue
+            begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[first:last]])))
+            own = np.searchsorted(begins, starts, "right") - 1
+            pos = np.arange(len(starts)) - np.searchsorted(own, own)
+            others = np.cumsum(kinds == 2)
+            spaced = (pos > 0) & (others[starts] == np.concatenate(([-1], others[ends[:-1] - 1])))
+            terms = pa.array(TERM.findall(data), pa.string()).dictionary_encode()
+            key = own * len(terms.dictionary) + terms.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            place = [pos.astype(np.int32), (starts - begins[own]).astype(np.int32), spaced]
+            places = pa.StructArray.from_arrays([pa.array(x[order]) for x in place], ["pos", "start", "spaced"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), places)
+            at = order[heads]
+            made = [terms.dictionary.take(terms.indices.take(pa.array(at))), rows.column(0).take(pa.array(own[at] + first)), places]
+            yield pa.RecordBatch.from_arrays(made, ["term", "doc", "places"])
 
 
 def build_index(docs: DataFrame, key: str, text: str, path: str, files: int | None = None) -> Index:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,23 @@ def test_words_with_signs_are_confirmed_in_texts(docs, index, query):
 def test_empty_tables(spark, docs):
     none = I.build_index(docs.limit(0), "doc_id", "text", scratch(spark, "index"))
     assert I.lookup(none, "a OR NOT b").count() == 0
+
+
+def plain_postings(doc: int, text: str) -> list[tuple]:
+    own, end = {}, 0
+    for pos, m in enumerate(re.finditer("[a-z0-9]+", text)):
+        own.setdefault(m[0], []).append({"pos": pos, "start": m.start(), "spaced": pos > 0 and re.fullmatch("[ \t\n\x0b\f\r]+", text[end : m.start()]) is not None})
+        end = m.end()
+    return [(term, doc, places) for term, places in own.items()]
+
+
+@pytest.mark.parametrize("signs", [1, 40, 1_000_000])
+def test_postings_of_texts_taken_together(monkeypatch, signs):
+    monkeypatch.setattr(I, "SIGNS", signs)
+    own = [None if t is None else t.lower() for t in texts()] + ["", "x" * 100, "a\0b \x0b\f c", None]
+    rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(own)), pa.int64()), "text": pa.array(own, pa.string())})
+    made = list(I._postings(iter([rows, rows.slice(0, 0), rows.slice(3, 2)])))
+    assert (len(made) > 2) == (signs < 1_000_000)
+    expected = [x for i in [*range(len(own)), 3, 4] for x in plain_postings(i, own[i] or "")]
+    got = [(r["term"], r["doc"], r["places"]) for b in made for r in b.to_pylist()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
