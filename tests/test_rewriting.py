@@ -63,6 +63,15 @@ def test_resumes(spark):
     assert [(e["role"], e["company"], e["location"], e["bullets"]) for e in odd["experience"]] == [("", "", "", ["first", "Boston, MA", "Remote"]), ("Ops", "X", "", ["a.", "b", "Boston, MA"])]
 
 
+def test_resumes_are_split_once_a_branch(spark):
+    df = spark.createDataFrame([(0, RESUME), (1, " \t\n \ufeffAnn \n\n\u00a0a@b.c 12\u2028Education\nMIT \x0b B.S. in Art\n"), (2, "a@ LINKEDIN.com/in/Ann-L | +1 555 123 4567")], "i int, t string")
+    plan = W.parsed_resumes(df, "t", "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\x1C-\x1E") == plan.count("Generate ") == 3
+    _, odd, contact = (r["record"] for r in W.parsed_resumes(df, "t", "i").orderBy("i").collect())
+    assert (odd["name"], odd["title"], odd["email"]) == ("Ann", "", "a@b.c") and [(e["school"], e["degree"], e["field"]) for e in odd["education"]] == [("MIT", "B.S.", "Art")]
+    assert (contact["email"], contact["linkedin"], contact["phone"]) == ("", "LINKEDIN.com/in/Ann-L", "+1 555 123 4567")
+
+
 def test_records(spark):
     from tallyforge.operators import resume as R
 
