@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import font_family
+from .scratch import dealt, stored
 
 #: Ascent, descent and height of a line of the families that stand in for fonts, for a size of 1.
 METRICS = {"Carlito": (0.952, 0.269, 1.2207), "Caladea": (0.95, 0.222, 1.172), "Tinos": (0.891, 0.216, 1.15), "Arimo": (0.905, 0.212, 1.15), "Cousine": (0.833, 0.3, 1.133)}
@@ -226,28 +227,43 @@ def table_boxes(tables: DataFrame, cells: DataFrame, rows: DataFrame) -> DataFra
     shapes = shapes.withColumn("__x", edges).withColumn("__wide", F.element_at("__x", -1))
     start = F.when(F.col("align") == "center", (F.col("avail") - F.col("__wide")) / 2).when(F.col("align") == "right", F.col("avail") - F.col("__wide")).otherwise(F.col("indent"))
     shapes = shapes.withColumn("__start", start).select(*key, "__x", "__start", (F.col("top") + F.col("bottom")).alias("__margins"))
-    before = Window.partitionBy(*key, "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    own = cells.withColumn("col", F.coalesce(F.sum("span").over(before), F.lit(0)).cast("int")).join(shapes, key)
-    n = F.size("__x") - 1
-    own = own.withColumn("x", F.get("__x", F.least("col", n)) + F.col("__start")).withColumn("w", F.get("__x", F.least((F.col("col") + F.col("span")).cast("int"), n)) - F.get("__x", F.least("col", n)))
-    need = F.when(F.col("merge") == "continue", 0.0).otherwise(F.col("content")) + F.col("__margins")
-    plain = own.groupBy(*key, "row").agg(F.max(F.when(~F.coalesce(F.col("merge") == "restart", F.lit(False)), need)).alias("__need"))
-    ruled = rows.join(plain, [*key, "row"], "left").withColumn("__need", F.coalesce("__need", F.lit(0.0)))
-    height = F.when(F.col("rule") == "exact", F.col("value")).when(F.col("value").isNotNull(), F.greatest("__need", "value")).otherwise(F.col("__need"))
-    heights = ruled.withColumn("__h", F.greatest(height, F.lit(1.0))).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "__h"))).alias("__rows"))
-    # a merged cell ends before the next row that doesn't continue it
-    down = Window.partitionBy(*key, "col").orderBy("row")
-    goes_on = (F.col("merge") == "continue") & (F.col("row") - F.lag("row").over(down) == 1)
-    own = own.withColumn("__run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    own = own.withColumn("__end", F.max("row").over(Window.partitionBy(*key, "col", "__run")))
-    merged = own.filter("merge = 'restart'").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "cell", "__end", (F.col("content") + F.col("__margins")).alias("need")))).alias("__merged"))
+    # a table's cells stay in one of a counted number of partitions, and what their neighbours tell is written before the rest reads it
+    cells = stored(cells)
+    count = cells.count()
+    line = Window.partitionBy(*key, "row").orderBy("cell")
+    restarts = F.coalesce(F.col("merge") == "restart", F.lit(False))
+    plain = F.when(~restarts, F.when(F.col("merge") == "continue", 0.0).otherwise(F.col("content")))
+    own = dealt(cells, key, count).withColumn("col", F.coalesce(F.sum("span").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    own = own.withColumn("__plain", F.max(plain).over(Window.partitionBy(*key, "row"))).withColumn("__opens", F.row_number().over(line) == 1)
+    # a merged cell ends before the next row that doesn't continue it: from below, the last row of a run comes first
+    up = Window.partitionBy(*key, "col").orderBy(F.desc("row"))
+    goes_on = (F.col("merge") == "continue") & (F.col("row") - F.lead("row").over(up) == 1)
+    own = own.withColumn("__on", F.coalesce(goes_on, F.lit(False)))
+    last = F.when(~F.coalesce(F.lag("__on").over(up), F.lit(False)), F.col("row"))
+    own = stored(own.withColumn("__end", F.last(last, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).drop("__on"))
+
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    merged = F.when(restarts, F.struct("row", "cell", "__end", "content"))
+    told = own.filter(F.col("__opens") | restarts).select(*key, "row", F.lit(False).alias("__ruled"), none("rule"), none("value"), "__plain", merged.alias("__m"))
+    told = told.unionByName(rows.select(*key, "row", F.lit(True).alias("__ruled"), "rule", "value"), allowMissingColumns=True)
+    told = dealt(told, key, count).withColumn("__plain", F.max("__plain").over(Window.partitionBy(*key, "row")))
+    told = told.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("__ruled"), F.struct("row", "rule", "value", "__plain")))).alias("__rows"), F.array_sort(F.collect_list("__m")).alias("__merged"))
+
+    def high(r: Column) -> Column:
+        need = F.coalesce(r["__plain"] + F.col("__margins"), F.lit(0.0))
+        height = F.when(r["rule"] == "exact", r["value"]).when(r["value"].isNotNull(), F.greatest(need, r["value"])).otherwise(need)
+        return F.struct(r["row"].alias("row"), F.greatest(height, F.lit(1.0)).alias("__h"))
 
     def longer(state: Column, m: Column) -> Column:
         have = F.aggregate(F.filter(state, lambda r: r["row"].between(m["row"], m["__end"])), F.lit(0.0), lambda a, r: a + r["__h"])
-        return F.transform(state, lambda r: F.struct(r["row"].alias("row"), (r["__h"] + F.when(r["row"] == m["__end"], F.greatest(F.lit(0.0), m["need"] - have)).otherwise(0.0)).alias("__h")))
+        need = m["content"] + F.col("__margins")
+        return F.transform(state, lambda r: F.struct(r["row"].alias("row"), (r["__h"] + F.when(r["row"] == m["__end"], F.greatest(F.lit(0.0), need - have)).otherwise(0.0)).alias("__h")))
 
-    grown = heights.join(merged, key, "left").withColumn("__rows", F.when(F.col("__merged").isNull(), F.col("__rows")).otherwise(F.aggregate("__merged", F.col("__rows"), longer)))
-    out = own.join(grown.select(*key, "__rows"), key)
+    grown = told.filter(F.size("__rows") > 0).join(dealt(shapes, key, count), key).withColumn("__rows", F.transform("__rows", high))
+    grown = grown.withColumn("__rows", F.aggregate("__merged", F.col("__rows"), longer)).drop("__merged", "__margins")
+    out = dealt(own.drop("__plain", "__opens"), key, count).join(grown, key)
+    n = F.size("__x") - 1
+    out = out.withColumn("x", F.get("__x", F.least("col", n)) + F.col("__start")).withColumn("w", F.get("__x", F.least((F.col("col") + F.col("span")).cast("int"), n)) - F.get("__x", F.least("col", n)))
     summed = lambda of: F.aggregate(F.filter("__rows", of), F.lit(0.0), lambda a, r: a + r["__h"])
     last = F.when(F.col("merge") == "restart", F.col("__end")).otherwise(F.col("row"))
     return out.withColumn("y", summed(lambda r: r["row"] < F.col("row"))).withColumn("__last", last).withColumn("h", summed(lambda r: r["row"].between(F.col("row"), F.col("__last")))).select(*cells.columns, "col", "x", "w", "y", "h")

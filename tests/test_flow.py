@@ -192,6 +192,18 @@ def test_table_boxes_equal_plain_ones(spark):
         assert found[k] == pytest.approx(v), k
 
 
+def test_table_boxes_over_many_partitions(spark, monkeypatch):
+    from tallyforge.operators.scratch import dealt
+    from tallyforge.plans import converted
+
+    whole = converted.table_boxes(spark, "/root/testdata/sf0.001")
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [max(__plain") == 1 and plan.count("Window [") <= 4  # a chain of them for each use of the cells, before
+    monkeypatch.setattr(W, "dealt", lambda df, keys, rows: dealt(df, keys, rows, 50))
+    test_table_boxes_equal_plain_ones(spark)
+    assert not converted.table_boxes(spark, "/root/testdata/sf0.001").exceptAll(whole).count()
+
+
 def test_rules_of_keeping_and_pages(spark):
     blocks = [(1, 0, "para", 5.0, 6.0, False, True, False, False, "h"), (1, 1, "para", 4.0, 2.0, True, False, False, True, "b"), (1, 2, "para", 4.0, 2.0, False, False, True, True, "b"), (1, 3, "para", 1.0, 0.0, False, True, False, False, "b"), (1, 4, "table", 0.0, 0.0, False, False, False, False, None)]
     lines = [(1, b, n, h, None) for b, hs in enumerate([[10.0], [10.0, 10.0], [10.0, 10.0], [10.0], [15.0, 15.0]]) for n, h in enumerate(hs)]
