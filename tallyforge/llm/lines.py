@@ -8,12 +8,13 @@ share a word among their first few (prefix filter), not too far back (positional
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, broadcast_if_small, bucketed, forget, materialise
+from .common import broadcast_if_small, bucketed, forget, materialise
 
 #: Bits of a word's hash that stay below its rarity class in a word's key.
 HASH_BITS = 57
@@ -26,6 +27,9 @@ THRESHOLD = Fraction(4, 5)
 #: Keys of more sets than this are looked at by slices first, and so many of the nearest sets found there are tried: this
 #: decides on speed, not on results.
 LARGE, SLICES, TRIED = 16, 24, 16
+#: Sets are looked at by slices if they are this near to the earliest set of their key, as variants of one line are and lines
+#: that share a word by chance are not: this decides on speed, too.
+NEAR = 2
 #: Where a line stands, in the order of lines: row is told in identified().
 PLACE = ("doc_id", "row", "line_no")
 #: The place of the earlier line that a line is similar to.
@@ -73,7 +77,7 @@ def rarity(docs: DataFrame, bits: int | None = None) -> tuple[bytes, int]:
     """
     if bits is None:
         bits = min(22, max(12, math.ceil(math.log2(docs.count() + 1)) + 2))
-    words = docs.select(F.explode(F.split(F.translate(F.col("text"), SEPARATORS[1:], " " * 5), " ")).alias("w")).filter("w != ''")
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
     block = 1 << (bits // 2)
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
     levels = counts.select("slot", F.least(F.floor(F.log2("n")), F.lit(31)).cast("int").alias("level")).filter("level > 0")
@@ -105,18 +109,20 @@ def keyed_lines(lines: DataFrame, table: bytes, bits: int, least: Fraction) -> D
     rows = lines.select(*PLACE, keys_of(F.col("words"), table, bits).alias("keys"))
     n = F.size("keys")
 
-    def parity(side: int) -> Column:
-        own = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - side))
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", own(k).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    def parity(bit: Callable[[Column], Column]) -> Column:
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    # of all words, and of those of the second half; the rest is the first half's
+    rows = rows.select("*", parity(lambda k: F.lit(1).cast("long")).alias("p"), parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long"))).alias("p2"))
 
     size = F.expr(f"size(keys) - ({a} * size(keys) + {b - 1}) div {b} + 2").cast("int")
-    return rows.select(*PLACE, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), parity(0).alias("p1"), parity(1).alias("p2"), F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
+    return rows.select(*PLACE, F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit("second"), F.col("keys")).alias("h2"), n.alias("n"), F.col("p").bitwiseXOR(F.col("p2")).alias("p1"), "p2", F.slice("keys", F.lit(1), F.least(n, size)).alias("prefix"))
 
 
 def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
-    """(key, sid, n, pos, p1, p2): where to look a set up.
+    """(key, sid, n, pos, p1, p2): where to look a set up. p1 and p2 are the parities of its words from pos on.
 
-    By each word of its prefix that isn't hot, and by each pair of hot ones in the prefix with one more word. If the rarest
+    By each word of its prefix that isn't hot, but for those of class 0, which stand once in all documents, and by each pair of hot ones in the prefix with one more word. If the rarest
     word that two similar sets share is hot, so is the second, and both stand there; they share two, as sets that share one
     word only are equal or less than half alike. Pairs grow with the square of the prefix, so sets of more than PAIRED words go by
     single words all through; smaller ones that can be similar to such a set do both.
@@ -126,19 +132,31 @@ def postings(sets: DataFrame, least: Fraction, hot_class: int) -> DataFrame:
     out = sets.withColumn("p", F.expr(f"cast(n - ({a}L * n + {b - 1}) div {b} + 1 as int)"))
     out = out.withColumn("cold", F.size(F.filter("prefix", lambda k: k < hot)))
     out = out.withColumn("single", F.expr(f"if({b}L * n > {a}L * {PAIRED}, p, least(p, cold))"))
-    singles = "transform(sequence(1, single), i -> named_struct('key', element_at(prefix, i), 'pos', i - 1))"
+    out = out.withColumn("alone", F.size(F.filter("prefix", lambda k: k < 1 << HASH_BITS)))
+    singles = "transform(sequence(alone + 1, single), i -> named_struct('key', element_at(prefix, i), 'pos', i - 1))"
     pairs = "flatten(transform(sequence(cold + 1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), j -> named_struct('key', xxhash64(element_at(prefix, i), element_at(prefix, j)), 'pos', i - 1))))"
     none = "cast(array() as array<struct<key: bigint, pos: int>>)"
-    entry = F.expr(f"concat(if(single > 0, {singles}, {none}), if(n <= {PAIRED} and size(prefix) - cold > 1, {pairs}, {none}))")
-    return out.select("sid", "n", "p1", "p2", F.explode(entry).alias("e")).select("e.key", "sid", "n", "e.pos", "p1", "p2")
+    for side, bit in (("r1", "shiftright(k, 6) & 1L ^ 1L"), ("r2", "shiftright(k, 6) & 1L")):
+        # the parity from each place of the prefix on
+        step = f"array_append(r, element_at(r, -1) ^ shiftleft({bit}, cast(k & 63 as int)))"
+        out = out.withColumn(side, F.expr(f"aggregate(prefix, array({side.replace('r', 'p')}), (r, k) -> {step})"))
+    entry = F.expr(f"concat(if(single > alone, {singles}, {none}), if(n <= {PAIRED} and size(prefix) - cold > 1, {pairs}, {none}))")
+    out = out.select("sid", "n", "r1", "r2", F.explode(entry).alias("e"))
+    p1, p2 = (F.get(r, F.col("e.pos")) for r in ("r1", "r2"))
+    return out.select("e.key", "sid", "n", "e.pos", p1.alias("p1"), p2.alias("p2"))
 
 
 def _alike(x: str, y: str, least: Fraction) -> Column:
     """Whether sets x and y can be similar by sizes and parities: words that one of them lacks flip a bit of the parity each."""
     a, b = least.numerator, least.denominator
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    sizes = (b * nx >= a * ny) & (b * ny >= a * nx)
-    return sizes & ((a + b) * _apart(x, y) <= (b - a) * (nx + ny))
+    return _sizes(x, y, least) & ((a + b) * _apart(x, y) <= (b - a) * (nx + ny))
+
+
+def _sizes(x: str, y: str, least: Fraction) -> Column:
+    a, b = least.numerator, least.denominator
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (b * nx >= a * ny) & (b * ny >= a * nx)
 
 
 def _apart(x: str, y: str) -> Column:
@@ -147,15 +165,22 @@ def _apart(x: str, y: str) -> Column:
     return bits[0] + bits[1]
 
 
-def may_match(x: str, y: str, least: Fraction) -> Column:
-    """Whether set x of a posting comes before set y and can be similar: by sizes, places of the shared word and parities."""
-    a, b = least.numerator, least.denominator
+def _differ(x: str, y: str) -> Column:
+    """How many words two postings of a key, the first one that their sets share, have in one set only, at the least: those
+    before it, and what the sizes and parities of the rest tell."""
     nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-    return _alike(x, y, least) & ((a + b) * F.least(nx - px, ny - py) >= a * (nx + ny)) & (F.col(f"{x}.sid") < F.col(f"{y}.sid"))
+    return px + py + F.greatest(_apart(x, y), F.abs((nx - px) - (ny - py)))
+
+
+def may_match(x: str, y: str, least: Fraction, times: int = 1) -> Column:
+    """Whether the sets of two postings of a key can be similar and this key is the first one that they share. With times:
+    whether they differ in so many times the words, at the least, in which similar sets can."""
+    a, b = least.numerator, least.denominator
+    return _sizes(x, y, least) & ((a + b) * _differ(x, y) <= times * (b - a) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, least: Fraction, broadcast_rows: int) -> DataFrame:
-    """(sid, of_sid, n, p1, p2): of pairs of such rows those whose sets of words, made anew from the texts as 64-bit hashes,
+    """(sid, of_sid): of pairs those whose sets of words, made anew from the texts as 64-bit hashes,
     are similar; one for each sid. heads: (sid, place).
 
     The lines are looked up in the texts by broadcast if a count shows no more than `broadcast_rows`, else by a join.
@@ -175,7 +200,7 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, least: Fractio
     both = pairs.join(sets.toDF("sid", "words"), "sid").join(sets.toDF("of_sid", "of_words"), "of_sid")
     shared = F.size(F.array_intersect("words", "of_words"))
     found = both.filter((a + b) * shared >= a * (F.size("words") + F.size("of_words")))
-    out = materialise(found.groupBy("sid").agg(F.min(F.struct("of_sid", "n", "p1", "p2")).alias("x")).select("sid", "x.*"), "settled")
+    out = materialise(found.groupBy("sid").agg(F.min("of_sid").alias("of_sid")), "settled")
     forget(wanted)
     forget(sets)
     return out
@@ -186,7 +211,7 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
 
     Variants of one line would make pairs by the square of their number. So each posting first meets the earliest set of
     its key only. Sets that this doesn't settle then meet the sets that those earliest ones were found similar to, which
-    for variants is the line that they all vary. In keys of more than LARGE sets, they then meet the earliest of each of
+    for variants is the line that they all vary. In keys of more than LARGE sets, those near to the earliest one then meet the earliest of each of
     SLICES slices of these, and any one of each, and the nearest of them by their parities are tried. Only what is left meets all
     earlier sets that share a key. The postings are written in buckets by key, so that these joins move none of them.
     """
@@ -201,40 +226,58 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     of_key, parts = Window.partitionBy("key"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = postings(sets, least, hot_class).repartition(parts, "key")
     head = F.min(F.struct("sid", "n", "pos", "p1", "p2")).over(of_key)
-    crowded = bucketed(own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1"), "key", parts, "crowded")
+    met = own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1").alias("y")
+    near = (F.col("times") > LARGE) & may_match("x", "y", least, NEAR)
+    earlier = F.col("x.sid") < F.col("y.sid")
+    columns = ("key", "sid", "n", "pos", "p1", "p2")
+    met = met.select(*(f"y.{c}" for c in columns), F.col("x.sid").alias("of_sid"), (earlier & may_match("x", "y", least)).alias("first"), near.alias("near"), F.expr("times > 2").alias("several"))
+    crowded = bucketed(met, "key", parts, "crowded")
     forget(sets)
-    rows = crowded.select(F.struct("sid", "n", "pos", "p1", "p2").alias("y"), "x")
-    columns = [F.col("y.sid").alias("sid"), F.col("x.sid").alias("of_sid"), "x.n", "x.p1", "x.p2"]
-    first = materialise(rows.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
+    first = materialise(crowded.filter("first").select("sid", "of_sid").distinct(), "candidates")
     settled = verified(first, heads, docs, least, broadcast_rows)
 
-    of_head = settled.select(F.col("sid").alias("h_sid"), F.struct(F.col("of_sid").alias("sid"), "n", "p1", "p2").alias("z"))
+    of_head = settled.select(F.col("sid").alias("h_sid"), F.col("of_sid").alias("z_sid"))
     of_head = F.broadcast(of_head) if settled.count() <= broadcast_rows else of_head
-    y = without(crowded, settled).select(F.struct("sid", "n", "p1", "p2").alias("y"), F.col("x.sid").alias("x_sid"))
-    through = y.join(of_head, F.col("x_sid") == F.col("h_sid")).filter(_alike("z", "y", least))
-    through = materialise(through.select(F.col("y.sid").alias("sid"), F.col("z.sid").alias("of_sid"), "z.n", "z.p1", "z.p2").distinct(), "candidates")
+    y = without(crowded, settled).select("sid", F.col("of_sid").alias("h_sid"))
+    through = y.join(of_head, "h_sid").select("sid", "z_sid").distinct()
+    side = lambda name: heads.select(F.col("sid").alias(f"{name}_sid"), F.struct("n", "p1", "p2").alias(name))
+    through = through.withColumnRenamed("sid", "y_sid").join(side("y"), "y_sid").join(side("z"), "z_sid").filter(_alike("z", "y", least))
+    through = materialise(through.select(F.col("y_sid").alias("sid"), F.col("z_sid").alias("of_sid")), "candidates")
     more = verified(through, heads, docs, least, broadcast_rows)
 
-    large = crowded.filter(f"times > {LARGE}").drop("x", "times")
+    large = crowded.filter("near").select(*columns)
     own = F.struct("sid", "n", "pos", "p1", "p2")
     # of each slice first the earliest set, then any
     for seed, pick in enumerate((F.min(own), F.min_by(own, F.xxhash64("sid", F.lit("any"))))):
         settled = materialise(settled.union(more), "settled")
         some = large.groupBy(F.col("key").alias("x_key"), F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(SLICES)).alias("slice")).agg(pick.alias("x"))
         y = without(large, settled).select("key", own.alias("y"))
-        tried = y.join(some.hint("merge"), F.col("key") == F.col("x_key")).filter(may_match("x", "y", least))
-        rank = F.row_number().over(Window.partitionBy("sid").orderBy("bits", "x.sid"))
-        tried = tried.select(F.col("y.sid").alias("sid"), _apart("x", "y").alias("bits"), "x").distinct().withColumn("rank", rank).filter(f"rank <= {TRIED}")
-        tried = materialise(tried.select("sid", F.col("x.sid").alias("of_sid"), "x.n", "x.p1", "x.p2").distinct(), "candidates")
+        tried = y.join(some.hint("merge"), F.col("key") == F.col("x_key")).filter(earlier & may_match("x", "y", least))
+        tried = tried.groupBy(F.col("y.sid").alias("sid"), F.col("x.sid").alias("of_sid")).agg(F.min(_differ("x", "y")).alias("bits"))
+        rank = F.row_number().over(Window.partitionBy("sid").orderBy("bits", "of_sid"))
+        tried = materialise(tried.withColumn("rank", rank).filter(f"rank <= {TRIED}").select("sid", "of_sid"), "candidates")
         more = verified(tried, heads, docs, least, broadcast_rows)
 
     settled = materialise(settled.union(more), "settled")
-    several = crowded.filter("times > 2").drop("x", "times")
+    several = crowded.filter("several").select(*columns)
     rest = without(several, settled).alias("y").join(several.alias("x").hint("merge"), F.col("y.key") == F.col("x.key"))
-    second = materialise(rest.filter(may_match("x", "y", least)).select(*columns).distinct(), "candidates")
+    second = materialise(rest.filter(earlier & may_match("x", "y", least)).select(F.col("y.sid").alias("sid"), F.col("x.sid").alias("of_sid")).distinct(), "candidates")
     forget(crowded)
     last = verified(second, heads, docs, least, broadcast_rows)
-    return settled.union(last).select("sid", "of_sid")
+    return settled.union(last)
+
+
+def numbered(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """sets with a sid that rises with the place; places: theirs or more.
+
+    Where each line has a doc_id that is its document's alone, and ids and lines fit in 62 bits, the two make the number. Else the
+    sets are dealt by ranges of places and numbered in order.
+    """
+    line, doc = F.max("line_no"), F.col("doc_id")
+    most = places.agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), line.alias("line"), F.coalesce(F.bool_or(doc.isNull() | (F.col("row") != 0)), F.lit(False)).alias("odd")).first()
+    if most["line"] is not None and not most["odd"] and (most["hi"] - most["lo"] + 1) * (most["line"] + 1) < 1 << 62:
+        return sets.withColumn("sid", (doc - F.lit(most["lo"])) * F.lit(most["line"] + 1).cast("long") + F.col("line_no"))
+    return sets.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("sid", F.monotonically_increasing_id())
 
 
 def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows: int = 500_000) -> DataFrame:
@@ -253,11 +296,10 @@ def repeated_lines(docs: DataFrame, least: Fraction = THRESHOLD, broadcast_rows:
     keyed = materialise(keyed_lines(lines, table, bits, least), "keyed")
     head = F.min(F.struct(*PLACE, "n", "p1", "p2", "prefix")).alias("x")
     sets = keyed.groupBy("h1", "h2").agg(head, F.count("*").alias("times")).select("h1", "h2", "times", "x.*")
-    # numbers that rise with the place: ranges in order, sorted within
-    sets = materialise(sets.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("sid", F.monotonically_increasing_id()), "sets")
+    sets = materialise(numbered(sets, keyed), "sets")
     places = materialise(keyed.select(*PLACE, "h1", "h2"), "places")
     forget(keyed)
-    heads = materialise(sets.select("sid", "h1", "h2", "times", *PLACE), "heads")
+    heads = materialise(sets.select("sid", "h1", "h2", "times", *PLACE, "n", "p1", "p2"), "heads")
     similar = materialise(similar_sets(sets, heads, docs, least, broadcast_rows), "similar")
     of = heads.select(F.col("sid").alias("of_sid"), *(F.col(c).alias(o) for c, o in zip(PLACE, OF)))
     matched = similar.join(of, "of_sid").select("sid", *OF)

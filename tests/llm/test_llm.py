@@ -648,6 +648,24 @@ def test_long_lines_of_hot_words(spark):
     assert lines.postings(keyed, lines.THRESHOLD, 0).count() <= 200 * 125  # 1 + 600 / 5 words of each prefix
 
 
+def test_long_lines_that_share_words_by_chance_make_few_pairs(spark):
+    rng = random.Random(16)
+    pool = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(pool, 290))) for i in range(120)], "doc_id long, text string")
+    table, bits = lines.rarity(lines.identified(docs))
+    keyed = lines.keyed_lines(lines.lines_of(lines.identified(docs)), table, bits, lines.THRESHOLD).withColumn("sid", F.col("doc_id"))
+    own = lines.postings(keyed, lines.THRESHOLD, lines.HOT_CLASS).localCheckpoint()
+    met = own.alias("x").join(own.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.sid") < F.col("y.sid"))
+    assert met.count() > 40_000 and met.filter(lines.may_match("x", "y", lines.THRESHOLD)).count() < 3000
+
+
+def test_numbers_of_sets_rise_with_their_places(spark):
+    for docs in ([-5, 3, 2**40], [None, 3, 4], [-(2**62), 0, 2**62]):
+        places = spark.createDataFrame([(d, 0, n) for d in docs for n in (0, 7)], "doc_id long, row long, line_no int").repartition(3)
+        got = lines.numbered(places, places).orderBy("sid").collect()
+        assert [(r["doc_id"], r["line_no"]) for r in got] == [(d, n) for d in docs for n in (0, 7)] and len({r["sid"] for r in got}) == 6
+
+
 def test_dedup_takes_lines_out(spark):
     rows = [(1, "a b c d e\nkeep me here now\n\n", "en", "s", 1) + ("c",) * 6, (2, "x y z\ne d c b a\nlast words stand here", "en", "s", 2) + ("c",) * 6]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
