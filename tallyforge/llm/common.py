@@ -77,13 +77,14 @@ def materialise(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
-    """materialise(), in buckets by a column: joins and windows by it then read it where it lies. df should be dealt by the
-    key into as many partitions, so that each bucket is one file."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+def bucketed(dfs: Sequence[DataFrame], key: str, buckets: int, label: str) -> DataFrame:
+    """materialise() of frames one after another into one table, in buckets by a column: joins by it then read it where it
+    lies. Each should be dealt by the key into as many partitions, so that it makes one file of each bucket."""
+    spark, path = dfs[0].sparkSession, new_path(dfs[0].sparkSession, label)
     name = f"{label}_{uuid.uuid4().hex}"
     with shuffles_removed(spark), small_batches(spark):
-        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        for df in dfs:
+            df.write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.stored_at, out.stored_as = path, name
     return out

@@ -30,6 +30,8 @@ LARGE, SLICES, TRIED = 16, 24, 16
 #: Sets are looked at by slices if they are this near to the earliest set of their key, as variants of one line are and lines
 #: that share a word by chance are not: this decides on speed, too.
 NEAR = 2
+#: Postings are made in so many turns, by their keys, so that the shuffle of a part of them stands on disk at once.
+TURNS = 2
 #: Where a line stands, in the order of lines: row is told in identified().
 PLACE = ("doc_id", "row", "line_no")
 #: The place of the earlier line that a line is similar to.
@@ -224,14 +226,17 @@ def similar_sets(sets: DataFrame, heads: DataFrame, docs: DataFrame, least: Frac
     spark = sets.sparkSession
     hot_class = max(HOT_CLASS, round(math.log2(docs.count() + 1)) - 8)
     of_key, parts = Window.partitionBy("key"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = postings(sets, least, hot_class).repartition(parts, "key")
     head = F.min(F.struct("sid", "n", "pos", "p1", "p2")).over(of_key)
-    met = own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1").alias("y")
     near = (F.col("times") > LARGE) & may_match("x", "y", least, NEAR)
     earlier = F.col("x.sid") < F.col("y.sid")
     columns = ("key", "sid", "n", "pos", "p1", "p2")
-    met = met.select(*(f"y.{c}" for c in columns), F.col("x.sid").alias("of_sid"), (earlier & may_match("x", "y", least)).alias("first"), near.alias("near"), F.expr("times > 2").alias("several"))
-    crowded = bucketed(met, "key", parts, "crowded")
+
+    def met(turn: int) -> DataFrame:
+        own = postings(sets, least, hot_class).filter(F.pmod("key", F.lit(TURNS)) == turn).repartition(parts, "key")
+        own = own.withColumn("x", head).withColumn("times", F.count(F.lit(1)).over(of_key)).filter("times > 1").alias("y")
+        return own.select(*(f"y.{c}" for c in columns), F.col("x.sid").alias("of_sid"), (earlier & may_match("x", "y", least)).alias("first"), near.alias("near"), F.expr("times > 2").alias("several"))
+
+    crowded = bucketed([met(turn) for turn in range(TURNS)], "key", parts, "crowded")
     forget(sets)
     first = materialise(crowded.filter("first").select("sid", "of_sid").distinct(), "candidates")
     settled = verified(first, heads, docs, least, broadcast_rows)
